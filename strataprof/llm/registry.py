@@ -1,9 +1,13 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from strataprof.llm import byte_bpe
+from strataprof.llm import byte_bpe, line_dedup, pii
 
 QUERIES = {
     "op7_byte_bpe": byte_bpe.query,
+    "op9_line_dedup": line_dedup.query,
+    "op10_pii": pii.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE,
+}
