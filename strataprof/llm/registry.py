@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from strataprof.llm import byte_bpe, line_dedup, pii
+from strataprof.llm import byte_bpe, lang_id, line_dedup, pii
 
 QUERIES = {
+    "op4_lang_id": lang_id.query,
     "op7_byte_bpe": byte_bpe.query,
     "op9_line_dedup": line_dedup.query,
     "op10_pii": pii.query,
