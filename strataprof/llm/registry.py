@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from strataprof.llm import byte_bpe, lang_id, line_dedup, minhash, pii
+from strataprof.llm import bloom_lm, byte_bpe, lang_id, line_dedup, minhash, pii
 
 QUERIES = {
     "op4_lang_id": lang_id.query,
     "op5_minhash": minhash.query,
     "op7_byte_bpe": byte_bpe.query,
+    "op8_bloom_lm": bloom_lm.query,
     "op9_line_dedup": line_dedup.query,
     "op10_pii": pii.query,
 }
