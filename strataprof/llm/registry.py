@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from strataprof.llm import bloom_lm, byte_bpe, lang_id, line_dedup, minhash, pii
+from strataprof.llm import bloom_lm, byte_bpe, lang_id, line_dedup, minhash, pii, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op4_lang_id": lang_id.query,
     "op5_minhash": minhash.query,
     "op7_byte_bpe": byte_bpe.query,
