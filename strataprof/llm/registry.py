@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from strataprof.llm import bloom_lm, byte_bpe, lang_id, line_dedup, minhash, pii, toxicity
+from strataprof.llm import bloom_lm, byte_bpe, itq, lang_id, line_dedup, minhash, pii, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
+    "op3_itq": itq.query,
     "op4_lang_id": lang_id.query,
     "op5_minhash": minhash.query,
     "op7_byte_bpe": byte_bpe.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_itq": itq.ORACLE,
     "op5_minhash": minhash.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
