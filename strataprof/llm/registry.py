@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from strataprof.llm import bloom_lm, byte_bpe, itq, lang_id, line_dedup, minhash, pii, toxicity
+from strataprof.llm import bloom_lm, byte_bpe, decontaminate, itq, lang_id, line_dedup, minhash, pii, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_toxicity": toxicity.query,
     "op3_itq": itq.query,
     "op4_lang_id": lang_id.query,
