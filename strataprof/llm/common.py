@@ -233,3 +233,13 @@ def components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 60) ->
     return vertices.select("id").distinct().join(e.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select(
         "id", F.coalesce("c", "id").alias("component_id")
     )
+
+
+def without(df: DataFrame, id_col: str, bad: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
+    """Rows of ``df`` whose id is not in the one column of ``bad``; null ids stay.  The ids are broadcast up to a
+    checked number, beyond it the join is shuffled."""
+    name = bad.columns[0]
+    ids = cut(bad.select(F.col(name).alias("_bad")).where("_bad is not null").distinct(), "bad-ids")
+    if ids.count() <= most_broadcast:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[id_col] == F.col("_bad"), "left_anti")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataprof.llm.common import per_text, table
+from strataprof.llm.common import per_text, table, without
 
 WORD = re.compile(r"[^\W_]+")
 N = 3
@@ -212,8 +212,7 @@ def contaminated(
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without those that hold a benchmark item, all columns kept; rows with a null id stay."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    return without(docs, id_col, contaminated(docs, benchmark, id_col, **options).select(id_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from strataprof.llm import bloom_lm, byte_bpe, decontaminate, itq, lang_id, line_dedup, minhash, pii, toxicity
+from strataprof.llm import bloom_lm, byte_bpe, decontaminate, html_text, itq, lang_id, line_dedup, minhash, pii, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_itq": itq.query,
     "op4_lang_id": lang_id.query,
     "op5_minhash": minhash.query,
+    "op6_html_text": html_text.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_bloom_lm": bloom_lm.query,
     "op9_line_dedup": line_dedup.query,
