@@ -18,6 +18,7 @@ an empty result; other columns are ignored.  Very long texts cost arrays proport
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ SHORT = 32  # postings up to this size are compared pair by pair
 _RNG = np.random.Generator(np.random.PCG64(0xC0FFEE))
 _XOR = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
+SKETCH = 1024
+_SKETCH_XOR = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+_SKETCH_ODD = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -130,39 +134,72 @@ def _star_pairs(long: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _cross_pairs(long: DataFrame, comp: DataFrame, least: int, block: int = 256) -> DataFrame:
-    """Members of a posting that belong to different components.
+def sketch(shingles: np.ndarray) -> bytes:
+    """The low byte of SKETCH minima, a finer estimate for pairs that the signature leaves open."""
+    low = np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint64)
+    for at in range(0, len(shingles), 512):
+        h = (shingles[at : at + 512, None] ^ _SKETCH_XOR) * _SKETCH_ODD
+        h ^= h >> np.uint64(31)
+        low = np.minimum(low, ((h * _SKETCH_ODD) >> np.uint64(32)).min(axis=0))
+    return (low & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def _cross_pairs(long: DataFrame, comp: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int = 4096) -> DataFrame:
+    """Members of a long posting that belong to different components.
 
     Those outside the posting's largest component meet all its members, dealt out in blocks; within the largest
-    component nothing is left to find."""
-    rows = long.join(comp, "id").select("item", "id", "b1", "b2", F.col("component_id").alias("c"))
+    component nothing is left to find.  They are compared by sketches: a pair at the threshold falls short of the
+    matches asked for with a probability below 1e-6."""
+    rows = long.join(comp, "id").select("item", "id", F.col("component_id").alias("c"))
     shape = (
         rows.groupBy("item", "c").agg(F.count("*").alias("n"))
-        .groupBy("item").agg(F.sum("n").alias("s"), F.count("*").alias("kinds"), F.max_by("c", F.struct("n", "c")).alias("main"))
+        .groupBy("item").agg(F.sum("n").alias("s"), F.count("*").alias("kinds"), F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"))
         .where("kinds > 1")
-        .select("item", "main", F.ceil(F.col("s") / block).cast("int").alias("nb"))
+        .select("item", "main", F.ceil(F.col("s") / block).cast("int").alias("nb"), F.ceil((F.col("s") - F.col("most")) / block).cast("int").alias("na"))
     )
-    placed = rows.join(shape, "item")
+    placed = cut(rows.join(shape, "item"), "open-postings")
+
+    def fn(texts, batch):
+        return {"sketch": [sketch(shingle_set(t, words)) for t in texts]}
+
+    made = cut(per_text(_texts_of(placed.select("id"), df, id_col, text_col), "text", fn, "sketch binary", ["id"]).dropDuplicates(["id", "sketch"]), "sketches")
+    placed = placed.join(made, "id")
     a = placed.where("c <> main").select(
-        "item", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"), F.col("id").alias("a"), F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("c").alias("ca")
+        "item", F.pmod(F.xxhash64("id"), "na").cast("int").alias("xa"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("xb"), "id", "c", "sketch"
     )
     b = placed.select(
-        "item", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("x"), F.col("id").alias("b"), F.col("b1").alias("e1"), F.col("b2").alias("e2"), F.col("c").alias("cb")
-    )
-    return (
-        a.join(b, ["item", "x"]).where("ca <> cb").where(_alike(F.col("a1"), F.col("a2"), F.col("e1"), F.col("e2"), least))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ya"), F.pmod(F.xxhash64("id"), "nb").cast("int").alias("yb"),
+        F.col("id").alias("id_b"), F.col("c").alias("c_b"), F.col("sketch").alias("sketch_b"),
     )
+    j = percent / 100
+    least = int(SKETCH * j - 5 * (SKETCH * j * (1 - j)) ** 0.5)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        if len(left) and len(right):
+            other = np.frombuffer(b"".join(right["sketch_b"]), dtype=np.uint8).reshape(-1, SKETCH)
+            ids, c = right["id_b"].to_numpy(), right["c_b"].to_numpy()
+            for i, ci, s in zip(left["id"], left["c"], left["sketch"]):
+                hit = ids[((other == np.frombuffer(s, dtype=np.uint8)).sum(axis=1) >= least) & (c != ci)]
+                out_a.append(np.minimum(hit, i)), out_b.append(np.maximum(hit, i))
+        none = [np.zeros(0, dtype=np.int64)]
+        return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
+
+    return a.groupBy("item", "xa", "xb").cogroup(b.groupBy("item_b", "ya", "yb")).applyInPandas(meet, "a bigint, b bigint").distinct()
+
+
+def _texts_of(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text`` of the documents named: the ids select them by a broadcast up to a checked number, else by a
+    shuffled join."""
+    needed = cut(ids.distinct(), "near-ids")
+    if needed.count() <= MOST_BROADCAST:
+        needed = F.broadcast(needed)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of which full shingle sets have ``100 * intersection >= percent * union``.
-
-    The ids in question select the texts, by a broadcast up to a checked size, else by a shuffled join."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    if needed.count() <= MOST_BROADCAST:
-        needed = F.broadcast(needed)
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id")
+    """The pairs ``a, b`` of which full shingle sets have ``100 * intersection >= percent * union``."""
+    src = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), df, id_col, text_col)
 
     def fn(texts, rows):
         return {"s": [shingle_set(t, words).view(np.int64) for t in texts]}
@@ -199,7 +236,7 @@ def near_duplicates(
     links = links.unionByName(bridges)
     ids = ids.unionByName(bridges.select(F.col("b").alias("id")))
     found = cut(components(ids, links), "components")
-    rest = cut(_cross_pairs(long, found, matches), "pairs")
+    rest = cut(_cross_pairs(long, found, df, id_col, text_col, words, percent), "pairs")
     if rest.limit(1).count():
         more = cut(confirm(rest, df, id_col, text_col, words, percent), "links")
         found = cut(components(ids, links.unionByName(more)), "components")
