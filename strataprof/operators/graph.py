@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Written to the folder that the session names in ``spark.checkpoint.dir`` and read again, so that each round
     starts from a table and a lost executor costs one round."""
     spark = df.sparkSession
@@ -35,14 +35,14 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     e = valid_edges(nodes, edges).where("source_id <> target_id").select(
         "model_id", F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")
     ).distinct()
-    e = _cut(e)
+    e = cut(e)
     for _ in range(most_rounds):
         both = e.unionByName(e.select("model_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("model_id", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, ["model_id", "u"]).where("v > u").select("model_id", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("model_id", "u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        small = _cut(large.join(low, ["model_id", "u"]).select("model_id", F.explode(pairs).alias("x")).select("model_id", "x.u", "x.v").where("u <> v").distinct())
+        small = cut(large.join(low, ["model_id", "u"]).select("model_id", F.explode(pairs).alias("x")).select("model_id", "x.u", "x.v").where("u <> v").distinct())
         many = small.groupBy("model_id", "u").agg(F.count("*").alias("n")).where("n > 1")
         centres = small.select("model_id", F.col("v").alias("u")).distinct()
         open_ = many.limit(1).count() or small.join(centres, ["model_id", "u"], "left_semi").limit(1).count()
@@ -75,24 +75,24 @@ def containment_depth(nodes: DataFrame, edges: DataFrame, models: DataFrame) ->
         .where(is_containment(F.col("language"), F.col("type"), F.col("data")))
         .select("model_id", F.col("source_id").alias("node_id"), F.col("target_id").alias("child")).distinct()
     )
-    e = _cut(e)
+    e = cut(e)
     ids = nodes.select("model_id", "node_id").distinct()
     free = ids.join(e.select("model_id", F.col("child").alias("node_id")).distinct(), ["model_id", "node_id"], "left_anti")
     rooted = free.select("model_id").distinct()
     roots = free.unionByName(ids.join(rooted, "model_id", "left_anti"))
-    frontier = _cut(roots)
+    frontier = cut(roots)
     first = frontier
     size = ids.groupBy("model_id").agg(F.count("*").alias("n"))
     reached, k = [], 0
     while True:
         k += 1
         step = frontier.join(e, ["model_id", "node_id"]).select("model_id", F.col("child").alias("node_id")).distinct().join(size.where(F.col("n") >= k), "model_id", "left_semi")
-        frontier = _cut(step)
+        frontier = cut(step)
         if not frontier.limit(1).count():
             break
         reached.append(frontier.withColumn("k", F.lit(k)))
         if len(reached) >= 16:  # fold the levels so far into one table
-            reached = [_cut(_deepest(reached))]
+            reached = [cut(_deepest(reached))]
     is_root = first.withColumn("is_root", F.lit(True))
     out = ids.join(is_root, ["model_id", "node_id"], "left")
     if reached:
