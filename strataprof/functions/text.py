@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,7 @@ class TokenizerConfig:
     custom: Callable[[Column], Column] | None = None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts):
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -258,7 +258,7 @@ def uml(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ends = e.where("concept = 'Property'").select("model_id", F.col("id").alias("end"), a["type"].alias("of"), F.coalesce(a["aggregation"] == "composite", F.lit(False)).alias("composite"))
     assoc = e.where("concept = 'Association'").select("model_id", "id", F.posexplode(F.split(F.trim(a["memberEnd"]), r"\s+")).alias("i", "end")).join(ends, ["model_id", "end"])
     two = assoc.groupBy("model_id", "id").agg(F.sort_array(F.collect_list(F.struct("i", "of", "composite"))).alias("x")).where("size(x) >= 2 and x[0].of is not null and x[1].of is not null")
-    whole_second = F.col("x")[0]["composite"] & ~F.col("x")[1]["composite"]
+    whole_second = ~F.col("x")[0]["composite"] & F.col("x")[1]["composite"]
     edges = edges.unionByName(two.select(
         "model_id", F.col("id").alias("edge_id"), F.when(whole_second, F.col("x")[1]["of"]).otherwise(F.col("x")[0]["of"]).alias("source_id"),
         F.when(whole_second, F.col("x")[0]["of"]).otherwise(F.col("x")[1]["of"]).alias("target_id"), F.when(F.exists("x", lambda v: v["composite"]), "Composition").otherwise("Association").alias("type"),
