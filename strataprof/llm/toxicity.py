@@ -129,12 +129,13 @@ def _probability(trees, df: DataFrame) -> DataFrame:
     return trees.transform(df).withColumn("p", vector_to_array("probability")[1])
 
 
-def fit(rows: DataFrame, most_rows: int = 16000, trees: int = 20, depth: int = 4, seed: int = 7) -> Scorer:
-    """``rows``: id, text, toxic (0 or 1).  Learns from at most about ``most_rows`` of them, chosen by a hash: half for
-    the lexicon, a third for the trees, the rest for calibration."""
-    known = rows.where(F.col("toxic").isNotNull() & F.col("id").isNotNull()).select("id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    n = rows.where(F.col("toxic").isNotNull() & F.col("id").isNotNull()).select("id").count()
-    sample = cut(known.where(hash_fraction("id", fraction=bounded_fraction(n, most_rows))), "toxic-sample")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 16000, trees: int = 20, depth: int = 4, seed: int = 7) -> Scorer:
+    """Learns from at most about ``most_rows`` labelled rows, chosen by a hash: half for the lexicon, a third for the
+    trees, the rest for calibration.  The chosen labels are broadcast, so that no other text moves."""
+    known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where("id is not null and toxic is not null")
+    chosen = known.where(hash_fraction("id", fraction=bounded_fraction(known.count(), most_rows)))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sample = cut(texts.join(F.broadcast(chosen), "id"), "toxic-sample")
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(6))
     lexicon, stems = learn_lexicon(sample.where(part < 3))
     blank = Scorer(lexicon, stems, None, None, 0.0)
@@ -153,5 +154,4 @@ def fit(rows: DataFrame, most_rows: int = 16000, trees: int = 20, depth: int = 4
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out("doc_id", 5, 0))
-    rows = docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
-    return fit(rows).transform(docs).withColumn("held_out", held_out("doc_id", 5, 0))
+    return fit(docs, labels).transform(docs).withColumn("held_out", held_out("doc_id", 5, 0))
