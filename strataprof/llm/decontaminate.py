@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 A first pass counts, in Spark, in how many documents each n-gram of the benchmark occurs.  In each window of
-consecutive n-grams of an item the rarest is a seed, so every stretch of an item keeps one and common n-grams give way
-to rarer ones; none is dropped for being common.  A second pass finds seeds in whole documents, lines up the places that
+consecutive n-grams of an item the rarest that occurs is a seed, so every stretch of an item keeps one and common n-grams
+give way to rarer ones; none is dropped for being common, and those that no document has are no loss.  A second pass finds seeds in whole documents, lines up the places that
 agree on an item and scores the stretch by local alignment of words, so that edited copies count by what still aligns.
 
 The benchmark goes to the tasks in blocks of bounded size, one pass over the documents for each.  Null or empty texts and
@@ -28,6 +28,7 @@ N = 3
 WINDOW = 4
 GAP = 0.5
 BITS = np.int64(21)
+NEVER = 1 << 62
 
 
 def words_of(text: str) -> list[str]:
@@ -65,16 +66,17 @@ class Block:
         return np.array([-1 if x is None else x for x in found], dtype=np.int64)
 
     def choose(self, frequency: dict[int, int]) -> None:
-        """The rarest n-gram of each window (the first of equals) becomes a seed."""
+        """Of the n-grams that occur at all, the rarest of each window (the first of equals) becomes a seed."""
         code, item, place = [], [], []
         for k, ids in enumerate(self.items):
             grams = codes_of(ids)
             if not len(grams):
                 continue
-            rare = [(frequency.get(int(g), 0), i) for i, g in enumerate(grams)]
+            rare = [(frequency.get(int(g)) or NEVER, i) for i, g in enumerate(grams)]
             width = min(WINDOW, len(rare))
-            for i in sorted({min(rare[at : at + width])[1] for at in range(len(rare) - width + 1)}):
-                code.append(grams[i]), item.append(k), place.append(i)
+            for n, i in sorted({min(rare[at : at + width]) for at in range(len(rare) - width + 1)}):
+                if n != NEVER:
+                    code.append(grams[i]), item.append(k), place.append(i)
         order = np.argsort(np.array(code, dtype=np.int64), kind="stable")
         self.seeds = np.array(code, dtype=np.int64)[order]
         self.seed_item, self.seed_place = np.array(item, dtype=np.int64)[order], np.array(place, dtype=np.int64)[order]
