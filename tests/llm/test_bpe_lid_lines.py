@@ -1,0 +1,104 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from strataprof.llm import byte_bpe, lang_id, line_dedup
+
+tiktoken = pytest.importorskip("tiktoken")
+P = pytest.importorskip("public_tokenizers")
+
+
+@pytest.fixture(scope="module")
+def codecs():
+    ranks = byte_bpe.read_ranks(byte_bpe.default_ranks())
+    return byte_bpe.Codec(ranks), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encodes_as_the_library_does(codecs):
+    mine, theirs = codecs
+    rng = random.Random(1)
+    letters = list("ab'stmdrevl  \n\t  \x1c\x850٣²!?#é中🙂'’́İ")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["", "a" * 3000, " " * 900, "\n\n x", "'s", "it's we'll'd", "x'", "'", "a''s", " 's", "\n's"]
+    for text, (ids, offsets) in zip(texts, mine.encode(texts)):
+        assert ids == theirs.encode_ordinary(text)
+        assert mine.decode(ids) == text.encode()
+        assert offsets == sorted(set(offsets))
+
+
+def test_round_trip_frame(spark):
+    texts = ["Hello there, it's 2024!", None, "", "x" * 50_000, "a\n\n  b"]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    for r in byte_bpe.round_trip(df, byte_bpe.default_ranks()).collect():
+        t = (texts[r["doc_id"]] or "").encode()
+        assert r["decoded_sha256"] == hashlib.sha256(t).hexdigest()
+    enc = byte_bpe.encode(df, byte_bpe.default_ranks())
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in byte_bpe.decode(enc, byte_bpe.default_ranks()).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert byte_bpe.round_trip(df.limit(0), byte_bpe.default_ranks()).count() == 0
+
+
+WORDS = {"aa": "the of and that with this from have for was ing tion".split(), "bb": "der die und nicht ist ein mit sich auf für ung keit".split()}
+
+
+def sample(n=300, seed=3):
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randint(3, 60))), lang) for i in range(n) for lang in [rng.choice("ab") * 2]]
+
+
+def test_languages_held_out(spark):
+    rows = sample() + [(1000, None, "aa"), (1001, "", None), (1002, "12 34 !!", "bb"), (1003, "the of and", None), (1004, "the " * 100_000, "aa"), (None, "und die der", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in lang_id.classify(df, lang_id.learn(df)).collect()}
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1000]["score"] == 0 and got[1000]["rejected"]
+    test = [(i, lang) for i, _, lang in rows[:300] if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i]["lang_pred"] == lang for i, lang in test) >= 0.98 * len(test)
+    assert got[1003]["lang_pred"] == "aa" and got[1004]["lang_pred"] == "aa" and got[None]["lang_pred"] == "bb"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_languages_without_labels(spark):
+    df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
+    assert lang_id.classify(df, lang_id.learn(df)).first()["lang_pred"] == "und"
+
+
+def test_language_model_is_a_distribution(spark):
+    import numpy as np
+    df = spark.createDataFrame(sample(), "doc_id long, text string, lang string")
+    m = lang_id.fit(df, order=3)
+    alphabet = sorted({int(c) for _, t, _ in sample() for c in lang_id.letters_of(t)})
+    ctx = lang_id.letters_of("the of")[:4]
+    total = np.zeros(len(m.langs))
+    for c in alphabet:
+        cps = np.append(ctx, np.uint32(c)).astype(np.uint32)
+        total += np.exp(m._below(cps, np.array([len(cps) - 1]), 3))
+    assert np.all(total > 0.75) and np.all(total <= 1.0001)  # the rest is kept for letters never seen
+
+
+def brute_lines(rows):
+    def key(x):
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    held = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            for x in t.split("\n"):
+                held.setdefault(key(x), set()).add(i)
+    hot = {k: max(v) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
+    out = []
+    for i, t in rows:
+        xs = (t or "").split("\n")
+        keep = [x for x in xs if i is None or hot.get(key(x), i) == i]
+        out.append((i, len(xs), len(xs) - len(keep), "\n".join(keep)))
+    return out
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(5)
+    pool = ["A line that is long enough é", "a line that is LONG enough é ", "short", "", "another repeated line of text", "\x0b tab line that repeats here\t"]
+    rows = [(i, "\n".join(rng.choice(pool + [f"unique line number {i} {rng.random()}"]) for _ in range(rng.randint(1, 8)))) for i in range(40)]
+    rows += [(50, None), (51, ""), (None, pool[0]), (3, rows[3][1]), (60, "\n".join(pool * 500))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_lines string")
+    got = sorted((tuple(r) for r in line_dedup.drop_repeated_lines(df).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()), key=str)
+    assert got == sorted(brute_lines(rows), key=str)
+    assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
