@@ -139,7 +139,7 @@ def _no_text(node: Node, inside: bool) -> bool:
         return True
     if node.tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in _elements(node))):
         return True
-    return bool(node.names) and node.tag not in ("html", "body", "article", "main") and not DROPPED_NAMES.isdisjoint(node.names)
+    return bool(node.names) and node.tag not in ("html", "body", "main") and (inside or node.tag != "article") and not DROPPED_NAMES.isdisjoint(node.names)
 
 
 def _elements(node: Node):
@@ -160,8 +160,8 @@ def _roots(root: Node) -> list[Node]:
                 found.append(n)
             elif not (n is not root and _no_text(n, False)):
                 todo.extend(x for x in reversed(n.parts) if not isinstance(x, str))
-        if found:
-            return found
+        if found:  # comments and teasers may be articles too
+            return [n for n in found if DROPPED_NAMES.isdisjoint(n.names)] or found
     return [root]
 
 

@@ -143,6 +143,7 @@ PAGE = (
 
 def test_main_text():
     assert html_text.main_text(PAGE) == "T & t\nOne two three\nFour xy"
+    assert html_text.main_text("<article><p>a<article class='comment'><p>b</article></article><article id=comment-2><p>c</article>") == "a"
     for bad in ("", "<", "<p", "a < b &am", "</div>x", "<div><p>a</div>b", "<!-- open", "<script>x"):
         html_text.main_text(bad)
     assert html_text.main_text("a < b &am") == "a < b &am"
