@@ -1,0 +1 @@
+"""See the modules."""

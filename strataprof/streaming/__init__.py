@@ -1,0 +1 @@
+"""No operator: the surveyed engine is batch only."""
