@@ -19,4 +19,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_itq": itq.ORACLE,
     "op5_minhash": minhash.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op10_pii": pii.ORACLE,
 }

@@ -28,7 +28,7 @@ def brute_spans(t):
 def test_pattern_spans(spark):
     texts = [
         "a@b@c.d e._%+@x.y.z@q.w 1.2.3.4.5.6.7.8.9 1.2.3 999.1.1.1 +1 (456) 555-2186 4041894974608795 4041 8949 7460 8795x 4041-8949-7460-8795-11 +12",
-        "4041  8949 7460 8795", "é🙂a@b.c🙂1.1.1.1 +123456789)) 4041894974608795", "9" * 3000 + " " + "1 " * 4000 + "a." * 3000 + "@x" + ".y" * 3000, "", None,
+        "4041  8949 7460 8795 10.0.0.1 0.0.0.0255 0.00.0.256 1.1.1.300", "é🙂a@b.c🙂1.1.1.1 +123456789)) 4041894974608795", "9" * 3000 + " " + "1 " * 4000 + "a." * 3000 + "@x" + ".y" * 3000, "", None,
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, "b@c.d", "y")], "doc_id long, text string, kind string")
     got = {r["_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_spans(df).collect()}
