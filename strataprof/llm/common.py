@@ -15,7 +15,14 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows with whole texts are long: send Python workers fewer at a time than the default, unless it was changed."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -96,6 +103,7 @@ def per_text(
 
     Narrow: no shuffle, each task holds one batch and the arrays of one slice.
     """
+    small_batches(df.sparkSession)
     src = df.select(*dict.fromkeys([*keep, text_col]))
     kept = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in keep)
     full = f"{kept}, {schema}" if kept else schema
@@ -220,13 +228,10 @@ def components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 60) ->
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u <> v").distinct()
         )
-        nxt = cut(small, "edges")
-        # done when the edges are stars: no vertex is both a leaf and a centre, none has two centres
-        bad = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or (
-            nxt.select("u").join(nxt.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
-        )
-        e = nxt
-        if not bad:
+        e = cut(small, "edges")
+        # done when the edges are stars: no vertex is a leaf of two centres, or a leaf and a centre
+        ends = e.select("u", F.lit(1).alias("leaf")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("leaf")))
+        if not ends.groupBy("u").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("c")).where("n > 1 or (n = 1 and c = 0)").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")

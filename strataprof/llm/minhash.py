@@ -144,7 +144,7 @@ def sketch(shingles: np.ndarray) -> bytes:
     return (low & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
-def _cross_pairs(long: DataFrame, comp: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int = 4096) -> DataFrame:
+def _cross_pairs(long: DataFrame, comp: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int = 1024) -> DataFrame:
     """Members of a long posting that belong to different components.
 
     Those outside the posting's largest component meet all its members, dealt out in blocks; within the largest
@@ -163,13 +163,14 @@ def _cross_pairs(long: DataFrame, comp: DataFrame, df: DataFrame, id_col: str, t
         return {"sketch": [sketch(shingle_set(t, words)) for t in texts]}
 
     made = cut(per_text(_texts_of(placed.select("id"), df, id_col, text_col), "text", fn, "sketch binary", ["id"]).dropDuplicates(["id", "sketch"]), "sketches")
-    placed = placed.join(made, "id")
+    lists = placed.groupBy("id").agg(F.collect_list("item").alias("items"))  # at most as many as a prefix has
+    placed = placed.join(made.join(lists, "id"), "id")
     a = placed.where("c <> main").select(
-        "item", F.pmod(F.xxhash64("id"), "na").cast("int").alias("xa"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("xb"), "id", "c", "sketch"
+        "item", F.pmod(F.xxhash64("id"), "na").cast("int").alias("xa"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("xb"), "id", "c", "sketch", "items"
     )
     b = placed.select(
         F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ya"), F.pmod(F.xxhash64("id"), "nb").cast("int").alias("yb"),
-        F.col("id").alias("id_b"), F.col("c").alias("c_b"), F.col("sketch").alias("sketch_b"),
+        F.col("id").alias("id_b"), F.col("c").alias("c_b"), F.col("sketch").alias("sketch_b"), F.col("items").alias("items_b"), (F.col("c") != F.col("main")).alias("minor_b"),
     )
     j = percent / 100
     least = int(SKETCH * j - 5 * (SKETCH * j * (1 - j)) ** 0.5)
@@ -178,9 +179,15 @@ def _cross_pairs(long: DataFrame, comp: DataFrame, df: DataFrame, id_col: str, t
         out_a, out_b = [], []
         if len(left) and len(right):
             other = np.frombuffer(b"".join(right["sketch_b"]), dtype=np.uint8).reshape(-1, SKETCH)
-            ids, c = right["id_b"].to_numpy(), right["c_b"].to_numpy()
-            for i, ci, s in zip(left["id"], left["c"], left["sketch"]):
-                hit = ids[((other == np.frombuffer(s, dtype=np.uint8)).sum(axis=1) >= least) & (c != ci)]
+            ids, c, minor = right["id_b"].to_numpy(), right["c_b"].to_numpy(), right["minor_b"].to_numpy()
+            width = right["items_b"].map(len).max()
+            held = np.stack([np.pad(x, (0, width - len(x)), constant_values=-1) for x in right["items_b"]])
+            item, last = left["item"].iloc[0], np.iinfo(np.int64).max
+            for i, ci, s, items in zip(left["id"], left["c"], left["sketch"], left["items"]):
+                hit = np.flatnonzero(((other == np.frombuffer(s, dtype=np.uint8)).sum(axis=1) >= least) & (c != ci) & (~minor | (ids > i)))
+                # a pair that meets in several postings counts in the first of them
+                first = np.where(np.isin(held[hit], items), held[hit], last).min(axis=1, initial=last)
+                hit = ids[hit[first == item]]
                 out_a.append(np.minimum(hit, i)), out_b.append(np.maximum(hit, i))
         none = [np.zeros(0, dtype=np.int64)]
         return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
@@ -232,9 +239,11 @@ def near_duplicates(
     links = cut(confirm(pairs, df, id_col, text_col, words, percent), "links")
     ids = classes.select("id")
     twice = rows.where("n > 0").groupBy("id").agg(F.count_distinct("k1", "k2").alias("texts")).where("texts > 1").select(F.col("id").alias("b"))
-    bridges = rows.join(twice, rows.id == twice.b).select("k1", "k2", "b").join(classes.select("k1", "k2", F.col("id").alias("a")), ["k1", "k2"]).where("a <> b").select("a", "b")
-    links = links.unionByName(bridges)
-    ids = ids.unionByName(bridges.select(F.col("b").alias("id")))
+    twice = cut(twice, "repeated-ids")
+    if twice.limit(1).count():
+        bridges = rows.join(twice, rows.id == twice.b).select("k1", "k2", "b").join(classes.select("k1", "k2", F.col("id").alias("a")), ["k1", "k2"]).where("a <> b").select("a", "b")
+        links = cut(links.unionByName(bridges), "links")
+        ids = ids.unionByName(bridges.select(F.col("b").alias("id")))
     found = cut(components(ids, links), "components")
     rest = cut(_cross_pairs(long, found, df, id_col, text_col, words, percent), "pairs")
     if rest.limit(1).count():
