@@ -1,9 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
-A first pass counts, in Spark, in how many documents each n-gram of the benchmark occurs.  In each window of
-consecutive n-grams of an item the rarest that occurs is a seed, so every stretch of an item keeps one and common n-grams
-give way to rarer ones; none is dropped for being common, and those that no document has are no loss.  A second pass finds seeds in whole documents, lines up the places that
-agree on an item and scores the stretch by local alignment of words, so that edited copies count by what still aligns.
+Every pair of neighbouring words of an item is a seed, common or rare, so that an edited copy is found whatever else is
+in the corpus: no seed is given up for another.  A pass over the documents finds seeds, lines up the places that agree
+on an item and scores the stretch by local alignment of words, so that edited copies count by what still aligns.
+Stretches that cannot reach the threshold are not aligned: a score is at most the words in common, and as each run of
+matches but the last costs an edit, at most half of the words and pairs in common and a half.  By the same count a copy
+over the default threshold of 0.4 and of more than five words has an intact pair if words were only replaced or left
+out; without one, words must have been put in after nearly every word.
 
 The benchmark goes to the tasks in blocks of bounded size, one pass over the documents for each.  Null or empty texts and
 items of fewer than three words match nothing; null ids are carried; repeated documents and items each give rows; of equal scores
@@ -24,11 +27,10 @@ from pyspark.sql import functions as F
 from strataprof.llm.common import per_text, table, without
 
 WORD = re.compile(r"[^\W_]+")
-N = 3
-WINDOW = 4
+N = 2
+LEAST_WORDS = 3
 GAP = 0.5
 BITS = np.int64(21)
-NEVER = 1 << 62
 
 
 def words_of(text: str) -> list[str]:
@@ -49,6 +51,17 @@ def codes_of(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def seeds_of(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of the items, sorted, with item and place."""
+    none = [np.zeros(0, dtype=np.int64)]
+    grams = [codes_of(x) if len(x) >= LEAST_WORDS else none[0] for x in items]
+    code = np.concatenate(grams or none)
+    item = np.repeat(np.arange(len(grams)), list(map(len, grams)))
+    place = np.concatenate([np.arange(len(g)) for g in grams] or none)
+    order = np.argsort(code, kind="stable")
+    return code[order], item[order], place[order]
+
+
 @dataclass
 class Block:
     """Items of one block: their word numbers, the vocabulary, and seeds as sorted codes with item and place."""
@@ -56,31 +69,14 @@ class Block:
     names: list
     items: list[np.ndarray]
     vocabulary: dict[str, int]
-    codes: np.ndarray  # all n-grams, sorted, distinct
-    seeds: np.ndarray | None = None
-    seed_item: np.ndarray | None = None
-    seed_place: np.ndarray | None = None
+    seeds: np.ndarray
+    seed_item: np.ndarray
+    seed_place: np.ndarray
 
     def numbers(self, text: str) -> np.ndarray:
         found = list(map(self.vocabulary.get, words_of(text)))
         return np.array([-1 if x is None else x for x in found], dtype=np.int64)
 
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Of the n-grams that occur at all, the rarest of each window (the first of equals) becomes a seed."""
-        code, item, place = [], [], []
-        for k, ids in enumerate(self.items):
-            grams = codes_of(ids)
-            if not len(grams):
-                continue
-            rare = [(frequency.get(int(g)) or NEVER, i) for i, g in enumerate(grams)]
-            width = min(WINDOW, len(rare))
-            for n, i in sorted({min(rare[at : at + width]) for at in range(len(rare) - width + 1)}):
-                if n != NEVER:
-                    code.append(grams[i]), item.append(k), place.append(i)
-        order = np.argsort(np.array(code, dtype=np.int64), kind="stable")
-        self.seeds = np.array(code, dtype=np.int64)[order]
-        self.seed_item, self.seed_place = np.array(item, dtype=np.int64)[order], np.array(place, dtype=np.int64)[order]
-
     def find(self, text: str, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, seeds, first word, end word) of each item that aligns at or over the threshold."""
         ids = self.numbers(text)
@@ -95,22 +91,36 @@ class Block:
         place = np.repeat(at, n)
         row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, start = self.seed_item[row], place - self.seed_place[row]
-        out = []
-        for k in np.unique(item):
-            mine = np.sort(start[item == k])
-            m = len(self.items[k])
-            # stretches: runs of starts less than an item's length apart
-            cut = np.flatnonzero(np.diff(mine) > m) + 1
-            best = None
-            for run in np.split(mine, cut):
-                first = max(0, int(run[0]) - m // 2)
-                end = min(len(ids), int(run[-1]) + m + m // 2)
-                score, a, b = align(self.items[k], ids[first:end])
-                if best is None or score > best[0]:
-                    best = (score, first + a, first + b)
-            if best[0] >= threshold:
-                out.append((int(k), best[0], len(np.unique(row[item == k])), best[1], best[2]))
-        return out
+        lengths = np.fromiter(map(len, self.items), dtype=np.int64)
+        order = np.lexsort((start, item))
+        item, start, row = item[order], start[order], row[order]
+        # stretches: runs of starts of one item no further apart than words can be put in without falling below the threshold
+        reach = np.ceil(lengths * max(0.0, 1 - threshold) / GAP).astype(np.int64)
+        fresh = np.append(True, (item[1:] != item[:-1]) | (start[1:] - start[:-1] > reach[item[1:]]))
+        first_of = np.flatnonzero(fresh)
+        last_of = np.append(first_of[1:], len(item))
+        here = np.zeros(len(self.vocabulary) + 1, dtype=bool)  # the last is for unknown words
+        best: dict[int, tuple[float, int, int]] = {}
+        pairs: dict[int, int] = {}
+        for x, y in zip(first_of.tolist(), last_of.tolist()):
+            k = int(item[x])
+            words = self.items[k]
+            m = len(words)
+            first, end = max(0, int(start[x] - reach[k])), min(len(ids), int(start[y - 1] + reach[k]) + m)
+            doc = ids[first:end]
+            here[doc] = True
+            here[-1] = False
+            common = int(np.count_nonzero(here[words]))
+            here[doc] = False
+            if min(common, (common + y - x + 1) / 2) / m < threshold:
+                continue
+            score, a, b = align(words, doc)
+            if score >= threshold and (k not in best or score > best[k][0]):
+                best[k] = (score, first + a, first + b)
+        for k in best:
+            x, y = np.searchsorted(item, [k, k + 1])
+            pairs[k] = len(np.unique(row[x:y]))
+        return [(k, best[k][0], pairs[k], *best[k][1:]) for k in best]
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int]:
@@ -153,32 +163,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, most_chars: in
         items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int64) for t in part["text"]]
         if len(vocabulary) >= 1 << 21:
             raise ValueError("a block holds too many words; lower most_chars")
-        codes = np.unique(np.concatenate([codes_of(x) for x in items] or [np.zeros(0, dtype=np.int64)]))
-        yield Block([None if pd.isna(x) else x for x in part["name"]], items, vocabulary, codes)
-
-
-def document_frequency(docs: DataFrame, text_col: str, block: Block) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs; as many rows as the block has n-grams at most."""
-    shared = docs.sparkSession.sparkContext.broadcast((block.vocabulary, block.codes))
-
-    def run(batches):
-        vocabulary, codes = shared.value
-        probe = Block([], [], vocabulary, codes)
-        total = np.zeros(len(codes), dtype=np.int64)
-        for b in batches:
-            for text in b["text"]:
-                if not text or not len(codes):
-                    continue
-                c = codes_of(probe.numbers(text))
-                c = np.unique(c[c >= 0])
-                i = np.searchsorted(codes, c)
-                i[i == len(codes)] = 0
-                total[i[codes[i] == c]] += 1
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"code": codes[at], "n": total[at]})
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    return dict(map(tuple, counted.collect()))
+        yield Block([None if pd.isna(x) else x for x in part["name"]], items, vocabulary, *seeds_of(items))
 
 
 def contaminated(
@@ -193,7 +178,6 @@ def contaminated(
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     found = None
     for block in blocks_of(benchmark, item_col, item_text_col, most_chars):
-        block.choose(document_frequency(docs, text_col, block))
         shared = spark.sparkContext.broadcast(block)
 
         def fn(texts, rows, shared=shared):

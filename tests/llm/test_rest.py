@@ -111,6 +111,38 @@ def test_leaks(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_edited_copies_beside_whole_ones(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 7)))
+    items = [" ".join(word() for _ in range(n)) for n in (15, 25, 40)]
+    def edited(t, every):
+        return " ".join("changed" if i % every == every - 1 else w for i, w in enumerate(t.split()))
+    docs = [t for t in items for _ in range(3)] + [f"before it {edited(t, every)} after it" for every in (6, 5, 4, 3) for t in items]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {(i, i // 3) for i in range(9)} | {(9 + i, i % 3) for i in range(12)}
+    assert all(got[i, i // 3] == 1 for i in range(9)) and 0.7 < got[9, 0] < 0.85
+
+
+def test_no_stretch_over_the_threshold_is_left_unaligned():
+    import numpy as np
+    rng = random.Random(13)
+    for _ in range(300):
+        m = rng.randint(6, 20)
+        words = [str(rng.randrange(12)) for _ in range(m)]
+        doc = [str(rng.randrange(14)) for _ in range(rng.randint(0, 40))]
+        copy = [rng.choice([w, w, w, str(rng.randrange(14))]) for w in words if rng.random() > 0.1]
+        at = rng.randint(0, len(doc))
+        doc[at:at] = copy
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        item = np.array([number[w] for w in words])
+        ids = np.array([number.get(w, -1) for w in doc])
+        found = decontaminate.Block(["x"], [item], number, *decontaminate.seeds_of([item])).find(" ".join(doc), 0.4)
+        want = decontaminate.align(item, ids)[0]
+        assert [h[1] for h in found] == ([want] if want >= 0.4 else [])
+
+
 def test_toxic_held_out(spark):
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 6)))
