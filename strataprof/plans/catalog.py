@@ -281,7 +281,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = b.read(spark, sf, "documents")
     by = d.select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("model_id"), "lang", "text")
-    profile = lexical.language_profile(d.where("doc_id % 5 = 0"))
+    profile = lexical.language_profile(d)
     return lexical.language_usage(lexical.detect_language(by, profile))
 
 

@@ -1,7 +1,12 @@
+import math
+import re
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 from strataprof.functions import stats, text
 from strataprof.operators import lexical
+from strataprof.plans import catalog
 
 
 def column(spark, values, fn, kind="string"):
@@ -46,3 +51,30 @@ def test_percentile_summary(spark):
     r = df.agg(*stats.summary("v", "x")).first()
     assert (r["x_p25"], r["x_median"], r["x_p75"]) == (1.75, 2.5, 4.75)
     assert df.limit(1).agg(*stats.summary("v", "x")).first()["x_std"] == 0.0
+
+
+def test_language_usage_against_brute_force(spark, tmp_path):
+    """Every labelled text teaches: here no id of language ``xx`` is divisible by 5."""
+    words = {"en": "the cat sat on that mat", "de": "der Hund lief über die Straße", "xx": "qoqo zuzu qyqy zaza"}
+    docs = [(i, f"{t} {'abc'[i % 3]}", lang, f"s{i % 2}", 1) for i in range(60) for lang, t in [("xx", words["xx"]) if i % 5 in (1, 2) else (("en", words["en"]) if i % 2 else ("de", words["de"]))]]
+    docs += [(60, "the cat", None, "s0", 1), (61, "", "en", "s1", 1), (62, None, "de", "s3", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def grams(t):
+        t = " " + re.sub(r"[^a-zäöüß]+", " ", t.lower()) + " "
+        return [t[i : i + 3] for i in range(len(t) - 2)]
+
+    c, per = defaultdict(Counter), defaultdict(Counter)
+    for i, t, lang, source, _ in docs:
+        if lang:
+            c[lang].update(grams(t or "") if t is not None else [])
+        per[f"{source}/{i % 50}"].update(grams(t) if t is not None else [])
+    known = set().union(*c.values())
+    def logp(lang, g):
+        return math.log((c[lang][g] + 0.5) / (sum(c[lang].values()) + 0.5 * len(known)))
+    want = Counter()
+    for seen in per.values():
+        hit = {g: n for g, n in seen.items() if g in known}
+        want[max(c, key=lambda lang: (sum(n * logp(lang, g) for g, n in hit.items()), lang)) if hit else "unknown"] += 1
+    got = {r["language"]: r["n_models"] for r in catalog.QUERIES["lexical_language_usage"](spark, str(tmp_path)).collect()}
+    assert got == dict(want) and got["xx"] > 0 and got["unknown"] == 1
