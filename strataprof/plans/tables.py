@@ -127,7 +127,18 @@ def _(spark, sf):
   arg_min(p.p_partkey, (CASE WHEN p.p_type = 'SMALL' THEN 0 WHEN p.p_type = q.p_type THEN 1 ELSE 2 END, p.p_partkey)) AS part
   FROM lineitem JOIN part q ON q.p_partkey = l_partkey JOIN part p ON p.p_name = q.p_name AND p.p_brand = q.p_brand WHERE l_linenumber = 3 GROUP BY 1, 2) AS x GROUP BY ref_id""")
 def _(spark, sf):
-    p, li = b.read(spark, sf, "part"), b.read(spark, sf, "lineitem").where("l_linenumber = 3")
+    """References of third lines alone, as the SQL has it; ``extract_resolve_all_by_name`` resolves every one."""
+    return _resolved(b.read(spark, sf, "part"), b.read(spark, sf, "lineitem").where("l_linenumber = 3"))
+
+
+@query("extract_resolve_all_by_name", """SELECT ref_id, min(part) AS part FROM (SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS ref_id, q.p_brand,
+  arg_min(p.p_partkey, (CASE WHEN p.p_type = 'SMALL' THEN 0 WHEN p.p_type = q.p_type THEN 1 ELSE 2 END, p.p_partkey)) AS part
+  FROM lineitem JOIN part q ON q.p_partkey = l_partkey JOIN part p ON p.p_name = q.p_name AND p.p_brand = q.p_brand GROUP BY 1, 2) AS x GROUP BY ref_id""")
+def _(spark, sf):
+    return _resolved(b.read(spark, sf, "part"), b.read(spark, sf, "lineitem"))
+
+
+def _resolved(p, li):
     refs = li.join(p, li.l_partkey == p.p_partkey).select(F.col("p_brand").alias("model_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("ref_id"), F.col("p_name").alias("name"), F.lit("SMALL").alias("hint"), F.col("p_type").alias("package"))
     cands = p.select(F.col("p_brand").alias("model_id"), F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_type").alias("package"))
     return extract.resolve_by_name(refs, cands).groupBy("ref_id").agg(F.min("node_id").alias("part"))
