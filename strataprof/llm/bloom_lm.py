@@ -1,36 +1,47 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Spark counts words and class bigrams of the training texts.  A count c becomes the level 1 + floor(log_b c); the filter
-holds (n-gram, 1) .. (n-gram, level), so that a count comes back, a little overestimated at times and never under, by
-probing rising levels until one is missing.  The filter is built block by block in Spark, put together on the driver
-and broadcast; its size has a fixed bound, and beyond it the least frequent bigrams are left out.
-
-Probabilities are smoothed: p(word) by add-one over estimated counts; words outside the ``vocabulary`` most frequent
-share one class; p(class | class before) has a Dirichlet prior that backs off to the class's own frequency.
-
-Null texts count as empty: one end token.  Rows that repeat an id and text each come back; a null id is never held
-out; no training text at all gives every token probability 1 in the base and the model.  Very long texts cost arrays
-proportional to their length; other columns are ignored; an empty table gives an empty result.
+Words and word pairs (bigrams) of the training texts are counted in Spark.  A count c becomes the level 1 + floor(log_b
+c); the filter holds (n-gram, 1) .. (n-gram, level), so that a count comes back, a little overestimated at times and
+never under, by probing rising levels until one is missing.  Every n-gram is in the filter, so the filter grows with the
+corpus; it is cut by hash into shards of a bounded number of tokens, and n-grams go to the shard that holds them instead
+of the filter to every worker.
+
+Texts are cut into slices.  A slice sends each shard its distinct n-grams once, with their counts in training texts; the
+shard adds the counts of all slices up, builds its part of the filter, probes it for what each slice sent, and answers
+levels (and exact counts of words, for the base score).  Frequent n-grams are sent once a slice, so no shard is hot.
+
+Probabilities are smoothed: p(word) by add-one over estimated counts; p(word | word before) has a Dirichlet prior that
+backs off to p(word).
+
+Null texts count as empty: one end token.  Rows that repeat an id and text each come back; a null id is carried; a null
+in ``learns`` is false; no training text at all gives every token probability 1 in the base and the model.  Very long
+texts cost arrays proportional to their length; other columns are ignored; ties do not arise; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataprof.llm.common import cut, held_out, mix, per_text, table, word_hashes
+from strataprof.llm.common import cut, held_out, mix, small_batches, table, word_hashes
 
 END = np.uint64(0x0E4DE4DE4DE4DE4D)
 LOG_BASE = 1.6
-BLOCK_BITS = 1 << 19
 PROBES = 6
 BITS_PER_ITEM = 10
-MOST_BITS = 1 << 29  # 64 MB
-MOST_EXACT = 1 << 19  # words whose exact counts are broadcast
+SLICE_CHARS = 1 << 23
+SHARD_TOKENS = 1 << 21
+KEY_BITS = np.uint64(40)  # of a hash: the lower bits are the key within a shard, the upper ones name the shard
+MOST_SHARDS = 1 << 24
 
 
 def tokens(text: str) -> np.ndarray:
@@ -47,274 +58,245 @@ def expected_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (LOG_BASE ** (j - 1) + np.maximum(LOG_BASE**j - 1, LOG_BASE ** (j - 1))) / 2, 0.0)
 
 
-def _places(keys: np.ndarray, level: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    item = mix(keys ^ (level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    other = mix(item + np.uint64(1))
-    return (item % np.uint64(n_blocks)).astype(np.int64), other & np.uint64(0xFFFFFFFF), (other >> np.uint64(32)) | np.uint64(1)
-
-
 @dataclass
 class Filter:
+    """One shard: ``bits`` flags."""
+
     bits: np.ndarray
-    n_blocks: int
 
-    def has(self, keys: np.ndarray, level: np.ndarray) -> np.ndarray:
-        block, a, b = _places(keys, level, self.n_blocks)
-        found = np.ones(len(keys), dtype=bool)
-        left = np.arange(len(keys))
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray, bits_per_item: int = BITS_PER_ITEM) -> Filter:
+        n = levels(counts)
+        made = cls(np.zeros(max(64, int(n.sum()) * bits_per_item), dtype=bool))
+        j = 1
+        while len(keys):
+            for at in made._places(keys, j):
+                made.bits[at] = True
+            more = n > j
+            keys, n, j = keys[more], n[more], j + 1
+        return made
+
+    def _places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        item = mix(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        step, size = mix(item + np.uint64(1)) | np.uint64(1), np.uint64(len(self.bits))
         for i in range(PROBES):
-            at = ((a[left] + np.uint64(i) * b[left]) % np.uint64(BLOCK_BITS)).astype(np.int64) + block[left] * BLOCK_BITS
-            ok = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            found[left[~ok]] = False
-            left = left[ok]
-        return found
+            yield ((item + np.uint64(i) * step) >> np.uint64(8)) % size
 
     def level(self, keys: np.ndarray) -> np.ndarray:
+        """Probe level 1, then 2 for those found, and so on."""
         out = np.zeros(len(keys), dtype=np.int64)
         left, j = np.arange(len(keys)), 1
         while len(left):
-            left = left[self.has(keys[left], np.full(len(left), j))]
+            probed = keys[left]
+            alive = np.arange(len(left))
+            for i in range(PROBES):
+                # only what is left is probed again
+                item = mix(probed[alive] ^ np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+                step = mix(item + np.uint64(1)) | np.uint64(1)
+                alive = alive[self.bits[((item + np.uint64(i) * step) >> np.uint64(8)) % np.uint64(len(self.bits))]]
+            left = left[alive]
             out[left] = j
             j += 1
         return out
 
 
-def class_bigram(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0xD6E8FEB86659FD93) + after + np.uint64(0x51))
+# ---------------------------------------------------------------------------------------------------------------
+# slices of texts
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.concatenate([p[0] for p in parts])
-    c = np.concatenate([p[1] for p in parts])
-    keys, row = np.unique(h, return_inverse=True)
-    return keys, np.bincount(row, weights=c, minlength=len(keys)).astype(np.int64)
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte, lowest first, as many bytes as the largest needs."""
+    x = x.astype("<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _counted(docs: DataFrame, text_col: str, grams, most: int = 1 << 21) -> DataFrame:
-    """``h, c``: occurrences of each hash that ``grams(tokens)`` gives; summed in each task, then over tasks."""
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        planes = np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
 
-    def run(batches):
-        parts, size = [], 0
-        for b in batches:
-            texts = b["text"]
-            for at in range(0, len(texts), 200):
-                part = [grams(tokens(t or "")) for t in texts[at : at + 200]]
-                x = np.unique(np.concatenate(part), return_counts=True)
-                parts.append(x)
-                size += len(x[0])
-                if size > most:
-                    parts = [_summed(parts)]
-                    size = len(parts[0][0])
-                    if size > most // 2:
-                        yield pd.DataFrame({"h": parts[0][0].view(np.int64), "c": parts[0][1]})
-                        parts, size = [], 0
-        if parts:
-            h, c = _summed(parts)
-            yield pd.DataFrame({"h": h.view(np.int64), "c": c})
-
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def _gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and their counts on the driver, packed in the tasks.  For tables of a bounded size."""
-
-    def pack(batches):
-        for b in batches:
-            yield pd.DataFrame({"h": [b["h"].to_numpy(np.int64).tobytes()], "c": [b["c"].to_numpy(np.int64).tobytes()]})
 
-    h, c = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    for r in counts.mapInPandas(pack, "h binary, c binary").toLocalIterator():
-        h.append(np.frombuffer(r[0], dtype=np.uint64)), c.append(np.frombuffer(r[1], dtype=np.int64))
-    h, c = np.concatenate(h), np.concatenate(c)
-    order = np.argsort(h)
-    return h[order], c[order]
+def _slices(df: DataFrame, id_col: str, text_col: str, learns: Column, slice_chars: int) -> DataFrame:
+    """Texts as numbers: ``slice, n, ids, sizes, learn, words, tokens``.  ``words``: hashes of the distinct tokens of a
+    slice, frequent ones first; ``tokens``: their places in it, in text order."""
+    small_batches(df.sparkSession)
+    src = df.select(F.col(id_col).alias("id"), F.coalesce(learns.cast("boolean"), F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
+    id_type = src.schema["id"].dataType
 
+    def flush(number: int, ids: list, learn: list, texts: list[str]) -> dict:
+        parts = [tokens(t) for t in texts]
+        flat = np.concatenate(parts)
+        at, words = pd.factorize(flat)
+        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[order] = np.arange(len(words))
+        return {
+            "slice": (TaskContext.get().partitionId() << 32) + number, "n": len(flat), "ids": ids, "sizes": list(map(len, parts)), "learn": learn,
+            "words": words[order].tobytes(), "tokens": zlib.compress(_planes(rank[at]), 1),
+        }
 
-def _sizes(counts: DataFrame) -> dict[int, int]:
-    """How many entries have each level: at most a few dozen rows."""
-    level = (F.floor(F.log(F.col("c").cast("double")) / float(np.log(LOG_BASE)) + 1e-9) + 1).cast("int")
-    return {r[0]: r[1] for r in counts.groupBy(level.alias("level")).count().collect()}
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
+    schema = f"slice bigint, n bigint, ids array<{id_type.simpleString()}>, sizes array<int>, learn array<boolean>, words binary, tokens binary"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-def _least_for(sizes: dict[int, int], most: int) -> int:
-    """The lowest level from which on at most ``most`` entries remain."""
-    least = 1
-    while sum(n for j, n in sizes.items() if j >= least) > most:
-        least += 1
-    return least
-
+    def run(batches):
+        ids, learn, texts, chars, number = [], [], [], 0, 0
+        for b in batches:
+            for i, on, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                ids.append(i), learn.append(on), texts.append(t or "")
+                chars += len(texts[-1])
+                if chars >= slice_chars:
+                    yield pa.RecordBatch.from_pylist([flush(number, ids, learn, texts)], schema=arrow)
+                    ids, learn, texts, chars, number = [], [], [], 0, number + 1
+        if ids:
+            yield pa.RecordBatch.from_pylist([flush(number, ids, learn, texts)], schema=arrow)
 
-def _at_level(level: int) -> int:
-    """Smallest count of a level."""
-    return int(np.ceil(LOG_BASE ** (level - 1) - 1e-6))
+    return cut(src.mapInArrow(run, schema), "lm-slices")
 
 
-def build_filter(spark: SparkSession, counts: DataFrame, n_items: int) -> Filter:
-    """Blocks of the filter are made where their items meet; the driver only puts them together."""
-    n_blocks = max(1, -(-n_items * BITS_PER_ITEM // BLOCK_BITS))
+@dataclass
+class Slice:
+    """Distinct words and pairs of a slice, and where each token's word and pair stand among them."""
+
+    words: np.ndarray  # hashes
+    token: np.ndarray
+    starts: np.ndarray
+    pair_of: np.ndarray
+    before: np.ndarray  # of each pair
+    after: np.ndarray
+
+    @classmethod
+    def of(cls, words: bytes, packed: bytes, n: int, sizes: np.ndarray) -> Slice:
+        hashes = np.frombuffer(words, dtype=np.uint64)
+        token = _from_planes(zlib.decompress(packed), n).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        before[starts] = np.flatnonzero(hashes == END)[0]
+        pair_of, code = pd.factorize(before * len(hashes) + token)
+        return cls(hashes, token, starts, pair_of, code // len(hashes), code % len(hashes))
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        return mix(self.words), mix(self.words[self.before] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.after] + np.uint64(0x51))
+
+
+def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by shard, the shard ids in it, and keys in it."""
+    shard = (hashes >> KEY_BITS) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    return order, shard[order].astype(np.int64), hashes[order] & np.uint64((1 << int(KEY_BITS)) - 1)
+
+
+def _asked(slices: DataFrame, shards: int) -> DataFrame:
+    """``shard, slice, nw, words, word_counts, np, pairs, pair_counts``: distinct n-grams of each slice for each shard,
+    with how often training texts of the slice hold them."""
 
-    def place(batches):
-        for b in batches:
-            h = b["h"].to_numpy().view(np.uint64)
-            n = levels(b["c"].to_numpy())
-            keys = np.repeat(h, n)
-            j = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n) + 1
-            block, x, y = _places(keys, j, n_blocks)
-            yield pd.DataFrame({"block": block, "x": x.view(np.int64), "y": y.view(np.int64)})
-
-    def fill(batches):
-        blocks: dict[int, np.ndarray] = {}
+    def run(batches):
         for b in batches:
-            x, y = b["x"].to_numpy().view(np.uint64), b["y"].to_numpy().view(np.uint64)
-            order = np.argsort(b["block"].to_numpy(), kind="stable")
-            ids, first = np.unique(b["block"].to_numpy()[order], return_index=True)
-            for k, rows in zip(ids, np.split(order, first[1:])):
-                bits = blocks.setdefault(int(k), np.zeros(BLOCK_BITS, dtype=bool))
-                for i in range(PROBES):
-                    bits[((x[rows] + np.uint64(i) * y[rows]) % np.uint64(BLOCK_BITS)).astype(np.int64)] = True
-        if blocks:
-            yield pd.DataFrame({"block": list(blocks), "bits": [np.packbits(v, bitorder="little").tobytes() for v in blocks.values()]})
-
-    width = min(n_blocks, max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    made = (
-        counts.mapInPandas(place, "block bigint, x bigint, y bigint").repartition(width, "block").mapInPandas(fill, "block bigint, bits binary")
+            for row in b.itertuples():
+                sizes = np.asarray(row.sizes)
+                s = Slice.of(row.words, row.tokens, row.n, sizes)
+                on = np.repeat(np.asarray(row.learn, dtype=np.float64), sizes)
+                found: dict[int, dict] = {}
+                for kind, hashes, at in zip(("word", "pair"), s.hashes(), (s.token, s.pair_of)):
+                    counts = np.bincount(at, weights=on, minlength=len(hashes)).astype(np.int64)
+                    order, shard, keys = _by_shard(hashes, shards)
+                    counts = counts[order]
+                    ids, first = np.unique(shard, return_index=True)
+                    for k, x, y in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(shard)]):
+                        found.setdefault(k, {}).update({f"n_{kind}": y - x, f"{kind}s": _planes(keys[x:y]), f"{kind}_counts": _planes(counts[x:y])})
+                out = pd.DataFrame(
+                    [{"n_word": 0, "words": b"", "word_counts": b"", "n_pair": 0, "pairs": b"", "pair_counts": b""} | x | {"shard": k, "slice": row.slice} for k, x in found.items()]
+                )
+                yield out[["shard", "slice", "n_word", "words", "word_counts", "n_pair", "pairs", "pair_counts"]]
+
+    return slices.select("slice", "n", "sizes", "learn", "words", "tokens").mapInPandas(
+        run, "shard bigint, slice bigint, n_word int, words binary, word_counts binary, n_pair int, pairs binary, pair_counts binary"
     )
-    size = BLOCK_BITS // 8
-    bits = np.zeros(n_blocks * size, dtype=np.uint8)
-    for r in made.toLocalIterator():
-        bits[r[0] * size : (r[0] + 1) * size] = np.frombuffer(r[1], dtype=np.uint8)
-    return Filter(bits, n_blocks)
-
 
-@dataclass
-class Model:
-    """``exact``: sorted hashes and counts of the most frequent words; ``vocabulary``: sorted hashes of those with a
-    class of their own; ``n``, ``v``: tokens and distinct tokens in training; ``rest``, ``rest_v``: of other words."""
-
-    exact: tuple[np.ndarray, np.ndarray]
-    vocabulary: np.ndarray
-    filter: Filter
-    n: int
-    v: int
-    rest: int
-    rest_v: int
-    prior: float
-
-    def classes(self, toks: np.ndarray) -> np.ndarray:
-        return np.where(_in(self.vocabulary, toks)[1], toks, np.uint64(0))
-
-    def score(self, docs: list[np.ndarray]) -> list[float]:
-        """log10 probability of each token array; every distinct n-gram of the slice is probed once."""
-        if not self.n:
-            return [0.0] * len(docs)
-        flat = np.concatenate(docs)
-        cls = self.classes(flat)
-        before = np.empty_like(cls)
-        before[1:] = cls[:-1]
-        starts = np.cumsum([0, *map(len, docs)])[:-1]
-        before[starts] = END
-        words, row = np.unique(flat, return_inverse=True)
-        count = expected_count(self.filter.level(words))
-        own = count[row]
-        rare = cls == 0
-        size = np.where(rare, self.rest, own)
-        grams, grow = np.unique(class_bigram(before, cls), return_inverse=True)
-        both = expected_count(self.filter.level(grams))[grow]
-        past = np.empty_like(size, dtype=np.float64)
-        past[1:] = size[:-1]
-        end = expected_count(self.filter.level(np.array([END])))[0]
-        past[starts] = end
-        both = np.minimum(both, np.minimum(past, size))
-        k = len(self.vocabulary)
-        alone = (size + 1) / (self.n + k + 1)
-        p = (both + self.prior * alone) / (past + self.prior)
-        p = np.where(rare, p * (own + 1) / (self.rest + self.rest_v + 1), p)
-        return np.add.reduceat(np.log10(p), starts).tolist()
-
-
-def _in(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
-    i = np.searchsorted(keys, codes)
-    i[i == len(keys)] = 0
-    return i, keys[i] == codes
-
-
-def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = 8192, prior: float = 300.0, most_bits: int = MOST_BITS) -> tuple[Model, DataFrame]:
-    """The model, and the table ``h, c`` of exact word counts."""
-    spark = docs.sparkSession
-    words = cut(_counted(docs, text_col, lambda t: t), "lm-words")
-    sizes = _sizes(words)
-    n, v = words.agg(F.sum("c"), F.count("*")).first()
-    n = n or 0
-    exact = _gathered(words.where(F.col("c") >= _at_level(_least_for(sizes, MOST_EXACT))))
-    top = np.lexsort((exact[0], -exact[1]))[:vocabulary]
-    vocab = np.sort(exact[0][top])
-    in_vocab = int(exact[1][top].sum())
-    shared = spark.sparkContext.broadcast(vocab)
-
-    def pairs(t: np.ndarray) -> np.ndarray:
-        c = np.where(_in(shared.value, t)[1], t, np.uint64(0))
-        return class_bigram(np.append(END, c[:-1]), c)
-
-    grams = cut(_counted(docs, text_col, pairs), "lm-pairs")
-    pair_sizes = _sizes(grams)
-    word_items = sum(j * m for j, m in sizes.items())
-    least = 1
-    items = lambda: word_items + sum(j * m for j, m in pair_sizes.items() if j >= least)
-    while items() * BITS_PER_ITEM > most_bits and least <= max(pair_sizes, default=0):
-        least += 1
-    kept = words.unionByName(grams.where(F.col("c") >= _at_level(least)))
-    made = build_filter(spark, kept, min(items(), most_bits // BITS_PER_ITEM))
-    return Model(exact, vocab, made, int(n), int(v), int(n) - in_vocab, int(v) - len(vocab), prior), words
-
-
-def score(df: DataFrame, model: Model, words: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id_col, n_tokens, n_known, train_tokens, base_score, score``.
-
-    Base scores are exact: frequent words are counted from the broadcast table, the others by a join with ``words``.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def fn(texts, rows):
-        m: Model = shared.value
-        docs = [tokens(t) for t in texts]
-        out = {"n_tokens": list(map(len, docs)), "known": [], "logs": [], "rest": [], "times": [], "score": m.score(docs)}
-        for t in docs:
-            i, hit = _in(m.exact[0], t)
-            c = m.exact[1][i[hit]] if len(m.exact[1]) else np.zeros(0)
-            out["known"].append(int(hit.sum()))
-            out["logs"].append(float(np.log10(c + 1.0).sum()))
-            h, k = np.unique(t[~hit], return_counts=True)
-            out["rest"].append(h.view(np.int64)), out["times"].append(k.astype(np.int32))
-        return out
 
-    src = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("_text"))
-    scored = cut(
-        per_text(src, "_text", fn, "n_tokens bigint, known bigint, logs double, rest array<bigint>, times array<int>, score double", ["_id", "_row"]),
-        "lm-scored",
-    )
-    rest = (
-        scored.select("_id", "_row", F.explode(F.arrays_zip("rest", "times")).alias("x"))
-        .select("_id", "_row", F.col("x.rest").alias("h"), F.col("x.times").alias("k"))
-        .join(words, "h")
-        .groupBy("_id", "_row")
-        .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"))
+def _answered(asked: DataFrame, bits_per_item: int) -> DataFrame:
+    """``shard, slice, n_word, word_levels, word_counts, n_pair, pair_levels, n, v``: what the filter says of the n-grams asked for,
+    and exact counts of words; ``n, v``: tokens and distinct tokens in training, in one row of each shard."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["shard", "slice", "n_word", "n_pair"]].copy()
+        gathered = {}
+        for kind, salt in (("word", 0), ("pair", 1 << 63)):
+            sizes = pdf[f"n_{kind}"].to_numpy()
+            unpack = lambda col: np.concatenate([_from_planes(x, k) for x, k in zip(pdf[col], sizes)])  # noqa: B023, E731
+            at, keys = pd.factorize(unpack(f"{kind}s"))
+            counts = np.bincount(at, weights=unpack(f"{kind}_counts").astype(np.float64), minlength=len(keys)).astype(np.int64)
+            gathered[kind] = (keys ^ np.uint64(salt), counts, at, np.cumsum(sizes)[:-1])
+        keys, counts = (np.concatenate([gathered[k][i] for k in ("word", "pair")]) for i in (0, 1))
+        made = Filter.of(keys[counts > 0], counts[counts > 0], bits_per_item)
+        for kind, (keys, counts, at, ends) in gathered.items():
+            out[f"{kind}_levels"] = [x.tobytes() for x in np.split(made.level(keys).astype(np.uint8)[at], ends)]
+            if kind == "word":
+                out["word_counts"] = [_planes(x) for x in np.split(counts[at], ends)]
+                out["n"], out["v"] = 0, 0
+                out.loc[out.index[0], ["n", "v"]] = int(counts.sum()), int((counts > 0).sum())
+        return out[["shard", "slice", "n_word", "word_levels", "word_counts", "n_pair", "pair_levels", "n", "v"]]
+
+    return asked.groupBy("shard").applyInPandas(
+        run, "shard bigint, slice bigint, n_word int, word_levels binary, word_counts binary, n_pair int, pair_levels binary, n bigint, v bigint"
     )
-    copies = scored.groupBy("_id", "_row").agg(F.count("*").alias("m"))
-    rest = rest.join(copies, rest._id.eqNullSafe(copies._id) & (rest._row == copies._row)).select(rest._id.alias("_i"), rest._row.alias("_r"), (F.col("k") / F.col("m")).cast("bigint").alias("k"), (F.col("more") / F.col("m")).alias("more"))
-    each = float(np.log10(model.n + model.v + 1))
-    return (
-        scored.drop("rest", "times").join(rest, scored._id.eqNullSafe(rest._i) & (scored._row == rest._r), "left")
-        .select(
-            F.col("_id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-            F.lit(model.n).cast("bigint").alias("train_tokens"),
-            (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score",
-        )
+
+
+def score(
+    df: DataFrame, learns: Column, text_col: str = "text", id_col: str = "doc_id", prior: float = 300.0, slice_chars: int = SLICE_CHARS,
+    shard_tokens: int = SHARD_TOKENS, bits_per_item: int = BITS_PER_ITEM,
+) -> DataFrame:
+    """``id_col, n_tokens, n_known, train_tokens, base_score, score`` of every row; the rows where ``learns`` is true
+    are the training texts.  ``slice_chars`` and ``shard_tokens`` bound the memory of a task; results do not depend on
+    them but for false positives of the filter, about 1 % of the n-grams not seen at ten bits an item."""
+    slices = _slices(df, id_col, text_col, learns, slice_chars)
+    total = slices.agg(F.sum("n")).first()[0] or 0
+    shards = min(MOST_SHARDS, max(1, -(-total // shard_tokens)))
+    answers = cut(_answered(_asked(slices, shards), bits_per_item), "lm-answers")
+    n, v = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v")).first())
+
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        frames = []
+        right = right.sort_values("shard")
+        for row in left.itertuples():  # one
+            sizes = np.asarray(row.sizes)
+            s = Slice.of(row.words, row.tokens, row.n, sizes)
+            (word_order, _, _), (pair_order, _, _) = (_by_shard(h, shards) for h in s.hashes())
+            word_level, pair_level, count = (np.empty(len(o), dtype=np.int64) for o in (word_order, pair_order, word_order))
+            word_level[word_order] = np.frombuffer(b"".join(right["word_levels"]), dtype=np.uint8)
+            pair_level[pair_order] = np.frombuffer(b"".join(right["pair_levels"]), dtype=np.uint8)
+            count[word_order] = np.concatenate([_from_planes(x, k) for x, k in zip(right["word_counts"], right["n_word"])]).astype(np.int64)
+            size = expected_count(word_level)
+            alone = (size + 1) / (n + v + 1)
+            past = size[s.before]
+            both = np.minimum(expected_count(pair_level), np.minimum(past, size[s.after]))
+            p = np.log10((both + prior * alone[s.after]) / (past + prior)) if n else np.zeros(len(past))
+            base = np.log10((count + 1) / (n + v + 1))
+            add = lambda x: np.add.reduceat(x, s.starts)  # noqa: B023, E731
+            frames.append(
+                pd.DataFrame(
+                    {
+                        "id": list(row.ids), "n_tokens": sizes, "n_known": add((count > 0).astype(np.int64)[s.token]), "train_tokens": n,
+                        "base_score": add(base[s.token]), "score": add(p[s.pair_of]),
+                    }
+                )
+            )
+        return pd.concat(frames)
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    scored = (
+        slices.groupBy("slice").cogroup(answers.groupBy("slice"))
+        .applyInPandas(finish, f"id {id_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     )
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, words = fit(docs.where(~held_out("doc_id", 7, 2)))
-    return score(docs, model, words).withColumn("held_out", held_out("doc_id", 7, 2))
+    found = score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return found.withColumn("held_out", held_out("doc_id", 7, 2))

@@ -2,9 +2,8 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
 
-from strataprof.llm import bloom_lm, decontaminate, html_text, pii, toxicity
+from strataprof.llm import decontaminate, html_text, pii, toxicity
 
 
 def luhn(d):
@@ -49,39 +48,6 @@ def test_revealing_terms_and_sanitising(spark):
     assert out[64] == "a copy holds [EMAIL] beside Quimby"  # twenty copies are one observation
 
 
-def test_bloom_scores(spark, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "MOST_EXACT", 20)
-    rng = random.Random(6)
-    vocab = ["w%d" % i for i in range(60)]
-    texts = [" ".join(rng.choice(vocab[: 1 + int(60 * rng.random() ** 3)]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", "Unseen é Words", "w1 " * 3000]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(5, texts[5], 1)], "doc_id long, text string, score int")
-    train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
-    toks = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None] for t in texts]
-    c = Counter(w for i, ws in enumerate(toks) if train(i) for w in ws) + (Counter(toks[5]) if train(5) else Counter())
-    n, v = sum(c.values()), len(c)
-    model, words = bloom_lm.fit(df.where(~bloom_lm.held_out("doc_id", 7, 2)), vocabulary=16)
-    got = bloom_lm.score(df, model, words).collect()
-    assert len(got) == len(texts) + 1
-    for r in got:
-        ws = toks[r["doc_id"]]
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9, abs_tol=1e-9)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert r["score"] < 0
-    none = bloom_lm.fit(df.limit(0))
-    assert bloom_lm.score(df.limit(1), *none).first()["base_score"] == 0
-
-
-def test_filter_never_underestimates(spark):
-    import numpy as np
-    rows = [(i * 7919, 1 + (i * i) % 500) for i in range(2000)]
-    counts = spark.createDataFrame(rows, "h long, c long")
-    f = bloom_lm.build_filter(spark, counts, int(bloom_lm.levels(np.array([c for _, c in rows])).sum()))
-    got = f.level(np.array([h for h, _ in rows], dtype=np.uint64))
-    want = bloom_lm.levels(np.array([c for _, c in rows]))
-    assert (got >= want).all() and (got == want).mean() > 0.97
-    assert (f.level(np.arange(1, 2000, dtype=np.uint64) * np.uint64(7919) + np.uint64(1)) > 0).mean() < 0.03
-
-
 def test_alignment_against_plain_dp():
     import numpy as np
     rng = random.Random(8)
