@@ -83,3 +83,26 @@ def test_vectors_against_brute_force(spark):
     assert sorted(map(tuple, itq.link_vectors(df).collect())) == brute_vectors(rows)
     assert itq.link_vectors(df.limit(0)).count() == 0
     assert itq.link_vectors(df.where("embedding is null")).first()["component_id"] == 400
+
+
+def test_vectors_in_a_narrow_cone(spark):
+    """Links about one direction, where codes about the origin or the mean say little, are found all the same."""
+    rng = random.Random(14)
+    rows = []
+    for label, spread in ((1, 0.035), (2, 0.02), (3, 0.05)):
+        centre = [rng.gauss(0, 1) for _ in range(32)]
+        norm = math.sqrt(sum(x * x for x in centre))
+        rows += [(label * 1000 + i, [x / norm + rng.gauss(0, spread) for x in centre], label) for i in range(220)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, want = sorted(map(tuple, itq.link_vectors(df, block=64).collect())), brute_vectors(rows)
+    assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want) > 0
+    assert sum(g == w for g, w in zip(got, want)) >= 0.97 * len(want)
+
+
+def test_vectors_of_odd_rows(spark):
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1e-200, 1.0]
+    rows = [(1, a, 1), (1, b, 1), (2, b, 1), (2, b, 1), (3, a, 1), (None, a, 1), (4, c, 1), (5, c + [0.0], 1), (6, [1e300 * x for x in a], 1), (7, [], 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, m string")
+    got = sorted(map(tuple, itq.link_vectors(df).collect()), key=str)
+    assert len(got) == len(rows)
+    assert {r[:3] for r in got} == {(1, 2, 1), (1, 1, 1), (2, 1, 1), (3, 2, 1), (6, 2, 1), (None, 0, None), (4, 0, 4), (5, 0, 5), (7, 0, 7)}
