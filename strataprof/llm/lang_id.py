@@ -1,15 +1,18 @@
 """Language identification by interpolated Kneser-Ney character language models, one per language.
 
-Counts of character n-grams are gathered in Spark from a bounded sample of labelled texts.  For each language the
-models give interpolated Kneser-Ney probabilities; they are stored as sorted arrays of n-gram hashes with a column per
-language, looked up by binary search.  The language with the lowest length-normalised cross-entropy wins; a text is
-rejected when its cross-entropy lies beyond what in-sample texts of that language reach, with a margin.
+Counts of character n-grams are gathered in Spark from a bounded sample of labelled texts, read whole.  For each
+language the models give interpolated Kneser-Ney probabilities; they are stored as sorted arrays of n-gram hashes with a
+column per language, looked up by binary search.  The language with the lowest length-normalised cross-entropy wins.  A
+fifth of the sample is kept out of the counts: on it the score is calibrated (how fast odds grow with the gap between
+cross-entropies and with length) and the limit beyond which a text is rejected, from the spread of cross-entropies of
+texts in their own language.  A language with few such texts has the spread of all languages; with no such text at all
+nothing but letterless text is rejected.
 
 Texts are lower-cased; every run of characters that are no letters is one blank.  A null text, an empty one or one
 without a letter is ``und`` with score 0 and rejected.  Very long texts are scored in windows that overlap by the order,
 so memory is bounded.  Ties go to the language that comes first by name.  Rows with a null language or text teach
 nothing; repeated rows count as often as they occur; an empty table, or one without labels, gives ``und`` for all.
-Other columns are ignored.
+Other columns are ignored; of columns to keep, those named as a result are left out.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataprof.llm.common import bounded_fraction, hash_fraction, held_out, mix, per_text, table
+from strataprof.llm.common import bounded_fraction, held_out, mix, per_text, table
 
 UND = "und"
+RESULT = ("lang_pred", "score", "entropy", "rejected")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 WINDOW = 1 << 18
 
@@ -101,7 +105,8 @@ class Model:
     back: list[np.ndarray]
     floor: np.ndarray
     limit: np.ndarray
-    temper: float
+    temper: float = 1.0
+    power: float = 1.0
 
     def positions(self, cps: np.ndarray, first: int = 1) -> np.ndarray:
         """Sum over positions (from ``first`` on) of log probability, per language."""
@@ -146,11 +151,41 @@ class Model:
         if h is None:
             return UND, 0.0, None, True
         best = int(np.argmin(h))
-        gap = (h - h[best]) * min(n, 200) * self.temper
-        score = float(1.0 / np.exp(-gap).sum())
+        score = float(1.0 / np.exp(-(h - h[best]) * self.temper * n**self.power).sum())
         limit = self.limit[best] * (1.0 + 1.0 / np.sqrt(n))  # short texts scatter more
         return self.langs[best], score, float(h[best]), bool(h[best] > limit)
 
+    def calibrate(self, seen: list[tuple[str, int, list[float]]], least: int = 5, slack: float = 0.5) -> None:
+        """Set ``temper``, ``power`` and ``limit`` from (language, length, cross-entropies) of texts kept out."""
+        seen = [x for x in seen if x[0] in self.langs]
+        if not seen:
+            return
+        own = np.array([self.langs.index(x[0]) for x in seen])
+        n = np.array([x[1] for x in seen], dtype=np.float64)
+        h = np.array([x[2] for x in seen])
+        # likelihood of the true languages, with one error in all texts allowed for; of equal ones the mildest
+        best, doubt = -np.inf, 1.0 / (len(seen) + 1)
+        for power in (0.0, 0.5, 1.0):
+            for temper in 2.0 ** np.arange(-8, 9):
+                z = -h * temper * (n**power)[:, None]
+                z -= z.max(axis=1, keepdims=True)
+                p = np.exp(z[np.arange(len(seen)), own]) / np.exp(z).sum(axis=1)
+                fit = float(np.log((1 - doubt) * p + doubt / len(self.langs)).mean())
+                if fit > best + 1e-4:
+                    best, self.temper, self.power = fit, float(temper), power
+        long = n >= 50
+        e = h[np.arange(len(seen)), own]
+        groups = [e[long & (own == k)] for k in range(len(self.langs))]
+        known = [g for g in groups if len(g) >= least]
+        if not known:
+            known = [e[long]] if long.any() else []
+        if not known:
+            return
+        reach = lambda g: max(8 * g.std(), g.max() - g.mean() + 4 * g.std()) + slack
+        mean, spread = max(g.mean() for g in known), max(map(reach, known))
+        for k, g in enumerate(groups):
+            self.limit[k] = g.mean() + reach(g) if len(g) >= least else mean + spread
+
 
 def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> DataFrame:
     """``lang, n, h, hist, c``: how often each n-gram of each order occurs in each language, its hash and the hash of
@@ -186,34 +221,59 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> Da
     )
 
 
+def _gathered(counts: DataFrame) -> pd.DataFrame:
+    """The counts on the driver, packed in the tasks: n-grams of a bounded sample."""
+    columns = ["h", "hist", "suffix", "c"]
+
+    def pack(batches):
+        for b in batches:
+            yield pd.DataFrame(
+                [{"lang": lang, "n": n, **{k: g[k].to_numpy(np.int64).tobytes() for k in columns}} for (lang, n), g in b.groupby(["lang", "n"])],
+                columns=["lang", "n", *columns],
+            )
+
+    frames = [
+        pd.DataFrame({"lang": r[0], "n": r[1], **{k: np.frombuffer(r[2 + i], dtype=np.int64) for i, k in enumerate(columns)}})
+        for r in counts.mapInPandas(pack, "lang string, n int, h binary, hist binary, suffix binary, c binary").collect()
+    ]
+    return pd.concat(frames) if frames else pd.DataFrame({k: [] for k in ["lang", "n", *columns]})
+
+
 def fit(
     df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = 4,
-    most_texts: int = 1500, most_chars: int = 4000, discount: float = 0.75,
+    most_texts: int = 1000, discount: float = 0.75,
 ) -> Model:
-    """Learn from at most about ``most_texts`` texts per language with up to ``most_chars`` characters (longer ones
-    are left out of the sample, not cut); the model's size is bounded by that sample."""
-    known = df.select(id_col, lang_col, text_col).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
-    sizes = [(r[0], r[1]) for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()]
-    fraction = F.lit(1.0)
+    """Learn from at most about ``most_texts`` texts per language, whole whatever their length, a fifth of them for
+    calibration; the model's size is bounded by the n-grams of that sample."""
+    known = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    sizes = [(r[0], r[1]) for r in known.groupBy("lang").count().collect()]
+    fraction, aside = F.lit(1.0), F.lit(0.0)
     for lang, n in sizes:
-        fraction = F.when(F.col(lang_col).cast("string") == lang, bounded_fraction(n, most_texts)).otherwise(fraction)
-    in_sample = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < fraction * (1 << 30)
-    sample = known.where(in_sample)
-    counts = count_grams(sample, lang_col, text_col, order).toPandas()
-    texts = sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(
-        hash_fraction(id_col, F.lit("calibrate"), fraction=0.2)
-    ).toPandas()
-    return build(counts, texts, order, discount)
+        fraction = F.when(F.col("lang") == lang, bounded_fraction(n, most_texts)).otherwise(fraction)
+        aside = F.when(F.col("lang") == lang, 0.2 if n >= 10 else 0.0).otherwise(aside)  # of fewer all are counted
+    at = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    sample = known.where(at < fraction * (1 << 30))
+    kept_out = F.pmod(F.xxhash64("id", "text", F.lit("calibrate")), F.lit(1 << 30)) < aside * (1 << 30)
+    model = build(_gathered(count_grams(sample.where(~kept_out), "lang", "text", order)), order, discount)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def fn(texts, rows):
+        got = [shared.value.entropies(t) for t in texts]
+        return {"n": [g[1] for g in got], "h": [None if g[0] is None else g[0].tolist() for g in got]}
+
+    seen = per_text(sample.where(kept_out), "text", fn, "n bigint, h array<double>", ["lang"]).where("h is not null").collect()
+    model.calibrate([(r["lang"], r["n"], r["h"]) for r in sorted(seen)])
+    return model
 
 
-def build(counts: pd.DataFrame, texts: pd.DataFrame, order: int, discount: float) -> Model:
+def build(counts: pd.DataFrame, order: int, discount: float) -> Model:
     langs = sorted(counts["lang"].unique())
     nl = len(langs)
     column = {g: i for i, g in enumerate(langs)}
     empty = np.zeros(0, dtype=np.uint64)
     grams, logp, ctx, back = [empty], [np.zeros((0, nl))], [empty, empty], [np.zeros((0, nl)), np.zeros((0, nl))]
     if not nl:
-        return Model([], order, grams, logp, ctx, back, np.zeros(0), np.zeros(0), 1.0)
+        return Model([], order, grams, logp, ctx, back, np.zeros(0), np.zeros(0))
     lower: np.ndarray | None = None
     floor = np.zeros(nl)
     for n in range(1, order + 1):
@@ -249,17 +309,7 @@ def build(counts: pd.DataFrame, texts: pd.DataFrame, order: int, discount: float
         grams.append(keys), logp.append(np.log(p))
         ctx.append(hk), back.append(np.log(weight))
         lower = p
-    model = Model(langs, order, grams, logp, ctx, back, np.log(floor), np.full(nl, np.inf), 1.0)
-    seen: dict[str, list[float]] = {g: [] for g in langs}
-    for lang, text in zip(texts["lang"], texts["text"]):
-        e, n = model.entropies(text)
-        if e is not None and n >= 50:
-            seen[lang].append(float(e[column[lang]]))
-    # calibrated on texts of the sample: well beyond the worst of them, for prose is to be kept whatever it quotes
-    for lang, e in seen.items():
-        if len(e) >= 5:
-            model.limit[column[lang]] = max(e) + 4 * float(np.std(e)) + 0.75
-    return model
+    return Model(langs, order, grams, logp, ctx, back, np.log(floor), np.full(nl, np.inf))
 
 
 def classify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -270,7 +320,8 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
         got = [shared.value.classify(t) for t in texts]
         return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "entropy": [g[2] for g in got], "rejected": [g[3] for g in got]}
 
-    return per_text(df, text_col, fn, "lang_pred string, score double, entropy double, rejected boolean", keep or ["doc_id"])
+    kept = [c for c in (["doc_id"] if keep is None else keep) if c not in RESULT]
+    return per_text(df, text_col, fn, "lang_pred string, score double, entropy double, rejected boolean", kept)
 
 
 def learn(docs: DataFrame) -> Model:
