@@ -1,14 +1,22 @@
 """Main text of web pages by site template removal.
 
-Pages become trees of elements by a tolerant scan.  Element subtrees are hashed; Spark counts, for each host, on how
-many of its distinct pages a subtree stands; subtrees that recur on many pages of a host are its template and are
-deleted.  What the markup itself names as no main text (menus, page headers and footers, sidebars, notices, adverts,
-forms, scripts, styles, comments of readers) goes as well.  Inside the article only containers are deleted as template:
-a paragraph that many pages quote is text.
+Pages become trees of elements by a tolerant scan.  Element subtrees are hashed in two ways: by content (tags and texts)
+and by place in the layout (tags, classes and roles from the root down to them).  Spark counts, for each host, on how
+many of its distinct pages a hash stands and how much text stands under it.  What recurs on many pages is the site's
+template:
+
+* content that recurs is deleted, wherever it stands; for prose (paragraphs, headings, items) it takes half of the pages;
+* a container at a place that recurs and holds little of the host's text is deleted;
+* a place that holds most of the host's text is where the articles are: where that is an ``article`` or ``main`` element
+  only what is in it counts, and there a container goes only for its content or if its markup names it as no main text;
+* blocks so named (menus, adverts, notices, comments of readers ...) need to recur on two pages only.
+
+Elements that HTML defines as no main text (nav, footer, aside, form, script, style ...) go everywhere.  A host with few
+pages shows no template: there names alone decide, and ``article`` or ``main`` is taken for the main text.
 
 Null html gives an empty text; a null url or one without a host has no template; repeated pages of a host count once for
-its template and each come back; ties do not arise; an empty table gives an empty result; other columns are ignored.
-Pages of any length are read whole.
+its template and each come back; a share that is just reached counts as reached; an empty table gives an empty result;
+other columns are ignored.  Pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -16,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +33,11 @@ from pyspark.sql import functions as F
 from strataprof.llm.common import cut, per_text, table
 
 MOST_BROADCAST = 200_000  # template subtrees of all hosts, 8 bytes each beside their host
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # Kinds of elements (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody tfoot "
@@ -37,27 +47,54 @@ SHUTS_P = BLOCK - {"dd", "dt", "li", "tr", "tbody", "thead", "tfoot", "caption",
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption tr".split())
 DROPPED = frozenset("nav footer aside form head menu dialog button select option input label fieldset".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Parts of class or id names that tell what a block is for (fixed values).
-DROPPED_NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside ad ads advert adverts advertisement advertising banner "
-    "promo sponsor sponsored cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup "
-    "social share sharing comments comment respond disqus replies footer masthead related recommended widget toolbar pagination "
-    "pager login skip".split()
+#: Class or id names, or one half of them, that tell what a block is for (fixed values).
+NAMES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar ad ads advert adverts advertisement banner sponsor sponsored cookie "
+    "cookies consent newsletter subscribe share sharing social comment comments respond disqus footer masthead pagination pager "
+    "toolbar popup modal".split()
 )
 
+@lru_cache(maxsize=1 << 16)
+def _named(names: tuple[str, ...]) -> tuple[str, ...]:
+    """The names that say a block is no main text: a class or id of at most two parts, one of them in NAMES."""
+    return tuple(sorted({p for n in names if len(parts := [p for p in re.split("[-_]+", n) if p]) <= 2 for p in parts if p in NAMES}))
+
+
+@lru_cache(maxsize=1 << 16)
+def _hash(*said) -> int:
+    return int.from_bytes(hashlib.blake2b("\x00".join(map(str, said)).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+@dataclass(frozen=True)
+class Template:
+    """Hashes of one host: content and places to delete, and places of main text."""
+
+    content: frozenset = frozenset()
+    layout: frozenset = frozenset()
+    heavy: frozenset = frozenset()
+
+
 class Node:
-    __slots__ = ("tag", "names", "role", "parts", "key")
+    __slots__ = ("tag", "names", "role", "parts", "key", "place", "size")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.names, self.role, self.parts, self.key = tag, (), "", [], 0
+        self.tag, self.names, self.role, self.parts, self.key, self.place, self.size = tag, (), "", [], 0, 0, 0
         if "=" in attributes:
+            names = []
             for m in ATTRIBUTE.finditer(attributes):
                 name = m[1].lower()
                 if name in ("class", "id"):
-                    value = m[2] or m[3] or m[4] or ""
-                    self.names += tuple(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+                    value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "")
+                    names += re.sub(r"[0-9]+", "", value).lower().split()
                 elif name == "role":
                     self.role = (m[2] or m[3] or m[4] or "").strip().lower()
+            self.names = tuple(names)
+
+    @property
+    def named(self) -> int:
+        """A hash of what the markup says a block is for, 0 if it says nothing of the kind."""
+        said = _named(self.names) if self.names else ()
+        return _hash("named", self.tag, *said) if said else 0
 
 
 def parse(page: str) -> Node:
@@ -114,32 +151,47 @@ def _shut(stack: list[Node], tags: tuple[str, ...], bounds: tuple[str, ...]) ->
             return
 
 
-def hash_subtrees(root: Node) -> list[int]:
-    """Set ``key`` of every element (signed 64 bits, from tag, texts and children) and list those of block elements."""
-    found, todo, order = [], [root], []
+#: What stands in a row of counts.
+BOX, PROSE_TEXT, PLACE, NAMED = range(4)
+
+
+def hash_subtrees(root: Node) -> dict[tuple[int, int], int]:
+    """Set ``key`` (content), ``place`` and ``size`` (code points) of every element; the hashes of block elements by kind, with
+    the text that stands under each."""
+    found: dict[tuple[int, int], int] = {}
+    todo, order = [(root, 0)], []
     while todo:
-        node = todo.pop()
+        node, above = todo.pop()
+        node.place = _hash(above, node.tag, node.role, *node.names)
         order.append(node)
-        todo.extend(x for x in node.parts if not isinstance(x, str))
+        todo.extend((x, node.place) for x in node.parts if not isinstance(x, str))
     for node in reversed(order):
-        said = [node.tag]
+        said, size = [node.tag], 0
         for x in node.parts:
             if not isinstance(x, str):
                 said.append(str(x.key))
+                size += x.size
             elif said_here := " ".join(x.split()):
                 said.append(said_here)
+                size += len(said_here)
+        node.size = size
         node.key = int.from_bytes(hashlib.blake2b("\x00".join(said).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-        if node.tag in BLOCK and len(said) > 1:
-            found.append(node.key)
+        if node.tag in BLOCK and node.tag not in DROPPED:
+            prose = node.tag in PROSE
+            if len(said) > 1:
+                found[PROSE_TEXT if prose else BOX, node.key] = size
+            if not prose:
+                found[PLACE, node.place] = found.get((PLACE, node.place), 0) + size
+            if named := node.named:
+                found[NAMED, named] = found.get((NAMED, named), 0) + size
     return found
 
 
 def _no_text(node: Node, inside: bool) -> bool:
+    """Whether HTML itself defines the element as no main text."""
     if node.tag in DROPPED or node.role in DROPPED_ROLES:
         return True
-    if node.tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in _elements(node))):
-        return True
-    return bool(node.names) and node.tag not in ("html", "body", "main") and (inside or node.tag != "article") and not DROPPED_NAMES.isdisjoint(node.names)
+    return node.tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in _elements(node)))
 
 
 def _elements(node: Node):
@@ -150,28 +202,28 @@ def _elements(node: Node):
         todo.extend(x for x in reversed(n.parts) if not isinstance(x, str))
 
 
-def _roots(root: Node) -> list[Node]:
-    """The outermost articles; else main elements; else the whole page."""
-    for is_root in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main"):
+def _roots(root: Node, template: Template | None) -> list[Node]:
+    """Where the main text stands: the outermost articles at a place of main text; without a template, articles, or
+    else main elements; else the whole page."""
+    for tags in (("article",), ("main",)) if template is None else (("article", "main"),):
         found, todo = [], [root]
         while todo:
             n = todo.pop()
-            if is_root(n):
+            if (n.tag in tags or n.role in tags) and (template is None or n.place in template.heavy):
                 found.append(n)
-            elif not (n is not root and _no_text(n, False)):
+            elif n is root or not _no_text(n, False):
                 todo.extend(x for x in reversed(n.parts) if not isinstance(x, str))
         if found:  # comments and teasers may be articles too
-            return [n for n in found if DROPPED_NAMES.isdisjoint(n.names)] or found
+            return [n for n in found if not n.named] or found if template is None else found
     return [root]
 
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the main text in page order, one to a line."""
+def main_text(page: str, template: Template | None = None) -> str:
+    """Blocks of the main text in page order, one to a line.  ``template``: None where a host shows none."""
     root = parse(page)
-    if template:
+    if template is not None:
         hash_subtrees(root)
-    roots = _roots(root)
-    whole = roots[0] is root
+    roots = _roots(root, template)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -181,10 +233,22 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
                 blocks.append(said)
             run.clear()
 
+    def gone(x: Node, inside: bool) -> bool:
+        if x.tag not in BLOCK:
+            return False
+        if template is None:
+            return bool(x.named) and x.tag not in ("html", "body", "main")
+        if x.key in template.content or x.names and x.named in template.layout:
+            return True
+        return not inside and x.tag not in PROSE and x.place in template.layout
+
+    def boxes(x: Node) -> bool:
+        return any(c.place in template.heavy for c in x.parts if not isinstance(c, str))
+
     for top in roots:
-        todo: list = [("open", top)]
+        todo: list = [("open", top, top is not root)]
         while todo:
-            step, x = todo.pop()
+            step, x, inside = todo.pop()
             if step == "flush":
                 flush()
                 continue
@@ -192,19 +256,20 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
                 run.append(x)
                 continue
             if x is not top:
-                if _no_text(x, not whole):
+                if _no_text(x, inside or template is None):
                     run.append(" ")
                     continue
-                if x.key in template and x.tag in BLOCK and (whole or x.tag not in PROSE):
+                if gone(x, inside):
                     flush()
                     continue
+            if template is not None and not inside and x.tag not in ("html", "body") and x.place in template.heavy and not boxes(x):
+                inside = True  # the innermost place that holds most of the text
             if x.tag == "br" or x.tag in ("td", "th"):
                 run.append(" ")
-            block = x.tag in BLOCK
-            if block:
+            if x.tag in BLOCK:
                 flush()
-                todo.append(("flush", x))
-            todo.extend(("open", c) for c in reversed(x.parts))
+                todo.append(("flush", x, inside))
+            todo.extend(("open", c, inside) for c in reversed(x.parts))
         flush()
     return "\n".join(blocks)
 
@@ -214,42 +279,76 @@ def host_of(url: Column) -> Column:
     return F.when(F.length(host) > 0, host)
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 8, share: float = 0.2) -> DataFrame:
-    """``host, keys``: hashes of subtrees on at least ``min_pages`` distinct pages and ``share`` of them.  A host has at
-    most as many as its pages have subtrees on average, over ``share``."""
+def subtree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """``host, kind, key, c, chars``: on how many distinct pages of a host a hash stands, and how much text under it;
+    and ``host, n, total``: its pages and their text."""
 
     def fn(texts, rows):
-        pages = [parse(t) for t in texts]
-        found = [sorted(set(hash_subtrees(p))) for p in pages]
-        return {"page": [p.key for p in pages], "keys": found}
+        trees = [parse(t) for t in texts]
+        found = [hash_subtrees(p) for p in trees]
+        return {
+            "page": [p.key for p in trees], "total": [p.size for p in trees], "kinds": [[k for k, _ in f] for f in found],
+            "keys": [[k for _, k in f] for f in found], "sizes": [list(f.values()) for f in found],
+        }
 
     src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host is not null and html is not null")
-    seen = per_text(src, "html", fn, "page bigint, keys array<bigint>", ["host"]).groupBy("host", "page").agg(F.first("keys").alias("keys"))
-    seen = cut(seen, "page-subtrees")
-    hosts = seen.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = seen.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("c")).where(F.col("c") >= min_pages)
-    return often.join(hosts, "host").where(F.col("c") >= share * F.col("n")).groupBy("host").agg(F.collect_list("key").alias("keys"))
+    seen = per_text(src, "html", fn, "page bigint, total bigint, kinds array<tinyint>, keys array<bigint>, sizes array<bigint>", ["host"])
+    seen = cut(seen.groupBy("host", "page").agg(F.first(F.struct("total", "kinds", "keys", "sizes")).alias("x")).select("host", "x.*"), "page-subtrees")
+    counts = (
+        seen.select("host", F.explode(F.arrays_zip("kinds", "keys", "sizes")).alias("x"))
+        .groupBy("host", F.col("x.kinds").alias("kind"), F.col("x.keys").alias("key"))
+        .agg(F.count("*").alias("c"), F.sum("x.sizes").alias("chars"))
+    )
+    return counts, seen.groupBy("host").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+
+
+def templates(
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 8, share: float = 0.2, prose_share: float = 0.5,
+    light: float = 0.2, heavy: float = 0.5,
+) -> DataFrame:
+    """``host, content, layout, heavy``: hashes to delete and of places of main text, for hosts of at least ``min_pages``
+    distinct pages.  A hash must stand on ``min_pages`` of them and on ``share`` (``prose_share``) of all, so a host has
+    at most as many as its pages have subtrees on average, over ``share``; names are bounded by their list."""
+    counts, hosts = subtree_counts(pages, url_col, html_col)
+    known = hosts.where(F.col("n") >= min_pages)
+    often = (F.col("c") >= min_pages) & (F.col("c") >= share * F.col("n"))
+    role = (
+        F.when(often & ((F.col("kind") == BOX) | (F.col("kind") == PROSE_TEXT) & (F.col("c") >= prose_share * F.col("n"))), "content")
+        .when(often & (F.col("kind") == PLACE) & (F.col("chars") >= heavy * F.col("total")), "heavy")
+        .when(often & (F.col("kind") == PLACE) & (F.col("chars") < light * F.col("total")), "layout")
+        .when((F.col("kind") == NAMED) & (F.col("c") >= 2) & (F.col("chars") < heavy * F.col("total")), "layout")
+    )
+    kept = counts.where("c >= 2").join(known, "host").select("host", "key", role.alias("role")).where("role is not null")
+    sets = [F.collect_list(F.when(F.col("role") == r, F.col("key"))).alias(r) for r in ("content", "layout", "heavy")]
+    return known.select("host").join(kept.groupBy("host").agg(*sets), "host", "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
     """``id_col, url_col, text, n_chars``."""
-    known = cut(templates(pages, url_col, html_col, **options).withColumnRenamed("host", "_host"), "templates")
-    if (known.agg(F.sum(F.size("keys"))).first()[0] or 0) <= MOST_BROADCAST:
+    known = cut(templates(pages, url_col, html_col, **options).select(F.col("host").alias("_host"), F.struct("content", "layout", "heavy").alias("_template")), "templates")
+    sizes = F.sum(sum(F.coalesce(F.size(f"_template.{k}"), F.lit(0)) for k in ("content", "layout", "heavy")))
+    if (known.agg(sizes).first()[0] or 0) <= MOST_BROADCAST:
         known = F.broadcast(known)
     src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_h"))
-    joined = src.join(known, src["_h"] == F.col("_host"), "left").select("_id", "_url", "_html", "keys")
+    joined = src.join(known, src["_h"] == F.col("_host"), "left").select("_id", "_url", "_html", "_host", "_template")
 
     def fn(texts, rows):
-        keys = rows.column(rows.schema.get_field_index("keys"))
-        out, last, template = [], None, frozenset()
+        hosts, given = (rows.column(rows.schema.get_field_index(c)) for c in ("_host", "_template"))
+        out, last, template = [], None, None
         for i, t in enumerate(texts):
-            mine = keys[i].as_py() if keys[i].is_valid else None
-            if mine != last:
-                last, template = mine, frozenset(mine or ())
-            out.append(main_text(t, template) if t else "")
+            if not t:
+                out.append("")
+                continue
+            host = hosts[i].as_py()
+            if host is None:
+                template = None
+            elif host != last:
+                template = Template(**{k: frozenset(v or ()) for k, v in (given[i].as_py() or {}).items()})
+            last = host
+            out.append(main_text(t, template))
         return {"text": out, "n_chars": list(map(len, out))}
 
-    found = per_text(joined, "_html", fn, "text string, n_chars bigint", ["_id", "_url", "keys"])
+    found = per_text(joined, "_html", fn, "text string, n_chars bigint", ["_id", "_url", "_host", "_template"])
     return found.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")
 
 

@@ -3,7 +3,7 @@ import random
 import re
 import zlib
 
-from strataprof.llm import decontaminate, html_text, pii, toxicity
+from strataprof.llm import decontaminate, pii, toxicity
 
 
 def luhn(d):
@@ -131,33 +131,3 @@ def test_toxic_held_out(spark):
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
     assert toxicity.fit(docs, lab.limit(0)).transform(docs).where("score <> 0").count() == 0
-
-
-PAGE = (
-    "<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>menu</ul></nav><div class='ad'>buy</div>"
-    "<article><h1>T &amp; t</h1><p>One&nbsp; two<br>three<p>Four <b>x</b>y<script>var t='</p>'</script><div class='comments'><p>reader</div></article><footer>&copy; f</footer></body></html>"
-)
-
-
-def test_main_text():
-    assert html_text.main_text(PAGE) == "T & t\nOne two three\nFour xy"
-    assert html_text.main_text("<article><p>a<article class='comment'><p>b</article></article><article id=comment-2><p>c</article>") == "a"
-    for bad in ("", "<", "<p", "a < b &am", "</div>x", "<div><p>a</div>b", "<!-- open", "<script>x"):
-        html_text.main_text(bad)
-    assert html_text.main_text("a < b &am") == "a < b &am"
-    deep = "<div>" * 5000 + "x" + "</div>" * 5000
-    root = html_text.parse(deep)
-    html_text.hash_subtrees(root)
-    assert html_text.main_text(deep) == "x"
-
-
-def test_templates(spark):
-    box = "<div>Everything on this site is free of charge</div>"
-    rows = [(i, f"https://a.example/{i}", f"<html><body>{box}<section><p>Text number {i}</section></body></html>") for i in range(20)]
-    rows += [(100 + i, "https://b.example/", rows[0][2]) for i in range(20)] + [(200, None, rows[0][2]), (201, "https://a.example/x", None), (202, "nonsense", "<p>x")]
-    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
-    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
-    assert got[3] == "Text number 3"
-    assert got[100] == got[200] == "Everything on this site is free of charge\nText number 0"  # copies of one page show no template
-    assert got[201] == "" and got[202] == "x" and len(got) == len(rows)
-    assert html_text.extract(df.limit(0)).count() == 0
