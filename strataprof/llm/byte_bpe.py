@@ -2,7 +2,9 @@
 
 Texts become arrays of codepoint classes.  Each class symbol is a transition function over a handful of automaton
 states; composing functions is associative, so the states at all positions come from a scan over blocks, with no
-regular expression.  The boundaries cut the text into byte slices that feed a cached pair merger.
+regular expression.  The boundaries cut the text into byte slices that feed a cached pair merger; the byte offset of each
+slice is retained and gives the offset of each token.  Decoding puts the bytes of each token where its offset says, all
+texts of a slice of rows at once, and can decode a stretch of a text alone.
 
 Null texts count as empty (no tokens); very long texts cost arrays proportional to their length; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored.
@@ -18,6 +20,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,9 +123,15 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], most: int = 1 << 18):
         self.ranks, self.most = ranks, most
-        self.bytes_of = {i: t for t, i in ranks.items()}
-        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.text_of = {i: str(i) for i in ranks.values()}
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        by_id = sorted(ranks.items(), key=lambda x: x[1])
+        n = by_id[-1][1] + 1 if by_id else 0
+        self.sizes, self.first = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        ids = [i for _, i in by_id]
+        self.sizes[ids] = [len(t) for t, _ in by_id]
+        self.first[ids] = np.cumsum(self.sizes[ids]) - self.sizes[ids]
+        self.blob = np.frombuffer(b"".join(t for t, _ in by_id), dtype=np.uint8)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
@@ -169,8 +178,9 @@ class Codec:
                     found[k] = x
         return found
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """For each text its token ids and the byte offset of each piece."""
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of all texts one after another, how many each text has, and the byte offset of each token in its
+        text."""
         joined = "\n".join(texts) + "\n"
         cps = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -182,18 +192,57 @@ class Codec:
             width = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
             at = (np.cumsum(width) - width)[begins]
         closes = np.searchsorted(begins, ends)  # the separator's own piece
-        where = at.tolist()
-        out, k = [], 0
-        for close in closes.tolist():
-            span = where[k : close + 1]
-            ids = list(chain.from_iterable(self([data[a:b] for a, b in zip(span, span[1:])])))
-            first = span[0]
-            out.append((ids, [a - first for a in span[:-1]]))
-            k = close + 1
-        return out
+        where = [*at.tolist(), len(data)]
+        found = self([data[a:b] for a, b in zip(where, where[1:])])
+        for k in closes.tolist():
+            found[k] = ()
+        n_of = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(n_of.sum()))
+        text_of = np.searchsorted(closes, np.arange(len(found)))  # of each piece
+        starts = np.concatenate([[0], at[closes[:-1]] + 1])  # of each text, in bytes
+        done = np.cumsum(n_of)
+        size = self.sizes[ids]
+        before = np.cumsum(size) - size
+        lead = np.zeros(len(found), dtype=np.int64)
+        some = n_of > 0
+        lead[some] = before[(done - n_of)[some]]
+        offsets = np.repeat(at - starts[text_of] - lead, n_of) + before
+        counts = np.diff(done[closes], prepend=0)
+        return ids, counts, offsets
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """For each text its token ids and the byte offset of each token."""
+        if not texts:
+            return []
+        ids, counts, offsets = self.encode_all(texts)
+        cuts = np.cumsum(counts)[:-1]
+        return [(a.tolist(), b.tolist()) for a, b in zip(np.split(ids, cuts), np.split(offsets, cuts))]
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all texts one after another, and where each text ends: every token is put at its offset."""
+        size = self.sizes[ids]
+        last = np.cumsum(counts) - 1
+        lengths = np.where(counts > 0, offsets[last] + size[last], 0) if len(ids) else np.zeros(len(counts), dtype=np.int64)
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(ends - lengths, counts) + offsets
+        out = np.zeros(total, dtype=np.uint8)
+        ramp = np.arange(int(size.sum()))
+        ramp -= np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(place, size) + ramp] = self.blob[np.repeat(self.first[ids], size) + ramp]
+        return out.tobytes(), ends
+
+    def decode(self, ids: list[int], offsets: list[int] | None = None, start: int = 0, end: int | None = None) -> bytes:
+        """The bytes from ``start`` to ``end`` of one text; with offsets, only the tokens that reach into them are
+        decoded."""
+        ids = np.asarray(ids, dtype=np.int64)
+        at = np.cumsum(self.sizes[ids]) - self.sizes[ids] if offsets is None else np.asarray(offsets, dtype=np.int64)
+        if not len(ids) or end is not None and end <= start:
+            return b""
+        x = max(0, int(np.searchsorted(at, start, "right")) - 1)
+        y = len(ids) if end is None else int(np.searchsorted(at, end, "left"))
+        found, _ = self.decode_all(ids[x:y], np.array([y - x]), at[x:y] - at[x])
+        return found[start - int(at[x]) : None if end is None else end - int(at[x])]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -219,7 +268,7 @@ def _codec(shared) -> Codec:
 
 
 def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``ids array<int>`` and ``offsets array<int>`` (first byte of each piece) to the columns in ``keep``."""
+    """Add ``ids array<int>`` and ``offsets array<int>`` (first byte of each token) to the columns in ``keep``."""
     shared = _shared(df.sparkSession, ranks_path)
 
     def fn(texts, rows):
@@ -229,16 +278,16 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: list[st
     return per_text(df, text_col, fn, "ids array<int>, offsets array<int>", keep or ["doc_id"])
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """Add ``decoded binary`` to a frame with token ids: a lookup per id, null where the ids are null."""
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """Add ``decoded binary`` to a frame with token ids and their offsets; null where either is null."""
     shared = _shared(df.sparkSession, ranks_path)
 
     @F.pandas_udf("binary")
-    def back(ids):
+    def back(ids, offsets):
         codec = _codec(shared)
-        return ids.map(lambda x: None if x is None else codec.decode(list(x)))
+        return pd.Series([None if x is None or o is None else codec.decode(x, o) for x, o in zip(ids, offsets)], dtype=object)
 
-    return df.withColumn("decoded", back(F.col(ids_col)))
+    return df.withColumn("decoded", back(F.col(ids_col), F.col(offsets_col)))
 
 
 def round_trip(df: DataFrame, ranks_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -247,12 +296,15 @@ def round_trip(df: DataFrame, ranks_path: str, text_col: str = "text", id_col: s
 
     def fn(texts, rows):
         codec = _codec(shared)
-        n, ids_sha, text_sha = [], [], []
-        for ids, _ in codec.encode(texts):
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(codec.text_of.__getitem__, ids)).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-        return {"n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+        ids, counts, offsets = codec.encode_all(texts)
+        data, ends = codec.decode_all(ids, counts, offsets)
+        said = list(map(codec.text_of.__getitem__, ids.tolist()))
+        at, lo, ids_sha, text_sha = 0, 0, [], []
+        for n, hi in zip(counts.tolist(), ends.tolist()):
+            ids_sha.append(hashlib.sha256(",".join(said[at : at + n]).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(data[lo:hi]).hexdigest())
+            at, lo = at + n, hi
+        return {"n_tokens": counts.tolist(), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
     return per_text(df, text_col, fn, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", [id_col])
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from strataprof.llm import byte_bpe
@@ -24,7 +25,15 @@ def test_encodes_as_the_library_does(codecs):
     for text, (ids, offsets) in zip(texts, mine.encode(texts)):
         assert ids == theirs.encode_ordinary(text)
         assert mine.decode(ids) == text.encode()
-        assert offsets == sorted(set(offsets))
+        assert offsets == sorted(set(offsets)) and len(offsets) == len(ids)
+        data = text.encode()
+        assert mine.decode(ids, offsets) == data and mine.decode(ids, offsets, 2, 7) == data[2:7]
+        assert all(data[o:].startswith(mine.decode([i])) for i, o in zip(ids, offsets))
+    ids, counts, offsets = mine.encode_all(texts)
+    assert mine.decode_all(ids, counts, offsets)[0] == "".join(texts).encode()
+    wrong = offsets.copy()
+    wrong[:-1] = offsets[1:]  # decoding does follow the offsets
+    assert mine.decode_all(ids[:2], np.array([2]), wrong[:2])[0] != mine.decode_all(ids[:2], np.array([2]), offsets[:2])[0]
 
 
 def test_round_trip_frame(spark):
@@ -36,3 +45,5 @@ def test_round_trip_frame(spark):
     enc = byte_bpe.encode(df, byte_bpe.default_ranks())
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in byte_bpe.decode(enc, byte_bpe.default_ranks()).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert byte_bpe.round_trip(df.limit(0), byte_bpe.default_ranks()).count() == 0
+    twice = byte_bpe.round_trip(df.unionByName(df), byte_bpe.default_ranks())
+    assert twice.count() == 10 and twice.distinct().count() == 5
