@@ -3,8 +3,9 @@
 Each distinct shingle set gets a MinHash signature.  Sets are posted under their (coordinate, value) pairs.  Two
 signatures of K coordinates with at least T matches share one of any K - T + 1 coordinates of either, in one global
 order; so each set is posted only under the K - T + 1 rarest of its pairs (prefix merging) and common pairs, which a
-passage in many documents makes, are skipped.  Sets that meet in a posting are compared over all coordinates by two
-bits of each (a bound from above on the matches); the pairs at or over T are confirmed on full shingle sets.
+passage in many documents makes, are skipped.  Pairs that meet in a posting and cannot reach T, by two bits of each
+coordinate (a bound from above), are skipped as well; of the others the collisions are counted over all coordinates.
+Pairs with T collisions or more are confirmed on full shingle sets.
 
 Postings that stay long, those of large groups of near copies, are linked through their smallest member first.  After
 those links are confirmed and components known, only members of different components are compared, in blocks; so the
@@ -134,6 +135,14 @@ def _star_pairs(long: DataFrame, least: int) -> DataFrame:
     )
 
 
+def collisions(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b, matches``: in how many coordinates the signatures of a pair have the same value.  The two bits of a
+    posting only bound it."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    return met.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("matches"))
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     """The low byte of SKETCH minima, a finer estimate for pairs that the signature leaves open."""
     low = np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint64)
@@ -235,7 +244,8 @@ def near_duplicates(
     )
     posted = cut(_prefixes(classes, K - matches + 1), "postings")
     long = posted.where("df > 0")
-    pairs = cut(_short_pairs(posted, matches).unionByName(_star_pairs(long, matches)).distinct(), "pairs")
+    met = cut(_short_pairs(posted, matches).unionByName(_star_pairs(long, matches)).distinct(), "met")
+    pairs = cut(collisions(met, classes).where(F.col("matches") >= matches).select("a", "b"), "pairs")
     links = cut(confirm(pairs, df, id_col, text_col, words, percent), "links")
     ids = classes.select("id")
     twice = rows.where("n > 0").groupBy("id").agg(F.count_distinct("k1", "k2").alias("texts")).where("texts > 1").select(F.col("id").alias("b"))

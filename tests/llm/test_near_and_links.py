@@ -48,6 +48,28 @@ def test_near_duplicates_against_brute_force(spark):
         assert got == brute_near(rows, words)
 
 
+def test_collisions_against_brute_force(spark):
+    rows = list(enumerate(corpus()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minhash.signatures(df, "doc_id", "text", 4).where("n > 0")
+    signature_of = {r["id"]: r["items"] for r in sets.collect()}
+    pairs = [(a, b) for a in signature_of for b in signature_of if a < b]
+    got = minhash.collisions(spark.createDataFrame(pairs, "a long, b long"), sets)
+    assert {(r["a"], r["b"]): r["matches"] for r in got.collect()} == {
+        (a, b): sum(x == y for x, y in zip(signature_of[a], signature_of[b])) for a, b in pairs
+    }
+
+
+def test_near_duplicates_with_shuffled_prefixes_and_many_blocks(spark, monkeypatch):
+    """The ways for tables too large to broadcast, and for postings of several blocks, give the same rows."""
+    rows = list(enumerate(corpus(copies=80))) + [(1000, "long " + "lorem ipsum dolor sit amet " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(minhash, "SHORT", 8)
+    monkeypatch.setattr(minhash._cross_pairs, "__defaults__", (16,))
+    assert sorted(map(tuple, minhash.near_duplicates(df, words=4).collect())) == brute_near(rows, 4)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     schema = "doc_id long, text string"
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "x y z x y"), (2, "x y z x y"), (3, None)], schema)
