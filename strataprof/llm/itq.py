@@ -30,7 +30,7 @@ from strataprof.llm.common import bounded_fraction, components, cut, hash_fracti
 
 BITS = 64
 MOST_TABLES = 40
-LONGEST = 24
+LONGEST = 30
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def plan(x: np.ndarray, label: np.ndarray, n: int, threshold: float, recall: flo
     """The cheapest plan for ``n`` vectors of a label that reaches the recall on unit vectors ``x`` of the sample."""
     pairs = [*_sample_pairs(x, label, threshold), _pairs_at(x, threshold)]
     few = x[np.random.default_rng(3).permutation(len(x))[:2500]]
-    chosen, least = None, float(n)  # what a vector costs if all of its label meet
+    chosen, least = None, 300.0 + n  # what a vector costs if all of its label meet
     for centred in (False, True):
         codes = learn(few, 8, centred)
         coded = [(codes(a), codes(b)) for a, b in pairs]
@@ -142,7 +142,8 @@ def plan(x: np.ndarray, label: np.ndarray, n: int, threshold: float, recall: flo
             for g in np.unique(label):
                 c = np.unique(met[label == g], return_counts=True)[1]
                 share = max(share, float((c / c.sum() * np.maximum(c - 1, 0) / max(1, c.sum() - 1)).sum()))
-            cost = tables * (40 + n * share)  # posting a vector costs as much as some comparisons
+            # posting a vector and opening a bucket cost as much as so many comparisons
+            cost = tables * (300 + 130_000 * min(1.0, 2.0**length / n) + n * share)
             if cost < least:
                 least = cost
                 chosen = Plan(Codes(codes.mean, codes.maps[: -(-tables // (codes.bits // length))]), length, tables)
