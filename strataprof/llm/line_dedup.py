@@ -1,7 +1,9 @@
 """Repeated-line removal with DataFrame functions only.
 
-Lines are exploded, normalised and hashed (two 64-bit hashes); distinct documents are counted per hash; the lines over
-the threshold are joined back by hash and dropped by position, except in the largest document that holds them.
+Lines are exploded, normalised and hashed (two 64-bit hashes) once, into a table of hashes and positions; distinct
+documents are counted per hash; the lines over the threshold are joined back by hash and dropped by position, except in
+the largest document that holds them.  That join is salted by document, so that a line which very many documents hold
+is spread over tasks.
 
 Null and empty texts are one empty line and are never dropped.  A null id belongs to no document: such rows are
 returned whole and count for nothing.  Rows that repeat an id count as one document; each row comes back.  Ties cannot
@@ -13,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataprof.llm.common import lower_ascii, table
+from strataprof.llm.common import cut, lower_ascii, table
 
 BLANKS = " \t\n\x0b\x0c\r"
+SALTS = 16
 
 
 def drop_repeated_lines(
@@ -24,22 +27,24 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """Columns ``id_col``, those in ``keep``, ``kept_text``, ``n_lines`` and ``n_dropped``, one row per input row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = (
+    lines = cut(
         df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line"))
         .where(F.length("_line") >= min_chars)
         .withColumn("_key", lower_ascii(F.btrim("_line", F.lit(BLANKS))))
         .where(F.length("_key") >= min_chars)
-        .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
+        .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")),
+        "lines",
     )
     repeated = (
         lines.groupBy("_h1", "_h2")
         .agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last"))
         .where(F.col("_n") >= min_docs)
-        .select("_h1", "_h2", "_last")
+        .select("_h1", "_h2", "_last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
     dropped = (
-        lines.join(repeated, ["_h1", "_h2"])
+        lines.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+        .join(repeated, ["_h1", "_h2", "_salt"])
         .where("_id <> _last")
         .groupBy("_id", "_row")
         .agg(F.collect_set("_pos").alias("_gone"))
