@@ -30,7 +30,7 @@ WORD = re.compile(r"[^\W_]+")
 N = 2
 LEAST_WORDS = 3
 GAP = 0.5
-BITS = np.int64(21)
+BITS = np.int64(31)  # of a word's number within a block
 
 
 def words_of(text: str) -> list[str]:
@@ -161,8 +161,6 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, most_chars: in
         part = src.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toPandas()
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int64) for t in part["text"]]
-        if len(vocabulary) >= 1 << 21:
-            raise ValueError("a block holds too many words; lower most_chars")
         yield Block([None if pd.isna(x) else x for x in part["name"]], items, vocabulary, *seeds_of(items))
 
 

@@ -18,3 +18,28 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert seen[0] == set(range(20)) | {30, 31}
     assert seen[1] == seen[0] and 30 not in seen[2] and 31 in seen[2] and seen[3] == seen[2] - {31}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[3])
+
+
+def test_odd_documents(spark, tmp_path):
+    """Empty tables, repeated ids and columns beside those of documents."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, _id string"
+    prose = "the river runs down to the sea and the people of the town walk along its banks every day number"
+    rows = [(i, f"{prose} {i}", "en", "s", 0, 0.5, "x") for i in range(12)] + [(3, f"{prose} 3", "en", "s", 0, 0.5, "x"), (None, f"{prose} and the sea", None, None, None, None, None)]
+    for name, kept in (("some", rows), ("none", [])):
+        at = tmp_path / name
+        spark.createDataFrame(kept, schema).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(at))
+        assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert {r["doc_id"] for r in got.collect()} == ({0, None} if kept else set())
+
+
+def test_tables_are_dropped(spark):
+    from strataprof.llm import common
+
+    df = cut(spark.range(3), "some")
+    path = common._written[-1].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(path) and df.count() == 3
+    assert common.drop_tables(spark) >= 1 and not os.path.isdir(path)

@@ -77,6 +77,41 @@ def test_leaks(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_hits_against_aligning_every_pair(spark):
+    """All pairs of document and item by plain alignment of whole texts give the same hits and scores."""
+    import numpy as np
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(30)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(6, 25))) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        body = [rng.choice(words + ["x", "y", "z"]) for _ in range(rng.randint(0, 60))]
+        copy = [w if rng.random() > 0.2 else rng.choice(["x", *words]) for w in items[i % 12].split() if rng.random() > 0.1]
+        at = rng.randint(0, len(body))
+        docs.append(" ".join(body[:at] + (copy if i % 3 else []) + body[at:]))
+    rows = list(enumerate(docs)) + [(7, docs[7]), (None, items[0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(list(enumerate(items)) + [(100, items[3])], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontaminate.contaminated(df.drop("item_id"), bench).collect()), key=str)
+    number = {w: i for i, w in enumerate([*words, "x", "y", "z"])}
+    code = lambda t: np.array([number[w] for w in t.split()], dtype=np.int64)
+    want = []
+    for i, t in rows:
+        for k, item in [*enumerate(items), (100, items[3])]:
+            score = decontaminate.align(code(item), code(t))[0] if t else 0.0
+            if score >= 0.4:
+                want.append((i, k, round(score, 9)))
+    assert got == sorted(want, key=str)
+
+
+def test_a_long_document_with_many_copies(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    df = spark.createDataFrame([(1, "filler text " * 40_000 + (item + " and ") * 50 + "tail " * 1000)], "doc_id long, text string")
+    r = decontaminate.contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert len(r) == 1 and r[0]["score"] == 1.0 and r[0]["first_word"] == 80_000  # of equal scores the first stretch
+
+
 def test_edited_copies_beside_whole_ones(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 7)))
@@ -131,3 +166,13 @@ def test_toxic_held_out(spark):
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
     assert toxicity.fit(docs, lab.limit(0)).transform(docs).where("score <> 0").count() == 0
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs = spark.createDataFrame([(i, f"you are lovely {i}" if i % 2 else f"you are zzidiot {i}", 1) for i in range(200)] + [(900, "you are zzidiot " * 50_000, 1)], "doc_id long, text string, score int")
+    lab = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)] * 2, "doc_id long, toxic int")  # each label twice
+    model = toxicity.fit(docs, lab, trees=3)
+    got = {r["doc_id"]: r["predicted"] for r in model.transform(docs.unionByName(docs.limit(5))).collect()}
+    assert got[900] == 1 and sum(got[i] == 1 - i % 2 for i in range(200)) >= 190
+    assert model.transform(docs.limit(0)).count() == 0
+    assert toxicity.fit(docs.limit(0), lab).transform(docs).where("score <> 0").count() == 0
