@@ -107,6 +107,7 @@ def pareto(df: DataFrame, by: str, key: str) -> DataFrame:
 
 
 def top_and_other(df: DataFrame, key: str, by: str, k: int, other: str = "other") -> DataFrame:
-    w = W.orderBy(F.col(by).desc(), F.col(key))
-    name = F.when(F.row_number().over(w) <= k, F.col(key)).otherwise(other)
-    return df.select(name.alias(key), F.col(by)).groupBy(key).agg(F.sum(by).alias(by))
+    """The first ``k`` keys by a figure, and the sum of all others: the k keys are found first and broadcast."""
+    few = top(df.groupBy(key).agg(F.sum(by).alias("_by")), "_by", key, k).select(F.col(key).alias("_key"))
+    named = df.join(F.broadcast(few), F.col(key) == F.col("_key"), "left")
+    return named.select(F.coalesce("_key", F.lit(other)).alias(key), F.col(by)).groupBy(key).agg(F.sum(by).alias(by))

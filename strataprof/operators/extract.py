@@ -6,16 +6,18 @@ import json
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 ELEMENTS = (
     "model_id string, seq bigint, parent_seq bigint, depth int, tag string, ns string, attrs map<string,string>, text string, "
     "anc_seqs array<bigint>, anc_tags array<string>, anc_types array<string>, error string"
 )
-SHAPES = "model_id string, seq bigint, parent_id string, shape_id string, stencil string, name string, outgoing array<string>, target string, error string"
+SHAPES = "model_id string, seq bigint, parent_id string, shape_id string, stencil string, name string, outgoing array<string>, target string, error string, source string"
 #: Stencils of connecting shapes (fixed values).
 EDGE_STENCILS = ["SequenceFlow", "MessageFlow", "Association_Undirected", "Association_Unidirectional", "Association_Bidirectional", "DataAssociation"]
 #: Folders of an ArchiMate file that hold elements (fixed values).
@@ -31,51 +33,60 @@ def _attribute(name: str) -> str:
     return {"http://www.w3.org/2001/XMLSchema-instance": "xsi:"}.get(ns, "xmi:" if "XMI" in ns else "") + local
 
 
-def xml_rows(model_id: str, text: str) -> list[tuple]:
-    """Elements in document order; a file that is no XML gives one row with an error."""
+def xml_rows(model_id: str, text: str, ancestors: int | None = None) -> list[tuple]:
+    """Elements in document order, with their ancestors from the root on, the first ``ancestors`` of them; a file that
+    is no XML gives one row with an error."""
     try:
         root = ET.fromstring(text)
     except ET.ParseError as e:
         return [(model_id, 0, None, 0, None, None, {}, None, [], [], [], f"{type(e).__name__}: {e}")]
-    rows, todo = [], [(root, None, [], [], [])]
+    rows, todo = [], [(root, None, 0, [], [], [])]
     while todo:
-        el, parent, seqs, tags, types = todo.pop()
+        el, parent, depth, seqs, tags, types = todo.pop()
         ns, tag = _local(el.tag)
         attrs = {_attribute(k): v for k, v in el.attrib.items()}
         seq = len(rows)
-        rows.append((model_id, seq, parent, len(tags), tag, ns, attrs, (el.text or "").strip() or None, seqs, tags, types, None))
-        below = (seq, [*seqs, seq], [*tags, tag], [*types, attrs.get("type") or attrs.get("xsi:type") or ""])
-        todo.extend((c, *below) for c in reversed(list(el)))
+        rows.append((model_id, seq, parent, depth, tag, ns, attrs, (el.text or "").strip() or None, seqs, tags, types, None))
+        below = (seqs, tags, types)
+        if ancestors is None or depth < ancestors:
+            below = ([*seqs, seq], [*tags, tag], [*types, attrs.get("type") or attrs.get("xsi:type") or ""])
+        todo.extend((c, seq, depth + 1, *below) for c in reversed(list(el)))
     return rows
 
 
 def json_rows(model_id: str, text: str) -> list[tuple]:
     """Shapes, parents first; a shape without an id or a stencil, or with an id seen before, goes with what it holds."""
+
+    def row(n: int, parent, ident=None, stencil=None, name=None, outgoing=(), target=None, error=None, source=None) -> tuple:
+        return (model_id, n, parent, ident, stencil, name, list(outgoing), target, error, source)
+
+    def ref(x):
+        return x.get("resourceId") if isinstance(x, dict) else x
+
     try:
         root = json.loads(text)
         if not isinstance(root, dict):
             raise ValueError("no object")
     except ValueError as e:
-        return [(model_id, 0, None, None, None, None, [], None, f"{type(e).__name__}: {e}")]
+        return [row(0, None, error=f"{type(e).__name__}: {e}")]
     rows, seen, todo = [], set(), [(root, None)]
     while todo:
         shape, parent = todo.pop()
         ident, stencil = shape.get("resourceId"), (shape.get("stencil") or {}).get("id")
-        if not ident or not stencil:
-            rows.append((model_id, len(rows), parent, ident, stencil, None, [], None, "MISSING_ATTRIBUTE"))
-            continue
-        if ident in seen:
-            rows.append((model_id, len(rows), parent, ident, stencil, None, [], None, "DUPLICATE_ID"))
+        lacks = "MISSING_ATTRIBUTE" if not ident or not stencil else "DUPLICATE_ID" if ident in seen else None
+        if lacks:
+            rows.append(row(len(rows), parent, ident, stencil, error=lacks))
             continue
         seen.add(ident)
-        target = shape.get("target")
-        outgoing = [o.get("resourceId") for o in shape.get("outgoing") or [] if isinstance(o, dict) and o.get("resourceId")]
-        rows.append((model_id, len(rows), parent, ident, stencil, (shape.get("properties") or {}).get("name"), outgoing, target.get("resourceId") if isinstance(target, dict) else target, None))
+        outgoing = [o["resourceId"] for o in shape.get("outgoing") or [] if isinstance(o, dict) and o.get("resourceId")]
+        rows.append(row(len(rows), parent, ident, stencil, (shape.get("properties") or {}).get("name"), outgoing, ref(shape.get("target")), source=ref(shape.get("source"))))
         todo.extend((c, ident) for c in reversed(shape.get("childShapes") or []) if isinstance(c, dict))
     return rows
 
 
-EXTRACTORS: dict[str, tuple[Callable[[str, str], list[tuple]], str]] = {"xml": (xml_rows, ELEMENTS), "bpmn-json": (json_rows, SHAPES)}
+EXTRACTORS: dict[str, tuple[Callable[[str, str], list[tuple]], str]] = {
+    "xml": (xml_rows, ELEMENTS), "archimate": (lambda m, t: xml_rows(m, t, 2), ELEMENTS), "bpmn-json": (json_rows, SHAPES),
+}
 
 
 def register_extractor(language: str, fn: Callable[[str, str], list[tuple]], schema: str) -> None:
@@ -83,17 +94,30 @@ def register_extractor(language: str, fn: Callable[[str, str], list[tuple]], sch
     EXTRACTORS[language] = (fn, schema)
 
 
-def shred(files: DataFrame, language: str) -> DataFrame:
-    """Rows of every file of ``files(model_id, text)``.  Narrow: a task holds one batch of files."""
+def shred(files: DataFrame, language: str, most_rows: int = 20_000) -> DataFrame:
+    """Rows of every file of ``files(model_id, text)``, in Arrow batches of many files.  Narrow: a task holds the rows
+    of one batch or of one file, if that is larger."""
     fn, schema = EXTRACTORS[language]
-    names = [c.split()[0] for c in schema.split(", ")]
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([list(x.items()) if isinstance(x, dict) else x for x in c] if pa.types.is_map(f.type) else c, type=f.type) for f, c in zip(arrow, columns)], schema=arrow
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for b in batches:
-            for model_id, text in zip(b["model_id"], b["text"]):
-                yield pd.DataFrame(fn(model_id, text or ""), columns=names)
+            for model_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows += fn(model_id, text or "")
+                if len(rows) >= most_rows:
+                    yield packed(rows)
+                    rows = []
+        if rows:
+            yield packed(rows)
 
-    return files.select("model_id", "text").mapInPandas(run, schema)
+    return files.select("model_id", "text").mapInArrow(run, schema)
 
 
 def first_of_id(rows: DataFrame, key: str, order: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -124,10 +148,25 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def relation_type(t: Column) -> Column:
-    """``archimate:CompositionRelationship`` -> ``Composition``."""
+def relation_type(t: Column, renamed: dict[str, str] | None = None) -> Column:
+    """``archimate:CompositionRelationship`` -> ``Composition``; ``renamed``: deprecated types and their successors."""
     t = F.regexp_replace(F.regexp_replace(t, "^archimate:", ""), "Relationship$", "")
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 20))
+    t = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 20))
+    for old, new in (renamed or {}).items():
+        t = F.when(t == old, new).otherwise(t)
+    return t
+
+
+def gate(elements: DataFrame, tags: list[str], namespaces: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Elements of files whose root has one of the tags and a namespace that starts with one of those given; and a
+    PARSE_ERROR for each other file, which is left out whole.  Files that are no XML are left to their own error."""
+    roots = elements.where("depth = 0 and error is null")
+    fits = F.col("tag").isin(tags)
+    if namespaces:
+        fits = fits & F.array_contains(F.transform(F.array(*map(F.lit, namespaces)), lambda n: F.startswith(F.col("ns"), n)), True)
+    bad = roots.where(~F.coalesce(fits, F.lit(False)))
+    said = F.concat(F.lit("CannotParse: root {"), F.coalesce("ns", F.lit("")), F.lit("}"), "tag")
+    return elements.join(bad.select("model_id"), "model_id", "left_anti"), _warn(bad, "PARSE_ERROR", True, said)
 
 
 def payload(attrs: Column, *without: str) -> Column:
@@ -146,11 +185,12 @@ def documentation(elements: DataFrame) -> DataFrame:
     return d.groupBy("model_id", F.col("parent_seq").alias("seq")).agg(F.min_by("text", d["seq"]).alias("documentation"))
 
 
-def archimate(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def archimate(elements: DataFrame, renamed: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``nodes, edges, warnings`` of shredded ArchiMate files.
 
     Elements stand in typed folders at any depth, the top one names the layer; relations are direct children of the
-    first folder of relations, connectors of the first of connectors."""
+    first folder of relations, connectors of the first of connectors.  A file without a folder of relations is warned
+    of."""
     e = elements.where("error is null")
     folders = e.where("tag = 'folder' and depth = 1").groupBy("model_id", F.col("attrs")["type"].alias("ftype")).agg(F.min("seq").alias("fseq"))
     item = e.where("tag = 'element'").select(
@@ -167,29 +207,30 @@ def archimate(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     edge_rows, w3 = require(direct.where("ftype = 'relations'"), "id", "xtype", "source", "target")
     edge_rows, w4 = first_of_id(edge_rows, "id")
-    edges = edge_rows.select("model_id", F.col("id").alias("edge_id"), F.col("seq").alias("pos"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), relation_type(F.col("xtype")).alias("type"), "name")
+    edges = edge_rows.select("model_id", F.col("id").alias("edge_id"), F.col("seq").alias("pos"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), relation_type(F.col("xtype"), renamed).alias("type"), "name")
     warnings = w1.unionByName(w2).unionByName(w3).unionByName(w4).unionByName(unresolved(edges, nodes)).unionByName(
         _warn(elements.where("error is not null"), "PARSE_ERROR", True, F.col("error"))
     )
-    return nodes, edges, warnings
+    lacking = e.where("depth = 0").select("model_id").join(folders.where("ftype = 'relations'"), "model_id", "left_anti")
+    return nodes, edges, warnings.unionByName(_warn(lacking, "OTHER", False, F.lit("no folder of relations")))
 
 
 def bpmn(shapes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``nodes, edges, warnings`` of shredded BPMN files.
 
     A shape is an edge by its stencil or because it has a target.  Its source is the first node that names it as
-    outgoing; its target its own, else the first outgoing reference that is another node.  Nodes inside nodes give
+    outgoing, else the one it states itself; its target its own, else the first outgoing reference that is another node.  Nodes inside nodes give
     ``contains`` edges."""
     ok = shapes.where("error is null")
     is_edge = F.col("stencil").isin(EDGE_STENCILS) | F.col("target").isNotNull()
     nodes = ok.where(~is_edge).select("model_id", F.col("shape_id").alias("node_id"), F.col("seq").alias("pos"), F.col("stencil").alias("type"), "name", "parent_id", "outgoing")
-    flows = ok.where(is_edge).select("model_id", F.col("shape_id").alias("edge_id"), F.col("stencil").alias("type"), "outgoing", "target")
+    flows = ok.where(is_edge).select("model_id", F.col("shape_id").alias("edge_id"), F.col("stencil").alias("type"), "outgoing", "target", F.col("source").alias("stated"))
     named = nodes.select("model_id", "node_id", "pos", F.explode("outgoing").alias("edge_id"))
     source = named.groupBy("model_id", "edge_id").agg(F.min_by("node_id", "pos").alias("source_id"), F.count("*").alias("n"))
     ids = nodes.select("model_id", F.col("node_id").alias("ref"))
     onward = flows.where("target is null").select("model_id", "edge_id", F.posexplode("outgoing").alias("i", "ref")).join(ids, ["model_id", "ref"]).where("ref <> edge_id")
     onward = onward.groupBy("model_id", "edge_id").agg(F.min_by("ref", "i").alias("onward"))
-    joined = flows.join(source, ["model_id", "edge_id"], "left").join(onward, ["model_id", "edge_id"], "left").withColumn("target_id", F.coalesce("target", "onward"))
+    joined = flows.join(source, ["model_id", "edge_id"], "left").join(onward, ["model_id", "edge_id"], "left").withColumn("target_id", F.coalesce("target", "onward")).withColumn("source_id", F.coalesce("source_id", "stated"))
     whole = joined.where("source_id is not null and target_id is not null")
     edges = whole.select("model_id", "edge_id", "source_id", "target_id", "type")
     warnings = (
@@ -209,66 +250,161 @@ def containment(nodes: DataFrame) -> DataFrame:
     ).dropDuplicates(["model_id", "edge_id"])
 
 
-def directed_edges(rows: DataFrame, source: str, target: str) -> DataFrame:
-    """``model_id, edge_id, source_id, target_id`` from rows with ``id`` and lists of references separated by blanks:
-    each source with each target; from the second on, ids get ``__k``."""
-    pairs = rows.select("model_id", "id", F.posexplode(F.split(F.trim(source), r"\s+")).alias("i", "source_id"), F.col(target).alias("_t")).select(
-        "model_id", "id", "i", "source_id", F.posexplode(F.split(F.trim("_t"), r"\s+")).alias("j", "target_id")
+def directed_edges(rows: DataFrame, source: str, target: str, *keep: str) -> DataFrame:
+    """``model_id, edge_id, source_id, target_id`` and the columns to keep, from rows with ``id`` and lists of references
+    separated by blanks: each source with each target; from the second on, ids get ``__k``."""
+    pairs = rows.select("model_id", "id", *keep, F.posexplode(F.split(F.trim(source), r"\s+")).alias("i", "source_id"), F.col(target).alias("_t")).select(
+        "model_id", "id", *keep, "i", "source_id", F.posexplode(F.split(F.trim("_t"), r"\s+")).alias("j", "target_id")
     ).where("source_id <> '' and target_id <> ''")
     k = F.row_number().over(W.partitionBy("model_id", "id").orderBy("i", "j")) - 1
-    return pairs.withColumn("k", k).select("model_id", F.when(F.col("k") == 0, F.col("id")).otherwise(F.concat_ws("__", "id", "k")).alias("edge_id"), "source_id", "target_id")
+    return pairs.withColumn("k", k).select("model_id", F.when(F.col("k") == 0, F.col("id")).otherwise(F.concat_ws("__", "id", "k")).alias("edge_id"), "source_id", "target_id", *keep)
+
+
+#: Concepts that become a node as they are (fixed values).
+UML_SIMPLE = (
+    "ClassifierTemplateParameter RedefinableTemplateSignature Port Activity StateMachine Interaction InstanceSpecification Device Node "
+    "Artifact ExecutionEnvironment OpaqueAction CallBehaviorAction SendSignalAction ActivityParameterNode CentralBufferNode DataStoreNode "
+    "InitialNode ActivityFinalNode FlowFinalNode DecisionNode MergeNode JoinNode ForkNode ActivityPartition MessageOccurrenceSpecification "
+    "ExecutionOccurrenceSpecification BehaviorExecutionSpecification Collaboration State FinalState Pseudostate Region Lifeline "
+    "CombinedFragment InteractionOperand InstanceValue Expression LiteralBoolean LiteralInteger LiteralReal LiteralString "
+    "LiteralUnlimitedNatural PrimitiveType EnumerationLiteral"
+).split()
+#: Concepts that become a node with members, extension points or ends (fixed values).
+UML_CLASSIFIERS = "Package Class Interface Enumeration DataType Component UseCase Actor AssociationClass".split()
+#: Relations: concept, edge type, attributes of the source and of the target, word in an id made up (none: an id is needed) (fixed values).
+UML_RELATIONS = [
+    ("ControlFlow", "ControlFlow", ["source"], ["target"], None), ("ObjectFlow", "ObjectFlow", ["source"], ["target"], None),
+    ("Transition", "Transition", ["source"], ["target"], None), ("Message", "Message", ["sendEvent"], ["receiveEvent"], None),
+    ("InformationFlow", "InformationFlow", ["informationSource"], ["informationTarget"], None), ("Dependency", "Dependency", ["client"], ["supplier"], None),
+    ("Usage", "Usage", ["client"], ["supplier"], None), ("Generalization", "Generalization", ["specific"], ["general"], "generalization"),
+    ("InterfaceRealization", "InterfaceRealization", ["implementingClassifier", "client"], ["contract", "supplier"], "realizes"),
+    ("Include", "includes", ["includingCase"], ["addition"], "includes"), ("Extend", "extends", ["extension"], ["extendedCase"], "extends"),
+]
+UML_ASSOCIATIONS = ["Association", "CommunicationPath"]
+#: Concepts of elements that have no xsi:type, by tag (fixed values).
+UML_TAGS = {
+    "Model": "Model", "generalization": "Generalization", "interfaceRealization": "InterfaceRealization", "include": "Include", "extend": "Extend",
+    "ownedUseCase": "UseCase", "ownedBehavior": "Activity", "doActivity": "StateMachine", "nestedNode": "ExecutionEnvironment", "region": "Region",
+    "transition": "Transition", "message": "Message", "lifeline": "Lifeline", "operand": "InteractionOperand",
+}
+#: Tags of elements that a package contains (fixed values).
+UML_CONTAINED = (
+    "packagedElement ownedUseCase ownedBehavior doActivity nestedNode nestedClassifier ownedNode ownedGroup edge subvertex region "
+    "transition fragment lifeline message operand"
+).split()
+UML_MEMBERS = {"ownedAttribute": "attributes", "ownedOperation": "operations", "ownedLiteral": "literals", "extensionPoint": "extension_points"}
+
+
+def uml_elements(elements: DataFrame) -> DataFrame:
+    """Elements with ``concept, id, name``; what tools have put into extensions is left out."""
+    a = F.col("attrs")
+    e = elements.where("error is null and tag <> 'Extension' and not exists(anc_tags, t -> t = 'Extension')")
+    by_tag = F.create_map(*[F.lit(x) for kv in UML_TAGS.items() for x in kv])
+    concept = F.coalesce(F.regexp_replace(F.coalesce(a["xsi:type"], a["xmi:type"]), "^uml:", ""), by_tag[F.col("tag")])
+    return e.select("*", concept.alias("concept"), a["xmi:id"].alias("id"), a["name"].alias("name"))
+
+
+def uml_members(elements: DataFrame) -> DataFrame:
+    """``model_id, owner_id, kind, pos, member_id, name, type, visibility``: attributes, operations, literals and
+    extension points of classifiers.  Ends of associations are no attributes."""
+    e = uml_elements(elements)
+    kind = F.create_map(*[F.lit(x) for kv in UML_MEMBERS.items() for x in kv])[F.col("tag")]
+    own = e.where(F.col("tag").isin(list(UML_MEMBERS)) & ((F.col("tag") != "ownedAttribute") | F.col("attrs")["association"].isNull()))
+    owners = e.where(F.col("concept").isin(UML_CLASSIFIERS) & F.col("id").isNotNull()).select("model_id", F.col("seq").alias("parent_seq"), F.col("id").alias("owner_id"))
+    a = F.col("attrs")
+    return own.join(owners, ["model_id", "parent_seq"]).select(
+        "model_id", "owner_id", kind.alias("kind"), F.col("seq").alias("pos"), F.col("id").alias("member_id"), "name", a["type"].alias("type"), a["visibility"].alias("visibility")
+    )
 
 
-#: Elements of a UML document: tag to concept where no xsi:type is given (fixed values).
-TAG_CONCEPTS = {"generalization": "Generalization", "interfaceRealization": "InterfaceRealization", "include": "Include", "extend": "Extend", "ownedAttribute": "Property", "ownedOperation": "Operation", "ownedLiteral": "EnumerationLiteral"}
-UML_NODES = ["Class", "Interface", "Enumeration", "DataType", "PrimitiveType", "Package", "Model", "Actor", "UseCase", "Component", "AssociationClass"]
+def _uml_relations(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges, warnings`` of directed relations: lists of references cross, an end is an attribute or a child that
+    refers; a generalization starts at its parent unless it says otherwise."""
+    a = F.col("attrs")
+    ends = sorted({n for r in UML_RELATIONS for side in (r[2], r[3]) for n in side})
+    rel = e.where(F.col("concept").isin([r[0] for r in UML_RELATIONS]))
+    said = e.where(F.col("tag").isin(ends)).select("model_id", F.col("parent_seq").alias("seq"), "tag", F.coalesce(a["xmi:idref"], a["href"]).alias("ref"), F.col("seq").alias("at")).where("ref is not null")
+    child = said.groupBy("model_id", "seq", "tag").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "ref"))), lambda x: x["ref"]), " ").alias("ref"))
+    child = child.groupBy("model_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("tag", "ref"))).alias("refs"))
+    owner = e.where("id is not null").select("model_id", F.col("seq").alias("parent_seq"), F.col("id").alias("owner"))
+    rel = rel.join(child, ["model_id", "seq"], "left").join(owner, ["model_id", "parent_seq"], "left")
+
+    def end(side: int) -> Column:
+        found = F.lit(None).cast("string")
+        for r in UML_RELATIONS:
+            here = F.coalesce(*[x for n in r[side] for x in (a[n], F.col("refs")[n])], *([F.col("owner")] if r[0] == "Generalization" and side == 2 else []))
+            found = F.when(F.col("concept") == r[0], F.nullif(F.trim(here), F.lit(""))).otherwise(found)
+        return found
+
+    kind, word = (F.create_map(*[F.lit(x) for r in UML_RELATIONS for x in (r[0], r[i])])[F.col("concept")] for i in (1, 4))
+    rel = rel.select("model_id", "concept", "id", kind.alias("type"), word.alias("word"), end(2).alias("s"), end(3).alias("t"))
+    lost = (F.col("id").isNull() & F.col("word").isNull()).alias("lost")
+    rel = rel.select("*", lost)
+    warnings = _warn(rel.where("lost"), "MISSING_ATTRIBUTE", True, F.col("concept")).unionByName(
+        _warn(rel.where("not lost and (s is null or t is null)"), "MISSING_EDGE_ENDPOINT", True, F.coalesce("id", "concept"))
+    )
+    whole = rel.where("not lost and s is not null and t is not null").withColumn("id", F.coalesce("id", F.concat("s", F.lit("__"), "word", F.lit("__"), "t")))
+    return directed_edges(whole, "s", "t", "type"), warnings
+
+
+def _uml_associations(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges, warnings``: the first two ends that resolve; a composite end makes a composition from whole to part."""
+    a = F.col("attrs")
+    assoc = e.where(F.col("concept").isin(UML_ASSOCIATIONS)).select("model_id", "seq", "id", "concept", F.nullif(F.trim(a["memberEnd"]), F.lit("")).alias("ends"))
+    ok, no_id = assoc.where("id is not null"), _warn(assoc.where("id is null"), "MISSING_ATTRIBUTE", True, F.col("concept"))
+    end = e.where("id is not null").select("model_id", F.col("id").alias("end"), "parent_seq", "tag", F.col("seq").alias("at"), a["type"].alias("of"), F.coalesce(a["aggregation"] == "composite", F.lit(False)).alias("composite"))
+    listed = ok.select("model_id", "id", F.posexplode(F.split("ends", r"\s+")).alias("i", "end")).where("end is not null")
+    named = listed.join(end.select("model_id", "end", "of", "composite").dropDuplicates(["model_id", "end"]), ["model_id", "end"], "left")
+    unknown = listed.join(end.select("model_id", "end"), ["model_id", "end"], "left_anti")
+    owned = ok.where("ends is null").join(end.where("tag = 'ownedEnd'").select("model_id", F.col("parent_seq").alias("seq"), "at", "of", "composite"), ["model_id", "seq"]).select("model_id", "id", F.col("at").alias("i"), "of", "composite")
+    both = named.select("model_id", "id", F.col("i").cast("bigint").alias("i"), "of", "composite").unionByName(owned).where("of is not null")
+    found = both.groupBy("model_id", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("i", "of", "composite"))), 1, 2).alias("x"))
+    joined = ok.join(found, ["model_id", "id"], "left")
+    x = F.col("x")
+    second = ~x[0]["composite"] & x[1]["composite"]
+    edges = joined.where("size(x) = 2").select(
+        "model_id", F.col("id").alias("edge_id"), F.when(second, x[1]["of"]).otherwise(x[0]["of"]).alias("source_id"), F.when(second, x[0]["of"]).otherwise(x[1]["of"]).alias("target_id"),
+        F.when(F.exists("x", lambda v: v["composite"]), "Composition").otherwise(F.col("concept")).alias("type"),
+    )
+    few = _warn(joined.where("coalesce(size(x), 0) < 2"), "MISSING_EDGE_ENDPOINT", True, F.col("id"))
+    return edges, no_id.unionByName(few).unionByName(_warn(unknown, "DEFERRED_REF_UNRESOLVED", False, F.col("end")))
+
+
+def extension_points(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``model_id, edge_id, location, point``: the named extension point of each extend relation; and warnings for those
+    that name no element."""
+    e = uml_elements(elements)
+    at = e.where("concept = 'Extend'").select("model_id", "id", F.col("attrs")["extensionLocation"].alias("location")).where("location is not null")
+    known = e.where("id is not null").select("model_id", F.col("id").alias("location"), F.col("name").alias("point"))
+    return at.join(known, ["model_id", "location"]).select("model_id", F.col("id").alias("edge_id"), "location", "point"), _warn(
+        at.join(known, ["model_id", "location"], "left_anti"), "DEFERRED_REF_UNRESOLVED", False, F.col("location")
+    )
 
 
 def uml(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``nodes, edges, warnings`` of shredded XMI files: classifiers with nested members, generalizations, realizations,
-    dependencies, associations (composite ends make compositions) and package containment."""
-    e = elements.where("error is null and not exists(anc_tags, t -> t = 'Extension')")
-    mapping = F.create_map(*[F.lit(x) for kv in TAG_CONCEPTS.items() for x in kv])
-    concept = F.coalesce(F.regexp_replace(F.col("attrs")["xsi:type"], "^uml:", ""), F.when(F.col("tag") == "Model", "Model"), F.get(F.array(mapping[F.col("tag")]), F.lit(0)))
-    e = e.select("*", concept.alias("concept"), F.col("attrs")["xmi:id"].alias("id"), F.col("attrs")["name"].alias("name"))
-    ids = e.where("id is not null").select("model_id", "seq", "id", "concept", "name")
-    node_rows, w1 = require(e.where(F.col("concept").isin(UML_NODES)), "id")
+    """``nodes, edges, warnings`` of shredded XMI files: nodes with data and the names of their members, directed
+    relations, associations, and what each package contains.  The model itself is no node."""
+    e = uml_elements(elements)
+    node_rows = e.where(F.col("concept").isin(UML_SIMPLE + UML_CLASSIFIERS) & (F.col("tag") != "ownedLiteral") & ~((F.col("concept") == "PrimitiveType") & F.col("id").isNull() & F.col("attrs")["href"].isNotNull()))
+    node_rows, w1 = require(node_rows, "id")
     node_rows, w2 = first_of_id(node_rows, "id")
-    members = e.where(F.col("concept").isin("Property", "Operation", "EnumerationLiteral") & F.col("attrs")["association"].isNull()).select("model_id", F.col("parent_seq").alias("seq"), "concept", F.struct(F.col("seq").alias("at"), "name").alias("m"))
-    arrays = members.groupBy("model_id", "seq").agg(*[
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("concept") == c, F.col("m")))), lambda m: m["name"]).alias(n)
-        for c, n in (("Property", "attributes"), ("Operation", "operations"), ("EnumerationLiteral", "literals"))
+    names = uml_members(elements).groupBy("model_id", F.col("owner_id").alias("id")).agg(*[
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "name")))), lambda m: m["name"]).alias(k) for k in UML_MEMBERS.values()
     ])
-    nodes = node_rows.join(arrays, ["model_id", "seq"], "left").select("model_id", F.col("id").alias("node_id"), F.col("seq").alias("pos"), F.col("concept").alias("type"), "name", "attributes", "operations", "literals")
-    parent = ids.select("model_id", F.col("seq").alias("parent_seq"), F.col("id").alias("owner"))
-
-    def between(what: str, source: Column, target: Column, kind: str | None = None) -> DataFrame:
-        r = e.where(F.col("concept") == what).join(parent, ["model_id", "parent_seq"], "left")
-        r = r.select("model_id", F.coalesce(source, F.col("owner")).alias("s"), target.alias("t"), "id")
-        r = r.withColumn("id", F.coalesce("id", F.concat("s", F.lit(f"__{(kind or what).lower()}__"), "t"))).where("s is not null and t is not null")
-        return directed_edges(r, "s", "t").withColumn("type", F.lit(kind or what))
-
-    a = F.col("attrs")
-    edges = (
-        between("Generalization", a["specific"], a["general"]).unionByName(between("InterfaceRealization", a["client"], F.coalesce(a["supplier"], a["contract"])))
-        .unionByName(between("Include", a["includingCase"], a["addition"])).unionByName(between("Extend", a["extension"], a["extendedCase"]))
-        .unionByName(between("Dependency", a["client"], a["supplier"])).unionByName(between("Usage", a["client"], a["supplier"]))
-        .unionByName(between("InformationFlow", a["informationSource"], a["informationTarget"]))
+    nodes = node_rows.join(names, ["model_id", "id"], "left").select(
+        "model_id", F.col("id").alias("node_id"), F.col("seq").alias("pos"), F.col("concept").alias("type"), "name", payload(F.col("attrs"), "xmi:id", "name").alias("data"), *UML_MEMBERS.values()
     )
-    ends = e.where("concept = 'Property'").select("model_id", F.col("id").alias("end"), a["type"].alias("of"), F.coalesce(a["aggregation"] == "composite", F.lit(False)).alias("composite"))
-    assoc = e.where("concept = 'Association'").select("model_id", "id", F.posexplode(F.split(F.trim(a["memberEnd"]), r"\s+")).alias("i", "end")).join(ends, ["model_id", "end"])
-    two = assoc.groupBy("model_id", "id").agg(F.sort_array(F.collect_list(F.struct("i", "of", "composite"))).alias("x")).where("size(x) >= 2 and x[0].of is not null and x[1].of is not null")
-    whole_second = ~F.col("x")[0]["composite"] & F.col("x")[1]["composite"]
-    edges = edges.unionByName(two.select(
-        "model_id", F.col("id").alias("edge_id"), F.when(whole_second, F.col("x")[1]["of"]).otherwise(F.col("x")[0]["of"]).alias("source_id"),
-        F.when(whole_second, F.col("x")[0]["of"]).otherwise(F.col("x")[1]["of"]).alias("target_id"), F.when(F.exists("x", lambda v: v["composite"]), "Composition").otherwise("Association").alias("type"),
-    ))
-    packages = e.where(F.col("concept").isin("Package", "Model")).select("model_id", F.col("seq").alias("_p"), F.col("id").alias("package_id"))
-    inner = node_rows.select("model_id", "id", F.explode("anc_seqs").alias("_p")).join(packages, ["model_id", "_p"]).groupBy("model_id", "id").agg(F.max_by("package_id", "_p").alias("package_id"))
-    edges = edges.unionByName(inner.where("package_id is not null").select("model_id", F.concat(F.lit("contains:"), "package_id", F.lit("->"), "id").alias("edge_id"), F.col("package_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("type")))
-    typed = e.where("attrs['xsi:type'] is not null").where(~F.col("concept").isin(*UML_NODES, *TAG_CONCEPTS.values(), "Association", "Dependency", "Usage", "InformationFlow"))
-    warnings = w1.unionByName(w2).unionByName(_warn(typed, "UNKNOWN_NODE_TYPE", True, F.col("concept"))).unionByName(unresolved(edges, nodes))
-    return nodes, edges, warnings
+    relations, w3 = _uml_relations(e)
+    associations, w4 = _uml_associations(e)
+    packages = e.where("concept = 'Package' and id is not null").select("model_id", F.col("seq").alias("_p"), F.col("id").alias("package_id"))
+    inner = e.where(F.col("tag").isin(UML_CONTAINED) & F.col("id").isNotNull() & F.col("concept").isNotNull()).select("model_id", "id", F.explode("anc_seqs").alias("_p")).join(packages, ["model_id", "_p"])
+    inner = inner.groupBy("model_id", "id").agg(F.max_by("package_id", "_p").alias("package_id"))
+    contains = inner.select("model_id", F.concat("package_id", F.lit("__contains__"), "id").alias("edge_id"), F.col("package_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("type"))
+    edges = relations.unionByName(associations).unionByName(contains)
+    known = [*UML_SIMPLE, *UML_CLASSIFIERS, *UML_ASSOCIATIONS, *[r[0] for r in UML_RELATIONS], "Model", "Property", "Operation", "ExtensionPoint"]
+    odd = e.where("tag = 'packagedElement' or attrs['xsi:type'] is not null or attrs['xmi:type'] is not null").where(F.col("concept").isNotNull() & ~F.col("concept").isin(known))
+    warnings = w1.unionByName(w2).unionByName(w3).unionByName(w4).unionByName(_warn(odd, "UNKNOWN_NODE_TYPE", True, F.col("concept")))
+    return nodes, edges, warnings.unionByName(extension_points(elements)[1]).unionByName(unresolved(relations.unionByName(associations), nodes))
 
 
 def external_name(href: Column) -> Column:
@@ -280,8 +416,9 @@ def external_name(href: Column) -> Column:
 def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``nodes, edges, warnings`` of shredded Ecore files.
 
-    Packages, classes, enumerations, data types, features, operations and literals are nodes under their path; types and
-    supertypes resolve by path to nodes of the file; what does not resolve becomes an external node."""
+    Packages, classes, enumerations, data types, attributes, operations, parameters and literals are nodes under their
+    path, references are edges; types and supertypes resolve by path to nodes of the file, which are internal.  What does
+    not resolve becomes an external class or data type, as its use says.  Of edges alike the first stands."""
     e = elements.where("error is null")
     kinds = {"EPackage": "EPackage", "eSubpackages": "EPackage", "eLiterals": "EEnumLiteral", "eOperations": "EOperation", "eParameters": "EParameter"}
     mapping = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
@@ -292,25 +429,28 @@ def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     path = chain.join(names, ["model_id", "a"]).groupBy("model_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), "/").alias("node_id"))
     item = item.join(path, ["model_id", "seq"])
     item, w1 = first_of_id(item, "node_id")
-    nodes = item.select("model_id", "node_id", F.col("seq").alias("pos"), "type", "name", F.lit(False).alias("external"))
+    nodes = item.where("type <> 'EReference'").select("model_id", "node_id", F.col("seq").alias("pos"), "type", "name", F.lit(False).alias("external"))
     parent = item.select("model_id", F.col("seq").alias("parent_seq"), F.col("node_id").alias("p"), F.col("type").alias("ptype"))
     owned = item.join(parent, ["model_id", "parent_seq"])
-    contains = owned.select("model_id", F.col("p").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("Contains").alias("type"))
+    contains = owned.where("type <> 'EReference'").select("model_id", F.col("p").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("Contains").alias("type"), "seq")
     root = item.where("parent_seq is null").select("model_id", F.col("node_id").alias("root"))
 
     def target(ref: Column) -> Column:
         return F.when(ref.startswith("#//"), F.concat_ws("/", "root", F.substring(ref, 4, 1 << 20))).otherwise(F.regexp_replace(ref, r"^ecore:\w+ ", ""))
 
-    supers = owned.where("attrs['eSuperTypes'] is not null").join(root, "model_id").select("model_id", F.col("node_id").alias("source_id"), F.explode(F.split(F.trim(F.col("attrs")["eSuperTypes"]), r"\s+(?!http|#//.*\s)")).alias("ref"), "root")
-    supers = supers.select("model_id", "source_id", target(F.col("ref")).alias("target_id"), F.lit("Generalization").alias("type"))
+    supers = owned.where("attrs['eSuperTypes'] is not null").join(root, "model_id").select("model_id", "seq", F.col("node_id").alias("source_id"), F.explode(F.split(F.trim(F.col("attrs")["eSuperTypes"]), r"\s+(?!http|#//.*\s)")).alias("ref"), "root")
+    supers = supers.select("model_id", "source_id", target(F.col("ref")).alias("target_id"), F.lit("Generalization").alias("type"), "seq")
     typed = owned.where("attrs['eType'] is not null").join(root, "model_id")
     how = F.when(F.col("type") == "EAttribute", "AttributeType").when(F.col("type") != "EReference", "Type").when(F.col("attrs")["containment"] == "true", "Containment").otherwise("Reference")
     source = F.when(F.col("type") == "EReference", F.col("p")).otherwise(F.col("node_id"))
-    types = typed.select("model_id", source.alias("source_id"), target(F.col("attrs")["eType"]).alias("target_id"), how.alias("type"))
-    edges = contains.unionByName(supers).unionByName(types).withColumn("edge_id", F.concat_ws("|", "type", "source_id", "target_id")).dropDuplicates(["model_id", "edge_id"])
-    lost = edges.select("model_id", F.col("target_id").alias("node_id")).distinct().join(nodes.select("model_id", "node_id"), ["model_id", "node_id"], "left_anti")
-    stubs = lost.select("model_id", "node_id", F.lit(None).cast("bigint").alias("pos"), F.lit("EClassifier").alias("type"), F.regexp_extract("node_id", r"([^/#]+)$", 1).alias("name"), F.lit(True).alias("external"))
-    return nodes.unionByName(stubs), edges, w1
+    types = typed.select("model_id", source.alias("source_id"), target(F.col("attrs")["eType"]).alias("target_id"), how.alias("type"), "seq")
+    edges = contains.unionByName(supers).unionByName(types).withColumn("edge_id", F.concat_ws("|", "type", "source_id", "target_id"))
+    edges, w2 = first_of_id(edges, "edge_id")
+    is_class = F.max(F.col("type").isin("Generalization", "Reference", "Containment"))
+    used = edges.groupBy("model_id", F.col("target_id").alias("node_id")).agg(F.when(is_class, "EClass").otherwise("EDataType").alias("type"))
+    lost = used.join(nodes.select("model_id", "node_id"), ["model_id", "node_id"], "left_anti")
+    stubs = lost.select("model_id", "node_id", F.lit(None).cast("bigint").alias("pos"), "type", F.regexp_extract("node_id", r"([^/#]+)$", 1).alias("name"), F.lit(True).alias("external"))
+    return nodes.unionByName(stubs), edges.drop("seq"), w1.unionByName(w2)
 
 
 def resolve_by_name(refs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -347,6 +487,14 @@ def unhandled(elements: DataFrame, allowed: DataFrame) -> DataFrame:
     return _warn(pairs.join(F.broadcast(allowed), ["tag", "name"], "left_anti"), "UNHANDLED_ATTRIBUTE", False, F.concat_ws("@", "tag", "name"))
 
 
+def unhandled_children(elements: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Warnings for elements that ``allowed(tag, child)`` doesn't list under their parent."""
+    e = elements.where("error is null")
+    parent = e.select("model_id", F.col("seq").alias("parent_seq"), F.col("tag").alias("_tag"))
+    pairs = e.select("model_id", "parent_seq", F.col("tag").alias("child")).join(parent, ["model_id", "parent_seq"]).select("model_id", F.col("_tag").alias("tag"), "child")
+    return _warn(pairs.join(F.broadcast(allowed), ["tag", "child"], "left_anti"), "UNHANDLED_CHILD", False, F.concat_ws("/", "tag", "child"))
+
+
 def upsert(rows: DataFrame) -> DataFrame:
     """``model_id, node_id, type, name, data`` from rows with ``pos``: the first type and the first name that is not
     empty stand; data keys missing so far come from later rows."""
@@ -372,6 +520,9 @@ def validate(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
 
 
 def header(elements: DataFrame) -> DataFrame:
-    """``model_id, id, name, version`` of each file's root."""
+    """``model_id, id, name, version, documentation`` of each file's root; its text is that of a child ``documentation`` or
+    ``purpose``."""
     a = F.col("attrs")
-    return elements.where("depth = 0 and error is null").select("model_id", F.coalesce(a["id"], a["xmi:id"]).alias("id"), a["name"].alias("name"), F.coalesce(a["version"], a["xmi:version"]).alias("version"))
+    root = elements.where("depth = 0 and error is null").select("model_id", "seq", F.coalesce(a["id"], a["xmi:id"]).alias("id"), a["name"].alias("name"), F.coalesce(a["version"], a["xmi:version"]).alias("version"))
+    said = elements.where("depth = 1 and tag in ('documentation', 'purpose') and text is not null").groupBy("model_id").agg(F.min_by("text", "seq").alias("documentation"))
+    return root.join(said, "model_id", "left").select("model_id", "id", "name", "version", "documentation")

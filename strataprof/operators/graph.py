@@ -1,20 +1,31 @@
-"""Graph loops over all models at once: components and containment depth.  Vertices are ``(model_id, node_id)``."""
+"""Components and containment depth over all models at once.  Vertices are ``(model_id, node_id)``.
+
+Neither crosses a model.  So models up to a stated size are dealt out whole, many to a task, and solved there; only
+larger ones go through rounds over tables, in which the work of one model is spread over the cluster."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_EDGES = 200_000  # of a model that one task solves
+TASK_EDGES = 400_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Written to the folder that the session names in ``spark.checkpoint.dir`` and read again, so that each round
-    starts from a table and a lost executor costs one round."""
+    starts from a table and a lost executor costs one round.  Only a session on one machine may leave it unset."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='strataprof-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/strataprof/graph-{uuid.uuid4().hex}"
@@ -22,6 +33,47 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _dealt(edges: DataFrame, most_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of small models with a ``task`` number, and those of large models (None if there are none)."""
+    per = cut(edges.groupBy("model_id").agg(F.count("*").alias("n")))
+    total, most = per.agg(F.sum("n"), F.max("n")).first()
+    tasks = max(1, -(-(total or 0) // TASK_EDGES))
+    task = F.pmod(F.xxhash64("model_id"), F.lit(tasks)).alias("task")
+    if (most or 0) <= most_edges:
+        return edges.select("*", task), None
+    large = per.where(F.col("n") > most_edges).select("model_id")
+    return edges.join(large, "model_id", "left_anti").select("*", task), edges.join(large, "model_id", "left_semi")
+
+
+def _numbered(models: pd.Series, *columns: pd.Series) -> tuple[list[np.ndarray], pd.DataFrame]:
+    """Vertices of several columns as numbers in order of model and id, and their names."""
+    keys = pd.concat([pd.DataFrame({"m": models, "v": c}) for c in columns], ignore_index=True)
+    names = keys.drop_duplicates().sort_values(["m", "v"], ignore_index=True)
+    names["at"] = np.arange(len(names))
+    at = keys.merge(names, on=["m", "v"], how="left")["at"].to_numpy()
+    n = len(models)
+    return [at[i * n : (i + 1) * n] for i in range(len(columns))], names
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest vertex of each component of whole models."""
+    (u, v), names = _numbered(pdf["model_id"], pdf["u"], pdf["v"])
+    low = np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, u, low[v])
+        np.minimum.at(new, v, low[u])
+        new = np.minimum(new, new[new])
+        # hook the roots as well, so that rounds go with the logarithm of a path
+        np.minimum.at(new, low[u], new[v])
+        np.minimum.at(new, low[v], new[u])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    return pd.DataFrame({"model_id": names["m"], "node_id": names["v"], "c": names["v"].to_numpy()[low]})
+
+
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes of their model."""
     ids = nodes.select("model_id", "node_id").distinct()
@@ -29,30 +81,35 @@ def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(s, ["model_id", "source_id"], "left_semi").join(t, ["model_id", "target_id"], "left_semi")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``model_id, node_id, component``: the smallest node id of each undirected component, by large-star and
-    small-star rounds, which end after a number that grows with the logarithm of the longest path."""
-    e = valid_edges(nodes, edges).where("source_id <> target_id").select(
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60, most_edges: int = MOST_EDGES, valid: DataFrame | None = None) -> DataFrame:
+    """``model_id, node_id, component``: the smallest node id of each undirected component.  ``valid``: edges of which
+    both ends are known to be nodes."""
+    ok = valid_edges(nodes, edges) if valid is None else valid
+    e = ok.where("source_id <> target_id").select(
         "model_id", F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")
     ).distinct()
-    e = cut(e)
+    small, large = _dealt(cut(e), most_edges)
+    found = small.groupBy("task").applyInPandas(_joined, "model_id string, node_id string, c string")
+    if large is not None:
+        found = found.unionByName(_stars(large, most_rounds))
+    return nodes.select("model_id", "node_id").distinct().join(found, ["model_id", "node_id"], "left").select("model_id", "node_id", F.coalesce("c", "node_id").alias("component"))
+
+
+def _stars(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """Large-star and small-star rounds, which end after a number that grows with the logarithm of the longest path."""
+    e = cut(edges.select("model_id", "u", "v"))
     for _ in range(most_rounds):
         both = e.unionByName(e.select("model_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("model_id", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, ["model_id", "u"]).where("v > u").select("model_id", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("model_id", "u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        small = cut(large.join(low, ["model_id", "u"]).select("model_id", F.explode(pairs).alias("x")).select("model_id", "x.u", "x.v").where("u <> v").distinct())
-        many = small.groupBy("model_id", "u").agg(F.count("*").alias("n")).where("n > 1")
-        centres = small.select("model_id", F.col("v").alias("u")).distinct()
-        open_ = many.limit(1).count() or small.join(centres, ["model_id", "u"], "left_semi").limit(1).count()
-        e = small
-        if not open_:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    found = e.select("model_id", F.col("u").alias("node_id"), F.col("v").alias("c"))
-    return nodes.select("model_id", "node_id").distinct().join(found, ["model_id", "node_id"], "left").select("model_id", "node_id", F.coalesce("c", "node_id").alias("component"))
+        e = cut(large.join(low, ["model_id", "u"]).select("model_id", F.explode(pairs).alias("x")).select("model_id", "x.u", "x.v").where("u <> v").distinct())
+        # done when the edges are stars: no vertex is a leaf of two centres, or a leaf and a centre
+        ends = e.select("model_id", "u", F.lit(1).alias("leaf")).unionByName(e.select("model_id", F.col("v").alias("u"), F.lit(0).alias("leaf")))
+        if not ends.groupBy("model_id", "u").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("c")).where("n > 1 or (n = 1 and c = 0)").limit(1).count():
+            return e.select("model_id", F.col("u").alias("node_id"), F.col("v").alias("c"))
+    raise RuntimeError("components did not settle")
 
 
 def is_containment(language: Column, edge_type: Column, data: Column) -> Column:
@@ -66,10 +123,33 @@ def is_containment(language: Column, edge_type: Column, data: Column) -> Column:
     )
 
 
-def containment_depth(nodes: DataFrame, edges: DataFrame, models: DataFrame) -> DataFrame:
+def _walked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Depths of whole models: ``n`` is the number of nodes of the model, ``free`` tells edges whose source nothing
+    contains; a model without such an edge starts from every node."""
+    (a, b), names = _numbered(pdf["model_id"], pdf["node_id"], pdf["child"])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    first = np.searchsorted(a, np.arange(len(names) + 1))
+    n_of = dict(zip(pdf["model_id"], pdf["n"]))
+    most = names["m"].map(n_of).to_numpy(np.int64)
+    rooted = dict(zip(pdf["model_id"], pdf["rooted"]))
+    inner = np.zeros(len(names), dtype=bool)
+    inner[b] = True
+    front = np.flatnonzero(~inner | ~names["m"].map(rooted).to_numpy(bool))
+    depth, k = np.zeros(len(names), dtype=np.int64), 0
+    while len(front):
+        k += 1
+        times = first[front + 1] - first[front]
+        at = np.repeat(first[front] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        front = np.unique(b[at])
+        front = front[most[front] >= k]
+        depth[front] = k
+    return pd.DataFrame({"model_id": names["m"], "node_id": names["v"], "k": depth})
+
+
+def containment_depth(nodes: DataFrame, edges: DataFrame, models: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """``model_id, node_id, depth, is_root``: longest walk from a root (a node that nothing contains; all nodes where
-    there is none), at most as long as the model has nodes.  Each round keeps the distinct nodes that a walk of k
-    edges reaches."""
+    there is none), at most as long as the model has nodes."""
     e = (
         valid_edges(nodes, edges).join(models.select("model_id", "language"), "model_id")
         .where(is_containment(F.col("language"), F.col("type"), F.col("data")))
@@ -78,28 +158,33 @@ def containment_depth(nodes: DataFrame, edges: DataFrame, models: DataFrame) ->
     e = cut(e)
     ids = nodes.select("model_id", "node_id").distinct()
     free = ids.join(e.select("model_id", F.col("child").alias("node_id")).distinct(), ["model_id", "node_id"], "left_anti")
-    rooted = free.select("model_id").distinct()
+    rooted = cut(free.select("model_id").distinct())
     roots = free.unionByName(ids.join(rooted, "model_id", "left_anti"))
-    frontier = cut(roots)
-    first = frontier
     size = ids.groupBy("model_id").agg(F.count("*").alias("n"))
-    reached, k = [], 0
+    small, large = _dealt(e, most_edges)
+    small = small.join(size, "model_id").join(rooted.withColumn("rooted", F.lit(True)), "model_id", "left").fillna(False, ["rooted"])
+    reached = small.groupBy("task").applyInPandas(_walked, "model_id string, node_id string, k int")
+    if large is not None:
+        reached = reached.unionByName(_rounds(large, roots.join(large.select("model_id").distinct(), "model_id", "left_semi"), size))
+    is_root = roots.withColumn("is_root", F.lit(True))
+    out = ids.join(is_root, ["model_id", "node_id"], "left").join(reached, ["model_id", "node_id"], "left")
+    return out.select("model_id", "node_id", F.coalesce("k", F.lit(0)).alias("depth"), F.coalesce("is_root", F.lit(False)).alias("is_root"))
+
+
+def _rounds(e: DataFrame, roots: DataFrame, size: DataFrame) -> DataFrame:
+    """Each round keeps the distinct nodes that a walk of k edges reaches.  As many rounds as the deepest containment
+    has levels; on a cycle, as the model has nodes."""
+    e, frontier = cut(e.select("model_id", "node_id", "child")), cut(roots)
+    reached, k = [frontier.withColumn("k", F.lit(0))], 0
     while True:
         k += 1
         step = frontier.join(e, ["model_id", "node_id"]).select("model_id", F.col("child").alias("node_id")).distinct().join(size.where(F.col("n") >= k), "model_id", "left_semi")
         frontier = cut(step)
         if not frontier.limit(1).count():
-            break
+            return _deepest(reached)
         reached.append(frontier.withColumn("k", F.lit(k)))
         if len(reached) >= 16:  # fold the levels so far into one table
             reached = [cut(_deepest(reached))]
-    is_root = first.withColumn("is_root", F.lit(True))
-    out = ids.join(is_root, ["model_id", "node_id"], "left")
-    if reached:
-        out = out.join(_deepest(reached), ["model_id", "node_id"], "left")
-    else:
-        out = out.withColumn("k", F.lit(None).cast("int"))
-    return out.select("model_id", "node_id", F.coalesce("k", F.lit(0)).alias("depth"), F.coalesce("is_root", F.lit(False)).alias("is_root"))
 
 
 def _deepest(levels: list[DataFrame]) -> DataFrame:

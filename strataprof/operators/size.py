@@ -44,9 +44,9 @@ def degree(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def connectivity_per_model(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Components; isolated nodes are those without any valid edge, a loop counts as one."""
-    comp = graph.components(nodes, edges).groupBy("model_id", "component").agg(F.count("*").alias("size"))
+    ok = graph.cut(graph.valid_edges(nodes, edges).select("model_id", "source_id", "target_id"))  # read twice
+    comp = graph.components(nodes, edges, valid=ok).groupBy("model_id", "component").agg(F.count("*").alias("size"))
     shape = comp.groupBy("model_id").agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.avg("size").alias("size_mean"), F.sum("size").alias("n"))
-    ok = graph.valid_edges(nodes, edges)
     ends = ok.select("model_id", F.col("source_id").alias("node_id")).unionByName(ok.select("model_id", F.col("target_id").alias("node_id")))
     alone = nodes.select("model_id", "node_id").distinct().join(ends, ["model_id", "node_id"], "left_anti").groupBy("model_id").agg(F.count("*").alias("isolated"))
     out = models.select("model_id").join(shape, "model_id", "left").join(alone, "model_id", "left").fillna(0)

@@ -221,7 +221,7 @@ def _archimate_files(spark, sf):
 
 
 def _archimate(spark, sf):
-    return extract.archimate(graph.cut(extract.shred(_archimate_files(spark, sf), "xml")))  # read by several branches
+    return extract.archimate(graph.cut(extract.shred(_archimate_files(spark, sf), "archimate")))  # read by several branches
 
 
 @query("extract_archimate_nodes", """SELECT model_id, node_id, CASE WHEN node_id[1] = 'o' THEN 'BusinessObject' ELSE 'ApplicationComponent' END AS type, CASE WHEN node_id[1] = 'o' THEN 'business' ELSE 'application' END AS layer
@@ -253,7 +253,8 @@ ORACLE_SQL["extract_archimate_warnings"] = ORACLE_SQL["extract_archimate_warning
 
 
 def _bpmn_files(spark, sf):
-    """A nation's customers as pools that hold tasks (orders); flows run from each order to the customer."""
+    """A nation is a model of many files, one for each customer: a pool that holds tasks (orders); flows run from each
+    order to the customer."""
     n, c, o = b.read(spark, sf, "nation"), b.read(spark, sf, "customer"), b.read(spark, sf, "orders")
     def obj(kind: str, ident, *more):
         return F.struct(ident.alias("resourceId"), F.struct(F.lit(kind).alias("id")).alias("stencil"), *more)
@@ -263,11 +264,12 @@ def _bpmn_files(spark, sf):
     target = F.when(F.col("o_orderkey") % 10 != 0, F.struct(F.concat(F.lit("c"), "o_custkey").alias("resourceId")))
     flows = obj("SequenceFlow", flow, target.alias("target"))
     per = o.groupBy("o_custkey").agg(F.concat(F.array_join(F.collect_list(F.to_json(task)), ","), F.lit(","), F.array_join(F.collect_list(F.to_json(flows)), ",")).alias("inner"))
-    pool = c.join(per, c.c_custkey == per.o_custkey, "left").groupBy("c_nationkey").agg(
-        F.array_join(F.collect_list(F.concat(F.format_string('{"resourceId":"c%d","stencil":{"id":"Pool"},"childShapes":[', "c_custkey"), F.coalesce("inner", F.lit("")), F.lit("]}"))), ",").alias("pools")
+    text = F.concat(
+        F.format_string('{"resourceId":"canvas","stencil":{"id":"BPMNDiagram"},"childShapes":[{"resourceId":"c%d","stencil":{"id":"Pool"},"childShapes":[', "c_custkey"),
+        F.coalesce("inner", F.lit("")), F.lit("]}]}"),
     )
-    text = F.concat(F.format_string('{"resourceId":"canvas","stencil":{"id":"BPMNDiagram"},"childShapes":[', ), "pools", F.lit("]}"))
-    return n.join(pool, n.n_nationkey == pool.c_nationkey).select(F.col("n_name").alias("model_id"), text.alias("text"))
+    pools = c.join(n, c.c_nationkey == n.n_nationkey).join(per, c.c_custkey == per.o_custkey, "left")
+    return pools.select(F.col("n_name").alias("model_id"), text.alias("text"))
 
 
 @query("extract_bpmn_edges", """SELECT n_name AS model_id, 'f' || o_orderkey AS edge_id, 'o' || o_orderkey AS source_id, 'c' || o_custkey AS target_id, 'SequenceFlow' AS type
