@@ -84,6 +84,16 @@ def presence_per_model(elements: DataFrame, models: DataFrame, catalog: DataFram
     )
 
 
+def measures(elements: DataFrame, models: DataFrame, catalog: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Corpus measures and per-model figures.  With an empty catalog the measures are zero and there are no per-model
+    rows."""
+    per_model = presence_per_model(elements, models, catalog).join(frequency_per_model(elements, models, catalog), "model_id", "left")
+    corpus = {"presence": presence(elements, models, catalog), "frequency": frequency(elements, catalog)}
+    if known(catalog).isEmpty():
+        return {k: v.select(*[F.lit(0).cast(f.dataType).alias(f.name) for f in v.schema.fields]).limit(1) for k, v in corpus.items()}, per_model.limit(0)
+    return corpus, per_model
+
+
 def presence(elements: DataFrame, models: DataFrame, catalog: DataFrame) -> DataFrame:
     p = presence_per_model(elements, models, catalog)
     corpus = p.agg(

@@ -5,30 +5,22 @@ larger ones go through rounds over tables, in which the work of one model is spr
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataprof.sources.files import shared_folder
+
 MOST_EDGES = 200_000  # of a model that one task solves
 TASK_EDGES = 400_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the folder that the session names in ``spark.checkpoint.dir`` and read again, so that each round
-    starts from a table and a lost executor costs one round.  Only a session on one machine may leave it unset."""
+    """Written to the folder that all executors share and read again, so that each round starts from a table and a lost
+    executor costs one round."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='strataprof-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/strataprof/graph-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -93,3 +93,11 @@ def assemble(models: DataFrame, elements: DataFrame, warnings: DataFrame) -> Dat
         F.col("loaded").alias("elements_loaded"), "elements_skipped", "warning_count",
         F.coalesce("warnings_by_type", F.create_map().cast("map<string,bigint>")).alias("warnings_by_type"),
     )
+
+
+def parse_totals(candidates: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """``candidates_in, success, warning, failure`` in one row.  A candidate without diagnostics (it was listed, but no
+    longer there) is a failure."""
+    found = candidates.select("model_id").join(diagnostics.select("model_id", "parse_status"), "model_id", "left")
+    status = F.coalesce("parse_status", F.lit("failure"))
+    return found.agg(F.count("*").alias("candidates_in"), *[F.count_if(status == s).alias(s) for s in ("success", "warning", "failure")])

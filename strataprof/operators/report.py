@@ -86,3 +86,48 @@ def long_histograms(df: DataFrame, columns: list[str], bins: int | None = None)
         pairs += [F.lit(c), F.col(c).cast("double")]
     long = df.select(F.explode(F.create_map(*pairs)).alias("measure", "v"))
     return stats.histogram(long, "v", ["measure"], bins)
+
+
+def browse_catalog(known: DataFrame, text: str) -> DataFrame:
+    """Constructs that hold a text, by group, kind and id."""
+    found = known.select("group", "kind", F.col("id").alias("construct"), "description")
+    return search(found, text, "group", "kind", "construct", "description").orderBy("group", "kind", "construct")
+
+
+def as_long(family: str, measure: str, row: DataFrame) -> DataFrame:
+    """A one-row frame of figures as ``family, measure, figure, value``."""
+    cols = [f.name for f in row.schema.fields if f.dataType.typeName() not in ("string", "map", "array", "struct")]
+    long = row.unpivot([], [F.col(f"`{c}`").cast("double").alias(c) for c in cols], "figure", "value")
+    return long.select(F.lit(family).alias("family"), F.lit(measure).alias("measure"), "figure", "value")
+
+
+def roll_up(models: DataFrame, families: dict[str, dict[str, DataFrame] | None]) -> DataFrame:
+    """The number of models and the corpus measures of all families, in long form; a family that is switched off has
+    one row with a null figure and value."""
+    out = as_long("corpus", "models", models.agg(F.count_distinct("model_id").alias("n_models")))
+    for family, measures in families.items():
+        if measures is None:
+            nothing = models.sparkSession.range(1).select(F.lit(family).alias("family"), *[F.lit(None).cast(t).alias(c) for c, t in (("measure", "string"), ("figure", "string"), ("value", "double"))])
+            out = out.unionByName(nothing)
+            continue
+        for name, row in measures.items():
+            out = out.unionByName(as_long(family, name, row))
+    return out
+
+
+def assemble(tables: dict[str, dict[str, DataFrame]]) -> DataFrame:
+    """Report tables of all families as ``family, table, row``: each row of each table as JSON."""
+    out = None
+    for family, named in tables.items():
+        for name, df in named.items():
+            part = df.select(F.lit(family).alias("family"), F.lit(name).alias("table"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cuts(df: DataFrame, by: str, key: str, sizes: dict[str, int]) -> DataFrame:
+    """``cut, key, by``: the first rows by a figure, as many as each view shows.  The largest cut is taken once."""
+    most = stats.top(df.select(key, by), by, key, max(sizes.values()))
+    ranked = most.withColumn("_rank", F.row_number().over(stats.W.orderBy(F.col(by).desc(), F.col(key))))  # a few dozen rows
+    views = F.explode(F.array(*[F.struct(F.lit(k).alias("cut"), F.lit(n).alias("n")) for k, n in sizes.items()])).alias("x")
+    return ranked.select(key, by, "_rank", views).where("_rank <= x.n").select("x.cut", key, by)

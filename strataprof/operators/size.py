@@ -71,3 +71,16 @@ def containment_per_model(models: DataFrame, nodes: DataFrame, edges: DataFrame)
 def containment(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     p = containment_per_model(models, nodes, edges)
     return p.agg(F.sum("roots").alias("roots_total"), F.sum("contained").alias("contained_total"), *[x for c in ("max_depth", "mean_depth", "contained_share") for x in stats.summary(c, c)])
+
+
+def all_measures(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The four corpus measures, one row each."""
+    return {f.__name__: f(models, nodes, edges) for f in (size, degree, connectivity, containment)}
+
+
+def all_per_model(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All per-model figures side by side."""
+    out = models.select("model_id")
+    for f in (size_per_model, degree_per_model, connectivity_per_model, containment_per_model):
+        out = out.join(f(models, nodes, edges), "model_id", "left")
+    return out

@@ -162,6 +162,15 @@ def _entries(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.explode(_q(name)).alias("key", "v")).select("key", v.alias("value")).where("value is not null").groupBy("key").agg(F.sum("value").alias("value"))
 
 
+def corpus_kpi(measures: DataFrame, value: str) -> DataFrame:
+    """``value, n`` of one corpus measure, from its one-row frame; maps and mixed values are refused."""
+    if value not in measures.columns:
+        raise ValueError(f"unknown field {value}")
+    if _kind(measures.schema[value].dataType) not in ("number", "boolean", "string"):
+        raise ValueError(f"{value} is no scalar")
+    return measures.agg(F.first(_q(value)).alias("value"), F.count("*").alias("n"))
+
+
 def run(df: DataFrame, spec: ViewSpec, name_col: str = "model_id") -> DataFrame:
     """The chart's data.  Counts that decide whether a chart makes sense are taken first; they are single aggregates."""
     check(df, spec)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +19,41 @@ CATALOG = "language string, constructs array<struct<id:string,kind:string,match_
 def corpus_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """Every file under ``root``: ``relpath, name, length`` and, if asked, ``content``.
 
-    Without content only the listing is read.  Corrupt files come with null content (``unreadable``)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    Without content only the listing is read.  With it, a file that cannot be read comes with null content
+    (``unreadable``): the files that can be are found by reading them, and only their paths move."""
+    def load(corrupt: bool) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(corrupt).lower()).load(root)
+
+    df = load(content)
     rel = F.regexp_replace("path", r"^.*?\Q" + root.split("://")[-1].rstrip("/") + r"\E/+", "")
     cols = [rel.alias("relpath"), F.element_at(F.split("path", "/"), -1).alias("name"), "length"]
-    return df.select(*cols, "content") if content else df.select(*cols)
+    if not content:
+        return df.select(*cols)
+    read = df.where("content is not null").select("path")
+    lost = load(False).select("path", "length").join(read, "path", "left_anti")
+    return df.where("content is not null").select(*cols, "content").unionByName(lost.select(*cols, F.lit(None).cast("binary").alias("content")))
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.  Where that is unset, a session on
+    one machine gets a temporary folder; on a cluster it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='strataprof-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
-def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``models, nodes, edges`` from JSON files of one graph each; broken files are skipped."""
-    g = spark.read.schema(GRAPH).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where("id is not null")
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{scratch(spark)}/strataprof/{name}-{uuid.uuid4().hex}"
+
+
+def read_graphs(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``models, nodes, edges`` from JSON files of one graph each, or of one graph a line; broken ones are skipped."""
+    g = spark.read.schema(GRAPH).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path).where("id is not null")
     nodes = g.select(F.col("id").alias("model_id"), F.posexplode("nodes").alias("pos", "n")).select(
         "model_id", F.col("n.id").alias("node_id"), "pos", "n.type", "n.name", "n.data", "n.attributes", "n.operations", "n.literals"
     )
@@ -43,6 +72,33 @@ def graphs_as_json(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     return joined.select("model_id", text.alias("json")).withColumn("json_bytes", F.octet_length("json"))
 
 
+def write_graphs(models: DataFrame, nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """One graph a line, in a folder made anew; ``model_id, file_size_bytes_ir`` of each, read from what was written."""
+    graphs_as_json(models, nodes, edges).select("json").write.mode("overwrite").text(path)
+    back = models.sparkSession.read.text(path)
+    return back.select(F.get_json_object("value", "$.id").alias("model_id"), F.octet_length("value").alias("file_size_bytes_ir"))
+
+
+DIAGNOSTICS = (
+    "model_id string, relpath string, parse_status string, parse_error_msg string, elements_loaded long, elements_skipped long, parse_time_ms long, "
+    "file_size_bytes_source long, file_size_bytes_ir long, warning_count long, warnings_by_type map<string,long>"
+)
+
+
+def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:
+    """The parse diagnostics of a run, JSON lines in the folder ``ir_info`` in ``path`` or beside it; an error if neither
+    is there."""
+    for at in (f"{path.rstrip('/')}/ir_info", f"{path.rstrip('/').rsplit('/', 1)[0]}/ir_info"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(at)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return spark.read.schema(DIAGNOSTICS).json(at)
+    raise FileNotFoundError(f"no ir_info in {path} or beside it")
+
+
+def write_diagnostics(diagnostics: DataFrame, path: str) -> None:
+    diagnostics.write.mode("overwrite").json(f"{path.rstrip('/')}/ir_info")
+
+
 def read_catalog(spark: SparkSession, path: str, language: str) -> DataFrame:
     """Construct rows of a language; none if it is not known."""
     c = spark.read.schema(CATALOG).option("multiLine", True).json(path)
