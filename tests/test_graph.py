@@ -29,3 +29,41 @@ def test_containment_depth(spark):
     m, n, e = frames(spark, [("d", x) for x in "abce"] + [("y", "p"), ("y", "q")], edges)
     got = {(r["model_id"], r["node_id"]): r["depth"] for r in graph.containment_depth(n, e, m).collect()}
     assert got == {("d", "a"): 0, ("d", "b"): 1, ("d", "c"): 2, ("d", "e"): 0, ("y", "p"): 2, ("y", "q"): 2}
+
+
+def test_small_and_large_models_alike(spark):
+    """Models solved whole in a task and models solved by rounds over tables give the same as plain loops."""
+    import random
+
+    rng = random.Random(11)
+    nodes, edges = [], []
+    for m in range(12):
+        n = rng.randint(1, 25)
+        ids = [f"n{i}" for i in range(n)]
+        nodes += [(f"m{m}", i) for i in ids]
+        edges += [(f"m{m}", rng.choice(ids), rng.choice([*ids, "gone"]), rng.choice(["contains", "other"])) for _ in range(rng.randint(0, 30))]
+    m, n, e = frames(spark, nodes, edges)
+    comp, depth = {}, {}
+    for model in {x for x, _ in nodes}:
+        mine = sorted(v for x, v in nodes if x == model)
+        ok = [(a, b, k) for x, a, b, k in edges if x == model and b in mine]
+        low = {v: v for v in mine}
+        for _ in mine:
+            for a, b, _ in ok:
+                low[a] = low[b] = min(low[a], low[b])
+        comp |= {(model, v): low[v] for v in mine}
+        inside = {(a, b) for a, b, k in ok if k == "contains"}
+        front = {v for v in mine if v not in {b for _, b in inside}} or set(mine)
+        depth |= {(model, v): 0 for v in mine}
+        for k in range(1, len(mine) + 1):
+            front = {b for a, b in inside if a in front}
+            depth |= {(model, v): k for v in front}
+    for most in (graph.MOST_EDGES, 10, 0):
+        assert {(r["model_id"], r["node_id"]): r["component"] for r in graph.components(n, e, most_edges=most).collect()} == comp
+        assert {(r["model_id"], r["node_id"]): r["depth"] for r in graph.containment_depth(n, e, m, most_edges=most).collect()} == depth
+
+
+def test_no_edges_and_no_nodes(spark):
+    m, n, e = frames(spark, [("m", "a")], [("m", "a", "zz", "contains")])
+    assert graph.components(n, e).first()["component"] == "a" and graph.containment_depth(n, e, m).first()["depth"] == 0
+    assert graph.components(n.limit(0), e.limit(0)).count() == 0

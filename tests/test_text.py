@@ -15,21 +15,27 @@ def column(spark, values, fn, kind="string"):
 
 
 def test_styles(spark):
-    got = column(spark, ["UPPER_CASE", "CPU_Usage", "A_B", "  camelCase  ", "Pascal", "snake_case", "kebab-case", "plain words", "ÉLÈVE", None, " "], text.case_style)
+    words = ["MAX_RATE", "GPU_Load", "Q_Z", "  fooBar  ", "Ledger", "net_price", "two-part", "a few words", "ÉTÉ", None, " "]
+    got = column(spark, words, text.case_style)
     assert got == ["UPPER_CASE", "mixed", "UPPER_CASE", "camelCase", "PascalCase", "snake_case", "kebab-case", "lowercase", "UPPERCASE", "empty", "empty"]
 
 
 def test_tokens(spark):
     tokens = text.tokenizer(text.TokenizerConfig(lowercase=True))
-    got = column(spark, ["camelCase", "XMLHttpRequest", "myHTTPServer", "approveOrder2", "task5Review", "v2HTTPServer", "---", None, "Élève ﬁn"], tokens)
-    assert got == [["camel", "case"], ["xml", "http", "request"], ["my", "http", "server"], ["approve", "order", "2"], ["task", "5", "review"], ["v", "2", "http", "server"], [], [], ["élève", "fin"]]
+    want = {
+        "fooBar": ["foo", "bar"], "PDFFileReader": ["pdf", "file", "reader"], "anURLList": ["an", "url", "list"], "payBill3": ["pay", "bill", "3"], "step9Close": ["step", "9", "close"],
+        "r7TCPLink": ["r", "7", "tcp", "link"], "...": [], None: [], "Été ﬂot": ["été", "flot"],
+    }
+    assert column(spark, list(want), tokens) == list(want.values())
+    bare = text.tokenizer(text.TokenizerConfig(lowercase=True, keep_numbers=False))
+    assert column(spark, ["payBill3", "9 to 5"], bare) == [["pay", "bill"], ["to"]]
 
 
 def test_single_and_multi_words(spark):
-    labels = spark.createDataFrame([("m", "1", "node", "T", "alpha"), ("m", "2", "node", "T", "---")], "model_id string, label_id string, kind string, type string, label string")
-    models = spark.createDataFrame([("m",), ("none",)], "model_id string")
+    labels = spark.createDataFrame([("one", i, "node", "T", t) for i, t in (("1", "ledger"), ("2", "net price"), ("3", "!!"), ("4", "invoice"))], "model_id string, label_id string, kind string, type string, label string")
+    models = spark.createDataFrame([("one",), ("none",)], "model_id string")
     got = {r["model_id"]: r for r in lexical.words_per_model(lexical.tokenised(labels), models).collect()}
-    assert (got["m"]["single"], got["m"]["multi"], got["m"]["single_share"]) == (1, 0, 0.5)
+    assert (got["one"]["single"], got["one"]["multi"], got["one"]["single_share"]) == (2, 1, 0.5)
     assert got["none"]["single_share"] == 0
 
 
@@ -39,11 +45,11 @@ def histogram(spark, values, **options):
 
 
 def test_histograms(spark):
-    assert histogram(spark, [14.0, 14.3, 15.0]) == [(0, 2), (1, 1)]
-    assert histogram(spark, [0.0, 0.0, 0.0, 10.0], bins=3) == [(0, 3), (1, 0), (2, 1)]
-    assert len(histogram(spark, [float(i) for i in range(1000)])) == 20
-    assert histogram(spark, [None, float("nan"), float("inf")]) == []
-    assert histogram(spark, [0.00125, 0.00125]) == [(0, 2)]
+    assert histogram(spark, [2.0, 2.1, 2.4, 3.0]) == [(0, 3), (1, 1)]
+    assert histogram(spark, [1.0, 1.0, 7.0, 13.0], bins=4) == [(0, 2), (1, 0), (2, 1), (3, 1)]
+    assert len(histogram(spark, [i / 7 for i in range(700)])) == 20
+    assert histogram(spark, [None, float("nan"), float("-inf")]) == []
+    assert histogram(spark, [5e-4, 5e-4, 5e-4]) == [(0, 3)]
 
 
 def test_percentile_summary(spark):
