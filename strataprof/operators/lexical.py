@@ -125,6 +125,34 @@ def top_tokens(tokens: DataFrame, k: int = 50) -> DataFrame:
     return stats.top(tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "n", "token", k)
 
 
+def profile_per_model(labels: DataFrame, models: DataFrame, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """All per-model figures in one row: the labels are tokenised and grouped by model once; styles and tokens, which
+    are counted first, take a group each."""
+    there = text.present(F.col("label"))
+    made = (tokens or text.tokenizer())(F.col("label"))
+    rows = labels.select("model_id", "label", there.alias("ok"), eligible(F.col("type")).alias("counts"), F.when(there, made).alias("tokens"), F.when(there, F.length("label")).alias("chars"))
+    rows = rows.withColumn("n_tokens", F.when(F.col("ok"), F.size("tokens")))
+    n, size, label = F.count_if("ok"), F.col("n_tokens"), F.col("label")
+
+    def three(c: str) -> list[Column]:
+        q = F.percentile(c, F.array(F.lit(0.5), F.lit(0.95)))
+        return [F.avg(c).alias(f"{c}_mean"), q[0].alias(f"{c}_median"), q[1].alias(f"{c}_p95")]
+
+    by_label = rows.groupBy("model_id").agg(
+        F.count_if("counts").alias("eligible"), F.count_if(F.col("counts") & F.col("ok")).alias("present"), n.alias("label_count"), *three("chars"), *three("n_tokens"),
+        (F.count_if(F.col("ok") & text.is_short(label, size)) / n).alias("short_share"), (F.count_if(F.col("ok") & text.is_long(label, size)) / n).alias("long_share"),
+        F.count_if(size == 1).alias("single"), F.count_if(size > 1).alias("multi"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
+    )
+    styled = rows.where("ok").groupBy("model_id", text.case_style(label).alias("style")).agg(F.count("*").alias("n"))
+    styled = styled.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("model_id"))).groupBy("model_id").agg(stats.entropy(F.col("share")).alias("style_entropy"))
+    words = rows.select("model_id", F.explode("tokens").alias("token")).distinct().groupBy("model_id").agg(F.count("*").alias("vocabulary"))
+    out = models.select("model_id").join(by_label, "model_id", "left").join(styled, "model_id", "left").join(words, "model_id", "left").fillna(0)
+    share = F.when(F.col("eligible") > 0, F.col("present") / F.col("eligible")).otherwise(0.0)
+    return out.withColumn("present_share", share).withColumn("single_share", stats.ratio(F.col("single"), F.col("label_count"))).withColumn(
+        "type_token_ratio", stats.ratio(F.col("vocabulary"), F.col("tokens"))
+    )
+
+
 # language of a model by a naive Bayes over character trigrams of its labels
 
 

@@ -250,15 +250,7 @@ def _(spark, sf):
 
 
 def _profiled(spark, sf):
-    toks, ms, ls = _tokens(spark, sf), b.models(spark, sf), _labels(spark, sf)
-    parts = [
-        lexical.presence_per_model(ls, ms).drop("missing_share"), lexical.length_per_model(toks, ms), lexical.style_entropy_per_model(toks, ms),
-        lexical.words_per_model(toks, ms).drop("labels"), lexical.diversity_per_model(toks, ms),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "model_id")
-    return out
+    return lexical.profile_per_model(_labels(spark, sf), b.models(spark, sf))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
