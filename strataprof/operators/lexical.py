@@ -184,11 +184,16 @@ def language_usage(per_model: DataFrame) -> DataFrame:
     return per_model.groupBy("language").agg(F.count("*").alias("n_models"))
 
 
-def measures(labels: DataFrame, models: DataFrame, enabled: set[str] | None = None, tokens=None) -> dict[str, DataFrame]:
-    """Corpus measures by name; a measure that is off has no plan."""
+def measures(
+    labels: DataFrame, models: DataFrame, enabled: set[str] | None = None, tokens: Callable[[Column], Column] | None = None, profile: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Corpus measures by name; a measure that is off has no plan.  ``language`` needs a language profile."""
     toks = tokenised(labels, tokens)
     plans = {
         "presence": lambda: presence(labels, models), "length": lambda: length(toks, models), "naming": lambda: styles(toks),
         "words": lambda: words(toks, models), "diversity": lambda: diversity(toks),
     }
+    if profile is not None:
+        said = models.select("model_id").join(toks.select("model_id", "label"), "model_id", "left")
+        plans["language"] = lambda: language_usage(detect_language(said, profile, "model_id", "label"))
     return {k: f() for k, f in plans.items() if enabled is None or k in enabled}

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataprof.operators import constructs, lexical, parsing, report, size, views
+from strataprof.operators import constructs, labels, lexical, parsing, report, size, views
 from strataprof.plans import bindings as b
 from strataprof.plans.catalog import _CONN, _LEN, _LEN_COLS, _PRES, _SIZE, _STY, _TOK, _WORDS, ORACLE_SQL, _c, _labels, _tokens, query, r
 from strataprof.plans.more import _wide, hist
@@ -236,3 +236,62 @@ def _(spark, sf):
     d = b.read(spark, sf, "documents")
     by = d.select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("model_id"), "lang", "text")
     return report.language_kpis(lexical.language_usage(lexical.detect_language(by, lexical.language_profile(d))))
+
+
+# --- labels of all kinds, unknown types of both sides, measures switched on and off ---------------------------------
+
+_KINDS = """, ent2 AS (SELECT p_brand AS model_id, 'p' || p_partkey AS id, p_type AS type, p_size, p_name FROM part),
+  all_labels AS (SELECT model_id, id AS label_id, 'node' AS kind, type, CASE WHEN p_size % 3 = 0 THEN 'shown ' || p_size ELSE p_name END AS label FROM ent2
+    UNION ALL SELECT model_id, id || '::operation::0', 'operation', type || '.operation', p_name FROM ent2 WHERE p_size % 2 = 0 UNION ALL SELECT model_id, id || '::operation::1', 'operation', type || '.operation', NULL FROM ent2 WHERE p_size % 2 = 0
+    UNION ALL SELECT model_id, id || '::literal::0', 'literal', type || '.literal', 'L' || p_size FROM ent2 WHERE p_size % 5 = 0
+    UNION ALL SELECT model_id, 'to' || id, 'edge', 'Flow', CASE WHEN p_size % 4 = 0 THEN 'flow ' || p_size END FROM ent2)"""
+
+
+@query("labels_all_kinds", "SELECT model_id, label_id, kind, type, label FROM all_labels", b.LABELS.rstrip() + _KINDS)
+def _(spark, sf):
+    """Nodes named by another attribute, operations, literals and edges."""
+    p = b.read(spark, sf, "part")
+    none, size_ = F.lit(None).cast("string"), F.col("p_size")
+
+    def entry(**said):
+        return F.struct(*[said.get(k, none).alias(k) for k in ("name", "label", "displayName", "title")])
+
+    def some(test, *entries):
+        return F.when(test, F.array(*entries)).otherwise(F.array()).cast(f"array<{b.ENTRY}>")
+
+    nodes = p.select(
+        F.col("p_brand").alias("model_id"), F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.col("p_type").alias("type"), F.when(size_ % 3 != 0, F.col("p_name")).alias("name"),
+        F.create_map(F.lit("displayName"), F.concat(F.lit("shown "), size_)).alias("data"),
+        some(size_ % 2 == 0, entry(title=F.col("p_name")), entry()).alias("operations"), some(size_ % 5 == 0, entry(name=F.concat(F.lit("L"), size_))).alias("literals"),
+    )
+    edges = p.select(F.col("p_brand").alias("model_id"), F.concat(F.lit("top"), "p_partkey").alias("edge_id"), F.lit("Flow").alias("type"), F.create_map(F.lit("label"), F.when(size_ % 4 == 0, F.concat(F.lit("flow "), size_))).alias("data"))
+    return labels.iter_labels(nodes, edges)
+
+
+_BOTH = """, two AS (SELECT 'u' || user_id AS model_id, event_type AS type, CASE WHEN event_id % 3 = 0 THEN 'edge' ELSE 'node' END AS side, regexp_extract(props, '([0-9]+)', 1) AS k FROM events),
+  unk2 AS (SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM cat WHERE cat.match_type = two.type AND cat.side = two.side AND (cat.k IS NULL OR cat.k = two.k))),
+  per2 AS (SELECT model_id, type, CASE WHEN count(*) FILTER (side = 'edge') > 0 THEN count(*) FILTER (side = 'edge') ELSE count(*) END AS n FROM unk2 GROUP BY ALL)"""
+
+
+def _two_sided(spark, sf):
+    e = b.elements(spark, sf)
+    return e.withColumn("side", F.when(F.col("element_id").cast("long") % 3 == 0, "edge").otherwise("node"))
+
+
+@query("constructs_unknown_both_sides", "SELECT model_id, type, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY n DESC, type) AS rank FROM per2) AS q WHERE rank <= 2", b.CONSTRUCTS.rstrip() + _BOTH)
+def _(spark, sf):
+    """Types that are unknown as nodes and as edges count by their edges; two of each model."""
+    unknown = constructs.unknown_types(_two_sided(spark, sf), b.catalog(spark))
+    return constructs.top_unknown_per_model(unknown, 2)
+
+
+@query("constructs_unknown_both_sides_total", "SELECT type, CAST(sum(n) AS BIGINT) AS n FROM per2 GROUP BY type ORDER BY n DESC, type LIMIT 25", b.CONSTRUCTS.rstrip() + _BOTH)
+def _(spark, sf):
+    return constructs.top_unknown(constructs.unknown_types(_two_sided(spark, sf), b.catalog(spark)))
+
+
+@query("lexical_switches", long_sql({"lexical": {"length": "lexical_length", "words": "lexical_words"}}))
+def _(spark, sf):
+    """Only the measures that are switched on have rows."""
+    found = lexical.measures(_labels(spark, sf), b.models(spark, sf), enabled={"length", "words"})
+    return report.as_long("lexical", "length", found["length"]).unionByName(report.as_long("lexical", "words", found["words"]))
