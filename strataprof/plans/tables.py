@@ -88,10 +88,12 @@ def _(spark, sf):
     return constructs.grid(e, m.join(F.broadcast(page), "model_id", "left_semi"), c).select("model_id", "construct", (F.col("n") > 0).alias("present"))
 
 
-@query("report_catalog_browser", "SELECT \"group\", kind, construct, description FROM cat WHERE contains(lower(concat_ws(' ', \"group\", kind, construct, description)), 'view')", b.CONSTRUCTS)
+@query("report_catalog_browser", "SELECT \"group\", kind, construct, description, n FROM freq WHERE contains(lower(concat_ws(' ', \"group\", kind, construct, description)), 'view')", b.CONSTRUCTS)
 def _(spark, sf):
-    c = constructs.known(b.catalog(spark)).select("group", "kind", F.col("id").alias("construct"), "description")
-    return report.search(c, "view", "group", "kind", "construct", "description").orderBy("group", "kind", "construct")
+    """Constructs that hold a text, with how often the events match them."""
+    e, _, c = _c(spark, sf)
+    found = report.search(constructs.corpus_frequency(e, c), "view", "group", "kind", "construct", "description")
+    return found.select("group", "kind", "construct", "description", "n").orderBy("group", "kind", "construct")
 
 
 @query("report_missing_from_models", "SELECT construct FROM cat WHERE construct NOT IN (SELECT construct FROM cnt)", b.CONSTRUCTS)
@@ -125,16 +127,17 @@ def _(spark, sf):
 
 @query("extract_resolve_by_name", """SELECT ref_id, min(part) AS part FROM (SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS ref_id, q.p_brand,
   arg_min(p.p_partkey, (CASE WHEN p.p_type = 'SMALL' THEN 0 WHEN p.p_type = q.p_type THEN 1 ELSE 2 END, p.p_partkey)) AS part
-  FROM lineitem JOIN part q ON q.p_partkey = l_partkey JOIN part p ON p.p_name = q.p_name AND p.p_brand = q.p_brand WHERE l_linenumber = 3 GROUP BY 1, 2) AS x GROUP BY ref_id""")
+  FROM lineitem JOIN part q ON q.p_partkey = l_partkey JOIN part p ON p.p_name = q.p_name AND p.p_brand = q.p_brand GROUP BY 1, 2) AS x GROUP BY ref_id""")
 def _(spark, sf):
-    """References of third lines alone, as the SQL has it; ``extract_resolve_all_by_name`` resolves every one."""
-    return _resolved(b.read(spark, sf, "part"), b.read(spark, sf, "lineitem").where("l_linenumber = 3"))
+    """References of all lines."""
+    return _resolved(b.read(spark, sf, "part"), b.read(spark, sf, "lineitem"))
 
 
 @query("extract_resolve_all_by_name", """SELECT ref_id, min(part) AS part FROM (SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS ref_id, q.p_brand,
   arg_min(p.p_partkey, (CASE WHEN p.p_type = 'SMALL' THEN 0 WHEN p.p_type = q.p_type THEN 1 ELSE 2 END, p.p_partkey)) AS part
   FROM lineitem JOIN part q ON q.p_partkey = l_partkey JOIN part p ON p.p_name = q.p_name AND p.p_brand = q.p_brand GROUP BY 1, 2) AS x GROUP BY ref_id""")
 def _(spark, sf):
+    """The same, under the name that it had while the other took third lines only."""
     return _resolved(b.read(spark, sf, "part"), b.read(spark, sf, "lineitem"))
 
 
