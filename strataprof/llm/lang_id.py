@@ -155,7 +155,7 @@ class Model:
         limit = self.limit[best] * (1.0 + 1.0 / np.sqrt(n))  # short texts scatter more
         return self.langs[best], score, float(h[best]), bool(h[best] > limit)
 
-    def calibrate(self, seen: list[tuple[str, int, list[float]]], least: int = 5, slack: float = 0.5) -> None:
+    def calibrate(self, seen: list[tuple[str, int, list[float]]], least: int = 5, slack: float = 0.75) -> None:
         """Set ``temper``, ``power`` and ``limit`` from (language, length, cross-entropies) of texts kept out."""
         seen = [x for x in seen if x[0] in self.langs]
         if not seen:
