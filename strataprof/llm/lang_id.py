@@ -187,31 +187,41 @@ class Model:
             self.limit[k] = g.mean() + reach(g) if len(g) >= least else mean + spread
 
 
-def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> DataFrame:
+def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int, most: int = 1 << 18) -> DataFrame:
     """``lang, n, h, hist, c``: how often each n-gram of each order occurs in each language, its hash and the hash of
-    its history, and ``suffix``, the hash without its first character.  Counted in each task, then summed."""
+    its history, and ``suffix``, the hash without its first character.  Counted in each task, about ``most``
+    characters at a time, then summed."""
+
+    def counted(lang: str, arrays: list[np.ndarray]) -> pd.DataFrame:
+        frames = []
+        for n in range(1, order + 1):
+            rows = []
+            for cps in arrays:
+                if len(cps) < n:
+                    continue
+                h = hashes(cps, n)
+                hist = hashes(cps, n - 1)[: len(h)] if n > 1 else np.zeros(len(h), dtype=np.uint64)
+                suffix = hashes(cps, n - 1)[1:] if n > 1 else np.zeros(len(h), dtype=np.uint64)
+                rows.append(np.stack([h, hist, suffix]))
+            if rows:
+                x = np.concatenate(rows, axis=1)
+                _, first, c = np.unique(x[0], return_index=True, return_counts=True)
+                frames.append(pd.DataFrame({"lang": lang, "n": n, "h": x[0][first].view(np.int64), "hist": x[1][first].view(np.int64), "suffix": x[2][first].view(np.int64), "c": c}))
+        return pd.concat(frames)
 
     def run(batches):
         for b in batches:
-            frames = []
             for lang, part in b.groupby("lang"):
-                arrays = [x for t in part["text"] if len(x := letters_of(t))]
-                for n in range(1, order + 1):
-                    rows = []
-                    for cps in arrays:
-                        if len(cps) < n:
-                            continue
-                        h = hashes(cps, n)
-                        hist = hashes(cps, n - 1)[: len(h)] if n > 1 else np.zeros(len(h), dtype=np.uint64)
-                        suffix = hashes(cps, n - 1)[1:] if n > 1 else np.zeros(len(h), dtype=np.uint64)
-                        rows.append(np.stack([h, hist, suffix]))
-                    if not rows:
-                        continue
-                    x = np.concatenate(rows, axis=1)
-                    _, first, c = np.unique(x[0], return_index=True, return_counts=True)
-                    frames.append(pd.DataFrame({"lang": lang, "n": n, "h": x[0][first].view(np.int64), "hist": x[1][first].view(np.int64), "suffix": x[2][first].view(np.int64), "c": c}))
-            if frames:
-                yield pd.concat(frames)
+                arrays, size = [], 0
+                for t in part["text"]:
+                    if len(x := letters_of(t)):
+                        arrays.append(x)
+                        size += len(x)
+                    if size >= most:
+                        yield counted(lang, arrays)
+                        arrays, size = [], 0
+                if arrays:
+                    yield counted(lang, arrays)
 
     return (
         docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
