@@ -77,8 +77,9 @@ def _alike(a1: Column, a2: Column, b1: Column, b2: Column, least: int) -> Column
     return K - F.bit_count(differ) >= least
 
 
-def _prefixes(classes: DataFrame, size: int) -> DataFrame:
-    """``id, b1, b2, item, df`` for the ``size`` rarest items of each; ``df`` is 0 for items of short postings."""
+def _prefixes(classes: DataFrame, size: int) -> tuple[DataFrame, bool]:
+    """``id, b1, b2, item, df`` for the ``size`` rarest items of each; ``df`` is 0 for items of short postings.  And
+    whether the long postings are few enough for a row of each to be broadcast."""
     hot = cut(
         classes.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df")).where(F.col("df") > SHORT),
         "hot-items",
@@ -105,14 +106,14 @@ def _prefixes(classes: DataFrame, size: int) -> DataFrame:
                 )
 
         chosen = classes.select("id", "b1", "b2", "items").mapInPandas(run, "id bigint, b1 bigint, b2 bigint, items array<bigint>, dfs array<bigint>")
-        return chosen.select("id", "b1", "b2", F.explode(F.arrays_zip("items", "dfs")).alias("x")).select("id", "b1", "b2", F.col("x.items").alias("item"), F.col("x.dfs").alias("df"))
+        return chosen.select("id", "b1", "b2", F.explode(F.arrays_zip("items", "dfs")).alias("x")).select("id", "b1", "b2", F.col("x.items").alias("item"), F.col("x.dfs").alias("df")), True
     ranked = (
         classes.select("id", "b1", "b2", F.explode("items").alias("item"))
         .join(hot, "item", "left")
         .groupBy("id", "b1", "b2")
         .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))), 1, size).alias("x"))
     )
-    return ranked.select("id", "b1", "b2", F.explode("x").alias("x")).select("id", "b1", "b2", "x.item", "x.df")
+    return ranked.select("id", "b1", "b2", F.explode("x").alias("x")).select("id", "b1", "b2", "x.item", "x.df"), False
 
 
 def _short_pairs(posted: DataFrame, least: int) -> DataFrame:
@@ -125,12 +126,16 @@ def _short_pairs(posted: DataFrame, least: int) -> DataFrame:
     return met.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _star_pairs(long: DataFrame, least: int) -> DataFrame:
+def _star_pairs(long: DataFrame, least: int, few: bool) -> DataFrame:
+    """Each long posting's smallest member with the others.  A row per posting is broadcast where that is allowed, so
+    that a posting of very many members is not gathered in one task."""
+    side = F.broadcast if few else (lambda df: df)
     centre = long.groupBy("item").agg(F.min("id").alias("a"))
-    bits = long.select(F.col("id").alias("a"), F.col("b1").alias("a1"), F.col("b2").alias("a2")).distinct()
+    met = long.join(side(centre), "item")
+    heads = met.where("id = a").select("a", F.col("b1").alias("a1"), F.col("b2").alias("a2")).distinct()
     return (
-        long.join(centre, "item").where("id <> a").groupBy("a", "id").agg(F.first("b1").alias("b1"), F.first("b2").alias("b2"))
-        .join(bits, "a").where(_alike(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2"), least))
+        met.where("id <> a").groupBy("a", "id").agg(F.first("b1").alias("b1"), F.first("b2").alias("b2"))
+        .join(side(heads), "a").where(_alike(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2"), least))
         .select("a", F.col("id").alias("b"))
     )
 
@@ -153,7 +158,7 @@ def sketch(shingles: np.ndarray) -> bytes:
     return (low & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
-def _cross_pairs(long: DataFrame, comp: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int = 1024) -> DataFrame:
+def _cross_pairs(long: DataFrame, comp: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, few: bool, block: int = 1024) -> DataFrame:
     """Members of a long posting that belong to different components.
 
     Those outside the posting's largest component meet all its members, dealt out in blocks; within the largest
@@ -166,7 +171,7 @@ def _cross_pairs(long: DataFrame, comp: DataFrame, df: DataFrame, id_col: str, t
         .where("kinds > 1")
         .select("item", "main", F.ceil(F.col("s") / block).cast("int").alias("nb"), F.ceil((F.col("s") - F.col("most")) / block).cast("int").alias("na"))
     )
-    placed = cut(rows.join(shape, "item"), "open-postings")
+    placed = cut(rows.join(F.broadcast(shape) if few else shape, "item"), "open-postings")
 
     def fn(texts, batch):
         return {"sketch": [sketch(shingle_set(t, words)) for t in texts]}
@@ -242,9 +247,10 @@ def near_duplicates(
         .select("k1", "k2", "x.id", "x.items", "x.b1", "x.b2"),
         "classes",
     )
-    posted = cut(_prefixes(classes, K - matches + 1), "postings")
+    prefixes, few = _prefixes(classes, K - matches + 1)
+    posted = cut(prefixes, "postings")
     long = posted.where("df > 0")
-    met = cut(_short_pairs(posted, matches).unionByName(_star_pairs(long, matches)).distinct(), "met")
+    met = cut(_short_pairs(posted, matches).unionByName(_star_pairs(long, matches, few)).distinct(), "met")
     pairs = cut(collisions(met, classes).where(F.col("matches") >= matches).select("a", "b"), "pairs")
     links = cut(confirm(pairs, df, id_col, text_col, words, percent), "links")
     ids = classes.select("id")
@@ -255,7 +261,7 @@ def near_duplicates(
         links = cut(links.unionByName(bridges), "links")
         ids = ids.unionByName(bridges.select(F.col("b").alias("id")))
     found = cut(components(ids, links), "components")
-    rest = cut(_cross_pairs(long, found, df, id_col, text_col, words, percent), "pairs")
+    rest = cut(_cross_pairs(long, found, df, id_col, text_col, words, percent, few), "pairs")
     if rest.limit(1).count():
         more = cut(confirm(rest, df, id_col, text_col, words, percent), "links")
         found = cut(components(ids, links.unionByName(more)), "components")
