@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from strataprof.llm import bloom_lm, byte_bpe, decontaminate, html_text, itq, lang_id, line_dedup, minhash, pii, toxicity
+from strataprof.llm import bloom_lm, bond, byte_bpe, decontaminate, html_text, itq, lang_id, line_dedup, minhash, pii, sharding, spelling, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_bloom_lm": bloom_lm.query,
     "op9_line_dedup": line_dedup.query,
     "op10_pii": pii.query,
+    "op11_bond": bond.query,
+    "op12_spelling": spelling.query,
+    "op13_shards": sharding.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -20,4 +23,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minhash": minhash.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_pii": pii.ORACLE,
+    "op11_bond": bond.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }
