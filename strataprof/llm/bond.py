@@ -16,8 +16,8 @@ rows is many blocks.
 Rows with a null id, a null label, a null vector, or a null or non-finite component take no part.  Rows that are equal in
 id, label and vector count once; other rows that share an id are rows of their own, but none is a positive of an anchor
 with its id.  Vectors meet vectors of their own length only; an empty vector scores 0.  Ties go to the smaller id.  Scores
-are exact below 2**53; beyond the limits of a long they
-end there.  An empty table gives an empty result; other columns are ignored.
+are exact below 2**53; beyond the limits of a long they end there.  An empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -177,6 +177,8 @@ def vocabulary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401  chunks uses it
+
         counts: Counter = Counter()
         for batch in batches:
             ids = batch.column(0)
