@@ -40,6 +40,7 @@ LEAF = 12
 MOST_COUNT = 100  # counts are cut off here: that only brings boxes closer
 FAR = 1 << 14
 PAIR_BYTES = 1 << 24
+VISITORS = 50_000
 
 _LETTER = np.zeros(256, dtype=np.int64)
 _LETTER[97:123] = np.arange(26)
@@ -212,8 +213,19 @@ def near_words(words: DataFrame, most_sample: int = 100_000) -> DataFrame:
     by_length = {int(n): part.tolist() for n, part in sample.groupby(sample.str.len())} if len(sample) else {}
     trees = spark.sparkContext.broadcast({n: build(letter_counts(spread(part)), max(1, int(CELL * fraction)))[0] for n, part in by_length.items()})
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A visit of a tree costs by its nodes: many words go at once."""
+        held: list[pd.DataFrame] = []
         for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= VISITORS:
+                yield pd.concat(held)
+                held = []
+        if held:
+            yield pd.concat(held)
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in together(batches):
             for n, part in b.groupby(b["word"].str.len()):
                 n = int(n)
                 points = letter_counts(spread(part["word"].tolist()))
