@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from strataprof.operators.graph import cut
+
 ELEMENTS = (
     "model_id string, seq bigint, parent_seq bigint, depth int, tag string, ns string, attrs map<string,string>, text string, "
     "anc_seqs array<bigint>, anc_tags array<string>, anc_types array<string>, error string"
@@ -33,25 +37,76 @@ def _attribute(name: str) -> str:
     return {"http://www.w3.org/2001/XMLSchema-instance": "xsi:"}.get(ns, "xmi:" if "XMI" in ns else "") + local
 
 
-def xml_rows(model_id: str, text: str, ancestors: int | None = None) -> list[tuple]:
-    """Elements in document order, with their ancestors from the root on, the first ``ancestors`` of them; a file that
-    is no XML gives one row with an error."""
+CHECKED_ROWS = 20_000
+
+
+def xml_rows(model_id: str, text: str, ancestors: int | None = None) -> Iterator[tuple]:
+    """Elements with their ancestors from the root on, the first ``ancestors`` of them; a file that is no XML gives one row
+    with an error.
+
+    The text is fed to a pull parser piece by piece and an element leaves when it ends, parents after what they hold;
+    only open elements are kept.  ``seq`` tells document order.  Whether a file is XML shows at its end: a long one is read
+    to there once more, keeping nothing, before its first row leaves."""
+    rows, held = _xml_rows(model_id, text, ancestors), []
     try:
-        root = ET.fromstring(text)
+        for row in rows:
+            held.append(row)
+            if len(held) > CHECKED_ROWS:
+                for _ in _events(text, ()):
+                    pass
+                break
     except ET.ParseError as e:
-        return [(model_id, 0, None, 0, None, None, {}, None, [], [], [], f"{type(e).__name__}: {e}")]
-    rows, todo = [], [(root, None, 0, [], [], [])]
-    while todo:
-        el, parent, depth, seqs, tags, types = todo.pop()
-        ns, tag = _local(el.tag)
-        attrs = {_attribute(k): v for k, v in el.attrib.items()}
-        seq = len(rows)
-        rows.append((model_id, seq, parent, depth, tag, ns, attrs, (el.text or "").strip() or None, seqs, tags, types, None))
-        below = (seqs, tags, types)
-        if ancestors is None or depth < ancestors:
-            below = ([*seqs, seq], [*tags, tag], [*types, attrs.get("type") or attrs.get("xsi:type") or ""])
-        todo.extend((c, seq, depth + 1, *below) for c in reversed(list(el)))
-    return rows
+        yield (model_id, 0, None, 0, None, None, {}, None, [], [], [], f"{type(e).__name__}: {e}")
+        return
+    yield from held
+    yield from rows
+
+
+def _xml_rows(model_id: str, text: str, ancestors: int | None) -> Iterator[tuple]:
+    n, above = 0, []  # open elements: seq and what their children see as ancestors
+    for event, el in _events(text, ("start", "end")):
+        if event == "start":
+            seqs, tags, types = above[-1][1] if above else ((), (), ())
+            if above and (ancestors is None or len(above) <= ancestors):
+                parent = above[-1]
+                seqs, tags, types = (*seqs, parent[0]), (*tags, parent[2]), (*types, parent[3])
+            attrs = el.attrib
+            above.append((n, (seqs, tags, types), _local(el.tag)[1], _kind(attrs)))
+            n += 1
+        else:
+            seq, (seqs, tags, types), tag, _ = above.pop()
+            attrs = {_attribute(k): v for k, v in el.attrib.items()}
+            yield (model_id, seq, above[-1][0] if above else None, len(above), tag, _local(el.tag)[0], attrs, (el.text or "").strip() or None, seqs, tags, types, None)
+            el.clear()
+
+
+def _kind(attrib: dict[str, str]) -> str:
+    return attrib.get("type") or attrib.get("{http://www.w3.org/2001/XMLSchema-instance}type") or ""
+
+
+def _events(text: str, events: tuple[str, ...], piece: int = 1 << 16) -> Iterator[tuple]:
+    """Events of a pull parser; what has ended is taken from the tree that the parser builds."""
+    parser = ET.XMLPullParser(("start", "end"))
+    path = []
+
+    def ready() -> Iterator[tuple]:
+        for event, el in parser.read_events():
+            if event == "start":
+                path.append(el)
+                if event in events:
+                    yield event, el
+            else:
+                if event in events:
+                    yield event, el
+                path.pop()
+                if path:
+                    path[-1].remove(el)
+
+    for at in range(0, len(text), piece):
+        parser.feed(text[at : at + piece])
+        yield from ready()
+    parser.close()
+    yield from ready()
 
 
 def json_rows(model_id: str, text: str) -> list[tuple]:
@@ -84,21 +139,24 @@ def json_rows(model_id: str, text: str) -> list[tuple]:
     return rows
 
 
-EXTRACTORS: dict[str, tuple[Callable[[str, str], list[tuple]], str]] = {
-    "xml": (xml_rows, ELEMENTS), "archimate": (lambda m, t: xml_rows(m, t, 2), ELEMENTS), "bpmn-json": (json_rows, SHAPES),
+EXTRACTORS: dict[str, tuple[Callable[[str, str], Iterable[tuple]], str]] = {
+    "xml": (xml_rows, ELEMENTS), "archimate": (lambda m, t: xml_rows(m, t, 2), ELEMENTS), "xml-flat": (lambda m, t: xml_rows(m, t, 0), ELEMENTS),
+    "bpmn-json": (json_rows, SHAPES),
 }
 
 
-def register_extractor(language: str, fn: Callable[[str, str], list[tuple]], schema: str) -> None:
-    """``fn(model_id, text)`` gives the rows of one file."""
+def register_extractor(language: str, fn: Callable[[str, str], Iterable[tuple]], schema: str) -> None:
+    """``fn(model_id, text)`` gives the rows of one file, at once or one after the other."""
     EXTRACTORS[language] = (fn, schema)
 
 
-def shred(files: DataFrame, language: str, most_rows: int = 20_000) -> DataFrame:
-    """Rows of every file of ``files(model_id, text)``, in Arrow batches of many files.  Narrow: a task holds the rows
-    of one batch or of one file, if that is larger."""
+def shred(files: DataFrame, language: str, most_rows: int = 20_000, most_ancestors: int = 1_000_000) -> DataFrame:
+    """Rows of every file of ``files(model_id, text)``, in Arrow batches of many files or of parts of one.  Narrow: besides
+    the text, a task holds the rows of one batch, which ends at ``most_rows`` rows or ``most_ancestors`` list entries.
+    ``xml-flat`` names no ancestors but the parent: for files nested so deep that lists of them would outgrow the file."""
     fn, schema = EXTRACTORS[language]
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    lists = [i for i, f in enumerate(arrow) if pa.types.is_list(f.type)]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows)
@@ -108,18 +166,35 @@ def shred(files: DataFrame, language: str, most_rows: int = 20_000) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        entries = 0
         for b in batches:
-            for model_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += fn(model_id, text or "")
-                if len(rows) >= most_rows:
-                    yield packed(rows)
-                    rows = []
+            for model_id, text in zip(b.column(0), b.column(1)):
+                for row in fn(model_id.as_py(), text.as_py() or ""):
+                    rows.append(row)
+                    entries += sum(len(row[i] or ()) for i in lists)
+                    if len(rows) >= most_rows or entries >= most_ancestors:
+                        yield packed(rows)
+                        rows, entries = [], 0
         if rows:
             yield packed(rows)
 
     return files.select("model_id", "text").mapInArrow(run, schema)
 
 
+def register_udtf(spark: SparkSession, language: str, name: str | None = None) -> str:
+    """An extractor as a table function of SQL: ``SELECT t.* FROM files f, LATERAL shred_xml(f.model_id, f.text) t``.  Returns
+    its name.  A lateral join is narrow: files stay in the partitions they are in."""
+    fn, schema = EXTRACTORS[language]
+
+    class Shred:
+        def eval(self, model_id: str, text: str) -> Iterator[tuple]:
+            yield from fn(model_id, text or "")
+
+    name = name or "shred_" + re.sub(r"\W", "_", language)
+    spark.udtf.register(name, udtf(Shred, returnType=schema))
+    return name
+
+
 def first_of_id(rows: DataFrame, key: str, order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """The first row of each id in a model, and warnings for the others."""
     ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy("model_id", key).orderBy(order)))
@@ -215,6 +290,79 @@ def archimate(elements: DataFrame, renamed: dict[str, str] | None = None) -> tup
     return nodes, edges, warnings.unionByName(_warn(lacking, "OTHER", False, F.lit("no folder of relations")))
 
 
+def bpmn_shapes(files: DataFrame, most_levels: int = 1000) -> DataFrame:
+    """The rows of ``shred(files, "bpmn-json")`` by DataFrame functions: JSON texts as VARIANT, one level of child shapes
+    after the other.  A shape without an id or a stencil goes with what it holds before the next level; a repeated id too,
+    once all levels are there: which of two is the first is known only when neither stands in what goes.
+
+    ``seq`` is the place in document order; each level is a table, so a lost executor costs one level."""
+    at = lambda path, kind: F.expr(f"try_variant_get(v, '{path}', '{kind}')")
+    parsed = files.select("model_id", F.try_parse_json("text").alias("v"))
+    is_shape = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    broken = parsed.where(~is_shape).select("model_id", F.lit(True).alias("broken"))
+
+    def shapes(df: DataFrame) -> DataFrame:
+        ident, stencil = at("$.resourceId", "string"), at("$.stencil.id", "string")
+        outgoing = F.filter(F.transform(at("$.outgoing", "array<variant>"), lambda o: F.try_variant_get(o, "$.resourceId", "string")), lambda o: F.coalesce(o != "", F.lit(False)))
+        ref = lambda name: F.coalesce(at(f"$.{name}.resourceId", "string"), F.when(~F.coalesce(F.schema_of_variant(at(f"$.{name}", "variant")).startswith("OBJECT"), F.lit(False)), at(f"$.{name}", "string")))
+        return df.select(
+            "model_id", "path", "parent_id", ident.alias("shape_id"), stencil.alias("stencil"), at("$.properties.name", "string").alias("name"), F.coalesce(outgoing, F.array().cast("array<string>")).alias("outgoing"),
+            ref("target").alias("target"), F.when(F.coalesce(ident, F.lit("")).eqNullSafe("") | F.coalesce(stencil, F.lit("")).eqNullSafe(""), "MISSING_ATTRIBUTE").alias("error"), ref("source").alias("source"),
+            at("$.childShapes", "array<variant>").alias("below"),
+        )
+
+    level = cut(shapes(parsed.where(is_shape).select("model_id", "v", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("parent_id"))))
+    found = level.drop("below")
+    for _ in range(most_levels):
+        children = level.where("error is null and size(below) > 0").select("model_id", "path", F.col("shape_id").alias("parent_id"), F.posexplode("below").alias("i", "v"))
+        children = children.withColumn("path", F.array_append("path", F.col("i"))).where(F.schema_of_variant("v").startswith("OBJECT"))
+        level = cut(shapes(children))
+        if not level.limit(1).count():
+            break
+        found = found.unionByName(level.drop("below"))
+    else:
+        raise RuntimeError(f"shapes nested deeper than {most_levels} levels")
+    kept = _first_shapes(cut(found))
+    order = F.row_number().over(W.partitionBy("model_id").orderBy("path")) - 1
+    lost = broken.select("model_id", F.lit(0).cast("bigint").alias("seq"), F.lit("ValueError: no object").alias("error"))
+    return kept.withColumn("seq", order.cast("bigint")).select("model_id", "seq", "parent_id", "shape_id", "stencil", "name", "outgoing", "target", "error", "source").unionByName(lost, allowMissingColumns=True)
+
+
+def _first_shapes(found: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """Marks shapes whose id an earlier one has, and drops what they hold.
+
+    A shape stays for certain if it is the first of its id, as are all that hold it; others of that id then go.  What they
+    held goes too, and may have hidden the first of another id: so rounds follow until none goes."""
+    gone = None  # (model_id, path) of repeated shapes
+    keyed = found.where("error is null").select("model_id", "path", "shape_id")
+    for _ in range(most_rounds):
+        alive = keyed if gone is None else _outside(keyed, gone)
+        first = F.row_number().over(W.partitionBy("model_id", "shape_id").orderBy("path")) == 1
+        ranked = cut(alive.withColumn("first", first))
+        bad = ranked.where("not first").select("model_id", "path")
+        if not bad.limit(1).count():
+            break
+        sure = _outside(ranked.where("first"), bad).select("model_id", "shape_id")
+        more = ranked.where("not first").join(sure, ["model_id", "shape_id"], "left_semi").select("model_id", "path")
+        gone = cut(more if gone is None else gone.unionByName(more))
+    else:
+        raise RuntimeError("repeated shapes did not settle")
+    if gone is None:
+        return found
+    rest = _outside(found, gone)
+    repeated = found.join(gone, ["model_id", "path"], "left_semi")
+    inside = _outside(repeated, gone, strictly=True)
+    return rest.unionByName(inside.select(*[F.lit("DUPLICATE_ID").alias(c) if c == "error" else F.lit(None).cast(found.schema[c].dataType).alias(c) if c in ("name", "target", "source") else F.array().cast("array<string>").alias(c) if c == "outgoing" else c for c in found.columns]))
+
+
+def _outside(rows: DataFrame, tops: DataFrame, strictly: bool = False) -> DataFrame:
+    """Rows whose path neither is one of ``tops`` nor goes through one; ``strictly``: it may be one."""
+    n = F.size("path") - F.lit(int(strictly))
+    through = rows.where(n >= 0).select("model_id", "path", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("path", 1, i))).alias("top"))
+    hit = through.join(tops.select("model_id", F.col("path").alias("top")).distinct(), ["model_id", "top"], "left_semi").select("model_id", "path").distinct()
+    return rows.join(hit, ["model_id", "path"], "left_anti")
+
+
 def bpmn(shapes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``nodes, edges, warnings`` of shredded BPMN files.
 
@@ -280,6 +428,8 @@ UML_RELATIONS = [
     ("InterfaceRealization", "InterfaceRealization", ["implementingClassifier", "client"], ["contract", "supplier"], "realizes"),
     ("Include", "includes", ["includingCase"], ["addition"], "includes"), ("Extend", "extends", ["extension"], ["extendedCase"], "extends"),
 ]
+#: Namespace of Ecore (fixed value).
+ECORE_NS = "http://www.eclipse.org/emf/2002/Ecore"
 UML_ASSOCIATIONS = ["Association", "CommunicationPath"]
 #: Concepts of elements that have no xsi:type, by tag (fixed values).
 UML_TAGS = {
@@ -387,12 +537,14 @@ def uml(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = uml_elements(elements)
     node_rows = e.where(F.col("concept").isin(UML_SIMPLE + UML_CLASSIFIERS) & (F.col("tag") != "ownedLiteral") & ~((F.col("concept") == "PrimitiveType") & F.col("id").isNull() & F.col("attrs")["href"].isNotNull()))
     node_rows, w1 = require(node_rows, "id")
-    node_rows, w2 = first_of_id(node_rows, "id")
-    names = uml_members(elements).groupBy("model_id", F.col("owner_id").alias("id")).agg(*[
+    every = node_rows.select("model_id", F.col("id").alias("node_id"), F.col("seq").alias("pos"), F.col("concept").alias("type"), "name", payload(F.col("attrs"), "xmi:id", "name").alias("data"))
+    w2 = upsert_conflicts(every)
+    names = uml_members(elements).groupBy("model_id", F.col("owner_id").alias("node_id")).agg(*[
         F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "name")))), lambda m: m["name"]).alias(k) for k in UML_MEMBERS.values()
     ])
-    nodes = node_rows.join(names, ["model_id", "id"], "left").select(
-        "model_id", F.col("id").alias("node_id"), F.col("seq").alias("pos"), F.col("concept").alias("type"), "name", payload(F.col("attrs"), "xmi:id", "name").alias("data"), *UML_MEMBERS.values()
+    place = every.groupBy("model_id", "node_id").agg(F.min("pos").alias("pos"))
+    nodes = upsert(every).join(place, ["model_id", "node_id"]).join(names, ["model_id", "node_id"], "left").select(
+        "model_id", "node_id", "pos", "type", "name", F.coalesce("data", F.create_map().cast("map<string,string>")).alias("data"), *UML_MEMBERS.values()
     )
     relations, w3 = _uml_relations(e)
     associations, w4 = _uml_associations(e)
@@ -413,6 +565,32 @@ def external_name(href: Column) -> Column:
     return F.when(href.contains("#"), F.concat_ws("::", lib, part)).otherwise(href)
 
 
+def _tops(e: DataFrame) -> DataFrame:
+    """``model_id, seq`` of packages that no other holds: a file's root, or what its XMI root holds."""
+    return e.where("(depth = 0 and tag = 'EPackage') or (depth = 1 and tag = 'EPackage' and anc_tags[0] = 'XMI')").select("model_id", "seq")
+
+
+def data_type_origin(elements: DataFrame) -> DataFrame:
+    """``model_id, seq, external, ns_uri, package_name`` of data types and enumerations: one is internal if its package, or
+    one that this stands in, is a root package of the file.  What is external has the namespace and name of the package
+    it stands in, else those of Ecore itself."""
+    e = elements.where("error is null")
+    own = F.regexp_replace(F.col("attrs")["xsi:type"], "^ecore:", "")
+    kinds = e.where(own.isin("EDataType", "EEnum") | F.col("tag").isin("EDataType", "EEnum")).select("model_id", "seq", "parent_seq", "anc_seqs", "anc_tags")
+    package = (F.col("tag").isin("EPackage", "eSubpackages")) | F.coalesce(own == "EPackage", F.lit(False))
+    packages = e.where(package).select("model_id", F.col("seq").alias("a"), F.col("attrs")["nsURI"].alias("uri"), F.col("attrs")["name"].alias("name"))
+    # from the type upwards: a chain of packages without a gap up to a root
+    above = kinds.select("model_id", "seq", "parent_seq", F.size("anc_seqs").alias("n"), F.coalesce((F.get("anc_tags", F.lit(0)) == "XMI").cast("int"), F.lit(0)).alias("skip"), F.posexplode_outer("anc_seqs").alias("i", "a"))
+    chain = above.join(packages, ["model_id", "a"], "left").groupBy("model_id", "seq").agg(
+        F.first("n").alias("n"), F.first("skip").alias("skip"), F.count_if(F.col("name").isNotNull() | F.col("uri").isNotNull()).alias("packages"),
+        F.max_by("uri", "i").alias("uri"), F.max_by("name", "i").alias("name"),
+    )
+    external = ~((F.col("packages") > 0) & (F.col("packages") == F.col("n") - F.col("skip")))
+    return chain.select(
+        "model_id", "seq", external.alias("external"), F.when(external, F.coalesce("uri", F.lit(ECORE_NS))).alias("ns_uri"), F.when(external, F.coalesce("name", F.lit("ecore"))).alias("package_name")
+    )
+
+
 def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``nodes, edges, warnings`` of shredded Ecore files.
 
@@ -429,27 +607,38 @@ def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     path = chain.join(names, ["model_id", "a"]).groupBy("model_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), "/").alias("node_id"))
     item = item.join(path, ["model_id", "seq"])
     item, w1 = first_of_id(item, "node_id")
-    nodes = item.where("type <> 'EReference'").select("model_id", "node_id", F.col("seq").alias("pos"), "type", "name", F.lit(False).alias("external"))
+    origin = data_type_origin(elements)
+    nodes = item.where("type <> 'EReference'").join(origin, ["model_id", "seq"], "left").select(
+        "model_id", "node_id", F.col("seq").alias("pos"), "type", "name", F.coalesce("external", F.lit(False)).alias("external"), "ns_uri", "package_name"
+    )
     parent = item.select("model_id", F.col("seq").alias("parent_seq"), F.col("node_id").alias("p"), F.col("type").alias("ptype"))
     owned = item.join(parent, ["model_id", "parent_seq"])
     contains = owned.where("type <> 'EReference'").select("model_id", F.col("p").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("Contains").alias("type"), "seq")
-    root = item.where("parent_seq is null").select("model_id", F.col("node_id").alias("root"))
+    # a file has one root, or several in an XMI element: "#//A" is in the first, "#/1/A" in the second
+    tops = item.join(_tops(e), ["model_id", "seq"], "left_semi").groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("seq", "node_id"))).alias("tops"))
+    root = tops.select("model_id", F.transform("tops", lambda x: x["node_id"]).alias("roots"))
 
     def target(ref: Column) -> Column:
-        return F.when(ref.startswith("#//"), F.concat_ws("/", "root", F.substring(ref, 4, 1 << 20))).otherwise(F.regexp_replace(ref, r"^ecore:\w+ ", ""))
-
-    supers = owned.where("attrs['eSuperTypes'] is not null").join(root, "model_id").select("model_id", "seq", F.col("node_id").alias("source_id"), F.explode(F.split(F.trim(F.col("attrs")["eSuperTypes"]), r"\s+(?!http|#//.*\s)")).alias("ref"), "root")
-    supers = supers.select("model_id", "source_id", target(F.col("ref")).alias("target_id"), F.lit("Generalization").alias("type"), "seq")
-    typed = owned.where("attrs['eType'] is not null").join(root, "model_id")
+        bare = F.regexp_replace(ref, r"^ecore:\w+\s+", "")
+        number = F.coalesce(F.expr(r"try_cast(regexp_extract(%s, '^#/([0-9]*)/', 1) AS INT)" % "_ref"), F.lit(0))
+        inner = F.regexp_extract(bare, r"^#/[0-9]*/(.+)$", 1)
+        return F.when((inner != "") & (number < F.size("roots")), F.concat_ws("/", F.get("roots", number), inner)).otherwise(bare)
+
+    # references are separated by blanks, as is a reference from the type that may come before it
+    every = F.regexp_extract_all(F.col("attrs")["eSuperTypes"], F.lit(r"(?:ecore:\w+\s+)?\S+"), F.lit(0))
+    supers = owned.where("attrs['eSuperTypes'] is not null").join(root, "model_id").select("model_id", "seq", F.col("node_id").alias("source_id"), F.explode(every).alias("_ref"), "roots")
+    supers = supers.select("model_id", "source_id", target(F.col("_ref")).alias("target_id"), F.lit("Generalization").alias("type"), "seq")
+    typed = owned.where("attrs['eType'] is not null").join(root, "model_id").withColumn("_ref", F.col("attrs")["eType"])
     how = F.when(F.col("type") == "EAttribute", "AttributeType").when(F.col("type") != "EReference", "Type").when(F.col("attrs")["containment"] == "true", "Containment").otherwise("Reference")
     source = F.when(F.col("type") == "EReference", F.col("p")).otherwise(F.col("node_id"))
-    types = typed.select("model_id", source.alias("source_id"), target(F.col("attrs")["eType"]).alias("target_id"), how.alias("type"), "seq")
+    types = typed.select("model_id", source.alias("source_id"), target(F.col("_ref")).alias("target_id"), how.alias("type"), "seq")
     edges = contains.unionByName(supers).unionByName(types).withColumn("edge_id", F.concat_ws("|", "type", "source_id", "target_id"))
     edges, w2 = first_of_id(edges, "edge_id")
     is_class = F.max(F.col("type").isin("Generalization", "Reference", "Containment"))
     used = edges.groupBy("model_id", F.col("target_id").alias("node_id")).agg(F.when(is_class, "EClass").otherwise("EDataType").alias("type"))
     lost = used.join(nodes.select("model_id", "node_id"), ["model_id", "node_id"], "left_anti")
-    stubs = lost.select("model_id", "node_id", F.lit(None).cast("bigint").alias("pos"), "type", F.regexp_extract("node_id", r"([^/#]+)$", 1).alias("name"), F.lit(True).alias("external"))
+    stubs = lost.select("model_id", "node_id", F.lit(None).cast("bigint").alias("pos"), "type", F.regexp_extract("node_id", r"([^/#]+)$", 1).alias("name"), F.lit(True).alias("external"),
+        F.nullif(F.regexp_extract("node_id", r"^([^#]*)#", 1), F.lit("")).alias("ns_uri"), F.lit(None).cast("string").alias("package_name"))
     return nodes.unionByName(stubs), edges.drop("seq"), w1.unionByName(w2)
 
 
@@ -474,11 +663,26 @@ def resolve_files(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def annotations(elements: DataFrame) -> DataFrame:
-    """``model_id, owner_seq, source, data map``: details of each annotation."""
+    """``model_id, owner_seq, source, data map``: details of all annotations of an element by source, those inside other
+    annotations with them; the owner is null for annotations that stand beside the packages of a file.  A source without
+    details has an empty map, a missing one is the empty text.
+
+    Of details with one key those of the annotation that is further in stand, else those of the earlier one; in one
+    annotation, the later detail."""
     e = elements.where("error is null")
-    notes = e.where("tag = 'eAnnotations'").select("model_id", F.col("seq").alias("n"), F.col("parent_seq").alias("owner_seq"), F.col("attrs")["source"].alias("source"))
-    details = e.where("tag = 'details'").select("model_id", F.col("parent_seq").alias("n"), F.col("attrs")["key"].alias("k"), F.col("attrs")["value"].alias("v")).where("k is not null").dropDuplicates(["model_id", "n", "k"])
-    return notes.join(details, ["model_id", "n"]).groupBy("model_id", "owner_seq", "source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("data"))
+    note = F.col("tag").isin("eAnnotations", "EAnnotation")
+    # from the owner down: the last ancestor that is no annotation, and the annotations below it
+    depth = F.aggregate(F.sequence(F.lit(0), F.size("anc_tags") - 1), F.lit(-1), lambda last, i: F.when(F.get("anc_tags", i).isin("eAnnotations", "EAnnotation"), last).otherwise(i))
+    depth = F.when(F.size("anc_tags") == 0, -1).otherwise(depth)
+    top = F.coalesce(F.get("anc_tags", F.col("at")) == "XMI", F.lit(False)) & (F.col("at") == 0)
+    notes = e.where(note).withColumn("at", depth).select(
+        "model_id", F.col("seq").alias("n"), F.when(~top, F.get("anc_seqs", F.col("at"))).alias("owner_seq"), F.coalesce(F.col("attrs")["source"], F.lit("")).alias("source"),
+        F.transform(F.concat(F.slice("anc_seqs", F.col("at") + 2, F.size("anc_seqs")), F.array("seq")), lambda x: -x).alias("way"),
+    )
+    details = e.where("tag = 'details'").select("model_id", F.col("parent_seq").alias("n"), F.col("seq").alias("place"), F.col("attrs")["key"].alias("k"), F.coalesce(F.col("attrs")["value"], F.lit("")).alias("v")).where("k is not null")
+    said = notes.join(details, ["model_id", "n"], "left").groupBy("model_id", "owner_seq", "source", "k").agg(F.max_by("v", F.struct("way", "place")).alias("v"))
+    pairs = F.filter(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["k"].isNotNull())
+    return said.groupBy("model_id", "owner_seq", "source").agg(F.map_from_entries(pairs).alias("data"))
 
 
 def unhandled(elements: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -505,6 +709,16 @@ def upsert(rows: DataFrame) -> DataFrame:
     return head.join(data, ["model_id", "node_id"], "left")
 
 
+def upsert_conflicts(rows: DataFrame) -> DataFrame:
+    """Warnings for rows of ``upsert`` that come after the first of their id and tell another type, or another name than
+    the one that stands by then."""
+    before = W.partitionBy("model_id", "node_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    said = F.nullif(F.col("name"), F.lit(""))
+    marked = rows.select("model_id", "node_id", "type", said.alias("name"), F.count("*").over(before).alias("_n"), F.first("type").over(before).alias("_type"), F.first(said, ignorenulls=True).over(before).alias("_name"))
+    odd = ~F.col("type").eqNullSafe(F.col("_type")) | F.coalesce(F.col("name") != F.col("_name"), F.lit(False))
+    return _warn(marked.where((F.col("_n") > 0) & odd), "DUPLICATE_ID", True, F.col("node_id"))
+
+
 def validate(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``model_id, error, n``: missing ids, languages and ends, repeated node ids, ends that are no node."""
     repeated = nodes.groupBy("model_id", "node_id").count().where("count > 1").groupBy("model_id").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ larger ones go through rounds over tables, in which the work of one model is spr
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,10 +49,9 @@ def _numbered(models: pd.Series, *columns: pd.Series) -> tuple[list[np.ndarray],
     return [at[i * n : (i + 1) * n] for i in range(len(columns))], names
 
 
-def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Smallest vertex of each component of whole models."""
-    (u, v), names = _numbered(pdf["model_id"], pdf["u"], pdf["v"])
-    low = np.arange(len(names))
+def _least(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """The smallest vertex that each is joined with."""
+    low = np.arange(size)
     while True:
         new = low.copy()
         np.minimum.at(new, u, low[v])
@@ -61,8 +62,14 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(new, low[v], new[u])
         new = new[new]
         if (new == low).all():
-            break
+            return low
         low = new
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest vertex of each component of whole models."""
+    (u, v), names = _numbered(pdf["model_id"], pdf["u"], pdf["v"])
+    low = _least(u, v, len(names))
     return pd.DataFrame({"model_id": names["m"], "node_id": names["v"], "c": names["v"].to_numpy()[low]})
 
 
@@ -115,30 +122,94 @@ def is_containment(language: Column, edge_type: Column, data: Column) -> Column:
     )
 
 
+def _onward(first: np.ndarray, child: np.ndarray, front: np.ndarray) -> np.ndarray:
+    """Children of ``front``, with repeats: those of node i stand in ``child`` from ``first[i]`` on."""
+    times = first[front + 1] - first[front]
+    return child[np.repeat(first[front] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+
+
+def _last_visits(first: np.ndarray, child: np.ndarray, enters: dict[int, np.ndarray], most: int, depth: np.ndarray) -> None:
+    """Sets ``depth`` to the last step, ``most`` at the latest, in which a walk is at a node; walks enter at given steps.
+
+    The nodes of a step follow from those of the step before.  So once all have entered and a step has the nodes of an
+    earlier one, steps repeat for ever: one more period is walked and carried on to ``most``."""
+    times = sorted(enters)
+    k, front, seen = times[0], np.zeros(0, dtype=np.int64), {}
+    while k <= most:
+        if k in enters:
+            front = np.union1d(front, enters[k])
+        depth[front] = k
+        if k >= times[-1]:
+            if not len(front):
+                return
+            key = blake2b(front.tobytes(), digest_size=16).digest()
+            if key in seen:
+                break
+            seen[key] = k
+        front, k = np.unique(_onward(first, child, front)), k + 1
+    else:
+        return
+    period = k - seen[key]
+    for t in range(k, min(k + period, most + 1)):
+        depth[front] = np.maximum(depth[front], t + (most - t) // period * period)
+        front = np.unique(_onward(first, child, front))
+
+
 def _walked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Depths of whole models: ``n`` is the number of nodes of the model, ``free`` tells edges whose source nothing
-    contains; a model without such an edge starts from every node."""
+    """Depths of whole models: ``n`` is the number of nodes of the model, ``rooted`` tells whether it has a node that
+    nothing contains; one that has none starts from every node.
+
+    Nodes that no cycle leads to are peeled level by level, which is one longest-path pass.  On cycles and behind them
+    walks of every length count: those run apart for each connected part of what is left."""
     (a, b), names = _numbered(pdf["model_id"], pdf["node_id"], pdf["child"])
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
-    first = np.searchsorted(a, np.arange(len(names) + 1))
-    n_of = dict(zip(pdf["model_id"], pdf["n"]))
-    most = names["m"].map(n_of).to_numpy(np.int64)
-    rooted = dict(zip(pdf["model_id"], pdf["rooted"]))
-    inner = np.zeros(len(names), dtype=bool)
-    inner[b] = True
-    front = np.flatnonzero(~inner | ~names["m"].map(rooted).to_numpy(bool))
-    depth, k = np.zeros(len(names), dtype=np.int64), 0
+    size = len(names)
+    first = np.searchsorted(a, np.arange(size + 1))
+    most = names["m"].map(dict(zip(pdf["model_id"], pdf["n"]))).to_numpy(np.int64)
+    rooted = names["m"].map(dict(zip(pdf["model_id"], pdf["rooted"]))).to_numpy(bool)
+    depth = np.zeros(size, dtype=np.int64)
+    waiting = np.bincount(b, minlength=size)
+    front, k, left = np.flatnonzero(waiting == 0), 0, np.ones(size, dtype=bool)
     while len(front):
-        k += 1
-        times = first[front + 1] - first[front]
-        at = np.repeat(first[front] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        front = np.unique(b[at])
-        front = front[most[front] >= k]
         depth[front] = k
+        left[front] = False
+        to = _onward(first, b, front)
+        np.subtract.at(waiting, to, 1)
+        front, k = np.unique(to[waiting[to] == 0]), k + 1
+    if left.any():
+        enters: dict[int, dict[int, np.ndarray]] = {}
+        inside = left[a] & left[b]
+        part = _least(a[inside], b[inside], size)
+        every = np.flatnonzero(left & ~rooted)
+        if len(every):
+            for p, at in _groups(part[every], every):
+                enters.setdefault(p, {})[0] = at
+        # walks of every length from the roots to the cycles, through nodes that lead to one
+        leads, todo = left.copy(), np.flatnonzero(left)
+        back = np.argsort(b, kind="stable")
+        into = np.searchsorted(b[back], np.arange(size + 1))
+        while len(todo):
+            todo = np.unique(_onward(into, a[back], todo))
+            todo = todo[~leads[todo]]
+            leads[todo] = True
+        front, k = np.flatnonzero(leads & ~left & (np.bincount(b, minlength=size) == 0)), 0
+        while len(front):
+            to, k = np.unique(_onward(first, b, front)), k + 1
+            for p, at in _groups(part[to[left[to]]], to[left[to]]):
+                enters.setdefault(p, {})[k] = at
+            front = to[leads[to] & ~left[to]]
+        for p, at in enters.items():
+            _last_visits(first, b, at, int(most[p]), depth)
     return pd.DataFrame({"model_id": names["m"], "node_id": names["v"], "k": depth})
 
 
+def _groups(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(keys, kind="stable")
+    found, at = np.unique(keys[order], return_index=True)
+    return list(zip(found.tolist(), np.split(values[order], at[1:]))) if len(keys) else []
+
+
 def containment_depth(nodes: DataFrame, edges: DataFrame, models: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """``model_id, node_id, depth, is_root``: longest walk from a root (a node that nothing contains; all nodes where
     there is none), at most as long as the model has nodes."""
@@ -155,26 +226,45 @@ def containment_depth(nodes: DataFrame, edges: DataFrame, models: DataFrame, mos
     size = ids.groupBy("model_id").agg(F.count("*").alias("n"))
     small, large = _dealt(e, most_edges)
     small = small.join(size, "model_id").join(rooted.withColumn("rooted", F.lit(True)), "model_id", "left").fillna(False, ["rooted"])
-    reached = small.groupBy("task").applyInPandas(_walked, "model_id string, node_id string, k int")
+    reached = small.groupBy("task").applyInPandas(_walked, "model_id string, node_id string, k long")
     if large is not None:
         reached = reached.unionByName(_rounds(large, roots.join(large.select("model_id").distinct(), "model_id", "left_semi"), size))
     is_root = roots.withColumn("is_root", F.lit(True))
     out = ids.join(is_root, ["model_id", "node_id"], "left").join(reached, ["model_id", "node_id"], "left")
-    return out.select("model_id", "node_id", F.coalesce("k", F.lit(0)).alias("depth"), F.coalesce("is_root", F.lit(False)).alias("is_root"))
+    return out.select("model_id", "node_id", F.coalesce("k", F.lit(0)).cast("int").alias("depth"), F.coalesce("is_root", F.lit(False)).alias("is_root"))
 
 
 def _rounds(e: DataFrame, roots: DataFrame, size: DataFrame) -> DataFrame:
-    """Each round keeps the distinct nodes that a walk of k edges reaches.  As many rounds as the deepest containment
-    has levels; on a cycle, as the model has nodes."""
-    e, frontier = cut(e.select("model_id", "node_id", "child")), cut(roots)
-    reached, k = [frontier.withColumn("k", F.lit(0))], 0
+    """Each round keeps the distinct nodes that a walk of k edges reaches.  A model ends when no walk goes on, or when the
+    nodes of a round are those of an earlier one: from there on rounds repeat, so that one more period, carried on to
+    the number of nodes of the model, tells the rest.  What the driver keeps of a round is a count and two sums of hashes
+    for each model this large."""
+    spark = e.sparkSession
+    e, frontier, size = cut(e.select("model_id", "node_id", "child")), cut(roots), cut(size)
+    reached, k = [frontier.withColumn("k", F.lit(0).cast("long"))], 0
+    seen: dict[tuple, int] = {}
+    ends: dict[str, tuple[int, int]] = {}  # model: last round of the extra period, period
     while True:
+        h = F.xxhash64("node_id")
+        for row in frontier.groupBy("model_id").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s")).collect():
+            key = tuple(row)
+            if row["model_id"] not in ends and key in seen:
+                period = k - seen[key]
+                ends[row["model_id"]] = (k + period - 1, period)
+            seen.setdefault(key, k)
+        if ends:  # in the extra period, a step counts as its last repeat
+            known = spark.createDataFrame([(m, *x) for m, x in ends.items()], "model_id string, last long, period long")
+            more = frontier.join(known, "model_id").where(F.col("last") >= k).join(size, "model_id").where(F.col("n") >= k)
+            step = F.lit(k) + F.floor((F.col("n") - k) / F.col("period")) * F.col("period")
+            reached.append(cut(more.select("model_id", "node_id", step.cast("long").alias("k"))))
+            frontier = frontier.join(known.where(F.col("last") <= k).select("model_id"), "model_id", "left_anti")
         k += 1
-        step = frontier.join(e, ["model_id", "node_id"]).select("model_id", F.col("child").alias("node_id")).distinct().join(size.where(F.col("n") >= k), "model_id", "left_semi")
-        frontier = cut(step)
+        frontier = cut(
+            frontier.join(e, ["model_id", "node_id"]).select("model_id", F.col("child").alias("node_id")).distinct().join(size.where(F.col("n") >= k), "model_id", "left_semi")
+        )
         if not frontier.limit(1).count():
             return _deepest(reached)
-        reached.append(frontier.withColumn("k", F.lit(k)))
+        reached.append(frontier.withColumn("k", F.lit(k).cast("long")))
         if len(reached) >= 16:  # fold the levels so far into one table
             reached = [cut(_deepest(reached))]
 
