@@ -323,6 +323,7 @@ def bpmn_shapes(files: DataFrame, most_levels: int = 1000) -> DataFrame:
     else:
         raise RuntimeError(f"shapes nested deeper than {most_levels} levels")
     kept = _first_shapes(cut(found))
+    kept = kept.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("name", "target", "source")} | {"outgoing": F.when(F.col("error").isNull(), F.col("outgoing")).otherwise(F.array().cast("array<string>"))})
     order = F.row_number().over(W.partitionBy("model_id").orderBy("path")) - 1
     lost = broken.select("model_id", F.lit(0).cast("bigint").alias("seq"), F.lit("ValueError: no object").alias("error"))
     return kept.withColumn("seq", order.cast("bigint")).select("model_id", "seq", "parent_id", "shape_id", "stencil", "name", "outgoing", "target", "error", "source").unionByName(lost, allowMissingColumns=True)
@@ -352,7 +353,7 @@ def _first_shapes(found: DataFrame, most_rounds: int = 100) -> DataFrame:
     rest = _outside(found, gone)
     repeated = found.join(gone, ["model_id", "path"], "left_semi")
     inside = _outside(repeated, gone, strictly=True)
-    return rest.unionByName(inside.select(*[F.lit("DUPLICATE_ID").alias(c) if c == "error" else F.lit(None).cast(found.schema[c].dataType).alias(c) if c in ("name", "target", "source") else F.array().cast("array<string>").alias(c) if c == "outgoing" else c for c in found.columns]))
+    return rest.unionByName(inside.withColumn("error", F.lit("DUPLICATE_ID")))
 
 
 def _outside(rows: DataFrame, tops: DataFrame, strictly: bool = False) -> DataFrame:
@@ -599,6 +600,7 @@ def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     not resolve becomes an external class or data type, as its use says.  Of edges alike the first stands."""
     e = elements.where("error is null")
     kinds = {"EPackage": "EPackage", "eSubpackages": "EPackage", "eLiterals": "EEnumLiteral", "eOperations": "EOperation", "eParameters": "EParameter"}
+    kinds |= {k: k for k in ("EClass", "EDataType", "EEnum")}
     mapping = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
     kind = F.coalesce(F.regexp_replace(F.col("attrs")["xsi:type"], "^ecore:", ""), mapping[F.col("tag")])
     item = e.select("model_id", "seq", "parent_seq", "anc_seqs", kind.alias("type"), F.col("attrs")["name"].alias("name"), "attrs", "tag").where("type is not null and name is not null")

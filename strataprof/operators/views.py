@@ -80,16 +80,22 @@ def _kind(t: T.DataType) -> str:
 
 
 def field_catalog(df: DataFrame) -> DataFrame:
-    """``field, type, n, non_null, n_distinct, is_unique`` from one pass over all columns."""
-    def of(c: str) -> Column:
-        v = _q(c)
-        kind = _kind(df.schema[c].dataType)
-        if kind.startswith("map"):
-            v = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(v))))
-        return F.struct(F.lit(c).alias("field"), F.lit(kind).alias("type"), F.count("*").alias("n"), F.count(v).alias("non_null"), F.count_distinct(v).alias("n_distinct"))
-
-    rows = df.agg(F.array(*[of(c) for c in df.columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
-    return rows.withColumn("is_unique", (F.col("n_distinct") == F.col("n")) & (F.col("n") > 0))
+    """``field, type, sample, n, non_null, n_distinct, is_unique``.  Values of all columns become (field, text) pairs, which
+    are counted by pair and then by field; the sample is the smallest text.  Unique: no value twice, nulls aside."""
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.MapType):
+            return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(_q(c)))))
+        return F.to_json(_q(c)) if isinstance(kind, (T.StructType, T.ArrayType)) else _q(c).cast("string")
+
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), text(c).alias("value")) for c in df.columns])).alias("x")).select("x.*")
+    counted = pairs.groupBy("field", "value").agg(F.count("*").alias("n")).groupBy("field").agg(
+        F.min("value").alias("sample"), F.sum("n").alias("n"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.count("value").alias("n_distinct")
+    )
+    fields = df.sparkSession.createDataFrame([(c, _kind(df.schema[c].dataType)) for c in df.columns], "field string, type string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = fields.join(counted, "field", "left").select("field", "type", "sample", zero("n"), zero("non_null"), zero("n_distinct"))
+    return rows.withColumn("is_unique", (F.col("n_distinct") == F.col("non_null")) & (F.col("non_null") > 0))
 
 
 def predicate(df: DataFrame, f: Filter) -> Column:

@@ -190,7 +190,7 @@ _FIELDS = [("parsing.parse_status", "string", "parse_status"), ("parsing.parse_t
 @query("view_fields", " UNION ALL ".join(f"SELECT '{f}' AS field, '{t}' AS type, count(*) AS n, count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) = count(*) AS is_unique FROM ok" for f, t, c in _FIELDS), b.DIAGNOSTICS)
 def _(spark, sf):
     w = _wide(spark, sf)
-    return views.field_catalog(w.select(*[F.col(f"`{f}`") for f, _, _ in _FIELDS]))
+    return views.field_catalog(w.select(*[F.col(f"`{f}`") for f, _, _ in _FIELDS])).drop("sample")
 
 
 # --- extraction ------------------------------------------------------------------------------------------------
