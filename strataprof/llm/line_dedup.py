@@ -53,15 +53,16 @@ def drop_repeated_lines(
         F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text_col).alias("_row"),
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])],
     )
-    parts = F.split("_text", "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    # lines and the places that stay are bound once: inside the inner lambda each text would be split again for every line
+    bound = F.transform(F.array(F.split("_text", "\n")), lambda parts: F.struct(parts.alias("parts"), F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")).alias("rest")))
+    rest = F.transform(bound, lambda b: F.array_join(F.transform(b["rest"], lambda i: F.get(b["parts"], i)), "\n"))
     return (
         src.join(dropped, ["_id", "_row"], "left")
         .select(
             F.col("_id").alias(id_col),
             *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep or [])],
             F.when(F.col("_gone").isNull(), F.col("_text"))
-            .otherwise(F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n"))
+            .otherwise(F.get(rest, F.lit(0)))
             .alias("kept_text"),
             (F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
             F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),

@@ -1,4 +1,5 @@
 import random
+import time
 
 from strataprof.llm import line_dedup
 
@@ -29,3 +30,16 @@ def test_lines_against_brute_force(spark):
     got = sorted((tuple(r) for r in line_dedup.drop_repeated_lines(df).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()), key=str)
     assert got == sorted(brute_lines(rows), key=str)
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_long_documents_cost_by_their_length(spark):
+    """A dropped line among very many: the text is split once, not once for each line."""
+    took, last = {}, "a line that three documents hold"
+    for extra in ("", last + "\n"):
+        text = extra + "\n".join(f"line {i}" for i in range(100_000))
+        df = spark.createDataFrame([(1, text), (2, last), (3, last), (4, last)], "doc_id long, text string")
+        began = time.time()
+        got = line_dedup.drop_repeated_lines(df).where("doc_id = 1").first()
+        took[extra] = time.time() - began
+        assert (got["n_lines"], got["n_dropped"], got["kept_text"]) == (100_000 + bool(extra), int(bool(extra)), text[len(extra) :])
+    assert took[last + "\n"] < 3 * took[""] + 5
