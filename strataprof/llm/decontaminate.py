@@ -11,7 +11,7 @@ out; without one, words must have been put in after nearly every word.
 The benchmark goes to the tasks in blocks of bounded size, one pass over the documents for each.  Null or empty texts and
 items of fewer than three words match nothing; null ids are carried; repeated documents and items each give rows; of equal scores
 the first stretch stands; an empty table gives an empty result; other columns are ignored.  Very long texts cost arrays
-proportional to their length.
+proportional to their length, and time in proportion to it.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ N = 2
 LEAST_WORDS = 3
 GAP = 0.5
 BITS = np.int64(31)  # of a word's number within a block
+PIECE = 256  # words of a text that are looked at together, at least
 
 
 def words_of(text: str) -> list[str]:
@@ -51,76 +52,102 @@ def codes_of(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds_of(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All n-grams of the items, sorted, with item and place."""
+def seeds_of(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of the items, sorted, with their item."""
     none = [np.zeros(0, dtype=np.int64)]
     grams = [codes_of(x) if len(x) >= LEAST_WORDS else none[0] for x in items]
     code = np.concatenate(grams or none)
     item = np.repeat(np.arange(len(grams)), list(map(len, grams)))
-    place = np.concatenate([np.arange(len(g)) for g in grams] or none)
     order = np.argsort(code, kind="stable")
-    return code[order], item[order], place[order]
+    return code[order], item[order]
 
 
 @dataclass
 class Block:
-    """Items of one block: their word numbers, the vocabulary, and seeds as sorted codes with item and place."""
+    """Items of one block: their word numbers, the vocabulary, and seeds as sorted codes with their item."""
 
     names: list
     items: list[np.ndarray]
     vocabulary: dict[str, int]
     seeds: np.ndarray
     seed_item: np.ndarray
-    seed_place: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.lengths = np.fromiter(map(len, self.items), dtype=np.int64, count=len(self.items))
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.concatenate([*self.items, np.zeros(0, dtype=np.int64)])
+        # seeds of items of about one length: at most twice as long as the shortest
+        size = np.ceil(np.log2(np.maximum(self.lengths, 1))).astype(np.int64)[self.seed_item]
+        self.classes = [(int(self.lengths[self.seed_item[size == c]].max()), self.seeds[size == c], self.seed_item[size == c]) for c in np.unique(size)]
 
     def numbers(self, text: str) -> np.ndarray:
         found = list(map(self.vocabulary.get, words_of(text)))
         return np.array([-1 if x is None else x for x in found], dtype=np.int64)
 
     def find(self, text: str, threshold: float) -> list[tuple[int, float, int, int, int]]:
-        """(item, score, seeds, first word, end word) of each item that aligns at or over the threshold."""
+        """(item, score, seeds, first word, end word) of each item that aligns at or over the threshold.
+
+        The text is taken in pieces that overlap by the longest alignment.  In each, work grows with its distinct seeds and
+        what holds them, then with the piece for each item that may still reach the threshold: a pair that item and text
+        both repeat is not multiplied out, and time is in proportion to the length of the text."""
         ids = self.numbers(text)
         codes = codes_of(ids)
-        at = np.flatnonzero(codes >= 0)
-        if not len(at) or not len(self.seeds):
-            return []
-        lo, hi = np.searchsorted(self.seeds, codes[at], "left"), np.searchsorted(self.seeds, codes[at], "right")
-        n = hi - lo
-        if not n.any():
-            return []
-        place = np.repeat(at, n)
-        row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, start = self.seed_item[row], place - self.seed_place[row]
-        lengths = np.fromiter(map(len, self.items), dtype=np.int64)
-        order = np.lexsort((start, item))
-        item, start, row = item[order], start[order], row[order]
-        # stretches: runs of starts of one item no further apart than words can be put in without falling below the threshold
-        reach = np.ceil(lengths * max(0.0, 1 - threshold) / GAP).astype(np.int64)
-        fresh = np.append(True, (item[1:] != item[:-1]) | (start[1:] - start[:-1] > reach[item[1:]]))
-        first_of = np.flatnonzero(fresh)
-        last_of = np.append(first_of[1:], len(item))
         here = np.zeros(len(self.vocabulary) + 1, dtype=bool)  # the last is for unknown words
         best: dict[int, tuple[float, int, int]] = {}
-        pairs: dict[int, int] = {}
-        for x, y in zip(first_of.tolist(), last_of.tolist()):
-            k = int(item[x])
-            words = self.items[k]
-            m = len(words)
-            first, end = max(0, int(start[x] - reach[k])), min(len(ids), int(start[y - 1] + reach[k]) + m)
-            doc = ids[first:end]
-            here[doc] = True
-            here[-1] = False
-            common = int(np.count_nonzero(here[words]))
-            here[doc] = False
-            if min(common, (common + y - x + 1) / 2) / m < threshold:
-                continue
-            score, a, b = align(words, doc)
-            if score >= threshold and (k not in best or score > best[k][0]):
-                best[k] = (score, first + a, first + b)
-        for k in best:
-            x, y = np.searchsorted(item, [k, k + 1])
-            pairs[k] = len(np.unique(row[x:y]))
-        return [(k, best[k][0], pairs[k], *best[k][1:]) for k in best]
+        for longest, seeds, seed_item in self.classes:
+            lo, hi = np.searchsorted(seeds, codes, "left"), np.searchsorted(seeds, codes, "right")
+            held = np.flatnonzero(hi > lo)
+            overlap = reach(longest, threshold)
+            size = max(PIECE, 4 * overlap)
+            for start in range(0, max(1, len(ids) - overlap), size - overlap) if len(held) else ():
+                x, y = np.searchsorted(held, (start, start + size - 1))
+                if x == y:
+                    continue
+                _, once = np.unique(lo[held[x:y]], return_index=True)
+                at = held[x:y][once]
+                n = hi[at] - lo[at]
+                which, pairs = np.unique(seed_item[np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], return_counts=True)
+                piece = ids[start : start + size]
+                here[piece] = True
+                here[-1] = False
+                m = self.lengths[which]
+                first = np.cumsum(m) - m
+                common = np.add.reduceat(here[self.flat[np.repeat(self.offsets[which] - first, m) + np.arange(m.sum())]].astype(np.int64), first)
+                here[piece] = False
+                for k in which[np.minimum(common, (common + pairs + 1) / 2) >= threshold * m].tolist():
+                    item = self.items[k]
+                    here[item] = True
+                    on = here[piece]
+                    here[item] = False
+                    for a, b in stretches(on, len(item), threshold):
+                        score, c, d = align(item, piece[a:b])
+                        if score >= threshold and (k not in best or score > best[k][0]):
+                            best[k] = (score, start + a + c, start + a + d)
+        known = np.unique(codes) if best else codes
+        return [(k, best[k][0], int(np.isin(codes_of(self.items[k]), known).sum()), *best[k][1:]) for k in sorted(best)]
+
+
+def reach(m: int, threshold: float) -> int:
+    """Words of a text that an alignment over the threshold with ``m`` words may span: the words, and as many put in as the
+    score can spare."""
+    return m + int(np.ceil(m * max(0.0, 1 - threshold) / GAP))
+
+
+def stretches(on: np.ndarray, m: int, threshold: float) -> list[tuple[int, int]]:
+    """Stretches of a text that may hold an alignment at or over the threshold with an item of ``m`` words; ``on`` tells
+    words of the item.
+
+    An alignment has at least threshold * m words of the item within its reach.  Windows that have as many are joined where
+    they overlap."""
+    span = reach(m, threshold)
+    total = np.append(0, np.cumsum(on))
+    starts = np.arange(max(1, len(on) - span + 1))
+    ends = np.minimum(starts + span, len(on))
+    full = np.flatnonzero(total[ends] - total[starts] >= threshold * m)
+    if not len(full):
+        return []
+    cuts = np.flatnonzero(starts[full][1:] > ends[full][:-1])
+    return list(zip(starts[full[np.append(0, cuts + 1)]].tolist(), ends[full[np.append(cuts, len(full) - 1)]].tolist()))
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int]:

@@ -1,8 +1,11 @@
 import math
 import random
 import re
+import time
 import zlib
 
+import numpy as np
+
 from strataprof.llm import decontaminate, pii, toxicity
 
 
@@ -176,3 +179,28 @@ def test_toxicity_of_odd_tables(spark):
     assert got[900] == 1 and sum(got[i] == 1 - i % 2 for i in range(200)) >= 190
     assert model.transform(docs.limit(0)).count() == 0
     assert toxicity.fit(docs.limit(0), lab).transform(docs).where("score <> 0").count() == 0
+
+
+def test_common_pairs_of_long_documents_and_many_items_are_not_multiplied():
+    """Items that all repeat a common pair, and a long document that repeats it too: time goes with the length."""
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(20_000)]
+    vocabulary, items = {}, []
+    for _ in range(5000):
+        words = [rng.choice(pool) for _ in range(14)]
+        for at in (12, 7, 2):
+            words[at:at] = ["of", "the"]
+        items.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]))
+    block = decontaminate.Block(list(range(5000)), items, vocabulary, *decontaminate.seeds_of(items))
+    took = {}
+    for n in (800, 12_800):
+        text = " ".join("of the" if i % 20 == 0 else rng.choice(pool) for i in range(n))
+        began = time.process_time()
+        assert block.find(text, 0.4) == []
+        took[n] = time.process_time() - began
+    assert took[12_800] < 3 and took[12_800] < 60 * took[800]
+    names = {i: w for w, i in vocabulary.items()}
+    leak = [names[x] for x in items[77]]
+    leak[5] = "other"
+    text = " ".join(rng.choice(pool) for _ in range(3000)) + " " + " ".join(leak) + " " + " ".join(rng.choice(pool) for _ in range(3000))
+    assert [(k, x) for k, _, _, x, _ in block.find(text, 0.4)] == [(77, 3000)]
