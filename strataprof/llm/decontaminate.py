@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -76,13 +77,17 @@ class Block:
         self.lengths = np.fromiter(map(len, self.items), dtype=np.int64, count=len(self.items))
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.flat = np.concatenate([*self.items, np.zeros(0, dtype=np.int64)])
-        # seeds of items of about one length: at most twice as long as the shortest
-        size = np.ceil(np.log2(np.maximum(self.lengths, 1))).astype(np.int64)[self.seed_item]
-        self.classes = [(int(self.lengths[self.seed_item[size == c]].max()), self.seeds[size == c], self.seed_item[size == c]) for c in np.unique(size)]
+        # items of up to 64 words, 512 and so on apart, as pieces of texts go by the longest; seeds of each by distinct code
+        size = np.ceil(np.log2(np.maximum(self.lengths, 64) / 64) / 3).astype(np.int64)[self.seed_item]
+        self.codes = np.append(np.unique(self.seeds), np.iinfo(np.int64).max)
+        self.classes = []
+        for c in np.unique(size):
+            item, seeds = self.seed_item[size == c], self.seeds[size == c]
+            first = np.searchsorted(seeds, self.codes)
+            self.classes.append((int(self.lengths[item].max()), item, first, np.searchsorted(seeds, self.codes, "right") - first))
 
     def numbers(self, text: str) -> np.ndarray:
-        found = list(map(self.vocabulary.get, words_of(text)))
-        return np.array([-1 if x is None else x for x in found], dtype=np.int64)
+        return np.array(list(map(self.vocabulary.get, words_of(text), repeat(-1))), dtype=np.int64)
 
     def find(self, text: str, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, seeds, first word, end word) of each item that aligns at or over the threshold.
@@ -94,25 +99,27 @@ class Block:
         codes = codes_of(ids)
         here = np.zeros(len(self.vocabulary) + 1, dtype=bool)  # the last is for unknown words
         best: dict[int, tuple[float, int, int]] = {}
-        for longest, seeds, seed_item in self.classes:
-            lo, hi = np.searchsorted(seeds, codes, "left"), np.searchsorted(seeds, codes, "right")
-            held = np.flatnonzero(hi > lo)
+        code = np.searchsorted(self.codes, codes)
+        held = np.flatnonzero(self.codes[code] == codes)
+        code = code[held]
+        for longest, seed_item, first_of, n_of in self.classes if len(held) else ():
             overlap = reach(longest, threshold)
             size = max(PIECE, 4 * overlap)
-            for start in range(0, max(1, len(ids) - overlap), size - overlap) if len(held) else ():
-                x, y = np.searchsorted(held, (start, start + size - 1))
+            for start in range(0, max(1, len(ids) - overlap), size - overlap):
+                x, y = held.searchsorted((start, start + size - 1))
                 if x == y:
                     continue
-                _, once = np.unique(lo[held[x:y]], return_index=True)
-                at = held[x:y][once]
-                n = hi[at] - lo[at]
-                which, pairs = np.unique(seed_item[np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], return_counts=True)
+                at = _distinct(code[x:y])
+                n = n_of[at]
+                which, pairs = _counted(seed_item[_runs(first_of[at], n)])
                 piece = ids[start : start + size]
                 here[piece] = True
                 here[-1] = False
                 m = self.lengths[which]
-                first = np.cumsum(m) - m
-                common = np.add.reduceat(here[self.flat[np.repeat(self.offsets[which] - first, m) + np.arange(m.sum())]].astype(np.int64), first)
+                if not len(which):
+                    here[piece] = False
+                    continue
+                common = np.add.reduceat(here[self.flat[_runs(self.offsets[which], m)]], m.cumsum() - m, dtype=np.int64)
                 here[piece] = False
                 for k in which[np.minimum(common, (common + pairs + 1) / 2) >= threshold * m].tolist():
                     item = self.items[k]
@@ -120,6 +127,14 @@ class Block:
                     on = here[piece]
                     here[item] = False
                     for a, b in stretches(on, len(item), threshold):
+                        here[piece[a:b]] = True
+                        here[-1] = False
+                        shared = np.count_nonzero(here[item])
+                        here[piece[a:b]] = False
+                        if shared < threshold * len(item):
+                            continue
+                        if (shared + np.isin(codes_of(item), codes[start + a : start + b - 1]).sum() + 1) / 2 < threshold * len(item):
+                            continue
                         score, c, d = align(item, piece[a:b])
                         if score >= threshold and (k not in best or score > best[k][0]):
                             best[k] = (score, start + a + c, start + a + d)
@@ -127,6 +142,28 @@ class Block:
         return [(k, best[k][0], int(np.isin(codes_of(self.items[k]), known).sum()), *best[k][1:]) for k in sorted(best)]
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first[0], first[0] + 1, ...``: n[0] numbers, then n[1] from ``first[1]`` on."""
+    ends = n.cumsum()
+    return (first - ends + n).repeat(n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    fresh = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each is there."""
+    x = np.sort(x)
+    fresh = np.ones(len(x) + 1, dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:-1])
+    at = np.flatnonzero(fresh)
+    return x[at[:-1]], at[1:] - at[:-1]
+
+
 def reach(m: int, threshold: float) -> int:
     """Words of a text that an alignment over the threshold with ``m`` words may span: the words, and as many put in as the
     score can spare."""
