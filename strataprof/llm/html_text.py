@@ -8,11 +8,17 @@ template:
 * content that recurs is deleted, wherever it stands; for prose (paragraphs, headings, items) it takes half of the pages;
 * a container at a place that recurs and holds little of the host's text is deleted;
 * a place that holds most of the host's text is where the articles are: where that is an ``article`` or ``main`` element
-  only what is in it counts, and there a container goes only for its content or if its markup names it as no main text;
-* blocks so named (menus, adverts, notices, comments of readers ...) need to recur on two pages only.
+  only what is in it counts, and there a container goes only for its content or if its markup names it as no main text.
+  Where no such place is an article, articles that hold a fair part of the page are taken.
 
-Elements that HTML defines as no main text (nav, footer, aside, form, script, style ...) go everywhere.  A host with few
-pages shows no template: there names alone decide, and ``article`` or ``main`` is taken for the main text.
+On a host with few distinct pages a hash must stand on all of them, and then only small containers go for their content.
+A page alone on its host, or without a host, is weighed by its own text in the same way.
+
+What markup says is evidence that the text outweighs.  Elements that HTML defines as no main text (nav, footer, aside,
+script, style ...) go everywhere.  A form, and a block whose class or id names it as a menu, an advert, a notice or
+comments of readers, goes unless it holds the page: half of the page's text and prose, with its h1 if it has one; a named
+block also goes if blocks of that name recur and hold less than half of the host's text.  A name with a second part that
+says nothing about layout ("ad-hoc", "social-history") counts only for a block whose text is mostly links.
 
 Null html gives an empty text; a null url or one without a host has no template; repeated pages of a host count once for
 its template and each come back; a share that is just reached counts as reached; an empty table gives an empty result;
@@ -32,6 +38,7 @@ from pyspark.sql import functions as F
 
 from strataprof.llm.common import cut, per_text, table
 
+LIGHT, HEAVY = 0.2, 0.5  # shares of the text: a part of the layout holds less, a place of main text at least
 MOST_BROADCAST = 200_000  # template subtrees of all hosts, 8 bytes each beside their host
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -45,19 +52,34 @@ BLOCK = frozenset(
 )
 SHUTS_P = BLOCK - {"dd", "dt", "li", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "head", "legend", "summary"}
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption tr".split())
-DROPPED = frozenset("nav footer aside form head menu dialog button select option input label fieldset".split()) | RAW
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+FORMS = frozenset("form label fieldset".split())
+DROPPED = frozenset("nav footer aside head menu dialog button select option input".split()) | FORMS | RAW
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 #: Class or id names, or one half of them, that tell what a block is for (fixed values).
 NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar ad ads advert adverts advertisement banner sponsor sponsored cookie "
     "cookies consent newsletter subscribe share sharing social comment comments respond disqus footer masthead pagination pager "
     "toolbar popup modal".split()
 )
+#: What stands beside such a name without changing what it says (fixed values).
+LAYOUT_NAMES = frozenset(
+    "area bar block body bottom box buttons center col column container content desktop dialog first fixed form global group head header "
+    "icon icons inner item items js label last layout left link links list main mobile module outer overlay page panel post primary "
+    "message notice notices policy reader readers right row secondary section signup site slot sticky text this thread title top "
+    "trail unit user users visitor widget wrap wrapper zone".split()
+)
+
 
 @lru_cache(maxsize=1 << 16)
-def _named(names: tuple[str, ...]) -> tuple[str, ...]:
-    """The names that say a block is no main text: a class or id of at most two parts, one of them in NAMES."""
-    return tuple(sorted({p for n in names if len(parts := [p for p in re.split("[-_]+", n) if p]) <= 2 for p in parts if p in NAMES}))
+def _named(names: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The names that say a block is no main text, and those that hint at it: of a class or id of at most two parts, those
+    in NAMES, where the other part is a name of layout, or is not."""
+    said, hinted = set(), set()
+    for n in names:
+        parts = [p for p in re.split("[-_]+", n) if p]
+        if len(parts) <= 2:
+            (said if all(p in NAMES or p in LAYOUT_NAMES for p in parts) else hinted).update(p for p in parts if p in NAMES)
+    return tuple(sorted(said)), tuple(sorted(hinted))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -75,10 +97,12 @@ class Template:
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "parts", "key", "place", "size")
+    __slots__ = ("tag", "names", "role", "parts", "key", "place", "size", "links", "prose", "titled")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.names, self.role, self.parts, self.key, self.place, self.size = tag, (), "", [], 0, 0, 0
+        self.tag, self.names, self.role, self.parts, self.key, self.place = tag, (), "", [], 0, 0
+        self.size = self.links = self.prose = 0  # code points under it, those in links, those in prose
+        self.titled = tag == "h1"  # whether it is or holds an h1
         if "=" in attributes:
             names = []
             for m in ATTRIBUTE.finditer(attributes):
@@ -93,7 +117,11 @@ class Node:
     @property
     def named(self) -> int:
         """A hash of what the markup says a block is for, 0 if it says nothing of the kind."""
-        said = _named(self.names) if self.names else ()
+        if not self.names:
+            return 0
+        said, hinted = _named(self.names)
+        if hinted and 2 * self.links > self.size:
+            said += hinted
         return _hash("named", self.tag, *said) if said else 0
 
 
@@ -156,8 +184,8 @@ BOX, PROSE_TEXT, PLACE, NAMED = range(4)
 
 
 def hash_subtrees(root: Node) -> dict[tuple[int, int], int]:
-    """Set ``key`` (content), ``place`` and ``size`` (code points) of every element; the hashes of block elements by kind, with
-    the text that stands under each."""
+    """Set ``key`` (content), ``place`` and the sizes of every element; the hashes of block elements by kind, with the text
+    that stands under each."""
     found: dict[tuple[int, int], int] = {}
     todo, order = [(root, 0)], []
     while todo:
@@ -171,10 +199,17 @@ def hash_subtrees(root: Node) -> dict[tuple[int, int], int]:
             if not isinstance(x, str):
                 said.append(str(x.key))
                 size += x.size
+                node.links += x.links
+                node.prose += x.prose
+                node.titled |= x.titled
             elif said_here := " ".join(x.split()):
                 said.append(said_here)
                 size += len(said_here)
         node.size = size
+        if node.tag in ("a", "button"):
+            node.links = size
+        if node.tag in PROSE:
+            node.prose = size
         node.key = int.from_bytes(hashlib.blake2b("\x00".join(said).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
         if node.tag in BLOCK and node.tag not in DROPPED:
             prose = node.tag in PROSE
@@ -187,8 +222,15 @@ def hash_subtrees(root: Node) -> dict[tuple[int, int], int]:
     return found
 
 
-def _no_text(node: Node, inside: bool) -> bool:
+def _holds_page(node: Node, page: Node) -> bool:
+    """Whether most of a page's text stands in the element, its title included: then it is no mere part of the page."""
+    return 2 * node.size >= page.size and 2 * node.prose >= page.prose and (node.titled or not page.titled)
+
+
+def _no_text(node: Node, inside: bool, page: Node) -> bool:
     """Whether HTML itself defines the element as no main text."""
+    if node.tag in FORMS or node.role == "form":
+        return not _holds_page(node, page)
     if node.tag in DROPPED or node.role in DROPPED_ROLES:
         return True
     return node.tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in _elements(node)))
@@ -202,27 +244,37 @@ def _elements(node: Node):
         todo.extend(x for x in reversed(n.parts) if not isinstance(x, str))
 
 
-def _roots(root: Node, template: Template | None) -> list[Node]:
-    """Where the main text stands: the outermost articles at a place of main text; without a template, articles, or
-    else main elements; else the whole page."""
-    for tags in (("article",), ("main",)) if template is None else (("article", "main"),):
+def _roots(root: Node, template: Template) -> list[Node]:
+    """Where the main text stands: the outermost articles at a place of main text; else articles, or else main elements,
+    that are no part of the layout and hold a fair part of the page; else the whole page."""
+    for tags, fits in (
+        (("article", "main"), lambda n: n.place in template.heavy),
+        (("article",), lambda n: n.place not in template.layout and not n.named),  # comments may be articles too
+        (("main",), lambda n: n.place not in template.layout and not n.named),
+    ):
         found, todo = [], [root]
         while todo:
             n = todo.pop()
-            if (n.tag in tags or n.role in tags) and (template is None or n.place in template.heavy):
+            if (n.tag in tags or n.role in tags) and fits(n):
                 found.append(n)
-            elif n is root or not _no_text(n, False):
+            elif n is root or not _no_text(n, False, root):
                 todo.extend(x for x in reversed(n.parts) if not isinstance(x, str))
-        if found:  # comments and teasers may be articles too
-            return [n for n in found if not n.named] or found if template is None else found
+        if found and sum(n.size for n in found) >= LIGHT * root.size:
+            return found
     return [root]
 
 
+def alone(found: dict[tuple[int, int], int], total: int) -> Template:
+    """What one page shows of a template: where most of its text stands."""
+    return Template(heavy=frozenset(key for (kind, key), size in found.items() if kind == PLACE and size >= HEAVY * total))
+
+
 def main_text(page: str, template: Template | None = None) -> str:
-    """Blocks of the main text in page order, one to a line.  ``template``: None where a host shows none."""
+    """Blocks of the main text in page order, one to a line.  ``template``: None for a page weighed by its own text."""
     root = parse(page)
-    if template is not None:
-        hash_subtrees(root)
+    found = hash_subtrees(root)
+    if template is None:
+        template = alone(found, root.size)
     roots = _roots(root, template)
     blocks: list[str] = []
     run: list[str] = []
@@ -236,9 +288,9 @@ def main_text(page: str, template: Template | None = None) -> str:
     def gone(x: Node, inside: bool) -> bool:
         if x.tag not in BLOCK:
             return False
-        if template is None:
-            return bool(x.named) and x.tag not in ("html", "body", "main")
-        if x.key in template.content or x.names and x.named in template.layout:
+        if x.key in template.content:
+            return True
+        if x.tag not in ("html", "body", "main") and (named := x.named) and (named in template.layout or not _holds_page(x, root)):
             return True
         return not inside and x.tag not in PROSE and x.place in template.layout
 
@@ -256,13 +308,13 @@ def main_text(page: str, template: Template | None = None) -> str:
                 run.append(x)
                 continue
             if x is not top:
-                if _no_text(x, inside or template is None):
+                if _no_text(x, inside, root):
                     run.append(" ")
                     continue
                 if gone(x, inside):
                     flush()
                     continue
-            if template is not None and not inside and x.tag not in ("html", "body") and x.place in template.heavy and not boxes(x):
+            if not inside and x.tag not in ("html", "body") and x.place in template.heavy and not boxes(x):
                 inside = True  # the innermost place that holds most of the text
             if x.tag == "br" or x.tag in ("td", "th"):
                 run.append(" ")
@@ -304,16 +356,20 @@ def subtree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def templates(
     pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 8, share: float = 0.2, prose_share: float = 0.5,
-    light: float = 0.2, heavy: float = 0.5,
+    light: float = LIGHT, heavy: float = HEAVY,
 ) -> DataFrame:
-    """``host, content, layout, heavy``: hashes to delete and of places of main text, for hosts of at least ``min_pages``
-    distinct pages.  A hash must stand on ``min_pages`` of them and on ``share`` (``prose_share``) of all, so a host has
-    at most as many as its pages have subtrees on average, over ``share``; names are bounded by their list."""
+    """``host, content, layout, heavy``: hashes to delete and of places of main text, for hosts of two distinct pages or
+    more.  A hash must stand on ``min_pages`` of them, or on all if they are fewer, and on ``share`` (``prose_share``) of
+    all, so a host has at most as many as its pages have subtrees on average, over ``share``; names are bounded by their
+    list.  What fewer than ``min_pages`` pages share may be one article told twice: of that only light containers go."""
     counts, hosts = subtree_counts(pages, url_col, html_col)
-    known = hosts.where(F.col("n") >= min_pages)
-    often = (F.col("c") >= min_pages) & (F.col("c") >= share * F.col("n"))
+    known = hosts.where("n >= 2")
+    often = (F.col("c") >= F.least(F.lit(min_pages), F.col("n"))) & (F.col("c") >= share * F.col("n"))
+    sure = F.col("c") >= min_pages
+    small = F.col("chars") * F.col("n") < light * F.col("total") * F.col("c")
     role = (
-        F.when(often & ((F.col("kind") == BOX) | (F.col("kind") == PROSE_TEXT) & (F.col("c") >= prose_share * F.col("n"))), "content")
+        F.when(often & (F.col("kind") == BOX) & (sure | small), "content")
+        .when(often & sure & (F.col("kind") == PROSE_TEXT) & (F.col("c") >= prose_share * F.col("n")), "content")
         .when(often & (F.col("kind") == PLACE) & (F.col("chars") >= heavy * F.col("total")), "heavy")
         .when(often & (F.col("kind") == PLACE) & (F.col("chars") < light * F.col("total")), "layout")
         .when((F.col("kind") == NAMED) & (F.col("c") >= 2) & (F.col("chars") < heavy * F.col("total")), "layout")
@@ -340,7 +396,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 out.append("")
                 continue
             host = hosts[i].as_py()
-            if host is None:
+            if host is None:  # no host, or one distinct page
                 template = None
             elif host != last:
                 template = Template(**{k: frozenset(v or ()) for k, v in (given[i].as_py() or {}).items()})

@@ -32,6 +32,42 @@ def test_marks_and_names_that_only_look_like_chrome():
     assert len(html_text.main_text("<p>" + "word " * 400_000 + "<div a='" * 20_000)) == 5 * 400_000 - 1
 
 
+ARTICLE = "".join(f"<p>Sentence {i} of a text that is long enough to matter" for i in range(12))
+WANT = "\n".join(f"Sentence {i} of a text that is long enough to matter" for i in range(12))
+
+
+def test_a_form_or_a_name_does_not_take_the_page():
+    low = "<div class='cookie-notice'>We use cookies</div><form><label>Search</label><input></form>"
+    for body in (
+        f"<form action='/x.aspx'><nav>menu</nav><h1>T</h1><div>{ARTICLE}</div>{low}</form>", f"<div id='modal'><h1>T</h1>{ARTICLE}</div>{low}",
+        f"<h1>T</h1><section class='ad-hoc'>{ARTICLE}</section>{low}", f"<h1>T</h1><div class='social-history'>{ARTICLE}</div>{low}",
+        f"<h1>T</h1><div id='modal-logic'>{ARTICLE}</div>{low}", f"<h1>T</h1><div id='social-media'>{ARTICLE}</div>{low}",
+    ):
+        page = f"<html><body>{body}</body></html>"
+        assert html_text.main_text(page) == "T\n" + WANT, body
+        assert html_text.main_text(page, html_text.Template()) == "T\n" + WANT, body
+    page = f"<h1>T</h1><p>Short text<div class='comments'>{ARTICLE}</div><div class='social-media'><a href=x>Post it</a> <a>Pin it</a></div>"
+    assert html_text.main_text(page) == "T\nShort text"  # a block that outweighs the text, without the title
+    assert html_text.main_text(f"<h1>Log in</h1><form>{ARTICLE}</form>") == "Log in"
+
+
+def test_hosts_of_few_pages(spark):
+    rows, want = [], {}
+    for n in (1, 2, 3, 7, 8, 9):
+        for i, (url, page, text) in enumerate(site(f"h{n}.example", n, random.Random(n))):
+            rows.append((100 * n + i, url, page.replace("<div class=low>", "<div class='footer-links'>").replace("<div class=top>", "<div class='site-nav'>")))
+            want[100 * n + i] = text
+    copy = f"<html><body><div>{ARTICLE}</div></body></html>"  # two tellings of one article on a host of their own
+    rows += [(1, "https://twin.example/1", copy), (2, "https://twin.example/2", copy.replace("Sentence 3", "Phrase 3"))]
+    rows += [(10 + i, f"https://forms.example/{i}", f"<html><body><form><h1>T{i}</h1><div id='social-media'>{ARTICLE}<p>{i}</div></form></body></html>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    for i, text in want.items():
+        assert got[i] == text or i < 200 and got[i] == text + "\nAll rights belong to us", i  # one page cannot tell what recurs
+    assert got[1] == WANT and got[2] == WANT.replace("Sentence 3", "Phrase 3")
+    assert all(got[10 + i] == f"T{i}\n{WANT}\n{i}" for i in range(3))
+
+
 def test_templates(spark):
     box = "<div>Everything on this site is free of charge</div>"
     rows = [(i, f"https://a.example/{i}", f"<html><body>{box}<section><p>Text number {i}</section></body></html>") for i in range(20)]
