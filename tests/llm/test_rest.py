@@ -51,6 +51,41 @@ def test_revealing_terms_and_sanitising(spark):
     assert out[64] == "a copy holds [EMAIL] beside Quimby"  # twenty copies are one observation
 
 
+def test_disclosure_against_counting_all_pairs(spark):
+    import duckdb
+    import pandas as pd
+    rng = random.Random(12)
+    people = [f"user{i}@mail{i % 7}.org" for i in range(12)] + ["4111 1111 1111 1111", "4111-1111-1111-1111", "+44 20 7946 0000"]
+    own = [[f"Own{chr(97 + i)}{k}" for k in "xyz"] for i in range(len(people))]
+    texts = []
+    for n in range(400):
+        words = [f"w{chr(97 + rng.randrange(20))}{chr(97 + rng.randrange(20))}" for _ in range(rng.randint(0, 30))]
+        for i in rng.sample(range(len(people)), rng.choice((0, 0, 1, 1, 2, 9))):
+            at = rng.randint(0, len(words))
+            words[at:at] = [*rng.sample(own[i], rng.randint(0, 3)), f"k{n}", people[i], f"z{n}"]
+        texts.append(" ".join(words))
+    texts += texts[:5] + ["", None, " ".join(f"d{i} {p} {' '.join(o)}" for i, (p, o) in enumerate(zip(people, own)))]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    want = duckdb.from_df(docs).query("documents", pii.ORACLE).df().set_index("doc_id")["spans"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["_id"]: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]) for r in pii.find_spans(df).collect()}
+    assert {i: s for i, s in want.items() if s} == got
+    assert sum(s.count("term") for s in got.values()) > 200
+
+
+def test_a_directory_is_not_multiplied_out(spark):
+    import time
+    n, m = 4000, 20_000
+    big = " ".join(f"t{i} u{i}@x.org" if i < n else f"t{i}" for i in range(m))
+    texts = [big] + [f"p{k} {i} u{i}@x.org q{k} {i} secret{i}" for i in range(n) for k in range(3)] + [f"t{i} t{i + 1} t{i + 2}" for i in range(0, m, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    start = time.time()
+    found = {r["_id"]: r["spans"] for r in pii.find_spans(df).collect()}
+    assert time.time() - start < 90
+    assert sum(s["kind"] == "email" for s in found[0]) == n and not any(s["kind"] == "term" for s in found[0])
+    assert all(any(s["kind"] == "term" for s in found[i]) for i in range(1, 3 * n + 1))
+
+
 def test_alignment_against_plain_dp():
     import numpy as np
     rng = random.Random(8)
