@@ -3,15 +3,15 @@
 Words and word pairs (bigrams) of the training texts are counted in Spark.  A count c becomes the level 1 + floor(log_b
 c); the filter holds (n-gram, 1) .. (n-gram, level), so that a count comes back, a little overestimated at times and
 never under, by probing rising levels until one is missing.  Every n-gram is in the filter, so the filter grows with the
-corpus; it is cut by hash into shards of a bounded number of tokens, and n-grams go to the shard that holds them instead
-of the filter to every worker.
+corpus.  It is built in segments by hash, each in one task, from a bounded number of n-grams.
 
-Texts are cut into slices.  A slice sends each shard its distinct n-grams once, with their counts in training texts; the
-shard adds the counts of all slices up, builds its part of the filter, probes it for what each slice sent, and answers
-levels (and exact counts of words, for the base score).  Frequent n-grams are sent once a slice, so no shard is hot.
+Up to a checked size the filter is broadcast and probed where the texts are.  Beyond it the n-grams of the texts go to the
+segment that holds them, a row for each distinct n-gram of a slice of texts, so rows grow as the corpus does.  Both
+ways probe the same segments, so results are the same.  The base score takes exact counts, by a join on 64-bit hashes.
 
-Probabilities are smoothed: p(word) by add-one over estimated counts; p(word | word before) has a Dirichlet prior that
-backs off to p(word).
+Texts are cut into slices and a slice counts and asks for its distinct n-grams once, so a frequent n-gram is as many rows as
+there are slices.  Probabilities are smoothed: p(word) by add-one over estimated counts; p(word | word before) has a
+Dirichlet prior that backs off to p(word).
 
 Null texts count as empty: one end token.  Rows that repeat an id and text each come back; a null id is carried; a null
 in ``learns`` is false; no training text at all gives every token probability 1 in the base and the model.  Very long
@@ -39,9 +39,10 @@ LOG_BASE = 1.6
 PROBES = 6
 BITS_PER_ITEM = 10
 SLICE_CHARS = 1 << 23
-SHARD_TOKENS = 1 << 21
-KEY_BITS = np.uint64(40)  # of a hash: the lower bits are the key within a shard, the upper ones name the shard
-MOST_SHARDS = 1 << 24
+SEGMENT_TOKENS = 1 << 20
+SEGMENT_SHIFT = 20  # the bits of a hash above these name its segment
+MOST_BROADCAST = 1 << 27  # bytes of a filter that every worker holds
+PAIR_SALT = np.uint64(1 << 63)
 
 
 def tokens(text: str) -> np.ndarray:
@@ -58,43 +59,58 @@ def expected_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (LOG_BASE ** (j - 1) + np.maximum(LOG_BASE**j - 1, LOG_BASE ** (j - 1))) / 2, 0.0)
 
 
+def _probe(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    item = mix(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return item, mix(item + np.uint64(1)) | np.uint64(1)
+
+
+def _place(item: np.ndarray, step: np.ndarray, i: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    return ((item + np.uint64(i) * step) >> np.uint64(8)) % size
+
+
+def segment_bits(keys: np.ndarray, counts: np.ndarray, bits_per_item: int = BITS_PER_ITEM) -> bytes:
+    """The bits of one segment, for distinct n-grams with their counts."""
+    n = levels(counts)
+    flags = np.zeros(-(-max(64, int(n.sum()) * bits_per_item) // 8) * 8, dtype=bool)
+    j = 1
+    while len(keys):
+        item, step = _probe(keys, j)
+        for i in range(PROBES):
+            flags[_place(item, step, i, np.uint64(len(flags)))] = True
+        more = n > j
+        keys, n, j = keys[more], n[more], j + 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
 @dataclass
 class Filter:
-    """One shard: ``bits`` flags."""
+    """Segments one after another in ``bits``; those without n-grams are eight zeros at the end."""
 
     bits: np.ndarray
+    starts: np.ndarray  # of each segment, in bits
+    sizes: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray, bits_per_item: int = BITS_PER_ITEM) -> Filter:
-        n = levels(counts)
-        made = cls(np.zeros(max(64, int(n.sum()) * bits_per_item), dtype=bool))
-        j = 1
-        while len(keys):
-            for at in made._places(keys, j):
-                made.bits[at] = True
-            more = n > j
-            keys, n, j = keys[more], n[more], j + 1
+    def of(cls, segments: int, held: list[tuple[int, bytes]]) -> Filter:
+        length = np.array([len(x) for _, x in held], dtype=np.int64)
+        total = int(length.sum())
+        made = cls(np.frombuffer(b"".join([*(x for _, x in held), b"\0"]), dtype=np.uint8), np.full(segments, total * 8, dtype=np.int64), np.full(segments, 8, dtype=np.uint64))
+        at = np.array([k for k, _ in held], dtype=np.int64)
+        made.starts[at], made.sizes[at] = (np.cumsum(length) - length) * 8, length * 8
         return made
 
-    def _places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        item = mix(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        step, size = mix(item + np.uint64(1)) | np.uint64(1), np.uint64(len(self.bits))
-        for i in range(PROBES):
-            yield ((item + np.uint64(i) * step) >> np.uint64(8)) % size
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
+    def level(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """Probe level 1, then 2 for those found, and so on."""
         out = np.zeros(len(keys), dtype=np.int64)
         left, j = np.arange(len(keys)), 1
         while len(left):
-            probed = keys[left]
-            alive = np.arange(len(left))
+            item, step = _probe(keys[left], j)
+            start, size = self.starts[segment[left]], self.sizes[segment[left]]
             for i in range(PROBES):
                 # only what is left is probed again
-                item = mix(probed[alive] ^ np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-                step = mix(item + np.uint64(1)) | np.uint64(1)
-                alive = alive[self.bits[((item + np.uint64(i) * step) >> np.uint64(8)) % np.uint64(len(self.bits))]]
-            left = left[alive]
+                at = start + _place(item, step, i, size).astype(np.int64)
+                alive = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                left, item, step, start, size = (x[alive] for x in (left, item, step, start, size))
             out[left] = j
             j += 1
         return out
@@ -161,133 +177,149 @@ def _slices(df: DataFrame, id_col: str, text_col: str, learns: Column, slice_cha
 
 @dataclass
 class Slice:
-    """Distinct words and pairs of a slice, and where each token's word and pair stand among them."""
+    """The distinct words of a slice and where each token's word stands among them."""
 
     words: np.ndarray  # hashes
     token: np.ndarray
     starts: np.ndarray
-    pair_of: np.ndarray
-    before: np.ndarray  # of each pair
-    after: np.ndarray
 
     @classmethod
     def of(cls, words: bytes, packed: bytes, n: int, sizes: np.ndarray) -> Slice:
-        hashes = np.frombuffer(words, dtype=np.uint64)
-        token = _from_planes(zlib.decompress(packed), n).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[starts] = np.flatnonzero(hashes == END)[0]
-        pair_of, code = pd.factorize(before * len(hashes) + token)
-        return cls(hashes, token, starts, pair_of, code // len(hashes), code % len(hashes))
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        return mix(self.words), mix(self.words[self.before] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.after] + np.uint64(0x51))
+        return cls(np.frombuffer(words, dtype=np.uint64), _from_planes(zlib.decompress(packed), n).astype(np.int64), np.cumsum(sizes) - sizes)
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each token's pair stands among the distinct ones; the words of each, first and second."""
+        before = np.empty_like(self.token)
+        before[1:] = self.token[:-1]
+        before[self.starts] = np.flatnonzero(self.words == END)[0]
+        pair_of, code = pd.factorize(before * len(self.words) + self.token)
+        return pair_of, code // len(self.words), code % len(self.words)
 
-def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by shard, the shard ids in it, and keys in it."""
-    shard = (hashes >> KEY_BITS) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    return order, shard[order].astype(np.int64), hashes[order] & np.uint64((1 << int(KEY_BITS)) - 1)
+    def pair_hashes(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return mix(self.words[before] * np.uint64(0xD6E8FEB86659FD93) + self.words[after] + np.uint64(0x51))
 
 
-def _asked(slices: DataFrame, shards: int) -> DataFrame:
-    """``shard, slice, nw, words, word_counts, np, pairs, pair_counts``: distinct n-grams of each slice for each shard,
-    with how often training texts of the slice hold them."""
+def _grams(slices: DataFrame, pairs: bool, learned_only: bool) -> DataFrame:
+    """``slice, place, key, count``: the distinct words or pairs of each slice, by place, and how often its training texts
+    hold them; ``learned_only``: those that they hold."""
 
     def run(batches):
         for b in batches:
-            for row in b.itertuples():
-                sizes = np.asarray(row.sizes)
-                s = Slice.of(row.words, row.tokens, row.n, sizes)
-                on = np.repeat(np.asarray(row.learn, dtype=np.float64), sizes)
-                found: dict[int, dict] = {}
-                for kind, hashes, at in zip(("word", "pair"), s.hashes(), (s.token, s.pair_of)):
-                    counts = np.bincount(at, weights=on, minlength=len(hashes)).astype(np.int64)
-                    order, shard, keys = _by_shard(hashes, shards)
-                    counts = counts[order]
-                    ids, first = np.unique(shard, return_index=True)
-                    for k, x, y in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(shard)]):
-                        found.setdefault(k, {}).update({f"n_{kind}": y - x, f"{kind}s": _planes(keys[x:y]), f"{kind}_counts": _planes(counts[x:y])})
-                out = pd.DataFrame(
-                    [{"n_word": 0, "words": b"", "word_counts": b"", "n_pair": 0, "pairs": b"", "pair_counts": b""} | x | {"shard": k, "slice": row.slice} for k, x in found.items()]
+            for row in b.to_pylist():
+                sizes = np.asarray(row["sizes"])
+                s = Slice.of(row["words"], row["tokens"], row["n"], sizes)
+                at, keys = s.token, s.words
+                if pairs:
+                    at, before, after = s.pairs()
+                    keys = s.pair_hashes(before, after)
+                on = np.repeat(np.asarray(row["learn"], dtype=np.float64), sizes)
+                counts = np.bincount(at, weights=on, minlength=len(keys)).astype(np.int64)
+                place = np.flatnonzero(counts) if learned_only else np.arange(len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(place), row["slice"])), pa.array(place.astype(np.int32)), pa.array(keys[place].view(np.int64)), pa.array(counts[place])],
+                    names=["slice", "place", "key", "count"],
                 )
-                yield out[["shard", "slice", "n_word", "words", "word_counts", "n_pair", "pairs", "pair_counts"]]
 
-    return slices.select("slice", "n", "sizes", "learn", "words", "tokens").mapInPandas(
-        run, "shard bigint, slice bigint, n_word int, words binary, word_counts binary, n_pair int, pairs binary, pair_counts binary"
-    )
+    return slices.select("slice", "n", "sizes", "learn", "words", "tokens").mapInArrow(run, "slice bigint, place int, key bigint, count bigint")
+
+
+def _segment(segments: int) -> Column:
+    return (F.shiftrightunsigned("key", SEGMENT_SHIFT) % F.lit(segments)).alias("segment")
 
 
-def _answered(asked: DataFrame, bits_per_item: int) -> DataFrame:
-    """``shard, slice, n_word, word_levels, word_counts, n_pair, pair_levels, n, v``: what the filter says of the n-grams asked for,
-    and exact counts of words; ``n, v``: tokens and distinct tokens in training, in one row of each shard."""
+def _segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return ((keys >> np.uint64(SEGMENT_SHIFT)) % np.uint64(segments)).astype(np.int64)
+
+
+def _salted(keys: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return keys ^ (pair.astype(np.uint64) * PAIR_SALT)
+
+
+def _built(counts: DataFrame, segments: int, bits_per_item: int) -> DataFrame:
+    """``segment, bits`` from ``pair, key, count``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["shard", "slice", "n_word", "n_pair"]].copy()
-        gathered = {}
-        for kind, salt in (("word", 0), ("pair", 1 << 63)):
-            sizes = pdf[f"n_{kind}"].to_numpy()
-            unpack = lambda col: np.concatenate([_from_planes(x, k) for x, k in zip(pdf[col], sizes)])  # noqa: B023, E731
-            at, keys = pd.factorize(unpack(f"{kind}s"))
-            counts = np.bincount(at, weights=unpack(f"{kind}_counts").astype(np.float64), minlength=len(keys)).astype(np.int64)
-            gathered[kind] = (keys ^ np.uint64(salt), counts, at, np.cumsum(sizes)[:-1])
-        keys, counts = (np.concatenate([gathered[k][i] for k in ("word", "pair")]) for i in (0, 1))
-        made = Filter.of(keys[counts > 0], counts[counts > 0], bits_per_item)
-        for kind, (keys, counts, at, ends) in gathered.items():
-            out[f"{kind}_levels"] = [x.tobytes() for x in np.split(made.level(keys).astype(np.uint8)[at], ends)]
-            if kind == "word":
-                out["word_counts"] = [_planes(x) for x in np.split(counts[at], ends)]
-                out["n"], out["v"] = 0, 0
-                out.loc[out.index[0], ["n", "v"]] = int(counts.sum()), int((counts > 0).sum())
-        return out[["shard", "slice", "n_word", "word_levels", "word_counts", "n_pair", "pair_levels", "n", "v"]]
-
-    return asked.groupBy("shard").applyInPandas(
-        run, "shard bigint, slice bigint, n_word int, word_levels binary, word_counts binary, n_pair int, pair_levels binary, n bigint, v bigint"
-    )
+        keys = _salted(pdf["key"].to_numpy().view(np.uint64), pdf["pair"].to_numpy(dtype=bool))
+        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [segment_bits(keys, pdf["count"].to_numpy(), bits_per_item)]})
+
+    return counts.select(_segment(segments), "pair", "key", "count").groupBy("segment").applyInPandas(run, "segment bigint, bits binary")
+
+
+def _probed(asked: DataFrame, built: DataFrame, segments: int) -> DataFrame:
+    """``slice, pair, place, level``: what the segments say of the n-grams asked for, each in the task that has it."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        keys = _salted(left["key"].to_numpy().view(np.uint64), left["pair"].to_numpy(dtype=bool))
+        made = Filter.of(1, [(0, bits) for bits in right["bits"]])
+        return left[["slice", "pair", "place"]].assign(level=made.level(keys, np.zeros(len(keys), dtype=np.int64)))
+
+    asked = asked.select(_segment(segments), "slice", "pair", "place", "key")
+    return asked.groupBy("segment").cogroup(built.groupBy("segment")).applyInPandas(run, "slice bigint, pair boolean, place int, level int")
 
 
 def score(
     df: DataFrame, learns: Column, text_col: str = "text", id_col: str = "doc_id", prior: float = 300.0, slice_chars: int = SLICE_CHARS,
-    shard_tokens: int = SHARD_TOKENS, bits_per_item: int = BITS_PER_ITEM,
+    segment_tokens: int = SEGMENT_TOKENS, bits_per_item: int = BITS_PER_ITEM, most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """``id_col, n_tokens, n_known, train_tokens, base_score, score`` of every row; the rows where ``learns`` is true
-    are the training texts.  ``slice_chars`` and ``shard_tokens`` bound the memory of a task; results do not depend on
-    them but for false positives of the filter, about 1 % of the n-grams not seen at ten bits an item."""
+    are the training texts.  ``slice_chars`` and ``segment_tokens`` bound the memory of a task; results do not depend on
+    them but for false positives of the filter, about 1 % of the n-grams not seen at ten bits an item.  A filter of up to
+    ``most_broadcast`` bytes is broadcast, a larger one is probed where its segments are, with the same results."""
+    spark = df.sparkSession
     slices = _slices(df, id_col, text_col, learns, slice_chars)
     total = slices.agg(F.sum("n")).first()[0] or 0
-    shards = min(MOST_SHARDS, max(1, -(-total // shard_tokens)))
-    answers = cut(_answered(_asked(slices, shards), bits_per_item), "lm-answers")
-    n, v = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v")).first())
+    segments = max(1, -(-total // segment_tokens))
+    words = cut(_grams(slices, pairs=False, learned_only=False), "lm-words")
+    counts = cut(
+        words.where("count > 0").select(F.lit(False).alias("pair"), "key", "count")
+        .unionByName(_grams(slices, pairs=True, learned_only=True).select(F.lit(True).alias("pair"), "key", "count"))
+        .groupBy("pair", "key").agg(F.sum("count").alias("count")),
+        "lm-counts",
+    )
+    known = counts.where("not pair").select("key", F.col("count").alias("seen"))
+    n, v = (int(x or 0) for x in known.agg(F.sum("seen"), F.count("*")).first())
+    built = cut(_built(counts, segments, bits_per_item), "lm-filter")
+    size = (built.agg(F.sum(F.length("bits"))).first()[0] or 0) + 16 * segments
+
+    word = F.lit(False).alias("pair")
+    answers = words.join(known, "key", "left").select("slice", word, "place", F.coalesce("seen", F.lit(0)).alias("seen"), F.lit(None).cast("int").alias("level"))
+    shared = None
+    if size <= most_broadcast:
+        shared = spark.sparkContext.broadcast(Filter.of(segments, [tuple(r) for r in built.collect()]))
+    else:
+        asked = words.select("slice", word, "place", "key").unionByName(_grams(slices, True, False).select("slice", F.lit(True).alias("pair"), "place", "key"))
+        answers = answers.unionByName(_probed(asked, built, segments).select("slice", "pair", "place", F.lit(None).cast("bigint").alias("seen"), "level"))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        frames = []
-        right = right.sort_values("shard")
-        for row in left.itertuples():  # one
-            sizes = np.asarray(row.sizes)
-            s = Slice.of(row.words, row.tokens, row.n, sizes)
-            (word_order, _, _), (pair_order, _, _) = (_by_shard(h, shards) for h in s.hashes())
-            word_level, pair_level, count = (np.empty(len(o), dtype=np.int64) for o in (word_order, pair_order, word_order))
-            word_level[word_order] = np.frombuffer(b"".join(right["word_levels"]), dtype=np.uint8)
-            pair_level[pair_order] = np.frombuffer(b"".join(right["pair_levels"]), dtype=np.uint8)
-            count[word_order] = np.concatenate([_from_planes(x, k) for x, k in zip(right["word_counts"], right["n_word"])]).astype(np.int64)
-            size = expected_count(word_level)
-            alone = (size + 1) / (n + v + 1)
-            past = size[s.before]
-            both = np.minimum(expected_count(pair_level), np.minimum(past, size[s.after]))
-            p = np.log10((both + prior * alone[s.after]) / (past + prior)) if n else np.zeros(len(past))
-            base = np.log10((count + 1) / (n + v + 1))
-            add = lambda x: np.add.reduceat(x, s.starts)  # noqa: B023, E731
-            frames.append(
-                pd.DataFrame(
-                    {
-                        "id": list(row.ids), "n_tokens": sizes, "n_known": add((count > 0).astype(np.int64)[s.token]), "train_tokens": n,
-                        "base_score": add(base[s.token]), "score": add(p[s.pair_of]),
-                    }
-                )
-            )
-        return pd.concat(frames)
+        row = next(left.itertuples())
+        sizes = np.asarray(row.sizes)
+        s = Slice.of(row.words, row.tokens, row.n, sizes)
+        pair_of, before, after = s.pairs()
+        exact = right["seen"].notna()
+        count = np.zeros(len(s.words), dtype=np.int64)
+        count[right["place"][exact]] = right["seen"][exact].astype(np.int64)
+        if shared is None:
+            word_level, pair_level = np.zeros(len(s.words), dtype=np.int64), np.zeros(len(before), dtype=np.int64)
+            for out, of in ((word_level, ~right["pair"]), (pair_level, right["pair"])):
+                asked = ~exact & of
+                out[right["place"][asked]] = right["level"][asked].astype(np.int64)
+        else:
+            made, pairs = shared.value, s.pair_hashes(before, after)
+            word_level = made.level(s.words, _segment_of(s.words, segments))
+            pair_level = made.level(pairs ^ PAIR_SALT, _segment_of(pairs, segments))
+        about = expected_count(word_level)
+        alone = (about + 1) / (n + v + 1)
+        past = about[before]
+        both = np.minimum(expected_count(pair_level), np.minimum(past, about[after]))
+        p = np.log10((both + prior * alone[after]) / (past + prior)) if n else np.zeros(len(past))
+        base = np.log10((count + 1) / (n + v + 1))
+        add = lambda x: np.add.reduceat(x, s.starts)
+        return pd.DataFrame(
+            {
+                "id": list(row.ids), "n_tokens": sizes, "n_known": add((count > 0).astype(np.int64)[s.token]), "train_tokens": n,
+                "base_score": add(base[s.token]), "score": add(p[pair_of]),
+            }
+        )
 
     id_type = df.schema[id_col].dataType.simpleString()
     scored = (

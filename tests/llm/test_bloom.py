@@ -38,12 +38,13 @@ def brute(rows, prior):
     return out
 
 
-@pytest.mark.parametrize("slice_chars,shard_tokens", [(1 << 23, 1 << 21), (500, 40), (1, 1)])
-def test_scores_against_exact_counts(spark, slice_chars, shard_tokens):
-    """Any cut into slices and shards gives the scores of exact counts: nothing is left out of the filter."""
+@pytest.mark.parametrize("most_broadcast", [1 << 27, 0])
+@pytest.mark.parametrize("slice_chars,segment_tokens", [(1 << 23, 1 << 20), (500, 40), (1, 500)])
+def test_scores_against_exact_counts(spark, slice_chars, segment_tokens, most_broadcast):
+    """Any cut into slices and segments, broadcast or not, gives the scores of exact counts: nothing is left out."""
     rows = corpus()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, score int, words string").repartition(3)
-    got = bloom_lm.score(df, ~bloom_lm.held_out("doc_id", 7, 2) & F.col("doc_id").isNotNull(), prior=20.0, slice_chars=slice_chars, shard_tokens=shard_tokens, bits_per_item=64)
+    got = bloom_lm.score(df, ~bloom_lm.held_out("doc_id", 7, 2) & F.col("doc_id").isNotNull(), prior=20.0, slice_chars=slice_chars, segment_tokens=segment_tokens, bits_per_item=64, most_broadcast=most_broadcast)
     got, want = (sorted(map(tuple, x), key=lambda r: (r[0] is None, r)) for x in (got.collect(), brute(rows, 20.0)))
     assert len(got) == len(want)
     for g, w in zip(got, want):
@@ -60,7 +61,30 @@ def test_nothing_to_learn_and_nothing_to_score(spark):
 def test_filter_never_underestimates():
     keys = np.arange(1, 2001, dtype=np.uint64) * np.uint64(7919)
     counts = 1 + (np.arange(2000) ** 2) % 500
-    made = bloom_lm.Filter.of(keys, counts)
-    got, want = made.level(keys), bloom_lm.levels(counts)
+    made = bloom_lm.Filter.of(3, [(2, bloom_lm.segment_bits(keys, counts))])
+    at = np.full(2000, 2)
+    got, want = made.level(keys, at), bloom_lm.levels(counts)
     assert (got >= want).all() and (got == want).mean() > 0.97
-    assert (made.level(keys + np.uint64(1)) > 0).mean() < 0.03
+    assert (made.level(keys + np.uint64(1), at) > 0).mean() < 0.03
+    assert not made.level(keys, at - 1).any()
+
+
+def test_both_ways_probe_the_same_filter(spark):
+    """With a filter so tight that it errs, broadcast and segments err alike."""
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    ways = [
+        sorted(map(tuple, bloom_lm.score(df, F.col("doc_id") % 2 == 0, slice_chars=900, segment_tokens=100, bits_per_item=3, most_broadcast=b).collect()), key=str)
+        for b in (1 << 27, 0)
+    ]
+    assert ways[0] == ways[1]
+
+
+def test_rows_asked_for_grow_as_the_corpus(spark):
+    """Twice the texts are twice the slices and twice the rows, not four times."""
+    text = " ".join("w%d" % (i * i % 97) for i in range(400))
+    rows = []
+    for copies in (4, 8, 16):
+        df = spark.createDataFrame([(i, text) for i in range(copies)], "doc_id long, text string").coalesce(1)
+        slices = bloom_lm._slices(df, "doc_id", "text", F.lit(True), slice_chars=1)
+        rows.append(sum(bloom_lm._grams(slices, pairs, False).count() for pairs in (False, True)))
+    assert rows[1] == 2 * rows[0] and rows[2] == 4 * rows[0]
