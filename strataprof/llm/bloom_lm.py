@@ -5,13 +5,14 @@ c); the filter holds (n-gram, 1) .. (n-gram, level), so that a count comes back,
 never under, by probing rising levels until one is missing.  Every n-gram is in the filter, so the filter grows with the
 corpus.  It is built in segments by hash, each in one task, from a bounded number of n-grams.
 
-Up to a checked size the filter is broadcast and probed where the texts are.  Beyond it the n-grams of the texts go to the
-segment that holds them, a row for each distinct n-gram of a slice of texts, so rows grow as the corpus does.  Both
-ways probe the same segments, so results are the same.  The base score takes exact counts, by a join on 64-bit hashes.
+Texts are cut into slices.  A slice sends each segment its distinct words, and the distinct pairs of its training texts,
+with their counts, packed; a frequent n-gram is sent once a slice, so no segment is hot, and there are never more rows than
+n-grams.  The segment adds the counts up, builds its part of the filter and answers exact counts of words, by their whole
+64-bit hashes, for the base score.  Up to a checked size the filter is then broadcast and probed where the texts are.  Beyond it
+the n-grams of the texts go to the segment that holds them.  Both ways probe the same bits, so results are the same.
 
-Texts are cut into slices and a slice counts and asks for its distinct n-grams once, so a frequent n-gram is as many rows as
-there are slices.  Probabilities are smoothed: p(word) by add-one over estimated counts; p(word | word before) has a
-Dirichlet prior that backs off to p(word).
+Probabilities are smoothed: p(word) by add-one over estimated counts; p(word | word before) has a Dirichlet prior that
+backs off to p(word).
 
 Null texts count as empty: one end token.  Rows that repeat an id and text each come back; a null id is carried; a null
 in ``learns`` is false; no training text at all gives every token probability 1 in the base and the model.  Very long
@@ -39,8 +40,9 @@ LOG_BASE = 1.6
 PROBES = 6
 BITS_PER_ITEM = 10
 SLICE_CHARS = 1 << 23
-SEGMENT_TOKENS = 1 << 20
-SEGMENT_SHIFT = 20  # the bits of a hash above these name its segment
+SEGMENT_TOKENS = 1 << 21
+KEY_BITS = np.uint64(40)  # of a hash: the lower bits are the key in the filter, the upper ones name the segment
+MOST_SEGMENTS = 1 << 24
 MOST_BROADCAST = 1 << 27  # bytes of a filter that every worker holds
 PAIR_SALT = np.uint64(1 << 63)
 
@@ -195,66 +197,113 @@ class Slice:
         pair_of, code = pd.factorize(before * len(self.words) + self.token)
         return pair_of, code // len(self.words), code % len(self.words)
 
-    def pair_hashes(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        return mix(self.words[before] * np.uint64(0xD6E8FEB86659FD93) + self.words[after] + np.uint64(0x51))
+    def hashes(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words and pairs."""
+        return mix(self.words), mix(self.words[before] * np.uint64(0xD6E8FEB86659FD93) + self.words[after] + np.uint64(0x51))
 
 
-def _grams(slices: DataFrame, pairs: bool, learned_only: bool) -> DataFrame:
-    """``slice, place, key, count``: the distinct words or pairs of each slice, by place, and how often its training texts
-    hold them; ``learned_only``: those that they hold."""
+def _segment(hashes: np.ndarray, segments: int) -> np.ndarray:
+    return ((hashes >> KEY_BITS) % np.uint64(segments)).astype(np.int64)
 
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                sizes = np.asarray(row["sizes"])
-                s = Slice.of(row["words"], row["tokens"], row["n"], sizes)
-                at, keys = s.token, s.words
-                if pairs:
-                    at, before, after = s.pairs()
-                    keys = s.pair_hashes(before, after)
-                on = np.repeat(np.asarray(row["learn"], dtype=np.float64), sizes)
-                counts = np.bincount(at, weights=on, minlength=len(keys)).astype(np.int64)
-                place = np.flatnonzero(counts) if learned_only else np.arange(len(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(place), row["slice"])), pa.array(place.astype(np.int32)), pa.array(keys[place].view(np.int64)), pa.array(counts[place])],
-                    names=["slice", "place", "key", "count"],
-                )
 
-    return slices.select("slice", "n", "sizes", "learn", "words", "tokens").mapInArrow(run, "slice bigint, place int, key bigint, count bigint")
+def _word_keys(hashes: np.ndarray) -> np.ndarray:
+    return hashes & np.uint64((1 << int(KEY_BITS)) - 1)
+
 
+def _pair_keys(hashes: np.ndarray) -> np.ndarray:
+    return _word_keys(hashes) | PAIR_SALT
 
-def _segment(segments: int) -> Column:
-    return (F.shiftrightunsigned("key", SEGMENT_SHIFT) % F.lit(segments)).alias("segment")
 
+def _by_segment(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by segment, and the segments in it."""
+    segment = _segment(hashes, segments)
+    order = np.argsort(segment, kind="stable")
+    return order, segment[order]
 
-def _segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(SEGMENT_SHIFT)) % np.uint64(segments)).astype(np.int64)
 
+SENT = "segment bigint, slice bigint, n_word int, words binary, word_counts binary, n_pair int, pairs binary, pair_counts binary"
 
-def _salted(keys: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    return keys ^ (pair.astype(np.uint64) * PAIR_SALT)
 
+def _sent(slices: DataFrame, segments: int, counting: bool) -> DataFrame:
+    """``SENT``: distinct n-grams of each slice for each segment.  ``counting``: with how often training texts of the slice
+    hold them, and only pairs that they hold."""
 
-def _built(counts: DataFrame, segments: int, bits_per_item: int) -> DataFrame:
-    """``segment, bits`` from ``pair, key, count``."""
+    def run(batches):
+        for b in batches:
+            for row in b.itertuples():
+                sizes = np.asarray(row.sizes)
+                s = Slice.of(row.words, row.tokens, row.n, sizes)
+                pair_of, before, after = s.pairs()
+                on = np.repeat(np.asarray(row.learn, dtype=np.float64), sizes)
+                found: dict[int, dict] = {}
+                for kind, hashes, at in zip(("word", "pair"), s.hashes(before, after), (s.token, pair_of)):
+                    counts = np.bincount(at, weights=on, minlength=len(hashes)).astype(np.int64)
+                    if counting and kind == "pair":
+                        hashes, counts = hashes[counts > 0], counts[counts > 0]
+                    order, segment = _by_segment(hashes, segments)
+                    keys, counts = hashes[order], counts[order]
+                    if kind == "pair":
+                        keys = _word_keys(keys)
+                    ids, first = np.unique(segment, return_index=True)
+                    for k, x, y in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(segment)]):
+                        packed = _planes(counts[x:y]) if counting else b""
+                        found.setdefault(k, {}).update({f"n_{kind}": y - x, f"{kind}s": _planes(keys[x:y]), f"{kind}_counts": packed})
+                none = {"n_word": 0, "words": b"", "word_counts": b"", "n_pair": 0, "pairs": b"", "pair_counts": b""}
+                yield pd.DataFrame([{"segment": k, "slice": row.slice} | none | x for k, x in found.items()])
+
+    return slices.select("slice", "n", "sizes", "learn", "words", "tokens").mapInPandas(run, SENT)
+
+
+def _unpacked(pdf: pd.DataFrame, col: str, sizes: str) -> np.ndarray:
+    return np.concatenate([_from_planes(x, k) for x, k in zip(pdf[col], pdf[sizes])])
+
+
+def _parts(x: np.ndarray, sizes: pd.Series) -> list[np.ndarray]:
+    return np.split(x, np.cumsum(sizes.to_numpy())[:-1])
+
+
+def _counted(sent: DataFrame, bits_per_item: int) -> DataFrame:
+    """``segment, slice, n_word, word_counts, bits, n, v``: exact counts of the words that each slice sent; the first row of a
+    segment has its bits of the filter, and tokens and distinct tokens in training."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = _salted(pdf["key"].to_numpy().view(np.uint64), pdf["pair"].to_numpy(dtype=bool))
-        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [segment_bits(keys, pdf["count"].to_numpy(), bits_per_item)]})
+        keys, counts = [], []
+        for kind, as_keys in (("word", _word_keys), ("pair", _pair_keys)):
+            at, hashes = pd.factorize(_unpacked(pdf, f"{kind}s", f"n_{kind}"))
+            weights = _unpacked(pdf, f"{kind}_counts", f"n_{kind}").astype(np.float64)
+            seen = np.bincount(at, weights=weights, minlength=len(hashes)).astype(np.int64)
+            if kind == "word":
+                answers, n, v = _parts(seen[at], pdf["n_word"]), int(seen.sum()), int((seen > 0).sum())
+            keys.append(as_keys(hashes[seen > 0])), counts.append(seen[seen > 0])
+        out = pdf[["segment", "slice", "n_word"]].copy()
+        out["word_counts"] = [_planes(x) for x in answers]
+        out["bits"] = [segment_bits(np.concatenate(keys), np.concatenate(counts), bits_per_item), *[None] * (len(pdf) - 1)]
+        out["n"], out["v"] = [n, *[0] * (len(pdf) - 1)], [v, *[0] * (len(pdf) - 1)]
+        return out
 
-    return counts.select(_segment(segments), "pair", "key", "count").groupBy("segment").applyInPandas(run, "segment bigint, bits binary")
+    return sent.groupBy("segment").applyInPandas(run, "segment bigint, slice bigint, n_word int, word_counts binary, bits binary, n bigint, v bigint")
 
 
-def _probed(asked: DataFrame, built: DataFrame, segments: int) -> DataFrame:
-    """``slice, pair, place, level``: what the segments say of the n-grams asked for, each in the task that has it."""
+def _probed(sent: DataFrame, bits: DataFrame) -> DataFrame:
+    """``slice, segment, word_levels, pair_levels``: what each segment's bits say of the n-grams sent to it."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys = _salted(left["key"].to_numpy().view(np.uint64), left["pair"].to_numpy(dtype=bool))
-        made = Filter.of(1, [(0, bits) for bits in right["bits"]])
-        return left[["slice", "pair", "place"]].assign(level=made.level(keys, np.zeros(len(keys), dtype=np.int64)))
+        made = Filter.of(1, [(0, x) for x in right["bits"]])
+        out = left[["slice", "segment"]].copy()
+        for kind, as_keys in (("word", _word_keys), ("pair", _pair_keys)):
+            keys = as_keys(_unpacked(left, f"{kind}s", f"n_{kind}"))
+            level = made.level(keys, np.zeros(len(keys), dtype=np.int64)).astype(np.uint8)
+            out[f"{kind}_levels"] = [x.tobytes() for x in _parts(level, left[f"n_{kind}"])]
+        return out
+
+    return sent.groupBy("segment").cogroup(bits.groupBy("segment")).applyInPandas(run, "slice bigint, segment bigint, word_levels binary, pair_levels binary")
 
-    asked = asked.select(_segment(segments), "slice", "pair", "place", "key")
-    return asked.groupBy("segment").cogroup(built.groupBy("segment")).applyInPandas(run, "slice bigint, pair boolean, place int, level int")
+
+def _back(x: np.ndarray, hashes: np.ndarray, segments: int) -> np.ndarray:
+    """From the order by segment to that of ``hashes``."""
+    out = np.empty_like(x)
+    out[_by_segment(hashes, segments)[0]] = x
+    return out
 
 
 def score(
@@ -268,45 +317,33 @@ def score(
     spark = df.sparkSession
     slices = _slices(df, id_col, text_col, learns, slice_chars)
     total = slices.agg(F.sum("n")).first()[0] or 0
-    segments = max(1, -(-total // segment_tokens))
-    words = cut(_grams(slices, pairs=False, learned_only=False), "lm-words")
-    counts = cut(
-        words.where("count > 0").select(F.lit(False).alias("pair"), "key", "count")
-        .unionByName(_grams(slices, pairs=True, learned_only=True).select(F.lit(True).alias("pair"), "key", "count"))
-        .groupBy("pair", "key").agg(F.sum("count").alias("count")),
-        "lm-counts",
-    )
-    known = counts.where("not pair").select("key", F.col("count").alias("seen"))
-    n, v = (int(x or 0) for x in known.agg(F.sum("seen"), F.count("*")).first())
-    built = cut(_built(counts, segments, bits_per_item), "lm-filter")
-    size = (built.agg(F.sum(F.length("bits"))).first()[0] or 0) + 16 * segments
+    segments = min(MOST_SEGMENTS, max(1, -(-total // segment_tokens)))
+    counted = cut(_counted(_sent(slices, segments, counting=True), bits_per_item), "lm-counts")
+    n, v, size = (int(x or 0) for x in counted.agg(F.sum("n"), F.sum("v"), F.sum(F.length("bits"))).first())
+    bits = counted.where("bits is not null").select("segment", "bits")
 
-    word = F.lit(False).alias("pair")
-    answers = words.join(known, "key", "left").select("slice", word, "place", F.coalesce("seen", F.lit(0)).alias("seen"), F.lit(None).cast("int").alias("level"))
+    answers = counted.select("slice", "segment", "n_word", "word_counts")
     shared = None
-    if size <= most_broadcast:
-        shared = spark.sparkContext.broadcast(Filter.of(segments, [tuple(r) for r in built.collect()]))
+    if size + 16 * segments <= most_broadcast:
+        shared = spark.sparkContext.broadcast(Filter.of(segments, [tuple(r) for r in bits.collect()]))
     else:
-        asked = words.select("slice", word, "place", "key").unionByName(_grams(slices, True, False).select("slice", F.lit(True).alias("pair"), "place", "key"))
-        answers = answers.unionByName(_probed(asked, built, segments).select("slice", "pair", "place", F.lit(None).cast("bigint").alias("seen"), "level"))
+        answers = answers.join(_probed(_sent(slices, segments, counting=False), bits), ["slice", "segment"], "full")
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples())
         sizes = np.asarray(row.sizes)
         s = Slice.of(row.words, row.tokens, row.n, sizes)
         pair_of, before, after = s.pairs()
-        exact = right["seen"].notna()
-        count = np.zeros(len(s.words), dtype=np.int64)
-        count[right["place"][exact]] = right["seen"][exact].astype(np.int64)
+        words, pairs = s.hashes(before, after)
+        right = right.sort_values("segment")
+        counts = right[right["word_counts"].notna()]
+        count = _back(_unpacked(counts.astype({"n_word": np.int64}), "word_counts", "n_word").astype(np.int64), words, segments)
         if shared is None:
-            word_level, pair_level = np.zeros(len(s.words), dtype=np.int64), np.zeros(len(before), dtype=np.int64)
-            for out, of in ((word_level, ~right["pair"]), (pair_level, right["pair"])):
-                asked = ~exact & of
-                out[right["place"][asked]] = right["level"][asked].astype(np.int64)
+            told = lambda col: np.frombuffer(b"".join(right[col]), dtype=np.uint8).astype(np.int64)
+            word_level, pair_level = _back(told("word_levels"), words, segments), _back(told("pair_levels"), pairs, segments)
         else:
-            made, pairs = shared.value, s.pair_hashes(before, after)
-            word_level = made.level(s.words, _segment_of(s.words, segments))
-            pair_level = made.level(pairs ^ PAIR_SALT, _segment_of(pairs, segments))
+            word_level = shared.value.level(_word_keys(words), _segment(words, segments))
+            pair_level = shared.value.level(_pair_keys(pairs), _segment(pairs, segments))
         about = expected_count(word_level)
         alone = (about + 1) / (n + v + 1)
         past = about[before]

@@ -39,7 +39,7 @@ def brute(rows, prior):
 
 
 @pytest.mark.parametrize("most_broadcast", [1 << 27, 0])
-@pytest.mark.parametrize("slice_chars,segment_tokens", [(1 << 23, 1 << 20), (500, 40), (1, 500)])
+@pytest.mark.parametrize("slice_chars,segment_tokens", [(1 << 23, 1 << 20), (500, 40), (1, 1)])
 def test_scores_against_exact_counts(spark, slice_chars, segment_tokens, most_broadcast):
     """Any cut into slices and segments, broadcast or not, gives the scores of exact counts: nothing is left out."""
     rows = corpus()
@@ -79,12 +79,15 @@ def test_both_ways_probe_the_same_filter(spark):
     assert ways[0] == ways[1]
 
 
-def test_rows_asked_for_grow_as_the_corpus(spark):
-    """Twice the texts are twice the slices and twice the rows, not four times."""
+def test_never_more_rows_than_ngrams(spark):
+    """Segments in plenty: a row for each n-gram of a slice at most, and twice the texts are twice the rows."""
     text = " ".join("w%d" % (i * i % 97) for i in range(400))
+    ws = text.split() + [None]
+    most = len(set(ws)) + len(set(zip([None, *ws], ws)))
     rows = []
     for copies in (4, 8, 16):
         df = spark.createDataFrame([(i, text) for i in range(copies)], "doc_id long, text string").coalesce(1)
         slices = bloom_lm._slices(df, "doc_id", "text", F.lit(True), slice_chars=1)
-        rows.append(sum(bloom_lm._grams(slices, pairs, False).count() for pairs in (False, True)))
+        rows.append(bloom_lm._sent(slices, 1 << 20, True).count())
+        assert rows[-1] <= copies * most
     assert rows[1] == 2 * rows[0] and rows[2] == 4 * rows[0]
