@@ -23,6 +23,12 @@ def known(catalog: DataFrame) -> DataFrame:
     return catalog.where(~F.col("id").startswith("UNKNOWN")).withColumn("side", side).withColumn("group", group)
 
 
+def projection(catalog: DataFrame) -> DataFrame:
+    """``id, description, kind, match_type, group, meta`` of the constructs; without ``meta`` it is an empty map."""
+    empty = F.create_map().cast("map<string,string>")
+    return known(catalog).select("id", "description", "kind", "match_type", "group", F.coalesce("meta", empty).alias("meta"))
+
+
 def _fits(c: DataFrame) -> Column:
     return F.coalesce(F.forall(F.map_entries(c["match_data_equals"]), lambda e: F.element_at(F.col("data"), e.key).eqNullSafe(e.value)), F.lit(True))
 

@@ -701,6 +701,62 @@ def unhandled_children(elements: DataFrame, allowed: DataFrame) -> DataFrame:
     return _warn(pairs.join(F.broadcast(allowed), ["tag", "child"], "left_anti"), "UNHANDLED_CHILD", False, F.concat_ws("/", "tag", "child"))
 
 
+SPEC = "concept string, attribute string, is_list boolean, as_name string"
+#: Concepts whose references come as lists under another name (fixed values).
+UML_LISTS = [
+    ("ClassifierTemplateParameter", "parameteredElement", False, None), ("ClassifierTemplateParameter", "signature", False, None),
+    ("ClassifierTemplateParameter", "constrainingClassifier", True, "constrainingClassifierRefs"),
+    ("RedefinableTemplateSignature", "parameter", True, "parameterRefs"),
+]
+#: Attributes that need no handler, and children that are never reported (fixed values).
+ALWAYS_HANDLED = ["id", "type"]
+NEVER_REPORTED = ["Extension", "eAnnotations", "details", "name"]
+
+
+def _concept() -> Column:
+    a = F.col("attrs")
+    return F.coalesce(F.regexp_replace(F.coalesce(a["xsi:type"], a["xmi:type"]), "^uml:", ""), "tag")
+
+
+def _with_spec(elements: DataFrame, spec: DataFrame) -> DataFrame:
+    """Elements with ``concept`` and ``_spec``, a map from attribute to how it is taken; null where the concept has none.
+    A spec has some hundred concepts, whatever the models."""
+    how = F.map_from_entries(F.collect_list(F.struct("attribute", F.struct(F.coalesce("is_list", F.lit(False)).alias("is_list"), F.coalesce("as_name", "attribute").alias("as_name")))))
+    by = spec.dropDuplicates(["concept", "attribute"]).groupBy("concept").agg(how.alias("_spec"))
+    return elements.where("error is null").withColumn("concept", _concept()).join(F.broadcast(by), "concept", "left")
+
+
+def concept_payload(elements: DataFrame, spec: DataFrame) -> DataFrame:
+    """``model_id, seq, concept, data map<string, array<string>>``: of each element whose concept has rows in ``spec``, the
+    attributes named there, under the names given there; those marked as lists are split at blanks, others are lists of one."""
+    e = _with_spec(elements, spec).where("_spec is not null")
+    taken = F.filter(F.map_entries("attrs"), lambda x: F.map_contains_key("_spec", x.key))
+    words = lambda x: F.filter(F.split(x.value, r"\s+"), lambda w: w != "")
+    as_named = F.transform(taken, lambda x: F.struct(F.col("_spec")[x.key]["as_name"], F.when(F.col("_spec")[x.key]["is_list"], words(x)).otherwise(F.array(x.value))))
+    return e.select("model_id", "seq", "concept", F.map_from_entries(as_named).alias("data"))
+
+
+def unhandled_by_concept(elements: DataFrame, spec: DataFrame) -> DataFrame:
+    """Warnings for attributes that ``spec`` doesn't name for their concept, with the element's id and the value.
+    Attributes with a prefix are never reported, nor is an element whose concept has no spec."""
+    e = _with_spec(elements, spec).where("_spec is not null")
+    odd = F.filter(F.map_entries("attrs"), lambda x: ~F.contains(x.key, F.lit(":")) & ~x.key.isin(ALWAYS_HANDLED) & ~F.map_contains_key("_spec", x.key))
+    ident = F.coalesce(F.col("attrs")["xmi:id"], F.col("attrs")["id"], F.lit("None"))
+    rows = e.select("model_id", "concept", ident.alias("id"), F.explode(odd).alias("x"))
+    return _warn(rows, "UNHANDLED_ATTRIBUTE", False, F.concat("concept", F.lit("("), "id", F.lit(")@"), "x.key", F.lit("="), "x.value"))
+
+
+def unhandled_children_by_concept(elements: DataFrame, allowed: DataFrame, handled: list[str]) -> DataFrame:
+    """Warnings for children whose tag ``allowed(concept, child)`` doesn't list for the concept of their parent, unless the
+    child's own concept is one of ``handled``.  Parents whose concept has no row are not looked at."""
+    e = elements.where("error is null").withColumn("concept", _concept())
+    lists = F.broadcast(allowed.groupBy("concept").agg(F.collect_set("child").alias("_allowed")))
+    parents = e.join(lists, "concept").select("model_id", F.col("seq").alias("parent_seq"), F.col("concept").alias("of"), "_allowed")
+    child = e.where(~F.col("tag").isin(NEVER_REPORTED) & ~F.col("concept").isin(handled)).select("model_id", "parent_seq", F.col("tag").alias("child"))
+    odd = child.join(parents, ["model_id", "parent_seq"]).where(~F.array_contains("_allowed", F.col("child")))
+    return _warn(odd, "UNHANDLED_CHILD", False, F.concat_ws("/", "of", "child"))
+
+
 def upsert(rows: DataFrame) -> DataFrame:
     """``model_id, node_id, type, name, data`` from rows with ``pos``: the first type and the first name that is not
     empty stand; data keys missing so far come from later rows."""

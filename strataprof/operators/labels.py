@@ -21,6 +21,28 @@ def resolve(fields: dict[str, Column], attributes: tuple[str, ...] = ATTRIBUTES)
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def resolve_variant(fields: Column, data: Column | None = None, attributes: tuple[str, ...] = ATTRIBUTES) -> Column:
+    """The first configured attribute that holds a string, of VARIANT objects whose values have any type.
+
+    ``fields`` are those of the element itself: a value there that is neither null nor a string ends the search without a
+    label.  In ``data``, looked at for each attribute after ``fields``, such a value is passed over."""
+
+    def text(of: Column, a: str) -> Column:
+        return F.when(F.schema_of_variant(F.variant_get(of, f"$.{a}", "variant")) == "STRING", F.variant_get(of, f"$.{a}", "string"))
+
+    steps = []
+    for a in attributes:
+        own = F.variant_get(fields, f"$.{a}", "variant")
+        odd = own.isNotNull() & ~F.is_variant_null(own) & (F.schema_of_variant(own) != "STRING")
+        steps += [(odd, F.lit(None).cast("string")), (text(fields, a).isNotNull(), text(fields, a))]
+        if data is not None:
+            steps.append((text(data, a).isNotNull(), text(data, a)))
+    out = F.lit(None).cast("string")
+    for when, value in reversed(steps):
+        out = F.when(when, value).otherwise(out)
+    return out
+
+
 def iter_labels(
     nodes: DataFrame, edges: DataFrame | None = None, attributes: tuple[str, ...] = ATTRIBUTES, nested: bool = True,
 ) -> DataFrame:

@@ -24,6 +24,11 @@ def size_time_scatter(per_model: DataFrame) -> DataFrame:
     return per_model.where("file_size_bytes_source > 0 and parse_time_ms > 0").select("model_id", F.col("file_size_bytes_source").alias("x"), F.col("parse_time_ms").alias("y"))
 
 
+def time_with_size(times: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``model_id, x, y``: size and parse time of the models that are in both tables, both above 0."""
+    return size_time_scatter(times.select("model_id", "parse_time_ms").join(sizes.select("model_id", "file_size_bytes_source"), "model_id"))
+
+
 def mean_score(*scores: DataFrame) -> DataFrame:
     """Mean of one-row ``score`` frames; null unless all are there."""
     out = scores[0].select(F.col("score").alias("s0"))

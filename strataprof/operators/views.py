@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 from typing import Any
@@ -222,23 +223,32 @@ def _color(v: Column) -> Column:
     return F.when(v.isNull() | t.isin("", "false"), "(empty)").otherwise(t)
 
 
-STORE = "name string, spec string, created_at timestamp, updated_at timestamp"
+STORE = "name string, spec string, created_at timestamp, updated_at timestamp, version string"
 
 
 class ViewStore:
-    """Saved views as a small JSON table; stored rows that are no view any more are dropped on reading."""
+    """Saved views as a log of small JSON rows: a change adds a row and takes none away, so writers do not undo each other.
+    Of a name the latest row stands; one without a spec says that the view is deleted.  Stored rows that are no view any more
+    are dropped on reading.  ``compact`` leaves the standing rows only, for a store that nobody writes to meanwhile."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _rows(self) -> dict[str, dict]:
+    def _log(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema(STORE).json(self.path).collect()
+            return self.spark.read.schema(STORE).json(self.path)
         except Exception as e:  # no store yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+            return None
+
+    def _rows(self) -> dict[str, dict]:
+        log = self._log()
+        if log is None:
             return {}
-        return {r["name"]: r.asDict() for r in rows if r["name"] and self._spec(r["spec"])}
+        latest = F.max_by(F.struct(*log.columns), F.struct("updated_at", F.coalesce("version", F.lit("")))).alias("r")
+        rows = log.where("name is not null").groupBy("name").agg(latest).select("r.*").where("spec is not null").collect()
+        return {r["name"]: r.asDict() for r in rows if self._spec(r["spec"])}
 
     @staticmethod
     def _spec(text: str | None) -> ViewSpec | None:
@@ -248,28 +258,29 @@ class ViewStore:
         except (ValueError, TypeError):
             return None
 
-    def _write(self, rows: dict[str, dict]) -> None:
-        data = [tuple(r[c] for c in ("name", "spec", "created_at", "updated_at")) for r in rows.values()]
-        self.spark.createDataFrame(data, STORE).coalesce(1).write.mode("overwrite").json(self.path)
+    def _add(self, *changes: tuple[str, str | None, datetime | None]) -> None:
+        """Rows of name, spec and when it was made (now, if null), in one write."""
+        now = datetime.now(timezone.utc)
+        data = [(name, spec, made or now, now, uuid.uuid4().hex) for name, spec, made in changes]
+        self.spark.createDataFrame(data, STORE).coalesce(1).write.mode("append").json(self.path)
 
     def list(self) -> list[ViewSpec]:
         return [self._spec(r["spec"]) for _, r in sorted(self._rows().items())]
 
     def save(self, spec: ViewSpec) -> None:
-        rows, now = self._rows(), datetime.now(timezone.utc).replace(tzinfo=None)
-        rows[spec.name] = {"name": spec.name, "spec": json.dumps(asdict(spec)), "created_at": rows.get(spec.name, {}).get("created_at") or now, "updated_at": now}
-        self._write(rows)
+        self._add((spec.name, json.dumps(asdict(spec)), self._rows().get(spec.name, {}).get("created_at")))
 
     def rename(self, name: str, new: str) -> None:
-        rows = self._rows()
-        spec = replace(self._spec(rows.pop(name)["spec"]), name=new)
-        self._write(rows)
-        self.save(spec)
+        old = self._rows()[name]
+        spec = json.dumps(asdict(replace(self._spec(old["spec"]), name=new)))
+        self._add(*([(name, None, None)] if name != new else []), (new, spec, old["created_at"]))
 
     def delete(self, name: str) -> None:
-        rows = self._rows()
-        rows.pop(name, None)
-        self._write(rows)
+        self._add((name, None, None))
+
+    def compact(self) -> None:
+        rows = [tuple(r[c] for c in ("name", "spec", "created_at", "updated_at", "version")) for r in self._rows().values()]
+        self.spark.createDataFrame(rows, STORE).coalesce(1).write.mode("overwrite").json(self.path)
 
     def run(self, name: str, df: DataFrame) -> DataFrame:
         return run(df, self._spec(self._rows()[name]["spec"]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataprof.functions import stats
-from strataprof.operators import extract, graph, scan, size, views
+from strataprof.operators import constructs, extract, graph, labels, report, scan, size, views
 from strataprof.plans import bindings as b
 from strataprof.plans.catalog import big, query, r, summed
 from strataprof.plans.more import _XSI
@@ -295,3 +295,72 @@ def _(spark, sf):
     sources.write_run(spark, path, tables, fmt="json")
     both = [sources.read_run(spark, path, k).select(F.lit(k).alias("report"), "key", "n") for k in tables]
     return both[0].unionByName(both[1])
+
+
+# --- labels of any type, projections of catalogs, times with sizes, concepts by their specs ---------------------------
+
+
+@query("labels_of_any_type", """SELECT 'p' || p_partkey AS node_id, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN p_name WHEN p_size % 3 = 0 THEN NULL
+  WHEN p_size % 4 = 2 AND p_partkey % 2 = 0 THEN p_brand WHEN p_size % 5 = 0 THEN NULL ELSE p_type END AS label FROM part""")
+def _(spark, sf):
+    """Names that are numbers end the search; null names, and numbers in the data, are passed over."""
+    k = F.col("p_size")
+    name = F.when(k % 4 == 0, F.concat(F.lit('"name":'), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit('"name":"'), "p_name", F.lit('"'))).otherwise('"name":null')
+    label = F.when(k % 3 == 0, ',"label":{"no":"text"}').otherwise("")
+    inner = F.when((k % 4 == 2) & (F.col("p_partkey") % 2 == 0), F.concat(F.lit('"label":"'), "p_brand", F.lit('"'))).otherwise('"label":17')
+    title = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(',"title":"'), "p_type", F.lit('"')))
+    of = lambda *c: F.parse_json(F.concat(F.lit("{"), *c, F.lit("}")))
+    rows = b.read(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), of(name, label).alias("fields"), of(inner, title).alias("data"))
+    return rows.select("node_id", labels.resolve_variant(F.col("fields"), F.col("data")).alias("label"))
+
+
+@query("constructs_projection", """SELECT p_type || p_size AS id, any_value('a ' || p_type) AS description, CASE WHEN p_size % 2 = 0 THEN 'node_type' ELSE 'edge_type' END AS kind, lower(p_type) AS match_type,
+  CASE WHEN p_size % 3 = 0 THEN '—' ELSE 'g' || p_size END AS "group", CASE WHEN p_size % 3 = 0 THEN '' ELSE 'category=g' || p_size END AS meta FROM part GROUP BY p_type, p_size""")
+def _(spark, sf):
+    k = F.col("p_size")
+    meta = F.when(k % 3 != 0, F.create_map(F.lit("category"), F.concat(F.lit("g"), k)))
+    rows = b.read(spark, sf, "part").select("p_type", "p_size").distinct().select(
+        F.concat("p_type", "p_size").alias("id"), F.when(k % 2 == 0, "node_type").otherwise("edge_type").alias("kind"), F.lower("p_type").alias("match_type"), F.concat(F.lit("a "), "p_type").alias("description"), meta.alias("meta")
+    )
+    unknown = rows.limit(1).withColumn("id", F.lit("UNKNOWN_NODE"))
+    text = F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat_ws("=", e.key, e.value)), ",")
+    return constructs.projection(rows.unionByName(unknown)).withColumn("meta", text)
+
+
+@query("report_time_with_size", """SELECT l.model_id, s.size AS x, l.ms AS y FROM (SELECT 'o' || l_orderkey AS model_id, CAST(sum(l_quantity) AS BIGINT) AS ms FROM lineitem GROUP BY ALL) AS l
+  JOIN (SELECT 'o' || o_orderkey AS model_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS size FROM orders WHERE o_orderstatus <> 'F') AS s ON s.model_id = l.model_id WHERE s.size > 0 AND l.ms > 0""")
+def _(spark, sf):
+    """Times come with lines, sizes with orders that are not closed; of every third order the size is not known."""
+    li, o = b.read(spark, sf, "lineitem"), b.read(spark, sf, "orders")
+    times = li.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("model_id")).agg(F.sum("l_quantity").cast("long").alias("parse_time_ms"))
+    size_of = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.floor("o_totalprice"))
+    sizes = o.where("o_orderstatus <> 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("model_id"), size_of.alias("file_size_bytes_source"))
+    return report.time_with_size(times, sizes)
+
+
+_SPEC = extract.UML_LISTS + [("Class", "name", False, None), ("Class", "isAbstract", False, "abstract")]
+
+
+def _concept_files(spark, sf):
+    """A customer is a file: a class, and for each order a template parameter with classifiers in a list."""
+    o = b.read(spark, sf, "orders")
+    order = F.concat(F.lit('<p xmi:type="uml:ClassifierTemplateParameter" xmi:id="o'), "o_orderkey", F.lit('" signature="s" constrainingClassifier="'), "o_orderstatus", F.lit("  c"), F.col("o_orderkey") % 7, F.lit('" note="'), F.col("o_orderkey") % 5, F.lit('"/>'))
+    head = F.concat(F.lit('<m xmlns:xmi="http://schema.omg.org/spec/XMI/2.1"><p xmi:type="uml:Class" xmi:id="k" name="K" isAbstract="true"><odd/><Extension/>'))
+    return o.groupBy("o_custkey").agg(F.concat(head, F.array_join(F.sort_array(F.collect_list(order)), ""), F.lit("</p></m>")).alias("text")).select(F.concat(F.lit("c"), "o_custkey").alias("model_id"), "text")
+
+
+@query("extract_concept_payload", """SELECT 'c' || o_custkey AS model_id, 'ClassifierTemplateParameter' AS concept, 'constrainingClassifierRefs=' || o_orderstatus || '+c' || (o_orderkey % 7) || ',signature=s' AS data, count(*) AS n FROM orders GROUP BY ALL
+  UNION ALL SELECT DISTINCT 'c' || o_custkey, 'Class', 'abstract=true,name=K', 1 FROM orders""")
+def _(spark, sf):
+    found = extract.concept_payload(extract.shred(_concept_files(spark, sf), "xml"), spark.createDataFrame(_SPEC, extract.SPEC))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("data"), lambda e: F.concat_ws("=", e.key, F.array_join(e.value, "+")))), ",")
+    return found.groupBy("model_id", "concept", text.alias("data")).agg(F.count("*").alias("n"))
+
+
+@query("extract_concept_unhandled", """SELECT 'c' || o_custkey AS model_id, 'UNHANDLED_ATTRIBUTE' AS warning_type, 'ClassifierTemplateParameter(o' || o_orderkey || ')@note=' || (o_orderkey % 5) AS msg FROM orders
+  UNION ALL SELECT DISTINCT 'c' || o_custkey, 'UNHANDLED_CHILD', 'Class/odd' FROM orders""")
+def _(spark, sf):
+    rows = graph.cut(extract.shred(_concept_files(spark, sf), "xml"))
+    odd = extract.unhandled_by_concept(rows, spark.createDataFrame(_SPEC, extract.SPEC))
+    children = extract.unhandled_children_by_concept(rows, spark.createDataFrame([("Class", "ownedAttribute")], "concept string, child string"), ["ClassifierTemplateParameter"])
+    return odd.unionByName(children).select("model_id", "warning_type", "msg")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataprof.functions import stats
-from strataprof.operators import extract, graph, views
+from strataprof.operators import extract, graph, labels, views
 from strataprof.sources import files
 
 XSI = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
@@ -244,3 +244,27 @@ def test_readers_see_whole_runs_only(spark, tmp_path):
         files.read_run(spark, path, "b")
     m = files.manifest(spark, path, first).orderBy("name").collect()
     assert [(r.name, r.rows, r.source, r.bytes > 0, r.files > 0) for r in m] == [("a", 3, "here", True, True), ("b", 2, "here", True, True)]
+
+
+def test_labels_of_any_type_end_at_what_is_no_string(spark):
+    cases = [
+        ('{"name":"a"}', "{}", "a"), ('{"name":1,"label":"b"}', '{"name":"d"}', None), ('{"name":null,"label":"b"}', "{}", "b"), ('{"label":"b"}', '{"name":"d"}', "d"),
+        ("{}", '{"name":3,"title":"t"}', "t"), ('{"name":""}', '{"name":"d"}', ""), ("{}", "{}", None), (None, None, None), ('{"title":[1]}', '{"title":"t"}', None),
+    ]
+    df = spark.createDataFrame([(i, f, d, w) for i, (f, d, w) in enumerate(cases)], "i int, f string, d string, want string")
+    got = df.select("want", labels.resolve_variant(F.parse_json("f"), F.parse_json("d")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_specs_of_concepts(spark):
+    text = (
+        '<m xmlns:xmi="http://schema.omg.org/spec/XMI/2.1"><p xmi:type="uml:RedefinableTemplateSignature" xmi:id="s" parameter=" a  b " other="1"><q/><details/><r xmi:type="uml:Done"/></p>'
+        '<p xmi:type="uml:Nobody" xmi:id="n" other="2"><q/></p></m>'
+    )
+    rows = extract.shred(spark.createDataFrame([("m", text), ("bad", "<no"), ("none", None)], "model_id string, text string"), "xml")
+    spec = spark.createDataFrame([*extract.UML_LISTS, extract.UML_LISTS[-1]], extract.SPEC)
+    assert [(r["concept"], r["data"]) for r in extract.concept_payload(rows, spec).collect()] == [("RedefinableTemplateSignature", {"parameterRefs": ["a", "b"]})]
+    assert [r["msg"] for r in extract.unhandled_by_concept(rows, spec).collect()] == ["RedefinableTemplateSignature(s)@other=1"]
+    allowed = spark.createDataFrame([("RedefinableTemplateSignature", "z")], "concept string, child string")
+    assert [r["msg"] for r in extract.unhandled_children_by_concept(rows, allowed, ["Done"]).collect()] == ["RedefinableTemplateSignature/q"]
+    assert extract.concept_payload(rows.limit(0), spec).count() == 0
