@@ -23,7 +23,7 @@ empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,12 +93,14 @@ class Filter:
     sizes: np.ndarray
 
     @classmethod
-    def of(cls, segments: int, held: list[tuple[int, bytes]]) -> Filter:
-        length = np.array([len(x) for _, x in held], dtype=np.int64)
-        total = int(length.sum())
-        made = cls(np.frombuffer(b"".join([*(x for _, x in held), b"\0"]), dtype=np.uint8), np.full(segments, total * 8, dtype=np.int64), np.full(segments, 8, dtype=np.uint64))
-        at = np.array([k for k, _ in held], dtype=np.int64)
-        made.starts[at], made.sizes[at] = (np.cumsum(length) - length) * 8, length * 8
+    def of(cls, segments: int, held: Iterable[tuple[int, bytes]], size: int) -> Filter:
+        """From segments with ``size`` bytes in all, taken one at a time."""
+        made = cls(np.zeros(size + 1, dtype=np.uint8), np.full(segments, size * 8, dtype=np.int64), np.full(segments, 8, dtype=np.uint64))
+        at = 0
+        for k, x in held:
+            made.bits[at : at + len(x)] = np.frombuffer(x, dtype=np.uint8)
+            made.starts[k], made.sizes[k] = at * 8, len(x) * 8
+            at += len(x)
         return made
 
     def level(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -288,7 +290,7 @@ def _probed(sent: DataFrame, bits: DataFrame) -> DataFrame:
     """``slice, segment, word_levels, pair_levels``: what each segment's bits say of the n-grams sent to it."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        made = Filter.of(1, [(0, x) for x in right["bits"]])
+        made = Filter.of(1, [(0, x) for x in right["bits"]], int(right["bits"].str.len().sum()))
         out = left[["slice", "segment"]].copy()
         for kind, as_keys in (("word", _word_keys), ("pair", _pair_keys)):
             keys = as_keys(_unpacked(left, f"{kind}s", f"n_{kind}"))
@@ -325,7 +327,7 @@ def score(
     answers = counted.select("slice", "segment", "n_word", "word_counts")
     shared = None
     if size + 16 * segments <= most_broadcast:
-        shared = spark.sparkContext.broadcast(Filter.of(segments, [tuple(r) for r in bits.collect()]))
+        shared = spark.sparkContext.broadcast(Filter.of(segments, bits.toLocalIterator(), size))
     else:
         answers = answers.join(_probed(_sent(slices, segments, counting=False), bits), ["slice", "segment"], "full")
 

@@ -61,7 +61,8 @@ def test_nothing_to_learn_and_nothing_to_score(spark):
 def test_filter_never_underestimates():
     keys = np.arange(1, 2001, dtype=np.uint64) * np.uint64(7919)
     counts = 1 + (np.arange(2000) ** 2) % 500
-    made = bloom_lm.Filter.of(3, [(2, bloom_lm.segment_bits(keys, counts))])
+    bits = bloom_lm.segment_bits(keys, counts)
+    made = bloom_lm.Filter.of(3, [(2, bits)], len(bits))
     at = np.full(2000, 2)
     got, want = made.level(keys, at), bloom_lm.levels(counts)
     assert (got >= want).all() and (got == want).mean() > 0.97
