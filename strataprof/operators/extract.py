@@ -607,7 +607,7 @@ def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     chain = item.select("model_id", "seq", F.posexplode(F.concat("anc_seqs", F.array("seq"))).alias("i", "a"))
     names = item.select("model_id", F.col("seq").alias("a"), "name")
     path = chain.join(names, ["model_id", "a"]).groupBy("model_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), "/").alias("node_id"))
-    item = item.join(path, ["model_id", "seq"])
+    item = cut(item.join(path, ["model_id", "seq"]).drop("anc_seqs"))  # read by several branches
     item, w1 = first_of_id(item, "node_id")
     origin = data_type_origin(elements)
     nodes = item.where("type <> 'EReference'").join(origin, ["model_id", "seq"], "left").select(

@@ -16,15 +16,20 @@ from strataprof.sources.files import shared_folder
 
 MOST_EDGES = 200_000  # of a model that one task solves
 TASK_EDGES = 400_000
+MOST_BROADCAST = 100_000  # rows of a table that a join may send to all tasks
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Written to the folder that all executors share and read again, so that each round starts from a table and a lost
-    executor costs one round."""
+    executor costs one round.
+
+    Files are many times smaller than the rows in them, so Spark takes large tables for small ones and would broadcast
+    them through the driver.  A table of more rows than ``most_broadcast`` is joined by shuffles instead."""
     spark = df.sparkSession
     path = shared_folder(spark, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return table.hint("merge") if table.count() > most_broadcast else table
 
 
 def _dealt(edges: DataFrame, most_edges: int) -> tuple[DataFrame, DataFrame | None]:

@@ -268,3 +268,11 @@ def test_specs_of_concepts(spark):
     allowed = spark.createDataFrame([("RedefinableTemplateSignature", "z")], "concept string, child string")
     assert [r["msg"] for r in extract.unhandled_children_by_concept(rows, allowed, ["Done"]).collect()] == ["RedefinableTemplateSignature/q"]
     assert extract.concept_payload(rows.limit(0), spec).count() == 0
+
+
+def test_large_tables_between_rounds_are_not_broadcast(spark):
+    """Rows alike are small as a file and large in memory."""
+    rows = graph.cut(spark.range(graph.MOST_BROADCAST + 1).selectExpr("'m' as model_id", "id % 10 as seq", "repeat('x', 50) as text"))
+    few = graph.cut(spark.range(10).selectExpr("'m' as model_id", "id as seq"))
+    assert "BroadcastHashJoin" not in rows.join(rows.groupBy("model_id", "seq").count(), ["model_id", "seq"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in few.join(few.groupBy("model_id", "seq").count(), ["model_id", "seq"])._jdf.queryExecution().executedPlan().toString()
