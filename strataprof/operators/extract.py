@@ -646,10 +646,22 @@ def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def resolve_by_name(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     """``refs(model_id, ref_id, name, hint, package)`` to one of ``candidates(model_id, node_id, name, package)``: one in
-    the package of the hint, else in the same package, else the first by id."""
+    the package of the hint, else in the same package, else the first by id.
+
+    The first of each name, and of each name in a package, are found once, so that many candidates of one name don't
+    multiply the references to it; references alike are resolved once."""
     c = candidates.select("model_id", "node_id", "name", F.col("package").alias("_p"))
-    score = F.when(F.col("_p") == F.col("hint"), 0).when(F.col("_p") == F.col("package"), 1).otherwise(2)
-    return refs.join(c, ["model_id", "name"]).groupBy("model_id", "ref_id").agg(F.min_by("node_id", F.struct(score, "node_id")).alias("node_id"))
+    every = c.groupBy("model_id", "name").agg(F.min("node_id").alias("_any"))
+    within = c.groupBy("model_id", "name", "_p").agg(F.min("node_id").alias("_first"))
+    keys = refs.select("model_id", "name", "hint", "package").distinct()
+    for at in ("hint", "package"):
+        keys = keys.join(within.withColumnsRenamed({"_p": at, "_first": f"_{at}"}), ["model_id", "name", at], "left")
+    said = F.when(F.col("_hint").isNotNull(), F.struct(F.lit(0).alias("s"), F.col("_hint").alias("n"))).when(F.col("_package").isNotNull(), F.struct(F.lit(1).alias("s"), F.col("_package").alias("n")))
+    found = keys.join(every, ["model_id", "name"]).select("model_id", "name", F.col("hint").alias("_h"), F.col("package").alias("_k"), F.coalesce(said, F.struct(F.lit(2).alias("s"), F.col("_any").alias("n"))).alias("_x"))
+    alike = F.col("hint").eqNullSafe(F.col("_h")) & F.col("package").eqNullSafe(F.col("_k"))
+    r, f = refs.alias("r"), found.alias("f")
+    same = (F.col("r.model_id") == F.col("f.model_id")) & (F.col("r.name") == F.col("f.name")) & alike
+    return r.join(f, same).groupBy("r.model_id", "ref_id").agg(F.min("_x")["n"].alias("node_id"))
 
 
 def resolve_files(refs: DataFrame, files: DataFrame) -> DataFrame:

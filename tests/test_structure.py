@@ -276,3 +276,15 @@ def test_large_tables_between_rounds_are_not_broadcast(spark):
     few = graph.cut(spark.range(10).selectExpr("'m' as model_id", "id as seq"))
     assert "BroadcastHashJoin" not in rows.join(rows.groupBy("model_id", "seq").count(), ["model_id", "seq"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in few.join(few.groupBy("model_id", "seq").count(), ["model_id", "seq"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_name_with_many_candidates_is_resolved_once(spark):
+    n = 40_000  # references and candidates of one name: pairs would be 1.6 billion
+    refs = spark.range(n).selectExpr("'m' as model_id", "cast(id as string) as ref_id", "'a' as name", "if(id % 3 = 0, 'h', null) as hint", "if(id % 3 = 1, 'k', 'none') as package")
+    refs = refs.unionByName(spark.createDataFrame([("m", "0", "b", None, None), ("m", "1", "lost", "h", "k")], refs.schema))
+    cands = spark.range(n).selectExpr("'m' as model_id", "id as node_id", "'a' as name", "case when id = 7 then 'h' when id > 10 and id % 2 = 0 then 'k' else 'z' end as package")
+    cands = cands.unionByName(spark.createDataFrame([("m", 5, "b", "z")], cands.schema))
+    began = time.time()
+    found = {r["ref_id"]: r["node_id"] for r in extract.resolve_by_name(refs, cands).collect()}
+    assert len(found) == n and all(found[str(i)] == (7, 12, 0)[i % 3] for i in range(n))
+    assert time.time() - began < 20
