@@ -376,7 +376,7 @@ def bpmn(shapes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     flows = ok.where(is_edge).select("model_id", F.col("shape_id").alias("edge_id"), F.col("stencil").alias("type"), "outgoing", "target", F.col("source").alias("stated"))
     named = nodes.select("model_id", "node_id", "pos", F.explode("outgoing").alias("edge_id"))
     source = named.groupBy("model_id", "edge_id").agg(F.min_by("node_id", "pos").alias("source_id"), F.count("*").alias("n"))
-    ids = nodes.select("model_id", F.col("node_id").alias("ref"))
+    ids = nodes.select("model_id", F.col("node_id").alias("ref")).distinct()
     onward = flows.where("target is null").select("model_id", "edge_id", F.posexplode("outgoing").alias("i", "ref")).join(ids, ["model_id", "ref"]).where("ref <> edge_id")
     onward = onward.groupBy("model_id", "edge_id").agg(F.min_by("ref", "i").alias("onward"))
     joined = flows.join(source, ["model_id", "edge_id"], "left").join(onward, ["model_id", "edge_id"], "left").withColumn("target_id", F.coalesce("target", "onward")).withColumn("source_id", F.coalesce("source_id", "stated"))
@@ -393,7 +393,7 @@ def bpmn(shapes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def containment(nodes: DataFrame) -> DataFrame:
     """``contains:parent->child`` for nodes whose parent is a node."""
-    parents = nodes.select("model_id", F.col("node_id").alias("parent_id"))
+    parents = nodes.select("model_id", F.col("node_id").alias("parent_id")).distinct()  # many files of a model may hold one node
     return nodes.join(parents, ["model_id", "parent_id"]).select(
         "model_id", F.concat(F.lit("contains:"), "parent_id", F.lit("->"), "node_id").alias("edge_id"), F.col("parent_id").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("contains").alias("type")
     ).dropDuplicates(["model_id", "edge_id"])

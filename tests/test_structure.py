@@ -288,3 +288,12 @@ def test_a_name_with_many_candidates_is_resolved_once(spark):
     found = {r["ref_id"]: r["node_id"] for r in extract.resolve_by_name(refs, cands).collect()}
     assert len(found) == n and all(found[str(i)] == (7, 12, 0)[i % 3] for i in range(n))
     assert time.time() - began < 20
+
+
+def test_files_of_a_model_that_hold_one_node_do_not_multiply(spark):
+    n = 40_000  # pairs of the node and what it holds would be 1.6 billion
+    nodes = spark.range(n).selectExpr("'m' as model_id", "explode(array('canvas', concat('c', id))) as node_id").selectExpr("*", "if(node_id = 'canvas', null, 'canvas') as parent_id")
+    began = time.time()
+    found = extract.containment(nodes)
+    assert found.count() == n and found.where("edge_id = 'contains:canvas->c7' and source_id = 'canvas' and target_id = 'c7'").count() == 1
+    assert time.time() - began < 20
