@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from strataprof.operators.graph import cut
 
@@ -150,18 +150,32 @@ def register_extractor(language: str, fn: Callable[[str, str], Iterable[tuple]],
     EXTRACTORS[language] = (fn, schema)
 
 
-def shred(files: DataFrame, language: str, most_rows: int = 20_000, most_ancestors: int = 1_000_000) -> DataFrame:
+#: What ``archimate``, ``uml``, ``header``, ``unhandled`` and ``unhandled_children`` read of the elements (fixed values).
+ARCHIMATE_COLUMNS = "model_id seq parent_seq depth tag attrs text anc_types error".split()
+UML_COLUMNS = "model_id seq parent_seq tag attrs anc_seqs anc_tags error".split()
+HEADER_COLUMNS = "model_id seq depth tag attrs text error".split()
+ATTRIBUTE_COLUMNS = "model_id tag attrs error".split()
+CHILD_COLUMNS = "model_id seq parent_seq tag error".split()
+
+
+def shred(files: DataFrame, language: str, most_rows: int = 20_000, most_ancestors: int = 1_000_000, columns: list[str] | None = None, most_depth: int | None = None) -> DataFrame:
     """Rows of every file of ``files(model_id, text)``, in Arrow batches of many files or of parts of one.  Narrow: besides
     the text, a task holds the rows of one batch, which ends at ``most_rows`` rows or ``most_ancestors`` list entries.
-    ``xml-flat`` names no ancestors but the parent: for files nested so deep that lists of them would outgrow the file."""
+    ``xml-flat`` names no ancestors but the parent: for files nested so deep that lists of them would outgrow the file.
+
+    Python hands over whole rows: name the ``columns`` that are read, and the ``most_depth`` of elements, where the rest is not."""
     fn, schema = EXTRACTORS[language]
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    lists = [i for i, f in enumerate(arrow) if pa.types.is_list(f.type)]
+    whole = _parse_datatype_string(schema)
+    kept = [whole.names.index(c) for c in columns or whole.names]
+    depth = whole.names.index("depth") if most_depth is not None else None
+    sent = StructType([whole[i] for i in kept])
+    arrow = to_arrow_schema(sent)
+    lists = [i for i, f in zip(kept, arrow) if pa.types.is_list(f.type)]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows)
+        every = list(zip(*rows))
         return pa.RecordBatch.from_arrays(
-            [pa.array([list(x.items()) if isinstance(x, dict) else x for x in c] if pa.types.is_map(f.type) else c, type=f.type) for f, c in zip(arrow, columns)], schema=arrow
+            [pa.array([list(x.items()) if isinstance(x, dict) else x for x in every[i]] if pa.types.is_map(f.type) else every[i], type=f.type) for i, f in zip(kept, arrow)], schema=arrow
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +184,18 @@ def shred(files: DataFrame, language: str, most_rows: int = 20_000, most_ancesto
         for b in batches:
             for model_id, text in zip(b.column(0), b.column(1)):
                 for row in fn(model_id.as_py(), text.as_py() or ""):
+                    if depth is not None and row[depth] > most_depth:
+                        continue
                     rows.append(row)
-                    entries += sum(len(row[i] or ()) for i in lists)
+                    for i in lists:
+                        entries += len(row[i] or ())
                     if len(rows) >= most_rows or entries >= most_ancestors:
                         yield packed(rows)
                         rows, entries = [], 0
         if rows:
             yield packed(rows)
 
-    return files.select("model_id", "text").mapInArrow(run, schema)
+    return files.select("model_id", "text").mapInArrow(run, sent)
 
 
 def register_udtf(spark: SparkSession, language: str, name: str | None = None) -> str:

@@ -41,7 +41,7 @@ def _xmi_files(spark, sf):
 
 
 def _xmi(spark, sf):
-    return graph.cut(extract.shred(_xmi_files(spark, sf), "xml"))  # read by several branches
+    return graph.cut(extract.shred(_xmi_files(spark, sf), "xml", columns=extract.UML_COLUMNS))  # read by several branches
 
 
 _O = "uo AS (SELECT 'c' || o_custkey AS model_id, o_orderkey AS k, o_orderpriority AS pr, o_orderstatus AS st FROM orders), um AS (SELECT DISTINCT model_id FROM uo)"
@@ -153,7 +153,7 @@ def _(spark, sf):
 
 @query("extract_header", "SELECT model_id, model_id AS id, 'n' AS name, '1' AS version FROM gm", b.GRAPH)
 def _(spark, sf):
-    return extract.header(extract.shred(_archimate_files(spark, sf), "archimate")).select("model_id", "id", "name", "version")
+    return extract.header(extract.shred(_archimate_files(spark, sf), "archimate", columns=extract.HEADER_COLUMNS, most_depth=1)).select("model_id", "id", "name", "version")
 
 
 @query("extract_gate", """SELECT model_id, CASE WHEN CAST(substr(model_id, 2) AS BIGINT) % 13 = 0 THEN 0 ELSE 1 END AS passed, CASE CAST(substr(model_id, 2) AS BIGINT) % 13 WHEN 0 THEN 'CannotParse: root {http://www.archimatetool.com/archimate}sheet' END AS said FROM gm""", b.GRAPH)
@@ -171,20 +171,20 @@ _KNOWN = [("model", "id"), ("model", "name"), ("model", "version"), ("folder", "
 
 @query("extract_unhandled_attributes", "SELECT model_id, 'element@target' AS msg, count(*) AS n FROM gj GROUP BY model_id", b.GRAPH)
 def _(spark, sf):
-    rows = extract.shred(_archimate_files(spark, sf), "archimate")
+    rows = extract.shred(_archimate_files(spark, sf), "archimate", columns=extract.ATTRIBUTE_COLUMNS)
     return extract.unhandled(rows, spark.createDataFrame(_KNOWN, "tag string, name string")).groupBy("model_id", "msg").agg(F.count("*").alias("n"))
 
 
 @query("extract_unhandled_children", "SELECT model_id, 'element/documentation' AS msg, count(*) AS n FROM gj WHERE l_linenumber <> 7 GROUP BY model_id", b.GRAPH)
 def _(spark, sf):
-    rows = graph.cut(extract.shred(_archimate_files(spark, sf), "archimate"))
+    rows = graph.cut(extract.shred(_archimate_files(spark, sf), "archimate", columns=extract.CHILD_COLUMNS))
     known = spark.createDataFrame([("model", "folder"), ("folder", "folder"), ("folder", "element")], "tag string, child string")
     return extract.unhandled_children(rows, known).groupBy("model_id", "msg").agg(F.count("*").alias("n"))
 
 
 @query("extract_archimate_documentation", "SELECT DISTINCT model_id, 'p' || l_partkey AS node_id, 'P' || l_partkey AS name, 'd' AS documentation FROM gj WHERE l_linenumber <> 7", b.GRAPH)
 def _(spark, sf):
-    n = extract.archimate(graph.cut(extract.shred(_archimate_files(spark, sf), "archimate")))[0]
+    n = extract.archimate(graph.cut(extract.shred(_archimate_files(spark, sf), "archimate", columns=extract.ARCHIMATE_COLUMNS)))[0]
     return n.where("documentation is not null").select("model_id", "node_id", "name", "documentation")
 
 

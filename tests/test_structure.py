@@ -297,3 +297,14 @@ def test_files_of_a_model_that_hold_one_node_do_not_multiply(spark):
     found = extract.containment(nodes)
     assert found.count() == n and found.where("edge_id = 'contains:canvas->c7' and source_id = 'canvas' and target_id = 'c7'").count() == 1
     assert time.time() - began < 20
+
+
+def test_shreds_hand_over_only_what_is_read(spark):
+    df = spark.createDataFrame([("m", '<model id="1"><documentation>d</documentation><folder type="business"><element id="2"/></folder></model>'), ("bad", "<no")], "model_id string, text string")
+    whole = extract.shred(df, "archimate")
+    few = extract.shred(df, "archimate", columns=extract.HEADER_COLUMNS, most_depth=1)
+    assert few.columns == extract.HEADER_COLUMNS and sorted(few.collect(), key=str) == sorted(whole.where("depth < 2").select(few.columns).collect(), key=str)
+    assert extract.header(few).collect() == extract.header(whole).collect()
+    lean = extract.shred(df, "archimate", columns=extract.ARCHIMATE_COLUMNS)
+    for a, b in zip(extract.archimate(lean), extract.archimate(whole)):
+        assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
