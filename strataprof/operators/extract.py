@@ -419,11 +419,16 @@ def containment(nodes: DataFrame) -> DataFrame:
 def directed_edges(rows: DataFrame, source: str, target: str, *keep: str) -> DataFrame:
     """``model_id, edge_id, source_id, target_id`` and the columns to keep, from rows with ``id`` and lists of references
     separated by blanks: each source with each target; from the second on, ids get ``__k``."""
-    pairs = rows.select("model_id", "id", *keep, F.posexplode(F.split(F.trim(source), r"\s+")).alias("i", "source_id"), F.col(target).alias("_t")).select(
-        "model_id", "id", *keep, "i", "source_id", F.posexplode(F.split(F.trim("_t"), r"\s+")).alias("j", "target_id")
-    ).where("source_id <> '' and target_id <> ''")
-    k = F.row_number().over(W.partitionBy("model_id", "id").orderBy("i", "j")) - 1
-    return pairs.withColumn("k", k).select("model_id", F.when(F.col("k") == 0, F.col("id")).otherwise(F.concat_ws("__", "id", "k")).alias("edge_id"), "source_id", "target_id", *keep)
+    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    lists = rows.select("model_id", "id", *keep, words(F.col(source)).alias("_s"), words(F.col(target)).alias("_t")).withColumn("_n", F.size("_s").cast("long") * F.size("_t"))
+    # rows that share an id are numbered one after the other; only rows move for it, not pairs
+    before = W.partitionBy("model_id", "id").orderBy("_s", "_t", *([F.to_json(F.struct(*keep))] if keep else [])).rowsBetween(W.unboundedPreceding, -1)
+    lists = lists.where("size(_s) > 0 and size(_t) > 0").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    pairs = lists.select("model_id", "id", *keep, "_before", "_t", F.posexplode("_s").alias("_i", "source_id")).select(
+        "model_id", "id", *keep, "_before", F.size("_t").alias("_w"), "_i", "source_id", F.posexplode("_t").alias("_j", "target_id")
+    )
+    k = F.col("_before") + F.col("_i").cast("long") * F.col("_w") + F.col("_j")
+    return pairs.withColumn("_k", k).select("model_id", F.when(F.col("_k") == 0, F.col("id")).otherwise(F.concat_ws("__", "id", "_k")).alias("edge_id"), "source_id", "target_id", *keep)
 
 
 #: Concepts that become a node as they are (fixed values).

@@ -308,3 +308,13 @@ def test_shreds_hand_over_only_what_is_read(spark):
     lean = extract.shred(df, "archimate", columns=extract.ARCHIMATE_COLUMNS)
     for a, b in zip(extract.archimate(lean), extract.archimate(whole)):
         assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+
+
+def test_pairs_of_references_are_numbered_without_moving_them(spark):
+    df = spark.createDataFrame([("m", "d", " a  b ", "x y"), ("m", "e", "a", "z"), ("m", "e", "b", "z"), ("m", "f", "", "z"), ("m", "g", None, "z")], "model_id string, id string, s string, t string")
+    out = extract.directed_edges(df, "s", "t")
+    assert sorted(map(tuple, out.collect())) == [
+        ("m", "d", "a", "x"), ("m", "d__1", "a", "y"), ("m", "d__2", "b", "x"), ("m", "d__3", "b", "y"), ("m", "e", "a", "z"), ("m", "e__1", "b", "z"),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # pairs are made of numbered rows: the plan is printed from the top
