@@ -239,3 +239,15 @@ def test_common_pairs_of_long_documents_and_many_items_are_not_multiplied():
     leak[5] = "other"
     text = " ".join(rng.choice(pool) for _ in range(3000)) + " " + " ".join(leak) + " " + " ".join(rng.choice(pool) for _ in range(3000))
     assert [(k, x) for k, _, _, x, _ in block.find(text, 0.4)] == [(77, 3000)]
+
+
+def test_entities_of_documents_without_ids_have_terms(spark):
+    said = [f"{w} zebrafish a@b.cd {w} more {w}" for w in ("one", "two", "three", "four")]
+    rest = [f"plain words {i}" for i in range(200)]
+
+    def terms(ids):
+        df = spark.createDataFrame(list(zip(ids, said + rest)), "doc_id long, text string")
+        return sum(x["kind"] == "term" for r in pii.find_spans(df).collect() for x in r["spans"])
+
+    named = terms(range(204))
+    assert named >= 4 and terms([None] * 4 + list(range(200))) == named
