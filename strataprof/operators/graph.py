@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strataprof.sources.files import shared_folder
 
 MOST_EDGES = 200_000  # of a model that one task solves
-TASK_EDGES = 400_000
+TASK_EDGES = 100_000
 MOST_BROADCAST = 100_000  # rows of a table that a join may send to all tasks
 
 

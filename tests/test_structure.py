@@ -281,9 +281,9 @@ def test_large_tables_between_rounds_are_not_broadcast(spark):
 def test_a_name_with_many_candidates_is_resolved_once(spark):
     n = 40_000  # references and candidates of one name: pairs would be 1.6 billion
     refs = spark.range(n).selectExpr("'m' as model_id", "cast(id as string) as ref_id", "'a' as name", "if(id % 3 = 0, 'h', null) as hint", "if(id % 3 = 1, 'k', 'none') as package")
-    refs = refs.unionByName(spark.createDataFrame([("m", "0", "b", None, None), ("m", "1", "lost", "h", "k")], refs.schema))
+    refs = refs.unionByName(spark.createDataFrame([("m", "0", "b", None, None), ("m", "1", "lost", "h", "k")], "model_id string, ref_id string, name string, hint string, package string"))
     cands = spark.range(n).selectExpr("'m' as model_id", "id as node_id", "'a' as name", "case when id = 7 then 'h' when id > 10 and id % 2 = 0 then 'k' else 'z' end as package")
-    cands = cands.unionByName(spark.createDataFrame([("m", 5, "b", "z")], cands.schema))
+    cands = cands.unionByName(spark.createDataFrame([("m", 5, "b", "z")], "model_id string, node_id long, name string, package string"))
     began = time.time()
     found = {r["ref_id"]: r["node_id"] for r in extract.resolve_by_name(refs, cands).collect()}
     assert len(found) == n and all(found[str(i)] == (7, 12, 0)[i % 3] for i in range(n))
@@ -318,3 +318,9 @@ def test_pairs_of_references_are_numbered_without_moving_them(spark):
     ]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Window")  # pairs are made of numbered rows: the plan is printed from the top
+
+
+def test_small_models_are_dealt_out_to_tasks_of_bounded_edges(spark):
+    edges = spark.range(300_000).selectExpr("concat('m', id % 3000) as model_id", "concat('a', id) as u", "concat('b', id) as v")
+    small, large = graph._dealt(edges, graph.MOST_EDGES)
+    assert large is None and max(r["count"] for r in small.groupBy("task").count().collect()) < 150_000
