@@ -6,13 +6,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strataprof.functions import stats, text
+from strataprof.operators.graph import cut
 from strataprof.operators.labels import eligible
 
 
@@ -158,8 +164,7 @@ def profile_per_model(labels: DataFrame, models: DataFrame, tokens: Callable[[Co
 
 def language_profile(texts: DataFrame, lang: str = "lang", body: str = "text", n: int = 3, smoothing: float = 0.5) -> DataFrame:
     """``gram, lang, logp``: trained by counting.  Its size is the languages times the n-grams of the alphabet."""
-    grams = texts.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(_grams(F.col(body), n)).alias("gram"))
-    c = grams.groupBy("lang", "gram").agg(F.count("*").alias("c"))
+    c = cut(gram_counts(texts.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(body).alias("_body")), ["lang"], "_body", n))  # read four times
     total = c.groupBy("lang").agg(F.sum("c").alias("t"))
     kinds = c.select("gram").distinct()
     v = kinds.agg(F.count("*").alias("v"))
@@ -167,14 +172,47 @@ def language_profile(texts: DataFrame, lang: str = "lang", body: str = "text", n
     return grid.select("gram", "lang", F.log((F.coalesce("c", F.lit(0)) + smoothing) / (F.col("t") + smoothing * F.col("v"))).alias("logp"))
 
 
-def _grams(body: Column, n: int) -> Column:
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(body), r"[^\p{L}]+", " "), F.lit(" "))
-    return F.regexp_extract_all(t, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
+def gram_counts(texts: DataFrame, keys: list[str], body: str, n: int = 3) -> DataFrame:
+    """``keys, gram, c``: how often each n-gram of code points stands in the letters of the texts of a key; runs of anything
+    else are one blank.  Texts are counted batch by batch where they are, so rows grow with the kinds of n-grams that a
+    batch holds, not with its characters."""
+    letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(body), r"[^\p{L}]+", " "), F.lit(" "))
+    src = texts.where(F.col(body).isNotNull()).select(*keys, letters.alias("_t"))
+    sent = StructType([*src.schema.fields[:-1], StructField("gram", StringType()), StructField("c", LongType())])
+    arrow = to_arrow_schema(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups: dict[tuple, list[str]] = {}
+            for *key, t in zip(*(col.to_pylist() for col in b.columns)):
+                groups.setdefault(tuple(key), []).append(t)
+            for key, group in groups.items():
+                grams, counts = _counted(group, n)
+                cols = [pa.array([k] * len(grams), type=f.type) for k, f in zip(key, arrow)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(grams, type=arrow[-2].type), pa.array(counts, type=pa.int64())], schema=arrow)
+
+    return src.mapInArrow(run, sent).groupBy(*keys, "gram").agg(F.sum("c").alias("c"))
+
+
+def _counted(texts: list[str], n: int) -> tuple[list[str], list[int]]:
+    """N-grams of texts without line ends and their counts; up to three code points fit one number."""
+    if n > 3:
+        found = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+        return list(found), list(found.values())
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    size = max(0, len(points) - n + 1)
+    code, inside = np.zeros(size, np.int64), np.ones(size, bool)
+    for i in range(n):
+        at = points[i : i + size]
+        code, inside = code << 21 | at, inside & (at != 10)
+    codes, counts = np.unique(code[inside], return_counts=True)
+    each = [(codes >> 21 * i & 0x1FFFFF).tolist() for i in reversed(range(n))]
+    return ["".join(map(chr, x)) for x in zip(*each)], counts.tolist()
 
 
 def detect_language(texts: DataFrame, profile: DataFrame, key: str = "model_id", body: str = "text", n: int = 3) -> DataFrame:
     """``key, language``: the profile with the largest summed log probability; ``unknown`` where no n-gram is known."""
-    c = texts.select(key, F.explode(_grams(F.col(body), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
+    c = gram_counts(texts, [key], body, n)
     s = c.join(profile, "gram").groupBy(key, "lang").agg(F.sum(F.col("c") * F.col("logp")).alias("s"))
     best = s.groupBy(key).agg(F.max_by("lang", F.struct("s", "lang")).alias("language"))
     return texts.select(key).distinct().join(best, key, "left").fillna("unknown", ["language"])

@@ -84,3 +84,28 @@ def test_language_usage_against_brute_force(spark, tmp_path):
         want[max(c, key=lambda lang: (sum(n * logp(lang, g) for g, n in hit.items()), lang)) if hit else "unknown"] += 1
     got = {r["language"]: r["n_models"] for r in catalog.QUERIES["lexical_language_usage"](spark, str(tmp_path)).collect()}
     assert got == dict(want) and got["xx"] > 0 and got["unknown"] == 1
+
+
+def test_ngrams_are_of_code_points_and_texts_are_read_once(spark, tmp_path):
+    """A letter outside the basic plane is one; no n-gram crosses two texts; and a profile keeps its counts as a table."""
+    from strataprof.operators import lexical
+
+    docs = spark.createDataFrame([("a", "x\U0001F600ab \U00010400c\n"), ("a", "AB"), ("b", ""), ("b", None), (None, "ab")], "lang string, text string")
+
+    def want(n):
+        out = Counter()
+        for lang, t in [("a", " x ab \U00010428c  "), ("a", " ab "), ("b", "  "), (None, " ab ")]:
+            out.update((lang, t[i : i + n]) for i in range(len(t) - n + 1))
+        return dict(out)
+
+    for n in (2, 3, 5):
+        assert {(r["lang"], r["gram"]): r["c"] for r in lexical.gram_counts(docs, ["lang"], "text", n).collect()} == want(n)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    lexical.language_profile(docs.mapInArrow(count, docs.schema)).collect()
+    assert seen.value == 5
