@@ -73,14 +73,26 @@ def containment(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return p.agg(F.sum("roots").alias("roots_total"), F.sum("contained").alias("contained_total"), *[x for c in ("max_depth", "mean_depth", "contained_share") for x in stats.summary(c, c)])
 
 
-def all_measures(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """The four corpus measures, one row each."""
-    return {f.__name__: f(models, nodes, edges) for f in (size, degree, connectivity, containment)}
+def _read_once(nodes: DataFrame, edges: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns that the measures read, as tables: what nodes and edges come from is worked out once, not by each."""
+    kept = ["model_id", "source_id", "target_id", *(["type", "data"] if "containment" in names else [])]
+    return graph.cut(nodes.select("model_id", "node_id")), graph.cut(edges.select(kept))
 
 
-def all_per_model(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All per-model figures side by side."""
+def all_measures(models: DataFrame, nodes: DataFrame, edges: DataFrame, enabled: set[str] | None = None) -> dict[str, DataFrame]:
+    """The four corpus measures, one row each; one that is off has no plan and no work, as components and depths are
+    worked out when they are asked for."""
+    plans = {f.__name__: f for f in (size, degree, connectivity, containment) if enabled is None or f.__name__ in enabled}
+    nodes, edges = _read_once(nodes, edges, list(plans))
+    return {name: f(models, nodes, edges) for name, f in plans.items()}
+
+
+def all_per_model(models: DataFrame, nodes: DataFrame, edges: DataFrame, enabled: set[str] | None = None) -> DataFrame:
+    """Per-model figures side by side, of all four measures or of those that are on."""
+    plans = {"size": size_per_model, "degree": degree_per_model, "connectivity": connectivity_per_model, "containment": containment_per_model}
+    plans = {name: f for name, f in plans.items() if enabled is None or name in enabled}
+    nodes, edges = _read_once(nodes, edges, list(plans))
     out = models.select("model_id")
-    for f in (size_per_model, degree_per_model, connectivity_per_model, containment_per_model):
+    for f in plans.values():
         out = out.join(f(models, nodes, edges), "model_id", "left")
     return out

@@ -24,7 +24,7 @@ _SIZES = {"size": "size", "degree": "degree", "connectivity": "connectivity"}
 
 
 def _graph_measures(spark, sf):
-    return {k: v for k, v in size.all_measures(*b.graph(spark, sf)).items() if k in _SIZES}
+    return size.all_measures(*b.graph(spark, sf), enabled=set(_SIZES))
 
 
 @query("corpus_measures", f"""SELECT 'corpus' AS family, 'models' AS measure, 'n_models' AS figure, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS value FROM orders
@@ -49,14 +49,14 @@ def _(spark, sf):
 
 @query("size_all_tree", long_sql({"size": {"containment": "containment"}}))
 def _(spark, sf):
-    return report.as_long("size", "containment", size.all_measures(*b.tree(spark, sf))["containment"])
+    return report.as_long("size", "containment", size.all_measures(*b.tree(spark, sf), enabled={"containment"})["containment"])
 
 
 @query("size_all_per_model", f"""SELECT sz.model_id, nodes, edges, elements, {r('edges_per_node', 'edges_per_node')}, {r('degree_mean', 'degree_mean')}, {r('in_mean', 'in_mean')}, {r('out_mean', 'out_mean')},
   {r('degree_median', 'degree_median')}, degree_max, components, largest, {r('size_mean', 'size_mean')}, isolated, {r('isolated_share', 'isolated_share')} FROM sz JOIN dg USING (model_id) JOIN cn USING (model_id)""", b.GRAPH.rstrip() + _SIZE + _CONN)
 def _(spark, sf):
     wanted = "model_id nodes edges elements edges_per_node degree_mean in_mean out_mean degree_median degree_max components largest size_mean isolated isolated_share".split()
-    return size.all_per_model(*b.graph(spark, sf)).select(wanted)
+    return size.all_per_model(*b.graph(spark, sf), enabled=set(_SIZES)).select(wanted)
 
 
 def histograms_sql(sources: dict[str, tuple[str, str]]) -> str:
@@ -71,7 +71,7 @@ _RD4 = {
 
 @query("report_graph_histograms", histograms_sql(_RD4), b.GRAPH.rstrip() + _SIZE + _CONN)
 def _(spark, sf):
-    return report.long_histograms(size.all_per_model(*b.graph(spark, sf)), list(_RD4))
+    return report.long_histograms(size.all_per_model(*b.graph(spark, sf), enabled=set(_SIZES)), list(_RD4))
 
 
 _DEPTHS = """, dp AS (SELECT model_id, max(depth) AS max_depth, avg(depth) AS mean_depth, count(*) FILTER (depth > 0) / count(*) AS contained_share FROM td GROUP BY model_id)"""

@@ -67,3 +67,18 @@ def test_no_edges_and_no_nodes(spark):
     m, n, e = frames(spark, [("m", "a")], [("m", "a", "zz", "contains")])
     assert graph.components(n, e).first()["component"] == "a" and graph.containment_depth(n, e, m).first()["depth"] == 0
     assert graph.components(n.limit(0), e.limit(0)).count() == 0
+
+
+def test_measures_that_are_off_cost_nothing(spark, monkeypatch):
+    """Only what is asked for is worked out, with the figures that it has beside the others."""
+    m, n, e = frames(spark, [("m", x) for x in "abcd"] + [("k", "a")], [("m", "a", "b", "contains"), ("m", "c", "zz", "x")])
+    whole = {k: v.first() for k, v in size.all_measures(m, n, e).items()}
+    per = {r["model_id"]: r for r in size.all_per_model(m, n, e).collect()}
+    monkeypatch.setattr(graph, "components", None)
+    assert size.all_measures(m, n, e, {"containment"})["containment"].first() == whole["containment"]
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "containment_depth", None)
+    on = {"size", "degree", "connectivity"}
+    assert {k: v.first() for k, v in size.all_measures(m, n, e, on).items()} == {k: whole[k] for k in on}
+    got = size.all_per_model(m, n, e, on)
+    assert "max_depth" not in got.columns and all(per[r["model_id"]][c] == r[c] for r in got.collect() for c in got.columns)
