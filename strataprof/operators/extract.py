@@ -150,12 +150,13 @@ def register_extractor(language: str, fn: Callable[[str, str], Iterable[tuple]],
     EXTRACTORS[language] = (fn, schema)
 
 
-#: What ``archimate``, ``uml``, ``header``, ``unhandled`` and ``unhandled_children`` read of the elements (fixed values).
+#: What ``archimate``, ``uml``, ``header``, ``unhandled``, ``unhandled_children`` and ``ecore`` read of the elements (fixed values).
 ARCHIMATE_COLUMNS = "model_id seq parent_seq depth tag attrs text anc_types error".split()
 UML_COLUMNS = "model_id seq parent_seq tag attrs anc_seqs anc_tags error".split()
 HEADER_COLUMNS = "model_id seq depth tag attrs text error".split()
 ATTRIBUTE_COLUMNS = "model_id tag attrs error".split()
 CHILD_COLUMNS = "model_id seq parent_seq tag error".split()
+ECORE_COLUMNS = "model_id seq parent_seq depth tag attrs anc_seqs anc_tags error".split()
 
 
 def shred(files: DataFrame, language: str, most_rows: int = 20_000, most_ancestors: int = 1_000_000, columns: list[str] | None = None, most_depth: int | None = None) -> DataFrame:
@@ -316,19 +317,19 @@ def bpmn_shapes(files: DataFrame, most_levels: int = 1000) -> DataFrame:
     at = lambda path, kind: F.expr(f"try_variant_get(v, '{path}', '{kind}')")
     parsed = files.select("model_id", F.try_parse_json("text").alias("v"))
     is_shape = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    broken = parsed.where(~is_shape).select("model_id", F.lit(True).alias("broken"))
 
-    def shapes(df: DataFrame) -> DataFrame:
+    def shapes(df: DataFrame, *keep: str) -> DataFrame:
         ident, stencil = at("$.resourceId", "string"), at("$.stencil.id", "string")
         outgoing = F.filter(F.transform(at("$.outgoing", "array<variant>"), lambda o: F.try_variant_get(o, "$.resourceId", "string")), lambda o: F.coalesce(o != "", F.lit(False)))
         ref = lambda name: F.coalesce(at(f"$.{name}.resourceId", "string"), F.when(~F.coalesce(F.schema_of_variant(at(f"$.{name}", "variant")).startswith("OBJECT"), F.lit(False)), at(f"$.{name}", "string")))
         return df.select(
             "model_id", "path", "parent_id", ident.alias("shape_id"), stencil.alias("stencil"), at("$.properties.name", "string").alias("name"), F.coalesce(outgoing, F.array().cast("array<string>")).alias("outgoing"),
             ref("target").alias("target"), F.when(F.coalesce(ident, F.lit("")).eqNullSafe("") | F.coalesce(stencil, F.lit("")).eqNullSafe(""), "MISSING_ATTRIBUTE").alias("error"), ref("source").alias("source"),
-            at("$.childShapes", "array<variant>").alias("below"),
+            at("$.childShapes", "array<variant>").alias("below"), *keep,
         )
 
-    level = cut(shapes(parsed.where(is_shape).select("model_id", "v", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("parent_id"))))
+    tops = cut(shapes(parsed.select("model_id", "v", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("parent_id"), (~is_shape).alias("broken")), "broken"))
+    broken, level = tops.where("broken"), tops.where("not broken").drop("broken")
     found = level.drop("below")
     for _ in range(most_levels):
         children = level.where("error is null and size(below) > 0").select("model_id", "path", F.col("shape_id").alias("parent_id"), F.posexplode("below").alias("i", "v"))
@@ -350,35 +351,38 @@ def _first_shapes(found: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Marks shapes whose id an earlier one has, and drops what they hold.
 
     A shape stays for certain if it is the first of its id, as are all that hold it; others of that id then go.  What they
-    held goes too, and may have hidden the first of another id: so rounds follow until none goes."""
-    gone = None  # (model_id, path) of repeated shapes
-    keyed = found.where("error is null").select("model_id", "path", "shape_id")
-    for _ in range(most_rounds):
-        alive = keyed if gone is None else _outside(keyed, gone)
-        first = F.row_number().over(W.partitionBy("model_id", "shape_id").orderBy("path")) == 1
-        ranked = cut(alive.withColumn("first", first))
-        bad = ranked.where("not first").select("model_id", "path")
-        if not bad.limit(1).count():
+    held goes too, and may have hidden the first of another id: so rounds follow until none goes.  All of it is windows
+    over the shapes of a model in document order, for which rows are dealt by model once a round."""
+    of_id = W.partitionBy("model_id", "shape_id")
+    state = found.where("error is null").select("model_id", "path", "shape_id", F.lit(False).alias("gone"))
+    rounds = 0
+    while True:
+        alive = state.repartition("model_id").withColumn("alive", ~_inside("gone"))
+        # shapes that are gone or held by one get a place of their own, so that they are no first
+        placed = alive.withColumn("n", F.row_number().over(W.partitionBy("model_id", "shape_id", "alive").orderBy("path")))
+        ranked = placed.withColumn("bad", F.col("alive") & (F.col("n") > 1)).withColumn("sure", F.col("alive") & (F.col("n") == 1) & ~_inside("bad"))
+        state = cut(ranked.where("alive or gone").select("model_id", "path", "shape_id", (F.col("gone") | F.col("bad") & F.max("sure").over(of_id)).alias("gone"), "bad"))
+        if not state.where("bad").limit(1).count():
             break
-        sure = _outside(ranked.where("first"), bad).select("model_id", "shape_id")
-        more = ranked.where("not first").join(sure, ["model_id", "shape_id"], "left_semi").select("model_id", "path")
-        gone = cut(more if gone is None else gone.unionByName(more))
-    else:
-        raise RuntimeError("repeated shapes did not settle")
-    if gone is None:
+        state, rounds = state.drop("bad"), rounds + 1
+        if rounds == most_rounds:
+            raise RuntimeError("repeated shapes did not settle")
+    if not rounds:
         return found
-    rest = _outside(found, gone)
-    repeated = found.join(gone, ["model_id", "path"], "left_semi")
-    inside = _outside(repeated, gone, strictly=True)
-    return rest.unionByName(inside.withColumn("error", F.lit("DUPLICATE_ID")))
-
-
-def _outside(rows: DataFrame, tops: DataFrame, strictly: bool = False) -> DataFrame:
-    """Rows whose path neither is one of ``tops`` nor goes through one; ``strictly``: it may be one."""
-    n = F.size("path") - F.lit(int(strictly))
-    through = rows.where(n >= 0).select("model_id", "path", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("path", 1, i))).alias("top"))
-    hit = through.join(tops.select("model_id", F.col("path").alias("top")).distinct(), ["model_id", "top"], "left_semi").select("model_id", "path").distinct()
-    return rows.join(hit, ["model_id", "path"], "left_anti")
+    gone = state.where("gone").select("model_id", "path", "gone")
+    marked = found.join(gone, ["model_id", "path"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))).repartition("model_id")
+    left = marked.withColumn("held", _inside("gone", strictly=True)).where("not held")
+    return left.withColumn("error", F.when(F.col("gone"), "DUPLICATE_ID").otherwise(F.col("error"))).drop("gone", "held")
+
+
+def _inside(top: str, strictly: bool = False) -> Column:
+    """Whether a row's path is one of the tops or goes through one; ``strictly``: it goes through one.
+
+    In the order of paths what a top holds follows it without a gap, up to the path of which the last step is one more.
+    The largest such end of the tops so far is that of the outermost top that may hold a row."""
+    end = F.when(F.size("path") > 0, F.concat(F.slice("path", 1, F.size("path") - 1), F.array(F.try_element_at("path", F.lit(-1)) + 1))).otherwise(F.array(F.lit(2**31 - 1)))
+    so_far = W.partitionBy("model_id").orderBy("path").rowsBetween(W.unboundedPreceding, -1 if strictly else 0)
+    return F.coalesce(F.col("path") < F.max(F.when(F.col(top), end)).over(so_far), F.lit(False))
 
 
 def bpmn(shapes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
