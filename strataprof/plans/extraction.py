@@ -114,7 +114,7 @@ def _ecore_files(spark, sf):
 
 
 def _ecore(spark, sf):
-    return graph.cut(extract.shred(_ecore_files(spark, sf), "xml"))
+    return graph.cut(extract.shred(_ecore_files(spark, sf), "xml", columns=extract.ECORE_COLUMNS))
 
 
 _EP = f"""ep AS (SELECT DISTINCT 'e' || CAST(floor(p_partkey / 50) AS BIGINT) AS model_id, p_partkey AS k, p_size, p_brand FROM part), em AS (SELECT DISTINCT model_id FROM ep),

@@ -79,7 +79,7 @@ def _xmi_ecore_files(spark, sf):
 
 
 def _xmi_ecore(spark, sf):
-    return graph.cut(extract.shred(_xmi_ecore_files(spark, sf), "xml"))
+    return graph.cut(extract.shred(_xmi_ecore_files(spark, sf), "xml", columns=extract.ECORE_COLUMNS))
 
 
 _XP = "xp AS (SELECT DISTINCT 'x' || CAST(floor(p_partkey / 50) AS BIGINT) AS model_id, p_partkey AS k, p_size, p_brand FROM part)"
