@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
+from functools import lru_cache
+from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,10 @@ ELEMENTS = (
     "model_id string, seq bigint, parent_seq bigint, depth int, tag string, ns string, attrs map<string,string>, text string, "
     "anc_seqs array<bigint>, anc_tags array<string>, anc_types array<string>, error string"
 )
+ARCHIMATE_ITEMS = (
+    "model_id string, seq bigint, ftype string, id string, xtype string, name string, source string, target string, attrs map<string,string>, "
+    "documentation string, error string"
+)
 SHAPES = "model_id string, seq bigint, parent_id string, shape_id string, stencil string, name string, outgoing array<string>, target string, error string, source string"
 #: Stencils of connecting shapes (fixed values).
 EDGE_STENCILS = ["SequenceFlow", "MessageFlow", "Association_Undirected", "Association_Unidirectional", "Association_Bidirectional", "DataAssociation"]
@@ -28,10 +34,12 @@ EDGE_STENCILS = ["SequenceFlow", "MessageFlow", "Association_Undirected", "Assoc
 LAYERS = ["strategy", "business", "application", "technology", "motivation", "implementation_migration", "other"]
 
 
+@lru_cache(1 << 12)
 def _local(name: str) -> tuple[str, str]:
     return tuple(name[1:].split("}", 1)) if name.startswith("{") else ("", name)
 
 
+@lru_cache(1 << 12)
 def _attribute(name: str) -> str:
     ns, local = _local(name)
     return {"http://www.w3.org/2001/XMLSchema-instance": "xsi:"}.get(ns, "xmi:" if "XMI" in ns else "") + local
@@ -47,7 +55,12 @@ def xml_rows(model_id: str, text: str, ancestors: int | None = None) -> Iterator
     The text is fed to a pull parser piece by piece and an element leaves when it ends, parents after what they hold;
     only open elements are kept.  ``seq`` tells document order.  Whether a file is XML shows at its end: a long one is read
     to there once more, keeping nothing, before its first row leaves."""
-    rows, held = _xml_rows(model_id, text, ancestors), []
+    yield from _whole(_xml_rows(model_id, text, ancestors), text, lambda said: (model_id, 0, None, 0, None, None, {}, None, [], [], [], said))
+
+
+def _whole(rows: Iterator[tuple], text: str, broken: Callable[[str], tuple]) -> Iterator[tuple]:
+    """The rows of a file that is XML to its end, else the one row of an error."""
+    held = []
     try:
         for row in rows:
             held.append(row)
@@ -56,7 +69,7 @@ def xml_rows(model_id: str, text: str, ancestors: int | None = None) -> Iterator
                     pass
                 break
     except ET.ParseError as e:
-        yield (model_id, 0, None, 0, None, None, {}, None, [], [], [], f"{type(e).__name__}: {e}")
+        yield broken(f"{type(e).__name__}: {e}")
         return
     yield from held
     yield from rows
@@ -109,6 +122,73 @@ def _events(text: str, events: tuple[str, ...], piece: int = 1 << 16) -> Iterato
     yield from ready()
 
 
+def archimate_item_rows(model_id: str, text: str, anywhere: Collection[str], first: Collection[str] = ()) -> Iterator[tuple]:
+    """The elements of an ArchiMate file in folders of the types ``anywhere``, at any depth, or right in the first folder of
+    each of the types ``first``; each with the text of its documentation.  A file that is no XML gives one row with an error.
+
+    Nothing else of the file becomes a row, and nothing is left to be joined to these.  No tree is built: only open
+    elements are kept, and rows leave after each piece of the text."""
+    yield from _whole(_archimate_item_rows(model_id, text, anywhere, first), text, lambda said: (model_id, 0, *[None] * 6, {}, None, said))
+
+
+def _archimate_item_rows(model_id: str, text: str, anywhere: Collection[str], first: Collection[str], piece: int = 1 << 16) -> Iterator[tuple]:
+    n, path, rows, seen = 0, [], [], set()  # path: of each open element, the row that it becomes, a text to read, or nothing
+    ftype, holds, direct = None, False, False  # of the element below the root: its type, if it holds items, if they stand right in it
+
+    def start(tag: str, attrib: dict[str, str]) -> None:
+        nonlocal n, ftype, holds, direct
+        depth, found = len(path), None
+        if depth > 1 and holds or depth == 1:
+            tag = _local(tag)[1]
+            if depth == 1:
+                ftype = _kind(attrib)
+                holds, direct = ftype in anywhere, False
+                if tag == "folder":
+                    said = {_attribute(k): v for k, v in attrib.items()}.get("type")
+                    if said in first and said not in seen:
+                        seen.add(said)
+                        if said == ftype:
+                            holds = direct = True
+            elif tag == "element" and (depth == 2 or not direct):
+                found = [n, ftype, {_attribute(k): v for k, v in attrib.items()}, None]
+            elif tag == "documentation" and type(path[-1]) is list and path[-1][3] is None:
+                found = _Text()
+            if type(path[-1]) is _Text:
+                path[-1].over = True  # the text of an element is what comes before the first that it holds
+        path.append(found)
+        n += 1
+
+    def data(piece: str) -> None:
+        if type(path[-1]) is _Text and not path[-1].over:
+            path[-1].said.append(piece)
+
+    def end(_: str) -> None:
+        found = path.pop()
+        if found is None:
+            return
+        if type(found) is _Text:
+            path[-1][3] = "".join(found.said).strip() or None
+        else:
+            seq, kind, attrs, documentation = found
+            rows.append((model_id, seq, kind, *map(attrs.get, ("id", "xsi:type", "name", "source", "target")), attrs, documentation, None))
+
+    parser = ET.XMLParser(target=SimpleNamespace(start=start, data=data, end=end))
+    for at in range(0, len(text), piece):
+        parser.feed(text[at : at + piece])
+        yield from rows
+        rows.clear()
+    parser.close()
+    yield from rows
+
+
+class _Text:
+    """What an open element says so far, and if an element in it has begun."""
+
+    def __init__(self) -> None:
+        self.said: list[str] = []
+        self.over = False
+
+
 def json_rows(model_id: str, text: str) -> list[tuple]:
     """Shapes, parents first; a shape without an id or a stencil, or with an id seen before, goes with what it holds."""
 
@@ -141,7 +221,8 @@ def json_rows(model_id: str, text: str) -> list[tuple]:
 
 EXTRACTORS: dict[str, tuple[Callable[[str, str], Iterable[tuple]], str]] = {
     "xml": (xml_rows, ELEMENTS), "archimate": (lambda m, t: xml_rows(m, t, 2), ELEMENTS), "xml-flat": (lambda m, t: xml_rows(m, t, 0), ELEMENTS),
-    "bpmn-json": (json_rows, SHAPES),
+    "archimate-nodes": (lambda m, t: archimate_item_rows(m, t, LAYERS, ["connectors"]), ARCHIMATE_ITEMS),
+    "archimate-relations": (lambda m, t: archimate_item_rows(m, t, [], ["relations"]), ARCHIMATE_ITEMS), "bpmn-json": (json_rows, SHAPES),
 }
 
 
@@ -150,8 +231,10 @@ def register_extractor(language: str, fn: Callable[[str, str], Iterable[tuple]],
     EXTRACTORS[language] = (fn, schema)
 
 
-#: What ``archimate``, ``uml``, ``header``, ``unhandled``, ``unhandled_children`` and ``ecore`` read of the elements (fixed values).
+#: What ``archimate``, ``archimate_nodes``, ``archimate_edges``, ``uml``, ``header``, ``unhandled``, ``unhandled_children`` and ``ecore`` read of the elements (fixed values).
 ARCHIMATE_COLUMNS = "model_id seq parent_seq depth tag attrs text anc_types error".split()
+NODE_COLUMNS = "model_id seq ftype id xtype name documentation error".split()
+RELATION_COLUMNS = "model_id seq id xtype name source target error".split()
 UML_COLUMNS = "model_id seq parent_seq tag attrs anc_seqs anc_tags error".split()
 HEADER_COLUMNS = "model_id seq depth tag attrs text error".split()
 ATTRIBUTE_COLUMNS = "model_id tag attrs error".split()
@@ -300,7 +383,7 @@ def archimate(elements: DataFrame, renamed: dict[str, str] | None = None) -> tup
     )
     edge_rows, w3 = require(direct.where("ftype = 'relations'"), "id", "xtype", "source", "target")
     edge_rows, w4 = first_of_id(edge_rows, "id")
-    edges = edge_rows.select("model_id", F.col("id").alias("edge_id"), F.col("seq").alias("pos"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), relation_type(F.col("xtype"), renamed).alias("type"), "name")
+    edges = _relations(edge_rows, renamed)
     warnings = w1.unionByName(w2).unionByName(w3).unionByName(w4).unionByName(unresolved(edges, nodes)).unionByName(
         _warn(elements.where("error is not null"), "PARSE_ERROR", True, F.col("error"))
     )
@@ -308,6 +391,26 @@ def archimate(elements: DataFrame, renamed: dict[str, str] | None = None) -> tup
     return nodes, edges, warnings.unionByName(_warn(lacking, "OTHER", False, F.lit("no folder of relations")))
 
 
+def _relations(rows: DataFrame, renamed: dict[str, str] | None) -> DataFrame:
+    return rows.select("model_id", F.col("id").alias("edge_id"), F.col("seq").alias("pos"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), relation_type(F.col("xtype"), renamed).alias("type"), "name")
+
+
+def archimate_edges(rows: DataFrame, renamed: dict[str, str] | None = None) -> DataFrame:
+    """The edges that ``archimate`` gives, from rows of ``shred(files, "archimate-relations")``."""
+    whole, _ = require(rows.where("error is null"), "id", "xtype", "source", "target")
+    return _relations(first_of_id(whole, "id")[0], renamed)
+
+
+def archimate_nodes(rows: DataFrame) -> DataFrame:
+    """The nodes that ``archimate`` gives, from rows of ``shred(files, "archimate-nodes")``; ``data`` if attributes are there."""
+    whole, _ = require(rows.where("error is null"), "id", "xtype")
+    first, _ = first_of_id(whole, "id")
+    data = [payload(F.col("attrs"), "id", "name", "source", "target").alias("data")] if "attrs" in rows.columns else []
+    return first.select(
+        "model_id", F.col("id").alias("node_id"), F.col("seq").alias("pos"), F.regexp_replace("xtype", "^archimate:", "").alias("type"), "name", F.col("ftype").alias("layer"), *data, "documentation"
+    )
+
+
 def bpmn_shapes(files: DataFrame, most_levels: int = 1000) -> DataFrame:
     """The rows of ``shred(files, "bpmn-json")`` by DataFrame functions: JSON texts as VARIANT, one level of child shapes
     after the other.  A shape without an id or a stencil goes with what it holds before the next level; a repeated id too,

@@ -184,7 +184,7 @@ def _(spark, sf):
 
 @query("extract_archimate_documentation", "SELECT DISTINCT model_id, 'p' || l_partkey AS node_id, 'P' || l_partkey AS name, 'd' AS documentation FROM gj WHERE l_linenumber <> 7", b.GRAPH)
 def _(spark, sf):
-    n = extract.archimate(graph.cut(extract.shred(_archimate_files(spark, sf), "archimate", columns=extract.ARCHIMATE_COLUMNS)))[0]
+    n = extract.archimate_nodes(extract.shred(_archimate_files(spark, sf), "archimate-nodes", columns=extract.NODE_COLUMNS))
     return n.where("documentation is not null").select("model_id", "node_id", "name", "documentation")
 
 

@@ -324,3 +324,33 @@ def test_small_models_are_dealt_out_to_tasks_of_bounded_edges(spark):
     edges = spark.range(300_000).selectExpr("concat('m', id % 3000) as model_id", "concat('a', id) as u", "concat('b', id) as v")
     small, large = graph._dealt(edges, graph.MOST_EDGES)
     assert large is None and max(r["count"] for r in small.groupBy("task").count().collect()) < 150_000
+
+
+def some_archimate(rng, depth):
+    tag = rng.choice(["folder", "folder", "element", "element", "documentation", "a:element"])
+    said = [("type", ["business", "connectors", "relations"]), ("xsi:type", ["archimate:X", "connectors"]), ("id", ["a", "b", ""]), ("a:type", ["connectors"]), ("name", ["n &amp; m"]), ("source", ["s"]), ("target", ["t"])]
+    attrs = "".join(f' {k}="{rng.choice(v)}"' for k, v in said if rng.random() < 0.8)
+    text = lambda: rng.choice(["", " ", "x", " y <!-- c --> z ", "<![CDATA[<]]>"])
+    inner = "".join(text() + (some_archimate(rng, depth - 1) if depth and rng.random() < 0.7 else "") for _ in range(rng.randrange(5))) + text()
+    return f"<{tag}{attrs}>{inner}</{tag}>"
+
+
+def test_nodes_and_relations_of_archimate_come_without_other_elements_or_joins(spark):
+    rng = random.Random(4)
+    top = f'<m xmlns:a="urn:a" {XSI}>'
+    held = lambda: f'<folder type="{rng.choice(["business", "connectors", "relations"])}">{some_archimate(rng, 3)}{some_archimate(rng, 0)}</folder>'
+    texts = [top + "".join(rng.choice([some_archimate(rng, 4), held(), held()]) for _ in range(rng.randrange(6))) + "</m>" for _ in range(600)]
+    texts += [t[:-2] for t in texts[:20]] + ["", None, top + '<folder type="other">' + '<element id="e" xsi:type="t"/>' * 30_000 + "</folder></m>", top + '<folder type="other">' + "<element/>" * 30_000]
+    df = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(texts)], "model_id string, text string")
+    nodes, edges, warnings = extract.archimate(graph.cut(extract.shred(df, "archimate")))
+    rows = [extract.shred(df, f"archimate-{kind}") for kind in ("nodes", "relations")]
+    for found, want in ((extract.archimate_nodes(rows[0]), nodes), (extract.archimate_edges(rows[1], {"X": "Y"}), edges.withColumn("type", F.replace("type", F.lit("X"), F.lit("Y"))))):
+        got = sorted(map(str, found.collect()))
+        assert got == sorted(map(str, want.collect())) and len(got) > 10
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows[0].where("error is not null").count() == warnings.where("warning_type = 'PARSE_ERROR'").count() == 23
+    part = '<folder name="f"><element xsi:type="t" id="p%d"><documentation> d </documentation></element></folder>'
+    few = spark.createDataFrame([("m", top + '<folder type="business">' + "".join(part % i for i in range(50)) + '</folder><folder type="relations"><element id="r"/></folder></m>')], "model_id string, text string")
+    lean = extract.shred(few, "archimate-nodes", columns=extract.NODE_COLUMNS)
+    assert lean.count() == 50 and extract.shred(few, "archimate").count() == 154  # what is handed over
+    assert {r["documentation"] for r in extract.archimate_nodes(lean).collect()} == {"d"}
