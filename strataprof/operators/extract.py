@@ -747,7 +747,7 @@ def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     contains = owned.where("type <> 'EReference'").select("model_id", F.col("p").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("Contains").alias("type"), "seq")
     # a file has one root, or several in an XMI element: "#//A" is in the first, "#/1/A" in the second
     tops = item.join(_tops(e), ["model_id", "seq"], "left_semi").groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("seq", "node_id"))).alias("tops"))
-    root = tops.select("model_id", F.transform("tops", lambda x: x["node_id"]).alias("roots"))
+    root = tops.select("model_id", F.transform("tops", lambda x: x["node_id"]).alias("roots")).hint("merge")  # a row for each model: not broadcast
 
     def target(ref: Column) -> Column:
         bare = F.regexp_replace(ref, r"^ecore:\w+\s+", "")
@@ -763,11 +763,13 @@ def ecore(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     how = F.when(F.col("type") == "EAttribute", "AttributeType").when(F.col("type") != "EReference", "Type").when(F.col("attrs")["containment"] == "true", "Containment").otherwise("Reference")
     source = F.when(F.col("type") == "EReference", F.col("p")).otherwise(F.col("node_id"))
     types = typed.select("model_id", source.alias("source_id"), target(F.col("_ref")).alias("target_id"), how.alias("type"), "seq")
-    edges = contains.unionByName(supers).unionByName(types).withColumn("edge_id", F.concat_ws("|", "type", "source_id", "target_id"))
+    references = supers.unionByName(types)
+    edges = contains.unionByName(references).withColumn("edge_id", F.concat_ws("|", "type", "source_id", "target_id"))
     edges, w2 = first_of_id(edges, "edge_id")
+    # what is contained is a node, and edges alike have one target and type: neither is looked at for what does not resolve
     is_class = F.max(F.col("type").isin("Generalization", "Reference", "Containment"))
-    used = edges.groupBy("model_id", F.col("target_id").alias("node_id")).agg(F.when(is_class, "EClass").otherwise("EDataType").alias("type"))
-    lost = used.join(nodes.select("model_id", "node_id"), ["model_id", "node_id"], "left_anti")
+    used = references.groupBy("model_id", F.col("target_id").alias("node_id")).agg(F.when(is_class, "EClass").otherwise("EDataType").alias("type"))
+    lost = used.join(nodes.select("model_id", "node_id").hint("merge"), ["model_id", "node_id"], "left_anti")  # all nodes: not broadcast
     stubs = lost.select("model_id", "node_id", F.lit(None).cast("bigint").alias("pos"), "type", F.regexp_extract("node_id", r"([^/#]+)$", 1).alias("name"), F.lit(True).alias("external"),
         F.nullif(F.regexp_extract("node_id", r"^([^#]*)#", 1), F.lit("")).alias("ns_uri"), F.lit(None).cast("string").alias("package_name"))
     return nodes.unionByName(stubs), edges.drop("seq"), w1.unionByName(w2)

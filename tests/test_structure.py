@@ -354,3 +354,14 @@ def test_nodes_and_relations_of_archimate_come_without_other_elements_or_joins(s
     lean = extract.shred(few, "archimate-nodes", columns=extract.NODE_COLUMNS)
     assert lean.count() == 50 and extract.shred(few, "archimate").count() == 154  # what is handed over
     assert {r["documentation"] for r in extract.archimate_nodes(lean).collect()} == {"d"}
+
+
+def test_ecore_nodes_do_not_rank_edges_and_do_not_broadcast_a_row_for_each_model(spark):
+    ecore = '<ecore:EPackage xmlns:ecore="http://www.eclipse.org/emf/2002/Ecore" %s name="p%d"><eClassifiers xsi:type="ecore:EClass" name="A" eSuperTypes="o.ecore#//B #//A"><eStructuralFeatures xsi:type="ecore:EReference" name="r" eType="o.ecore#//C"/><eStructuralFeatures xsi:type="ecore:EReference" name="s" eType="o.ecore#//C"/><eStructuralFeatures xsi:type="ecore:EAttribute" name="t" eType="o.ecore#//D"/></eClassifiers></ecore:EPackage>'
+    df = spark.createDataFrame([(f"m{i}", ecore % (XSI, i)) for i in range(40)], "model_id string, text string")
+    nodes, edges, warnings = extract.ecore(extract.shred(df, "xml", columns=extract.ECORE_COLUMNS))
+    outside = nodes.where("external").select("node_id", "type", "name", "ns_uri")
+    assert sorted(map(tuple, outside.distinct().collect())) == [("o.ecore#//B", "EClass", "B", "o.ecore"), ("o.ecore#//C", "EClass", "C", "o.ecore"), ("o.ecore#//D", "EDataType", "D", "o.ecore")]
+    assert outside.count() == 120 and nodes.count() == 120 + 40 * 3 and edges.count() == 40 * 6 and [r["warning_type"] for r in warnings.collect()] == ["DUPLICATE_ID"] * 40
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(model_id" in plan and "edge_id" not in plan and "strategy=merge" in plan
