@@ -251,3 +251,18 @@ def test_entities_of_documents_without_ids_have_terms(spark):
 
     named = terms(range(204))
     assert named >= 4 and terms([None] * 4 + list(range(200))) == named
+
+
+def test_terms_in_capitals_that_change_when_lowered(spark):
+    """Counted and placed alike: a dotted capital I, and a sigma whose small letter depends on what follows."""
+    import duckdb
+    import pandas as pd
+
+    texts = [f"k{n} {word} k{n} {who} z{n} {n}" for who, word in (("a@b.cd", "İstanbul"), ("b@b.cd", "ΛΟΓΟΣ"), ("c@b.cd", "ΟΔΟΣ.α"), ("d@b.cd", "ÉCOLE")) for n in range(4)]
+    texts += ["λογοσ b@b.cd n1", "οδος c@b.cd n2", "istanbul a@b.cd n3", *(f"plain words {i}" for i in range(300))]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    want = duckdb.from_df(docs).query("documents", pii.ORACLE).df().set_index("doc_id")["spans"]
+    found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["_id"]: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]) for r in found}
+    assert {i: s for i, s in want.items() if s} == got
+    assert all("term:" in got[4 * k + n] for k in range(4) for n in range(4))
