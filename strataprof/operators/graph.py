@@ -5,11 +5,13 @@ larger ones go through rounds over tables, in which the work of one model is spr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataprof.sources.files import shared_folder
@@ -25,11 +27,32 @@ def cut(df: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
 
     Files are many times smaller than the rows in them, so Spark takes large tables for small ones and would broadcast
     them through the driver.  A table of more rows than ``most_broadcast`` is joined by shuffles instead."""
+    return _counted(df, most_broadcast)[0]
+
+
+def _counted(df: DataFrame, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, int]:
+    """The table of ``cut``, and its number of rows."""
     spark = df.sparkSession
     path = shared_folder(spark, "graph")
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    return table.hint("merge") if table.count() > most_broadcast else table
+    rows = table.count()
+    return (table.hint("merge") if rows > most_broadcast else table), rows
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession, key: str = "spark.sql.classic.shuffleDependency.fileCleanup.enabled") -> Iterator[None]:
+    """What is written here leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def _dealt(edges: DataFrame, most_edges: int) -> tuple[DataFrame, DataFrame | None]:
@@ -80,7 +103,10 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes of their model."""
-    ids = nodes.select("model_id", "node_id").distinct()
+    return _between(nodes.select("model_id", "node_id").distinct(), edges)
+
+
+def _between(ids: DataFrame, edges: DataFrame) -> DataFrame:
     s, t = ids.withColumnRenamed("node_id", "source_id"), ids.withColumnRenamed("node_id", "target_id")
     return edges.join(s, ["model_id", "source_id"], "left_semi").join(t, ["model_id", "target_id"], "left_semi")
 
@@ -218,14 +244,14 @@ def _groups(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, np.ndarray]
 def containment_depth(nodes: DataFrame, edges: DataFrame, models: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """``model_id, node_id, depth, is_root``: longest walk from a root (a node that nothing contains; all nodes where
     there is none), at most as long as the model has nodes."""
+    ids, languages = cut(nodes.select("model_id", "node_id").distinct()), cut(models.select("model_id", "language"))
     e = (
-        valid_edges(nodes, edges).join(models.select("model_id", "language"), "model_id")
+        _between(ids, edges).join(languages, "model_id")
         .where(is_containment(F.col("language"), F.col("type"), F.col("data")))
         .select("model_id", F.col("source_id").alias("node_id"), F.col("target_id").alias("child")).distinct()
     )
     e = cut(e)
-    ids = nodes.select("model_id", "node_id").distinct()
-    free = ids.join(e.select("model_id", F.col("child").alias("node_id")).distinct(), ["model_id", "node_id"], "left_anti")
+    free = cut(ids.join(e.select("model_id", F.col("child").alias("node_id")).distinct(), ["model_id", "node_id"], "left_anti"))
     rooted = cut(free.select("model_id").distinct())
     roots = free.unionByName(ids.join(rooted, "model_id", "left_anti"))
     size = ids.groupBy("model_id").agg(F.count("*").alias("n"))
@@ -242,36 +268,36 @@ def containment_depth(nodes: DataFrame, edges: DataFrame, models: DataFrame, mos
 def _rounds(e: DataFrame, roots: DataFrame, size: DataFrame) -> DataFrame:
     """Each round keeps the distinct nodes that a walk of k edges reaches.  A model ends when no walk goes on, or when the
     nodes of a round are those of an earlier one: from there on rounds repeat, so that one more period, carried on to
-    the number of nodes of the model, tells the rest.  What the driver keeps of a round is a count and two sums of hashes
-    for each model this large."""
-    spark = e.sparkSession
-    e, frontier, size = cut(e.select("model_id", "node_id", "child")), cut(roots), cut(size)
-    reached, k = [frontier.withColumn("k", F.lit(0).cast("long"))], 0
-    seen: dict[tuple, int] = {}
-    ends: dict[str, tuple[int, int]] = {}  # model: last round of the extra period, period
-    while True:
+    the number of nodes of the model, tells the rest.
+
+    A round is compared with one earlier round, the last whose number is a power of two, by a count and two sums of hashes
+    for each model.  These are tables too: the driver keeps two numbers, however many models there are."""
+    none = F.lit(None).cast("long")
+    start = roots.join(size, "model_id").select("model_id", "node_id", "n", none.alias("last"), none.alias("period"))
+    (e, edges), (frontier, rows) = _counted(e.select("model_id", "node_id", "child")), _counted(start)
+    reached, saved, at, k = [], None, 0, 0  # saved: what the nodes of each model were in round ``at``
+    while rows:
         h = F.xxhash64("node_id")
-        for row in frontier.groupBy("model_id").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s")).collect():
-            key = tuple(row)
-            if row["model_id"] not in ends and key in seen:
-                period = k - seen[key]
-                ends[row["model_id"]] = (k + period - 1, period)
-            seen.setdefault(key, k)
-        if ends:  # in the extra period, a step counts as its last repeat
-            known = spark.createDataFrame([(m, *x) for m, x in ends.items()], "model_id string, last long, period long")
-            more = frontier.join(known, "model_id").where(F.col("last") >= k).join(size, "model_id").where(F.col("n") >= k)
-            step = F.lit(k) + F.floor((F.col("n") - k) / F.col("period")) * F.col("period")
-            reached.append(cut(more.select("model_id", "node_id", step.cast("long").alias("k"))))
-            frontier = frontier.join(known.where(F.col("last") <= k).select("model_id"), "model_id", "left_anti")
-        k += 1
-        frontier = cut(
-            frontier.join(e, ["model_id", "node_id"]).select("model_id", F.col("child").alias("node_id")).distinct().join(size.where(F.col("n") >= k), "model_id", "left_semi")
-        )
-        if not frontier.limit(1).count():
-            return _deepest(reached)
-        reached.append(frontier.withColumn("k", F.lit(k).cast("long")))
+        told = frontier.where("last is null").groupBy("model_id").agg(F.count("*").alias("c"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"))
+        if saved is not None:
+            again, models = _counted(told.join(saved, ["model_id", "c", "x", "s"], "left_semi").select("model_id", F.lit(True).alias("again")))
+            if models:  # one more period begins with this round
+                marked = frontier.join(again, "model_id", "left")
+                frontier = cut(marked.select(
+                    "model_id", "node_id", "n", F.when(F.col("again"), k + (k - at) - 1).otherwise(F.col("last")).cast("long").alias("last"), F.when(F.col("again"), k - at).otherwise(F.col("period")).cast("long").alias("period")
+                ))
+        step = F.when(F.col("last").isNull(), k).otherwise(F.lit(k) + F.floor((F.col("n") - k) / F.col("period")) * F.col("period"))  # in the extra period, the last repeat
+        reached.append(frontier.select("model_id", "node_id", step.cast("long").alias("k")))
         if len(reached) >= 16:  # fold the levels so far into one table
             reached = [cut(_deepest(reached))]
+        onward = frontier.where(F.coalesce(F.col("last") > k, F.lit(True)) & (F.col("n") > k))
+        if k & (k - 1) == 0:
+            saved, at = cut(told), k
+            if k and rows * 4 < edges:  # edges of models that have ended are left behind
+                e, edges = _counted(e.join(onward.select("model_id").distinct(), "model_id", "left_semi"))
+        k += 1
+        frontier, rows = _counted(onward.join(e, ["model_id", "node_id"]).select("model_id", F.col("child").alias("node_id"), "n", "last", "period").distinct())
+    return _deepest(reached)
 
 
 def _deepest(levels: list[DataFrame]) -> DataFrame:

@@ -82,3 +82,30 @@ def test_measures_that_are_off_cost_nothing(spark, monkeypatch):
     assert {k: v.first() for k, v in size.all_measures(m, n, e, on).items()} == {k: whole[k] for k in on}
     got = size.all_per_model(m, n, e, on)
     assert "max_depth" not in got.columns and all(per[r["model_id"]][c] == r[c] for r in got.collect() for c in got.columns)
+
+
+def test_rounds_keep_nothing_of_each_model_on_the_driver(spark, monkeypatch):
+    """Rings of 1 to 8 nodes behind tails of 0 to 4, and a node that leaves the ring: as in whole models, with few rows collected."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    rows = []
+    for m in range(40):
+        ring, tail = m % 8 + 1, m // 8
+        way = [f"t{i}" for i in range(tail)] + [f"r{i}" for i in range(ring)] + ["r0"]
+        rows += [(f"m{m}", a, b) for a, b in zip(way, way[1:])] + [(f"m{m}", f"r{ring - 1}", "out")]
+    edges = spark.createDataFrame([(m, a, b, "contains", {}) for m, a, b in rows], "model_id string, source_id string, target_id string, type string, data map<string,string>")
+    nodes = spark.createDataFrame(sorted({(m, x) for m, a, b in rows for x in (a, b)}), "model_id string, node_id string")
+    models = spark.createDataFrame([(f"m{m}", "UML") for m in range(40)], "model_id string, language string")
+    want = sorted(graph.containment_depth(nodes, edges, models).collect())
+    collect, most = Classic.collect, []
+
+    def counted(self):
+        found = collect(self)
+        most.append(len(found))
+        return found
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Classic, "collect", counted)
+        by_tables = graph.containment_depth(nodes, edges, models, most_edges=0)
+    assert max(most) == 1
+    assert sorted(by_tables.collect()) == want
