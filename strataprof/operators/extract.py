@@ -27,6 +27,9 @@ ARCHIMATE_ITEMS = (
     "model_id string, seq bigint, ftype string, id string, xtype string, name string, source string, target string, attrs map<string,string>, "
     "documentation string, error string"
 )
+#: Kinds of rows that ``archimate_check_rows`` gives.
+FILE, NODE, RELATION = 0, 1, 2
+ARCHIMATE_CHECKS = "model_id string, seq bigint, kind int, id string, xtype string, source string, target string, error string"
 SHAPES = "model_id string, seq bigint, parent_id string, shape_id string, stencil string, name string, outgoing array<string>, target string, error string, source string"
 #: Stencils of connecting shapes (fixed values).
 EDGE_STENCILS = ["SequenceFlow", "MessageFlow", "Association_Undirected", "Association_Unidirectional", "Association_Bidirectional", "DataAssociation"]
@@ -181,6 +184,56 @@ def _archimate_item_rows(model_id: str, text: str, anywhere: Collection[str], fi
     yield from rows
 
 
+def archimate_check_rows(model_id: str, text: str) -> Iterator[tuple]:
+    """What ``archimate_warnings`` reads of a file: its nodes and relations without names, data and documentation, and a row
+    for the file, of which ``id`` is set if it has a folder of relations.  A file that is no XML gives one row with an error."""
+    yield from _whole(_archimate_check_rows(model_id, text), text, lambda said: (model_id, 0, FILE, *[None] * 4, said))
+
+
+def _archimate_check_rows(model_id: str, text: str, piece: int = 1 << 16) -> Iterator[tuple]:
+    n = depth = deepest = 0  # elements in a folder that holds items count down to the depth ``deepest``
+    rows, seen, kind = [], set(), NODE
+    names: dict[str, str] = {}
+
+    def start(tag: str, attrib: dict[str, str]) -> None:
+        nonlocal n, depth, deepest, kind
+        if 1 < depth <= deepest:
+            if tag == "element" or _local(tag)[1] == "element":
+                found = {}
+                for k, v in attrib.items():
+                    try:
+                        found[names[k]] = v
+                    except KeyError:
+                        names[k] = _attribute(k)
+                        found[names[k]] = v
+                get = found.get
+                rows.append((model_id, n, kind, get("id"), get("xsi:type"), get("source"), get("target"), None))
+        elif depth == 1:
+            ftype = _kind(attrib)
+            kind, deepest = NODE, 1 << 60 if ftype in LAYERS else 0
+            if _local(tag)[1] == "folder":
+                said = {_attribute(k): v for k, v in attrib.items()}.get("type")
+                if said in ("relations", "connectors") and said not in seen:
+                    seen.add(said)
+                    if said == ftype:  # items stand right in it
+                        kind, deepest = (RELATION if said == "relations" else NODE), 2
+        depth += 1
+        n += 1
+
+    def end(_: str) -> None:
+        nonlocal depth
+        depth -= 1
+
+    parser = ET.XMLParser(target=SimpleNamespace(start=start, end=end))
+    for at in range(0, len(text), piece):
+        parser.feed(text[at : at + piece])
+        yield from rows
+        rows.clear()
+    parser.close()
+    yield from rows
+    yield (model_id, 0, FILE, "relations" if "relations" in seen else None, None, None, None, None)
+
+
 class _Text:
     """What an open element says so far, and if an element in it has begun."""
 
@@ -222,7 +275,7 @@ def json_rows(model_id: str, text: str) -> list[tuple]:
 EXTRACTORS: dict[str, tuple[Callable[[str, str], Iterable[tuple]], str]] = {
     "xml": (xml_rows, ELEMENTS), "archimate": (lambda m, t: xml_rows(m, t, 2), ELEMENTS), "xml-flat": (lambda m, t: xml_rows(m, t, 0), ELEMENTS),
     "archimate-nodes": (lambda m, t: archimate_item_rows(m, t, LAYERS, ["connectors"]), ARCHIMATE_ITEMS),
-    "archimate-relations": (lambda m, t: archimate_item_rows(m, t, [], ["relations"]), ARCHIMATE_ITEMS), "bpmn-json": (json_rows, SHAPES),
+    "archimate-relations": (lambda m, t: archimate_item_rows(m, t, [], ["relations"]), ARCHIMATE_ITEMS), "archimate-checks": (archimate_check_rows, ARCHIMATE_CHECKS), "bpmn-json": (json_rows, SHAPES),
 }
 
 
@@ -411,6 +464,33 @@ def archimate_nodes(rows: DataFrame) -> DataFrame:
     )
 
 
+def archimate_warnings(rows: DataFrame) -> DataFrame:
+    """The warnings that ``archimate`` gives, from rows of ``shred(files, "archimate-checks")``: those alike are one row
+    with their number ``n``.
+
+    Relations meet by id once, then their ends and the nodes by id once; nothing is ranked, and no row is joined."""
+    rows = cut(rows)  # read by several branches
+    ok = rows.where("error is null")
+    nodes, lacking = require(ok.where(F.col("kind") == NODE), "id", "xtype")
+    relations, lacking_relations = require(ok.where(F.col("kind") == RELATION), "id", "xtype", "source", "target")
+    # of relations alike by id the first is the edge
+    edges = relations.groupBy("model_id", "id").agg(F.count("*").alias("rows"), F.min(F.struct("seq", "source", "target")).alias("x"))
+    edges = edges.select("model_id", F.posexplode(F.array("id", "x.source", "x.target")).alias("i", "msg"), (F.col("rows") - 1).alias("repeats"))
+    by_id = nodes.select("model_id", F.col("id").alias("msg"), F.lit(1).alias("node"), F.lit(0).alias("ends"), F.lit(0).cast("long").alias("repeats")).unionByName(
+        edges.select("model_id", "msg", F.lit(0).alias("node"), F.when(F.col("i") > 0, 1).otherwise(0).alias("ends"), F.when(F.col("i") == 0, F.col("repeats")).otherwise(0).alias("repeats"))
+    )
+    told = by_id.groupBy("model_id", "msg").agg(F.sum("node").alias("nodes"), F.sum("ends").alias("ends"), F.sum("repeats").alias("repeats"))
+    kinds = F.array(
+        F.struct(F.lit("DUPLICATE_ID").alias("warning_type"), F.lit(True).alias("is_skip"), (F.greatest(F.col("nodes") - 1, F.lit(0)) + F.col("repeats")).alias("n")),
+        F.struct(F.lit("UNRESOLVED_REFERENCE").alias("warning_type"), F.lit(False).alias("is_skip"), F.when(F.col("nodes") == 0, F.col("ends")).otherwise(0).alias("n")),
+    )
+    found = told.select("model_id", "msg", F.explode(kinds).alias("x")).where("x.n > 0").select("model_id", "x.warning_type", "x.is_skip", "msg", "x.n")
+    # a model of several files has one folder of relations if any of them has
+    files = ok.where(F.col("kind") == FILE).groupBy("model_id").agg(F.count("*").alias("n"), F.count("id").alias("folders"))
+    alone = lacking.unionByName(lacking_relations).unionByName(_warn(rows.where("error is not null"), "PARSE_ERROR", True, F.col("error"))).withColumn("n", F.lit(1).cast("long"))
+    return found.unionByName(alone).unionByName(files.where("folders = 0").select("model_id", F.lit("OTHER").alias("warning_type"), F.lit(False).alias("is_skip"), F.lit("no folder of relations").alias("msg"), "n"))
+
+
 def bpmn_shapes(files: DataFrame, most_levels: int = 1000) -> DataFrame:
     """The rows of ``shred(files, "bpmn-json")`` by DataFrame functions: JSON texts as VARIANT, one level of child shapes
     after the other.  A shape without an id or a stencil goes with what it holds before the next level; a repeated id too,
