@@ -368,13 +368,9 @@ def require(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
 
 def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Warnings for ends that are no node of the model; the edges stay."""
-    ids = nodes.select("model_id", "node_id").distinct()
-    out = None
-    for end in ("source_id", "target_id"):
-        lost = edges.join(ids.withColumnRenamed("node_id", end), ["model_id", end], "left_anti")
-        part = _warn(lost, "UNRESOLVED_REFERENCE", False, F.col(end))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ids = nodes.select("model_id", F.col("node_id").alias("end")).distinct()
+    ends = edges.select("model_id", F.explode(F.array("source_id", "target_id")).alias("end"))  # edges are worked out once for both
+    return _warn(ends.join(ids, ["model_id", "end"], "left_anti"), "UNRESOLVED_REFERENCE", False, F.col("end"))
 
 
 def relation_type(t: Column, renamed: dict[str, str] | None = None) -> Column:
@@ -638,6 +634,54 @@ UML_RELATIONS = [
     ("InterfaceRealization", "InterfaceRealization", ["implementingClassifier", "client"], ["contract", "supplier"], "realizes"),
     ("Include", "includes", ["includingCase"], ["addition"], "includes"), ("Extend", "extends", ["extension"], ["extendedCase"], "extends"),
 ]
+#: Attributes that relations, associations and warnings read (fixed values).
+UML_ATTRIBUTES = sorted({"xsi:type", "xmi:type", "xmi:id", "name", "xmi:idref", "href", "memberEnd", "type", "aggregation", "extensionLocation", *(n for r in UML_RELATIONS for side in r[2:4] for n in side)})
+XMI_ROWS = "model_id string, seq bigint, parent_seq bigint, tag string, " + ", ".join(f"`{a}` string" for a in UML_ATTRIBUTES) + ", error string"
+
+
+def xmi_rows(model_id: str, text: str) -> Iterator[tuple]:
+    """What ``uml_warnings`` reads of a file: elements, but for extensions and what stands in them, with the attributes
+    ``UML_ATTRIBUTES``.  A file that is no XML gives one row with an error."""
+    yield from _whole(_xmi_rows(model_id, text), text, lambda said: (model_id, 0, None, None, *[None] * len(UML_ATTRIBUTES), said))
+
+
+def _xmi_rows(model_id: str, text: str, piece: int = 1 << 16) -> Iterator[tuple]:
+    n = inside = 0  # inside: open elements from an extension on
+    rows, path = [], [None]
+    names: dict[str, str] = {}
+
+    def start(tag: str, attrib: dict[str, str]) -> None:
+        nonlocal n, inside
+        tag = _local(tag)[1]
+        if inside or tag == "Extension":
+            inside += 1
+        else:
+            found = {}
+            for k, v in attrib.items():
+                if k not in names:
+                    names[k] = _attribute(k)
+                found[names[k]] = v
+            rows.append((model_id, n, path[-1], tag, *map(found.get, UML_ATTRIBUTES), None))
+            path.append(n)
+        n += 1
+
+    def end(_: str) -> None:
+        nonlocal inside
+        if inside:
+            inside -= 1
+        else:
+            path.pop()
+
+    parser = ET.XMLParser(target=SimpleNamespace(start=start, end=end))
+    for at in range(0, len(text), piece):
+        parser.feed(text[at : at + piece])
+        yield from rows
+        rows.clear()
+    parser.close()
+    yield from rows
+
+
+register_extractor("xmi", xmi_rows, XMI_ROWS)
 #: Namespace of Ecore (fixed value).
 ECORE_NS = "http://www.eclipse.org/emf/2002/Ecore"
 UML_ASSOCIATIONS = ["Association", "CommunicationPath"]
@@ -658,7 +702,7 @@ UML_MEMBERS = {"ownedAttribute": "attributes", "ownedOperation": "operations", "
 def uml_elements(elements: DataFrame) -> DataFrame:
     """Elements with ``concept, id, name``; what tools have put into extensions is left out."""
     a = F.col("attrs")
-    e = elements.where("error is null and tag <> 'Extension' and not exists(anc_tags, t -> t = 'Extension')")
+    e = elements.where("error is null and tag <> 'Extension'" + (" and not exists(anc_tags, t -> t = 'Extension')" if "anc_tags" in elements.columns else ""))
     by_tag = F.create_map(*[F.lit(x) for kv in UML_TAGS.items() for x in kv])
     concept = F.coalesce(F.regexp_replace(F.coalesce(a["xsi:type"], a["xmi:type"]), "^uml:", ""), by_tag[F.col("tag")])
     return e.select("*", concept.alias("concept"), a["xmi:id"].alias("id"), a["name"].alias("name"))
@@ -714,8 +758,11 @@ def _uml_associations(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok, no_id = assoc.where("id is not null"), _warn(assoc.where("id is null"), "MISSING_ATTRIBUTE", True, F.col("concept"))
     end = e.where("id is not null").select("model_id", F.col("id").alias("end"), "parent_seq", "tag", F.col("seq").alias("at"), a["type"].alias("of"), F.coalesce(a["aggregation"] == "composite", F.lit(False)).alias("composite"))
     listed = ok.select("model_id", "id", F.posexplode(F.split("ends", r"\s+")).alias("i", "end")).where("end is not null")
-    named = listed.join(end.select("model_id", "end", "of", "composite").dropDuplicates(["model_id", "end"]), ["model_id", "end"], "left")
-    unknown = listed.join(end.select("model_id", "end"), ["model_id", "end"], "left_anti")
+    # the first element of each id that is listed; other ids are dropped before they are ranked
+    meant = end.select("model_id", "end", "at", "of", "composite").join(listed.select("model_id", "end").distinct(), ["model_id", "end"], "left_semi")
+    first = meant.groupBy("model_id", "end").agg(F.min(F.struct("at", "of", "composite")).alias("x"))
+    named = listed.join(first, ["model_id", "end"], "left").select("model_id", "id", "i", "end", "x.*")
+    unknown = named.where("at is null")
     owned = ok.where("ends is null").join(end.where("tag = 'ownedEnd'").select("model_id", F.col("parent_seq").alias("seq"), "at", "of", "composite"), ["model_id", "seq"]).select("model_id", "id", F.col("at").alias("i"), "of", "composite")
     both = named.select("model_id", "id", F.col("i").cast("bigint").alias("i"), "of", "composite").unionByName(owned).where("of is not null")
     found = both.groupBy("model_id", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("i", "of", "composite"))), 1, 2).alias("x"))
@@ -733,7 +780,10 @@ def _uml_associations(e: DataFrame) -> tuple[DataFrame, DataFrame]:
 def extension_points(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``model_id, edge_id, location, point``: the named extension point of each extend relation; and warnings for those
     that name no element."""
-    e = uml_elements(elements)
+    return _extension_points(uml_elements(elements))
+
+
+def _extension_points(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = e.where("concept = 'Extend'").select("model_id", "id", F.col("attrs")["extensionLocation"].alias("location")).where("location is not null")
     known = e.where("id is not null").select("model_id", F.col("id").alias("location"), F.col("name").alias("point"))
     return at.join(known, ["model_id", "location"]).select("model_id", F.col("id").alias("edge_id"), "location", "point"), _warn(
@@ -741,14 +791,18 @@ def extension_points(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _uml_nodes(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes, an id may have several, and warnings for those without one."""
+    node_rows = e.where(F.col("concept").isin(UML_SIMPLE + UML_CLASSIFIERS) & (F.col("tag") != "ownedLiteral") & ~((F.col("concept") == "PrimitiveType") & F.col("id").isNull() & F.col("attrs")["href"].isNotNull()))
+    return require(node_rows, "id")
+
+
 def uml(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``nodes, edges, warnings`` of shredded XMI files: nodes with data and the names of their members, directed
     relations, associations, and what each package contains.  The model itself is no node."""
     e = uml_elements(elements)
-    node_rows = e.where(F.col("concept").isin(UML_SIMPLE + UML_CLASSIFIERS) & (F.col("tag") != "ownedLiteral") & ~((F.col("concept") == "PrimitiveType") & F.col("id").isNull() & F.col("attrs")["href"].isNotNull()))
-    node_rows, w1 = require(node_rows, "id")
+    node_rows, _ = _uml_nodes(e)
     every = node_rows.select("model_id", F.col("id").alias("node_id"), F.col("seq").alias("pos"), F.col("concept").alias("type"), "name", payload(F.col("attrs"), "xmi:id", "name").alias("data"))
-    w2 = upsert_conflicts(every)
     names = uml_members(elements).groupBy("model_id", F.col("owner_id").alias("node_id")).agg(*[
         F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "name")))), lambda m: m["name"]).alias(k) for k in UML_MEMBERS.values()
     ])
@@ -756,17 +810,32 @@ def uml(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = upsert(every).join(place, ["model_id", "node_id"]).join(names, ["model_id", "node_id"], "left").select(
         "model_id", "node_id", "pos", "type", "name", F.coalesce("data", F.create_map().cast("map<string,string>")).alias("data"), *UML_MEMBERS.values()
     )
-    relations, w3 = _uml_relations(e)
-    associations, w4 = _uml_associations(e)
     packages = e.where("concept = 'Package' and id is not null").select("model_id", F.col("seq").alias("_p"), F.col("id").alias("package_id"))
     inner = e.where(F.col("tag").isin(UML_CONTAINED) & F.col("id").isNotNull() & F.col("concept").isNotNull()).select("model_id", "id", F.explode("anc_seqs").alias("_p")).join(packages, ["model_id", "_p"])
     inner = inner.groupBy("model_id", "id").agg(F.max_by("package_id", "_p").alias("package_id"))
     contains = inner.select("model_id", F.concat("package_id", F.lit("__contains__"), "id").alias("edge_id"), F.col("package_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("type"))
-    edges = relations.unionByName(associations).unionByName(contains)
+    edges = _uml_relations(e)[0].unionByName(_uml_associations(e)[0]).unionByName(contains)
+    return nodes, edges, _uml_warnings(e)
+
+
+def uml_warnings(rows: DataFrame) -> DataFrame:
+    """The warnings of ``uml``, from rows of ``shred(files, "xmi")``: one table of columns, of which each branch reads those
+    that it needs."""
+    attrs = F.struct(*[F.col(f"`{a}`") for a in UML_ATTRIBUTES]).alias("attrs")
+    return _uml_warnings(cut(uml_elements(rows.select("model_id", "seq", "parent_seq", "tag", attrs, "error")).drop("error")))
+
+
+def _uml_warnings(e: DataFrame) -> DataFrame:
+    """Of nodes only ids, types and names are worked out, and of containment nothing."""
+    node_rows, w1 = _uml_nodes(e)
+    every = node_rows.select("model_id", F.col("id").alias("node_id"), F.col("seq").alias("pos"), F.col("concept").alias("type"), "name")
+    w2 = upsert_conflicts(every)
+    relations, w3 = _uml_relations(e)
+    associations, w4 = _uml_associations(e)
     known = [*UML_SIMPLE, *UML_CLASSIFIERS, *UML_ASSOCIATIONS, *[r[0] for r in UML_RELATIONS], "Model", "Property", "Operation", "ExtensionPoint"]
     odd = e.where("tag = 'packagedElement' or attrs['xsi:type'] is not null or attrs['xmi:type'] is not null").where(F.col("concept").isNotNull() & ~F.col("concept").isin(known))
     warnings = w1.unionByName(w2).unionByName(w3).unionByName(w4).unionByName(_warn(odd, "UNKNOWN_NODE_TYPE", True, F.col("concept")))
-    return nodes, edges, warnings.unionByName(extension_points(elements)[1]).unionByName(unresolved(relations.unionByName(associations), nodes))
+    return warnings.unionByName(_extension_points(e)[1]).unionByName(unresolved(relations.unionByName(associations), every))
 
 
 def external_name(href: Column) -> Column:

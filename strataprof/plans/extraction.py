@@ -75,7 +75,7 @@ def _(spark, sf):
   UNION ALL SELECT model_id, 'UNRESOLVED_REFERENCE', 'x' || k, false FROM uo WHERE k % 3 = 1
   UNION ALL SELECT model_id, 'UNRESOLVED_REFERENCE', 's' || k, false FROM uo, (VALUES (1), (2)) AS t(i) WHERE st = 'P' AND k % 7 <> 0""", _UN)
 def _(spark, sf):
-    return extract.uml(_xmi(spark, sf))[2].select("model_id", "warning_type", "msg", "is_skip")
+    return extract.uml_warnings(extract.shred(_xmi_files(spark, sf), "xmi")).select("model_id", "warning_type", "msg", "is_skip")
 
 
 @query("extract_uml_members", """SELECT model_id, 'o' || k AS owner_id, 'attributes' AS kind, 'a' || k AS member_id, 'total' AS name, 'b' AS type, 'public' AS visibility FROM uo
