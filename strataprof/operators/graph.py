@@ -111,14 +111,16 @@ def _between(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(s, ["model_id", "source_id"], "left_semi").join(t, ["model_id", "target_id"], "left_semi")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60, most_edges: int = MOST_EDGES, valid: DataFrame | None = None) -> DataFrame:
-    """``model_id, node_id, component``: the smallest node id of each undirected component.  ``valid``: edges of which
-    both ends are known to be nodes."""
-    ok = valid_edges(nodes, edges) if valid is None else valid
-    e = ok.where("source_id <> target_id").select(
-        "model_id", F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")
-    ).distinct()
-    small, large = _dealt(cut(e), most_edges)
+def pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``model_id, u, v``: what valid edges join, once each, without direction; loops are there too."""
+    return valid_edges(nodes, edges).select("model_id", F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60, most_edges: int = MOST_EDGES, joined: DataFrame | None = None) -> DataFrame:
+    """``model_id, node_id, component``: the smallest node id of each undirected component.  ``joined``: a table of the
+    ``pairs`` if there is one."""
+    e = (cut(pairs(nodes, edges)) if joined is None else joined).where("u <> v")
+    small, large = _dealt(e, most_edges)
     found = small.groupBy("task").applyInPandas(_joined, "model_id string, node_id string, c string")
     if large is not None:
         found = found.unionByName(_stars(large, most_rounds))

@@ -44,12 +44,14 @@ def degree(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def connectivity_per_model(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Components; isolated nodes are those without any valid edge, a loop counts as one."""
-    ok = graph.cut(graph.valid_edges(nodes, edges).select("model_id", "source_id", "target_id"))  # read twice
-    comp = graph.components(nodes, edges, valid=ok).groupBy("model_id", "component").agg(F.count("*").alias("size"))
-    shape = comp.groupBy("model_id").agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.avg("size").alias("size_mean"), F.sum("size").alias("n"))
-    ends = ok.select("model_id", F.col("source_id").alias("node_id")).unionByName(ok.select("model_id", F.col("target_id").alias("node_id")))
-    alone = nodes.select("model_id", "node_id").distinct().join(ends, ["model_id", "node_id"], "left_anti").groupBy("model_id").agg(F.count("*").alias("isolated"))
-    out = models.select("model_id").join(shape, "model_id", "left").join(alone, "model_id", "left").fillna(0)
+    joined = graph.cut(graph.pairs(nodes, edges))  # read twice
+    comp = graph.components(nodes, edges, joined=joined).groupBy("model_id", "component").agg(F.count("*").alias("size"))
+    loops = joined.where("u = v").select("model_id", F.col("u").alias("component"), F.lit(True).alias("loop"))
+    comp = comp.join(loops, ["model_id", "component"], "left")  # a component of one node is that node
+    shape = comp.groupBy("model_id").agg(
+        F.count("*").alias("components"), F.max("size").alias("largest"), F.avg("size").alias("size_mean"), F.sum("size").alias("n"), F.count_if((F.col("size") == 1) & F.col("loop").isNull()).alias("isolated"),
+    )
+    out = models.select("model_id").join(shape, "model_id", "left").fillna(0)
     return out.withColumn("isolated_share", stats.ratio(F.col("isolated"), F.col("n"))).drop("n")
 
 

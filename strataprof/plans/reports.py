@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataprof.operators import constructs, labels, lexical, parsing, report, size, views
+from strataprof.operators import constructs, graph, labels, lexical, parsing, report, size, views
 from strataprof.plans import bindings as b
 from strataprof.plans.catalog import _CONN, _LEN, _LEN_COLS, _PRES, _SIZE, _STY, _TOK, _WORDS, ORACLE_SQL, _c, _labels, _tokens, query, r
 from strataprof.plans.more import _wide, hist
@@ -31,7 +31,8 @@ def _graph_measures(spark, sf):
   UNION ALL SELECT 'lexical', NULL, NULL, NULL UNION ALL {long_sql({"parsing": _PARSING, "size": _SIZES, "constructs": {"presence": "constructs_presence", "frequency": "constructs_utilisation"}})}""")
 def _(spark, sf):
     """The roll-up of a corpus with its lexical family switched off."""
-    parsed = {k: v for k, v in parsing.all_measures(b.diagnostics(spark, sf)).items() if k in _PARSING}
+    models = graph.cut(b.diagnostics(spark, sf).drop("relpath", "warnings_by_type"))  # read by five measures
+    parsed = {name: getattr(parsing, name)(models) for name in _PARSING}
     e, m, c = _c(spark, sf)
     families = {"parsing": parsed, "lexical": None, "size": _graph_measures(spark, sf), "constructs": constructs.measures(e, m, c)[0]}
     return report.roll_up(b.graph(spark, sf)[0], families)

@@ -109,3 +109,15 @@ def test_rounds_keep_nothing_of_each_model_on_the_driver(spark, monkeypatch):
         by_tables = graph.containment_depth(nodes, edges, models, most_edges=0)
     assert max(most) == 1
     assert sorted(by_tables.collect()) == want
+
+
+def test_a_roll_up_holds_figures_only(spark):
+    """Each measure is written before the next is worked out, and leaves no shuffles: what is returned only reads figures."""
+    from strataprof.operators import report
+
+    m, n, e = frames(spark, [("m", x) for x in "abcdefg"], [("m", "a", "b", "x"), ("m", "b", "c", "x"), ("m", "d", "d", "x"), ("m", "e", "zz", "x"), ("m", "b", "b", "x")])
+    measures = size.all_measures(m, n, e, {"size", "connectivity"})
+    out = report.roll_up(m, {"size": measures, "lexical": None})
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["measure"], r["figure"]): r["value"] for r in out.collect()}
+    assert got["size", "total_edges"] == 5 and got["connectivity", "isolated_total"] == 3 and got["connectivity", "components_max"] == 5
